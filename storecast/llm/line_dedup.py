@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import written
 from .text import SPACE
@@ -46,7 +47,7 @@ def _keys(min_chars: int):
     return run
 
 
-@F.arrow_udf("struct<n_lines:long,n_dropped:long,kept:string>")
+@F.arrow_udf(T.StructType([T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType()), T.StructField("kept", T.StringType())]))
 def _without(text: pa.Array, lines: pa.Array) -> pa.Array:
     """The text without the lines of the given numbers."""
     out = []

@@ -10,12 +10,50 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def topics_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's topic is the cluster label of the embedding with its id."""
+    return table(spark, sf_dir, "embeddings").select("vec_id", "label")
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import mixed_sample
+
+    return mixed_sample(table(spark, sf_dir, "documents"), topics_of(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
+def lengths(docs: DataFrame) -> DataFrame:
+    """What packing needs of documents: their words, and as cluster the hash of the normalised text."""
+    from .exact_dedup import normalised
+    from .mixing import WORDS
+
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return docs.select("doc_id", "source", F.xxhash64(normalised(F.col("text"))).alias("cluster"), F.regexp_count(text, F.lit(WORDS)).cast("long").alias("n_tokens"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .packing import packed
+
+    return packed(lengths(table(spark, sf_dir, "documents")))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scored
+
+    return scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .line_dedup import common_lines_dropped
 
@@ -23,13 +61,66 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op4_exact_dedup, op9_line_dedup)}
+def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mixing, op4_exact_dedup, op5_packing, op7_simhash, op8_toxicity, op9_line_dedup, op10_top_k)}
 
 #: Whitespace and lower case of A-Z alone, as DuckDB expressions.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 
+
+
+def _raking_sql() -> str:
+    """The raking of op1_mixing with its rounds written out, as Spark runs them too."""
+    from .mixing import DIMS, ITERATIONS, SEED, SHARE, TARGETS
+
+    sql = """WITH topics AS (SELECT vec_id, min(CAST(label AS VARCHAR)) AS topic FROM embeddings GROUP BY 1),
+rows AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(topic, '') AS topic,
+         len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS n_tokens FROM documents LEFT JOIN topics ON doc_id = vec_id),
+cells AS (SELECT source, lang, topic, sum(n_tokens) AS n FROM rows GROUP BY ALL)"""
+    for d in DIMS:
+        want = TARGETS[d]
+        share = f"CASE level {' '.join(f"WHEN '{k}' THEN {v}" for k, v in want.items())} ELSE 0 END" if isinstance(want, dict) else f"CASE WHEN size > 0 THEN pow(size, {want}) ELSE 0 END"
+        sql += f""",
+t_{d} AS (SELECT level, share / sum(share) OVER () AS t FROM (SELECT level, CAST({share} AS DOUBLE) AS share FROM (SELECT {d} AS level, CAST(sum(n) AS DOUBLE) AS size FROM cells GROUP BY 1)))"""
+    sql += """,
+w0 AS (SELECT cells.*, CAST(n AS DOUBLE) AS w, """ + ", ".join(f"t_{d}.t AS s_{d}" for d in DIMS) + " FROM cells " + " ".join(f"JOIN t_{d} ON cells.{d} = t_{d}.level" for d in DIMS) + ")"
+    k = 0
+    for _ in range(ITERATIONS):
+        for d in DIMS:
+            sql += f""",
+w{k + 1} AS (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN w * s_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w) FROM w{k})"""
+            k += 1
+    return sql + f""",
+r AS (SELECT *, CASE WHEN n > 0 THEN w / n ELSE 0 END AS r FROM w{k}),
+total AS (SELECT {SHARE} * sum(n) AS wanted, sum(CASE WHEN r > 0 THEN n ELSE 0 END) AS weighted FROM r),
+steps AS (SELECT r, (wanted - coalesce(sum(n) OVER (ORDER BY r DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+          / sum(w) OVER (ORDER BY r DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM r, total WHERE r > 0),
+scale AS (SELECT max_by(scale, r) AS scale FROM steps WHERE scale * r <= 1),
+p AS (SELECT source, lang, topic, round(CASE WHEN wanted >= weighted OR scale IS NULL THEN CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0, scale * r) END, 6) AS probability FROM r, total, scale)
+SELECT doc_id, source, lang, topic, n_tokens, probability,
+       CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{SEED}'), 1, 8) AS BIGINT) / 4294967296.0 < probability AS kept
+FROM rows JOIN p USING (source, lang, topic)"""
+
+
 ORACLE_SQL = {
+    "op1_mixing": _raking_sql(),
+    "op10_top_k": """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS y FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(range(1, len(q.y) + 1), lambda i: q.y[i] * c.y[i])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.y) = len(c.y)
+)
+SELECT query_id, CAST(row_number() OVER w AS INT) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 10""",
     "op4_exact_dedup": r"""
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -50,10 +50,11 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start and end byte of each word, and the row it stands in; words are runs of bytes other than SPACE."""
-    gap = (data == 32) | ((data >= 9) & (data <= 13))
-    word = ~gap
+def words(data: np.ndarray, offsets: np.ndarray, word: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start and end byte of each word, and the row it stands in; words are runs of bytes other than SPACE, or those that ``word`` marks."""
+    if word is None:
+        word = (data != 32) & ((data < 9) | (data > 13))
+    gap = ~word
     first = word.copy()
     first[1:] &= gap[:-1]
     last = word.copy()
