@@ -113,7 +113,7 @@ def test_toxicity_on_held_out_rows(spark):
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [rng.normal(size=8).astype(np.float32).tolist() for _ in range(400)]
-    vectors += [vectors[5]] * 60 + [None, [], [1.0, None, 0, 0, 0, 0, 0, 0], [float("nan")] * 8, [float("inf")] * 8, [1.0, 2.0]]
+    vectors += [vectors[5]] * 60 + [None, [], [1.0, None, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0], [float("nan")] * 8, [float("inf")] * 8, [1.0, 2.0]]
     ids = list(range(len(vectors)))
     df = spark.createDataFrame(list(zip(ids, vectors, strict=True)), "vec_id long, embedding array<float>")
     got = {}
