@@ -1,12 +1,63 @@
-"""From raw documents to packed training sequences: five stages, each a DataFrame of documents to the next."""
+"""From raw documents to packed training sequences: five stages, each a DataFrame of documents to the next.
+
+Ids are expected to be distinct: rows that share one stay or go together.
+A row without an id is never dropped as a copy of another.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from storecast.llm.exact_dedup import exact_groups
+from storecast.llm.mixing import mixed_sample
+from storecast.llm.packing import packed
+from storecast.llm.queries import lengths, table, topics_of
+from storecast.llm.simhash import near_duplicates
+from storecast.llm.store import written
+from storecast.llm.toxicity import fit, scores
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents but those with the given ids, which are few: the planner sends them to all tasks only if the table is small."""
+    gone = written(ids.select(F.col("doc_id").alias("gone_id")).filter("gone_id is not null").distinct(), "gone")
+    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+
+
+def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score of 0.5 or more go."""
+    score = scores(fit(docs, table(spark, sf_dir, "labels")), spark)
+    return docs.withColumn("toxicity_of_text", score("text").getField("score")).filter("toxicity_of_text < 0.5").select(*docs.columns)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the smallest id stays."""
+    return without(docs, exact_groups(docs).filter("not kept"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each component of near duplicates the one with the smallest id stays."""
+    return without(docs, near_duplicates(docs).filter("doc_id <> component_id"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A sample with the target shares of sources, languages and topics."""
+    kept = written(mixed_sample(docs, topics_of(spark, sf_dir)).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "drawn")
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The bin and place of every document."""
+    return packed(lengths(docs))
+
 
-STAGES: list = []
+STAGES = [("toxicity", toxicity), ("exact dedup", exact_dedup), ("near dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+#: SQL has no SimHash, so the stages are held against brute force in tests/llm.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -21,6 +21,18 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sample(table(spark, sf_dir, "documents"), topics_of(spark, sf_dir))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .license_scan import license_matches
+
+    return license_matches(table(spark, sf_dir, "documents"))
+
+
+def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ctw import lm_scores
+
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .exact_dedup import exact_groups
 
@@ -42,6 +54,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(lengths(table(spark, sf_dir, "documents")))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeats_removed
+
+    out = repeats_removed(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -68,7 +87,10 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op4_exact_dedup, op5_packing, op7_simhash, op8_toxicity, op9_line_dedup, op10_top_k)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_mixing, op2_license_scan, op3_ctw, op4_exact_dedup, op5_packing, op6_suffix_dedup, op7_simhash, op8_toxicity, op9_line_dedup, op10_top_k)
+}
 
 #: Whitespace and lower case of A-Z alone, as DuckDB expressions.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
