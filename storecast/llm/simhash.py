@@ -34,7 +34,7 @@ ONES = [1 << k for k in range(64)]
 PAIRS = [1 << (h + i) | 1 << (h + j) for h in (0, 32) for i in range(32) for j in range(i)]
 FLIPS = np.array([0, *ONES, *PAIRS], np.uint64)
 NEAR = 65  # of FLIPS, those of one bit at most
-BATCH, BUCKET = 4096, 1 << 22  # fingerprints a batch, variants a bucket
+BATCH, BUCKET = 2048, 1 << 20  # fingerprints a batch, variants a bucket
 MEAN_VARIANTS = (NEAR + len(FLIPS)) / 2
 
 
