@@ -354,4 +354,28 @@ def q_weekly_events(spark, d):
     return r6(rows.groupBy(dates.week().alias("week")).agg(F.count("*").alias("rows"), F.avg("value").alias("mean_value"), F.count_distinct("Store").alias("stores")))
 
 
+def q_sample(spark, d):
+    return quality.sample(open_panel(spark, d).select("Store", "Date", "Sales"), 5000)
+
+
+def q_store_segments(spark, d):
+    """Cells merged and clustered: no SQL; the least sizes shrink with the number of stores."""
+    rows = open_panel(spark, d)
+    stores = store_facts(spark, d).count()
+    return segments.segmenter(rows, 4 if stores >= 60 else 2, 300, 5 if stores >= 60 else 1).assignment
+
+
+def q_forecast(spark, d):
+    """The newest window forecast by one small model per segment, with intervals."""
+    from .jobs.forecaster import Forecaster
+
+    train_end, start = window_start(spark, d)
+    rows = panel(spark, d)
+    past, future = rows.filter(F.col("Date") <= F.lit(train_end)), rows.filter(F.col("Date") >= F.lit(start))
+    enough = store_facts(spark, d).count() >= 60
+    model = Forecaster(params={"maxDepth": 4, "stepSize": 0.3}, n_segments=4 if enough else 2, min_days=300, min_cell_stores=5 if enough else 1)
+    model.fit(past.filter("Open = 1 and Sales > 0"), past, fixed_rounds=3)
+    return model.predict(future.drop("Sales", "Customers"), interval=True, strict=False).select("Store", "Date", "Open", "prediction", "low", "high")
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}
