@@ -85,3 +85,9 @@ def size_quartiles(train: DataFrame) -> DataFrame:
 
 def mean_of_seeds(frame: DataFrame) -> DataFrame:
     return frame.groupBy("Store", "Date").agg(F.max("Sales").alias("Sales"), F.avg("prediction").alias("prediction"))
+
+
+def fold_correlation(frame: DataFrame, a: int, b: int) -> DataFrame:
+    """One row: how a store's score in one fold goes with that in another, over stores that have both."""
+    by_store = frame.groupBy("Store").pivot("fold", [a, b]).agg(rmspe_of())
+    return by_store.agg(F.corr(str(a), str(b)).alias("correlation"), F.count_if(F.col(str(a)).isNotNull() & F.col(str(b)).isNotNull()).alias("stores"))

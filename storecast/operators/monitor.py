@@ -64,6 +64,18 @@ def level_ratios(forecast: DataFrame, history: DataFrame, days: int = 42) -> Dat
     return ratio.agg(q[0].alias("ratio_5"), q[1].alias("ratio_50"), q[2].alias("ratio_95"))
 
 
+def daily_totals(forecast: DataFrame) -> DataFrame:
+    return forecast.groupBy("Date").agg(F.sum("prediction").alias("total"), F.count_if(F.col("Open") == 1).alias("open_stores"))
+
+
+def weekday_levels(forecast: DataFrame, history: DataFrame, days: int = 42) -> DataFrame:
+    """Mean forecast of each weekday next to the last days' mean sales of the same stores."""
+    start = F.date_sub(F.lit(history.agg(F.max("Date")).first()[0]), days)
+    recent = history.filter(F.col("Date") > start).join(forecast.select("Store").distinct(), "Store", "left_semi")
+    now = forecast.filter("Open = 1").groupBy("DayOfWeek").agg(F.avg("prediction").alias("forecast"))
+    return now.join(recent.groupBy("DayOfWeek").agg(F.avg("Sales").alias("recent")), "DayOfWeek", "full_outer")
+
+
 def best_factor(rows: DataFrame, *cols: str) -> DataFrame:
     """The factor on predictions that makes the squared relative error smallest, by group."""
     r = F.col("prediction") / F.col("Sales")

@@ -53,3 +53,9 @@ def store_means_with_facts(open_days: DataFrame) -> DataFrame:
 def sample(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
     """n rows in the order of a hash of their key: the same rows each time."""
     return df.orderBy(F.xxhash64(F.lit(seed), "Store", "Date"), "Store", "Date").limit(n)
+
+
+def compared_sets(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One row: how many stores are only in the one, only in the other, and in both."""
+    tagged = a.select("Store").distinct().withColumn("a", F.lit(1)).join(b.select("Store").distinct().withColumn("b", F.lit(1)), "Store", "full_outer")
+    return tagged.agg(F.count_if(F.col("b").isNull()).alias("only_a"), F.count_if(F.col("a").isNull()).alias("only_b"), F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("both"))

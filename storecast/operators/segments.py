@@ -128,3 +128,15 @@ def adjusted_rand(labels: DataFrame, a: str, b: str) -> DataFrame:
     expected = F.col("in_a") * F.col("in_b") / (F.col("all") * (F.col("all") - 1) / 2)
     top, bottom = F.col("both") - expected, (F.col("in_a") + F.col("in_b")) / 2 - expected
     return one.select(F.coalesce(F.try_divide(top, bottom), F.lit(1.0)).alias("ari"))
+
+
+def one_hot(df: DataFrame, n_segments: int) -> DataFrame:
+    """The segment as 0/1 columns, for a global model that knows it."""
+    return df.withColumns({f"segment_{k}": (F.col("segment") == k).cast("int") for k in range(1, n_segments + 1)})
+
+
+def stable_share(labels: DataFrame) -> DataFrame:
+    """One row: of the stores with a label in every fold, how many always have the same, and their share."""
+    folds = F.lit(labels.agg(F.count_distinct("fold")).first()[0])
+    own = labels.groupBy("Store").agg(F.count_distinct("fold").alias("folds"), F.count_distinct("segment").alias("labels")).filter(F.col("folds") == folds)
+    return own.agg(F.count("*").alias("stores"), F.count_if(F.col("labels") == 1).alias("stable"), F.avg((F.col("labels") == 1).cast("int")).alias("share"))

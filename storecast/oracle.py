@@ -193,4 +193,11 @@ SQL = {
     "q_worst_days_by_arm": PANEL + SCORED + ", d AS (SELECT Date, sum(sq) AS total FROM sold WHERE fold = 4 GROUP BY 1 ORDER BY total DESC, Date LIMIT 8) SELECT Date, round(sqrt(avg(sq)), 6) AS median, round(sqrt(avg(pow((Sales - 0.8 * prediction) / Sales, 2))), 6) AS low FROM sold SEMI JOIN d USING (Date) WHERE fold = 4 GROUP BY 1",
     "q_promote": PANEL + SCORED + ", s AS (SELECT sqrt(avg(sq)) AS a, sqrt(avg(pow((Sales - 0.8 * prediction) / Sales, 2))) AS b FROM sold WHERE fold = 4) SELECT round(a, 6) AS champion, round(b, 6) AS challenger, b <= a + 0.01 AS promoted FROM s",
     "q_weekly_events": "WITH p AS (SELECT CAST(ts AS DATE) AS Date, CAST(user_id % 50 AS INT) AS Store, value FROM events) SELECT CAST(date_trunc('week', Date) AS DATE) AS week, count(*) AS rows, round(avg(value), 6) AS mean_value, count(DISTINCT Store) AS stores FROM p GROUP BY 1",
+    "q_compared_sets": PANEL + REOPENING + ", a AS (SELECT DISTINCT Store FROM reopening WHERE days_since_reopening < 365), b AS (SELECT DISTINCT Store FROM panel WHERE Store NOT IN (SELECT Store FROM panel WHERE Date BETWEEN DATE '1998-01-01' AND DATE '1998-01-10')) SELECT (SELECT count(*) FROM a ANTI JOIN b USING (Store)) AS only_a, (SELECT count(*) FROM b ANTI JOIN a USING (Store)) AS only_b, (SELECT count(*) FROM a JOIN b USING (Store)) AS \"both\"",
+    "q_stable_labels": PANEL + SCORED + ", l AS (SELECT fold, Store, floor(avg(Sales) / 4000) AS segment FROM train GROUP BY 1, 2), o AS (SELECT Store, count(DISTINCT segment) AS labels FROM l GROUP BY 1 HAVING count(DISTINCT fold) = 4) SELECT count(*) AS stores, count(*) FILTER (WHERE labels = 1) AS stable, round(avg(CAST(labels = 1 AS INT)), 6) AS share FROM o",
+    "q_daily_totals": PANEL + SCORED + " SELECT Date, round(sum(prediction), 6) AS total, count(*) FILTER (WHERE Open = 1) AS open_stores FROM newest GROUP BY 1",
+    "q_weekday_levels": PANEL + SCORED + ", r AS (SELECT DayOfWeek, avg(Sales) AS recent FROM history WHERE Date > (SELECT max(Date) - 42 FROM history) AND Store IN (SELECT Store FROM newest) GROUP BY 1), n AS (SELECT DayOfWeek, avg(prediction) AS forecast FROM newest WHERE Open = 1 GROUP BY 1) SELECT DayOfWeek, round(forecast, 6) AS forecast, round(recent, 6) AS recent FROM n FULL JOIN r USING (DayOfWeek)",
+    "q_segment_described": PANEL + PROFILES + CELLS + " SELECT segment, count(*) AS stores, round(avg(mean_sales), 0) AS mean_sales, " + ", ".join(f"round(avg({c}), 3) AS {c}" for c in ("promo_uplift", "school_uplift", "weekend_ratio", "season_amp", "dec_lift", "basket", "momentum")) + " FROM profiles JOIN assignment USING (Store) GROUP BY 1",
+    "q_fold_correlation": PANEL + SCORED + ", s AS (SELECT Store, sqrt(avg(sq) FILTER (WHERE fold = 3)) AS a, sqrt(avg(sq) FILTER (WHERE fold = 4)) AS b FROM sold GROUP BY 1) SELECT round(corr(a, b), 6) AS correlation, count(*) AS stores FROM s WHERE a IS NOT NULL AND b IS NOT NULL",
+    "q_segment_one_hot": PANEL + PROFILES + CELLS + ", g AS (SELECT segment FROM assignment GROUP BY 1 ORDER BY count(*) DESC, segment LIMIT 1), l AS (SELECT Store, Date, coalesce(a.segment, g.segment) AS segment FROM open_days LEFT JOIN assignment a USING (Store), g) SELECT *, " + ", ".join(f"CAST(segment = {k} AS INT) AS segment_{k}" for k in range(1, 5)) + " FROM l",
 }

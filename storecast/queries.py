@@ -354,6 +354,41 @@ def q_weekly_events(spark, d):
     return r6(rows.groupBy(dates.week().alias("week")).agg(F.count("*").alias("rows"), F.avg("value").alias("mean_value"), F.count_distinct("Store").alias("stores")))
 
 
+def q_compared_sets(spark, d):
+    rows = panel(spark, d)
+    by_gap = calendar.reopening(rows).filter("days_since_reopening < 365").select("Store")
+    by_period = quality.silent_stores(rows, datetime.date(1998, 1, 1), datetime.date(1998, 1, 10))
+    return quality.compared_sets(by_gap, by_period)
+
+
+def q_stable_labels(spark, d):
+    rows = SPLIT.assigned(open_panel(spark, d), "train")
+    means = rows.groupBy("fold", "Store").agg(F.avg("Sales").alias("m"))
+    labels = means.select("fold", "Store", dates.whole(F.col("m"), 4000).alias("segment"))
+    return r6(segments.stable_share(labels))
+
+
+def q_daily_totals(spark, d):
+    return r6(monitor.daily_totals(newest(spark, d)))
+
+
+def q_weekday_levels(spark, d):
+    return r6(monitor.weekday_levels(newest(spark, d), history(spark, d)))
+
+
+def q_segment_described(spark, d):
+    return r6(segments.described(profiles.profiles(open_panel(spark, d)), cell_segments(spark, d)))
+
+
+def q_fold_correlation(spark, d):
+    return r6(analysis.fold_correlation(scored(spark, d), 3, 4))
+
+
+def q_segment_one_hot(spark, d):
+    own = cell_segments(spark, d)
+    return segments.one_hot(segments.Segmenter(own, segments.largest(own)).transform(open_panel(spark, d)).select("Store", "Date", "segment"), 4)
+
+
 def q_sample(spark, d):
     return quality.sample(open_panel(spark, d).select("Store", "Date", "Sales"), 5000)
 
