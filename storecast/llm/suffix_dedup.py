@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import written
-from .text import bytes_of, pieces, prefix_sums, run_hash
+from .text import MIX_1, bytes_of, mixed, pieces, prefix_sums, run_hash, window_sums
 
 LENGTH, KMER = 100, 36
 BUCKET_ANCHORS, SHARD_BYTES, HEAVY, IN_MEMORY = 1 << 20, 1 << 22, 4096, 1 << 26
+PIECE, HELD, UPPER = 1 << 19, 60_000, np.uint64(0xFFFFFFFF00000000)
 FOUND = "doc_id long, start long, end long, route long, rel int, snippet binary"
 
 
@@ -42,23 +43,27 @@ def snippets(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kmer:
     n = len(data) - kmer + 1
     if n <= 0 or len(data) < length:
         return tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.int64))
-    at = np.arange(n)
-    h = run_hash(prefix_sums(data), at, at + kmer)
-    # The leftmost of the smallest, by the upper half of the hash: the same in equal windows.
-    least, done, size = (h >> np.uint64(32)) << np.uint64(32) | at.astype(np.uint64), 1, length - kmer + 1
+    sums = window_sums(data, kmer)
+    # The leftmost of the smallest, by the upper half of a product: the same in equal windows.
+    least = sums * MIX_1
+    least &= UPPER
+    least |= np.arange(n, dtype=np.uint64)
+    done, size = 1, length - kmer + 1
     while done < size:
         by = min(done, size - done)
         least = np.minimum(least[:-by], least[by:])
         done += by
-    anchor = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
-    inside = np.arange(len(anchor)) + length <= offsets[1:][row]
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (inside[1:] != inside[:-1]) | (row[1:] != row[:-1])])
+    # A run ends where the anchor changes, and where windows begin or cease to lie in one text.
+    new = np.concatenate([[True], least[1:] != least[:-1]])
+    edge = np.concatenate([offsets[:-1], np.maximum(offsets[1:] - length + 1, offsets[:-1])])
+    new[edge[edge < len(new)]] = True
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(anchor)) - 1
-    own = inside[first]
-    first, last = first[own], last[own]
-    return first, last, anchor[first], h[anchor[first]], row[first]
+    last = np.append(first[1:], len(new)) - 1
+    row = np.searchsorted(offsets, first, "right") - 1
+    own = first + length <= offsets[row + 1]
+    first, last, row = first[own], last[own], row[own]
+    anchor = (least[first] & ~UPPER).astype(np.int64)
+    return first, last, anchor, mixed(sums[anchor]), row
 
 
 def _anchors(buckets: int, length: int, kmer: int):
@@ -68,7 +73,7 @@ def _anchors(buckets: int, length: int, kmer: int):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             parts = []
-            for first, _, data, offsets in pieces(batch.column(1)):
+            for first, _, data, offsets in pieces(batch.column(1), PIECE):
                 *_, h, row = snippets(data, offsets, length, kmer)
                 parts.append((h, row + first))
             h, row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -145,18 +150,19 @@ def _snippets(length: int, kmer: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, wanted = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            for begin, _, data, offsets in pieces(batch.column(1), 1 << 22):
-                out, raw = _Out(), data.tobytes()
+            ids, wanted, out = batch.column(0).to_pylist(), batch.column(2), _Out()
+            for begin, end, data, offsets in pieces(batch.column(1), PIECE):
+                raw = data.tobytes()
                 first, last, anchor, h, row = snippets(data, offsets, length, kmer)
-                edge = np.searchsorted(row, np.arange(len(offsets)))
-                for r in range(len(offsets) - 1):
-                    s, e = edge[r], edge[r + 1]
-                    some = s + np.flatnonzero(np.isin(h[s:e], np.frombuffer(b"".join(wanted[begin + r]), np.uint64)))
-                    doc, zero = ids[begin + r], int(offsets[r])
-                    for a, b, p, key in zip(first[some].tolist(), last[some].tolist(), anchor[some].tolist(), h[some].view(np.int64).tolist(), strict=True):
-                        out.add(key, p - a, raw[a : b + length], doc, a - zero)
-                yield from out.table().to_batches()
+                # An anchor that occurs twice does so wherever it stands.
+                some = np.isin(h, np.frombuffer(b"".join(x for r in wanted.slice(begin, end - begin).to_pylist() for x in r), np.uint64))
+                start = first - offsets[row]
+                for a, b, p, key, r, at in zip(*(x[some].tolist() for x in (first, last, anchor, h.view(np.int64), row, start)), strict=True):
+                    out.add(key, p - a, raw[a : b + length], ids[begin + r], at)
+                if len(out.first) > HELD:
+                    yield from out.table().to_batches()
+                    out = _Out()
+            yield from out.table().to_batches()
 
     return run
 
@@ -300,10 +306,13 @@ def _shard(length: int, kmer: int):
             owner = np.searchsorted(base, order, "right") - 1
             window = order - base[owner] <= size[owner] - length
             order, owner = order[window], owner[window]
-            # How many symbols neighbours share, up to LENGTH.
+            # Neighbours that share LENGTH bytes, eight at a time.
+            eight = np.zeros(len(raw), np.uint64)
+            for k in range(8):
+                eight[: len(raw) - k] |= raw[k:].astype(np.uint64) << np.uint64(8 * k)
             same = np.arange(1, len(order))
-            for k in range(length):
-                same = same[text[order[same] + k] == text[order[same - 1] + k]]
+            for k in [*range(0, length - 8, 8), length - 8]:
+                same = same[eight[order[same] + k] == eight[order[same - 1] + k]]
             group = np.ones(len(order), np.int64)
             group[same] = 0
             group = np.cumsum(group)

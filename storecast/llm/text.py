@@ -93,3 +93,12 @@ def run_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray
     """Hash of the bytes start..end-1, equal for equal runs wherever they stand."""
     _, down = powers(len(sums))
     return mixed((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
+
+
+def window_sums(data: np.ndarray, size: int) -> np.ndarray:
+    """A number for each run of ``size`` bytes, equal for equal runs; :func:`mixed` makes it a hash."""
+    sums = prefix_sums(data)
+    _, down = powers(len(sums))
+    out = sums[size:] - sums[:-size]
+    out *= down[: len(out)]
+    return out
