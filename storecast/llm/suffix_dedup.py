@@ -4,8 +4,8 @@ Strings of LENGTH bytes (windows) are sorted as suffixes, in shards. To bring
 equal windows into one shard, each window has an anchor: the k-mer with the
 smallest hash in it, which equal windows share at the same place. Runs of
 windows with one anchor are snippets. First the anchors' hashes alone are
-sent, and only snippets whose anchor occurs more than once go on. Equal
-snippets of a batch are sent once, by their first place; the others are
+sent, and blocks of documents get back those that occur more than once: only
+their snippets go on. Equal snippets of a block are sent once, by their first place; the others are
 covered whole. A shard drops equal snippets likewise and sorts the suffixes
 of those that are left by induction: the suffixes that begin a rise are
 sorted by their substrings, named, and the names by doubling up to LENGTH
@@ -34,7 +34,7 @@ from .text import MIX_1, bytes_of, mixed, pieces, prefix_sums, run_hash, window_
 
 LENGTH, KMER = 100, 36
 BUCKET_ANCHORS, SHARD_BYTES, HEAVY, IN_MEMORY = 1 << 20, 1 << 22, 4096, 1 << 26
-PIECE, HELD, UPPER = 1 << 19, 60_000, np.uint64(0xFFFFFFFF00000000)
+PIECE, BLOCK_BYTES, UPPER = 1 << 19, 1 << 24, np.uint64(0xFFFFFFFF00000000)
 FOUND = "doc_id long, start long, end long, route long, rel int, snippet binary"
 
 
@@ -67,42 +67,41 @@ def snippets(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, kmer:
 
 
 def _anchors(buckets: int, length: int, kmer: int):
-    """(doc_id, text) to the anchors by bucket: hash, document, and whether the document has it twice."""
+    """(block, text) to the anchors by bucket: hash, block of documents, and whether it was met twice there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            parts = []
+            block_of, parts = batch.column(0).to_numpy(zero_copy_only=False), [(np.zeros(0, np.uint64), np.zeros(0, np.int64))]
             for first, _, data, offsets in pieces(batch.column(1), PIECE):
                 *_, h, row = snippets(data, offsets, length, kmer)
-                parts.append((h, row + first))
-            h, row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-            order = np.lexsort((row, h))
-            h, row = h[order], row[order]
-            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (row[1:] != row[:-1])])) if len(h) else np.zeros(0, np.int64)
+                parts.append((h, block_of[row + first]))
+            h, block = (np.concatenate(x) for x in zip(*parts, strict=True))
+            order = np.lexsort((block, h))
+            h, block = h[order], block[order]
+            new = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (block[1:] != block[:-1])])) if len(h) else np.zeros(0, np.int64)
             twice = np.diff(new, append=len(h)) > 1
-            h, doc = h[new], ids[row[new]]
+            h, block = h[new], block[new].astype(np.int32)
             to = ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
             start = np.flatnonzero(np.diff(to, prepend=-1))
             cut = list(zip(start.tolist(), [*start[1:].tolist(), len(to)], strict=False))
-            yield pa.RecordBatch.from_arrays([pa.array(to[start], pa.int32()), *(pa.array([x[s:e].tobytes() for s, e in cut], pa.binary()) for x in (h, doc, twice))], ["bucket", "hashes", "docs", "twice"])
+            yield pa.RecordBatch.from_arrays([pa.array(to[start], pa.int32()), *(pa.array([x[s:e].tobytes() for s, e in cut], pa.binary()) for x in (h, block, twice))], ["bucket", "hashes", "blocks", "twice"])
 
     return run
 
 
 def _repeated(table: pa.Table) -> pa.Table:
-    """A bucket's anchors to the documents with those that occur more than once."""
-    h, doc, twice = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("docs", np.int64), ("twice", bool)))
+    """A bucket's anchors to the blocks of documents, with those that occur more than once."""
+    h, block, twice = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("hashes", np.uint64), ("blocks", np.int32), ("twice", bool)))
     order = np.argsort(h)
-    h, doc, twice = h[order], doc[order], twice[order]
+    h, block, twice = h[order], block[order], twice[order]
     same = np.concatenate([[False], h[1:] == h[:-1], [False]]) if len(h) else np.zeros(1, bool)
     some = same[:-1] | same[1:] | twice if len(h) else np.zeros(0, bool)
-    h, doc = h[some], doc[some]
-    order = np.argsort(doc, kind="stable")
-    h, doc = h[order], doc[order]
-    start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]])) if len(doc) else np.zeros(0, np.int64)
-    cut = zip(start.tolist(), [*start[1:].tolist(), len(doc)], strict=False)
-    return pa.table({"of": doc[start], "hashes": pa.array([h[s:e].tobytes() for s, e in cut], pa.binary())})
+    h, block = h[some], block[some]
+    order = np.argsort(block, kind="stable")
+    h, block = h[order], block[order]
+    start = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(block) else np.zeros(0, np.int64)
+    cut = zip(start.tolist(), [*start[1:].tolist(), len(block)], strict=False)
+    return pa.table({"of": block[start].astype(np.int32), "hashes": pa.array([h[s:e].tobytes() for s, e in cut], pa.binary())})
 
 
 class _Out:
@@ -146,23 +145,20 @@ class _Out:
 
 
 def _snippets(length: int, kmer: int):
-    """(doc_id, text, repeated anchors) to FOUND."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, wanted, out = batch.column(0).to_pylist(), batch.column(2), _Out()
-            for begin, end, data, offsets in pieces(batch.column(1), PIECE):
-                raw = data.tobytes()
-                first, last, anchor, h, row = snippets(data, offsets, length, kmer)
-                # An anchor that occurs twice does so wherever it stands.
-                some = np.isin(h, np.frombuffer(b"".join(x for r in wanted.slice(begin, end - begin).to_pylist() for x in r), np.uint64))
-                start = first - offsets[row]
-                for a, b, p, key, r, at in zip(*(x[some].tolist() for x in (first, last, anchor, h.view(np.int64), row, start)), strict=True):
-                    out.add(key, p - a, raw[a : b + length], ids[begin + r], at)
-                if len(out.first) > HELD:
-                    yield from out.table().to_batches()
-                    out = _Out()
-            yield from out.table().to_batches()
+    """A block of (block, doc_id, text) and its repeated anchors to FOUND."""
+
+    def run(docs: pa.Table, replies: pa.Table) -> pa.Table:
+        wanted = np.unique(np.frombuffer(b"".join(replies.column("hashes").to_pylist()), np.uint64))
+        ids, out = docs.column("doc_id").to_pylist(), _Out()
+        for begin, _, data, offsets in pieces(docs.column("text"), PIECE):
+            raw = data.tobytes()
+            first, last, anchor, h, row = snippets(data, offsets, length, kmer)
+            # An anchor that occurs twice does so wherever it stands.
+            some = np.isin(h, wanted)
+            start = first - offsets[row]
+            for a, b, p, key, r, at in zip(*(x[some].tolist() for x in (first, last, anchor, h.view(np.int64), row, start)), strict=True):
+                out.add(key, p - a, raw[a : b + length], ids[begin + r], at)
+        return out.table()
 
     return run
 
@@ -367,11 +363,12 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Anchors are about two in every length - kmer + 2 bytes.
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(2 * size / (length - kmer + 2) / BUCKET_ANCHORS))
-    named = texts.filter("doc_id is not null")
-    anchors = named.mapInArrow(_anchors(buckets, length, kmer), "bucket int, hashes binary, docs binary, twice binary")
-    wanted = anchors.groupBy("bucket").applyInArrow(_repeated, "of long, hashes binary").groupBy("of").agg(F.collect_list("hashes").alias("hashes"))
-    some = named.join(wanted, F.col("doc_id") == F.col("of")).select("doc_id", "text", "hashes")
-    found = written(some.mapInArrow(_snippets(length, kmer), FOUND), "snippets")
+    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    # The length is part of the hash, so that rows that repeat an id are spread too.
+    named = texts.filter("doc_id is not null").select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    anchors = named.select("block", "text").mapInArrow(_anchors(buckets, length, kmer), "bucket int, hashes binary, blocks binary, twice binary")
+    wanted = anchors.groupBy("bucket").applyInArrow(_repeated, "of int, hashes binary")
+    found = written(named.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(_snippets(length, kmer), FOUND), "snippets")
 
     first = found.filter("snippet is not null")
     many = written(first.groupBy("route").count().filter(F.col("count") > heavy).select(F.col("route").alias("many")), "heavy-anchors")
