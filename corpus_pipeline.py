@@ -7,7 +7,6 @@ A row without an id is never dropped as a copy of another.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from storecast.llm.exact_dedup import exact_groups
 from storecast.llm.mixing import mixed_sample
@@ -20,14 +19,14 @@ from storecast.llm.toxicity import fit, scores
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The documents but those with the given ids, which are few: the planner sends them to all tasks only if the table is small."""
-    gone = written(ids.select(F.col("doc_id").alias("gone_id")).filter("gone_id is not null").distinct(), "gone")
-    return docs.join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
+    gone = written(ids.select("doc_id").filter("doc_id is not null").distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["doc_id"], "left_anti")
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go."""
     score = scores(fit(docs, table(spark, sf_dir, "labels")), spark)
-    return docs.withColumn("toxicity_of_text", score("text").getField("score")).filter("toxicity_of_text < 0.5").select(*docs.columns)
+    return docs.filter(score("text").getField("score") < 0.5)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +41,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample with the target shares of sources, languages and topics."""
-    kept = written(mixed_sample(docs, topics_of(spark, sf_dir)).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct(), "drawn")
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    kept = written(mixed_sample(docs, topics_of(spark, sf_dir)).filter("kept").select("doc_id").distinct(), "drawn")
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
