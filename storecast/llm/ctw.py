@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import sent, written
 from .text import lowered, mixed, pieces, prefix_sums, run_hash, words
 
 DEPTH = 5  # bytes of context; a context with its byte is one number of DEPTH + 1 bytes
@@ -258,7 +258,7 @@ def _logs(shallow):
                 p, known = level.mix(p, known, at)
             symbol = (key & np.uint64(0xFF)).astype(np.int64)
             node = (key >> np.uint64(8 * DEPTH)).astype(np.int64) * 256 + (1 << decision) + (symbol >> (8 - decision))
-            p = shallow.value.mix(node, p, known)
+            p = shallow().mix(node, p, known)
             total += np.log(np.where(symbol >> (7 - decision) & 1, p, 1 - p))
         return pa.table({"key": table.column("key"), "log_p": total})
 
@@ -351,7 +351,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     tops = grouped.groupBy("group").applyInArrow(_tops, "node long, n0 double, n1 double, below double")
     # One row per node of depth 1: 65,536 at most, by construction.
     shallow = Shallow(tops.groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect())
-    logs = grouped.groupBy("group").applyInArrow(_logs(spark.sparkContext.broadcast(shallow)), "key long, log_p double")
+    logs = grouped.groupBy("group").applyInArrow(_logs(sent(spark, shallow)), "key long, log_p double")
     logs = written(logs, "log-probabilities")
 
     @F.arrow_udf("int")

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -40,3 +43,15 @@ def dropped(df: DataFrame) -> None:
         spark = df.sparkSession
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """``value`` in every task: sent once to each executor, classes by value, unpacked once a task. Only for values of bounded size."""
+    packed, own = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> Any:
+        if not own:
+            own.append(cloudpickle.loads(packed.value))
+        return own[0]
+
+    return get

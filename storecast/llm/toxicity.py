@@ -2,8 +2,8 @@
 
 Features are words and the first three to eight bytes of words (inflected
 forms share a stem), lower-cased, split at everything that is neither a letter
-nor a digit. Those that go with the label by a chi-squared test on the
-examples make the vocabulary; the inverse document frequencies are counted
+nor a digit. Those that go with the label on the examples more than chance
+would let half a term do make the vocabulary; the inverse document frequencies are counted
 over all documents. The examples' vectors stand in an inverted index whose
 postings lie in blocks with the largest weight of each term; a query visits
 blocks by falling bound and stops when no bound exceeds the kth best cosine.
@@ -17,6 +17,7 @@ depend on the text alone.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -25,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import dropped, written
+from .store import dropped, sent, written
 from .text import lowered, mixed, pieces, prefix_sums, run_hash, words
 
 MAX_EXAMPLES, MAX_TERMS = 10_000, 512
-MIN_TOXIC, MIN_CHI2 = 8, 60.0
+MIN_TOXIC, EXPECTED_FALSE = 3, 0.5  # of a term's examples; of terms that go with the label by chance
 PREFIXES = range(3, 9)
 NEIGHBOURS, BLOCK, SMOOTHING, EVIDENCE = 15, 64, 0.05, 3
 
@@ -219,10 +220,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     prior = (n_toxic + 0.5) / (n + 1) if n else 0.0
     rate = n_toxic / n if n else 0.0
     if 0 < rate < 1:
-        counts = examples.select("text", "toxic").mapInArrow(_feature_counts, "feature long, n long, n_toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
-        usual = F.col("n") * F.lit(rate)
-        chi2 = F.pow(F.col("n_toxic") - usual, F.lit(2)) / usual / (1 - rate) * F.lit(n) / (F.lit(n) - F.col("n") + 0.5)
-        best = counts.filter((F.col("n_toxic") >= MIN_TOXIC) & (F.col("n_toxic") > usual)).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "feature").limit(MAX_TERMS)
+        counts = written(examples.select("text", "toxic").mapInArrow(_feature_counts, "feature long, n long, n_toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic")).filter(F.col("n_toxic") >= MIN_TOXIC), "features")
+        # By Chernoff's bound, exp(-evidence) is the most that chance gives such a share of toxic examples.
+        own = F.col("n_toxic") / F.col("n")
+        other = F.when(own < 1, (1 - own) * F.log((1 - own) / F.lit(1 - rate))).otherwise(0.0)
+        evidence = F.col("n") * (own * F.log(own / F.lit(rate)) + other)
+        least = math.log(max(1, counts.count()) / EXPECTED_FALSE)
+        best = counts.filter(own > rate).withColumn("evidence", evidence).filter(F.col("evidence") >= least).orderBy(F.desc("evidence"), "feature").limit(MAX_TERMS)
         hashes = np.sort(np.array([r[0] for r in best.select("feature").collect()], np.int64).view(np.uint64))
     else:
         hashes = np.zeros(0, np.uint64)
@@ -249,12 +253,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def scores(model: Model, spark):
     """A function of a text column: struct(score, evidence), evidence being the nearest examples."""
-    sent = spark.sparkContext.broadcast(model)
+    get = sent(spark, model)
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     @F.arrow_udf("struct<score:double,evidence:array<struct<doc_id:long,cosine:double,toxic:int>>>")
     def score(text: pa.Array) -> pa.Array:
-        own, found = sent.value, [(sent.value.empty_score, [])] * len(text)
+        own = get()
+        found = [(own.empty_score, [])] * len(text)
         for first, _, data, offsets in pieces(text):
             rows, terms, times = own.terms.counts(data, offsets)
             start = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
