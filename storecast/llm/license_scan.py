@@ -1,12 +1,15 @@
 """License notices in texts: MinHash bands over overlapping windows, then exact containment.
 
-A template of w words is looked for in windows of about w words that start
-every few words, so one window always covers a notice whole. A window's
-MinHash values are minima over its five-word shingles; their bands are looked
-up among the templates' own. For a notice that holds 0.8 of a template's
-shingles, the similarity of window and template has a lower bound, and the
-number of bands follows from it: a notice is missed with a probability of at
-most MISS. What the bands retrieve is then compared word by word.
+A notice may hold 0.8 of a template's five-word shingles. Words put in between
+them break four shingles at least, so a template that may miss four is looked
+for in windows of twice its words, any other in windows of its own length;
+windows start every few words, so one covers a notice of that length whole. A
+window's MinHash values are minima over its shingles; their bands are looked
+up among the templates' own. From the window's length follows the least
+similarity of window and template, and from that the number of bands: a notice
+is missed with a probability of at most MISS. Windows without a shingle of any
+template share no minimum with one and are not hashed further. What the bands
+retrieve is then compared word by word.
 
 Templates are a parameter; each adds a fixed cost, and they are sent with the
 code. Texts are scanned where they lie, without a shuffle.
@@ -38,6 +41,8 @@ TEMPLATES: Mapping[str, str] = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 SHINGLE, CONTAINMENT, ROWS, MISS, SEED = 5, 0.8, 2, 1e-4, 11
+#: The longest notice of a template that may hold inserted words, as a multiple of the template.
+STRETCH = 2
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 TOP = np.uint64(2**64 - 1)
 
@@ -59,10 +64,16 @@ def shingle_hashes(word: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mixed(h)
 
 
+def longest(n_words: int) -> int:
+    """Words of the longest notice looked for: shingles on both sides of an insertion are kept only if those across it may be missing."""
+    own = max(1, n_words - SHINGLE + 1)
+    return STRETCH * n_words if own - math.ceil(CONTAINMENT * own - 1e-9) >= SHINGLE - 1 else n_words
+
+
 def plan(n_words: int) -> tuple[int, int, int]:
     """Words of a window, words from one to the next, and bands, for a template of so many words."""
     step = max(1, n_words // 16)
-    size = n_words + step - 1
+    size = longest(n_words) + step - 1
     own, theirs = max(1, n_words - SHINGLE + 1), max(1, size - SHINGLE + 1)
     shared = math.ceil(CONTAINMENT * own - 1e-9)
     least = shared / (own + theirs - shared)
@@ -70,6 +81,45 @@ def plan(n_words: int) -> tuple[int, int, int]:
     return size, step, bands
 
 
+def covered(at: np.ndarray, before: int, after: int, n: int) -> np.ndarray:
+    """Which of n positions are at most ``before`` ahead of one of ``at``, or at most ``after`` behind it."""
+    edges = np.zeros(n + 1, np.int64)
+    np.add.at(edges, np.maximum(at - before, 0), 1)
+    np.add.at(edges, np.minimum(at + after + 1, n), -1)
+    return np.cumsum(edges[:-1]) > 0
+
+
+def notices(at: list[int], shingle: list, need: int, size: int, length: int) -> Iterator[tuple[int, int, int]]:
+    """(first word, end word, distinct shingles) of stretches of at most ``size`` words with ``need`` shingles of ``length`` words.
+
+    Of stretches that begin within one, the one with the most shingles, then
+    the shortest, then the first; they do not overlap.
+    """
+    begin = 0
+    while begin < len(at):
+        held: dict = {}
+        left, best, limit = begin, None, None
+        for right in range(begin, len(at)):
+            held[shingle[right]] = held.get(shingle[right], 0) + 1
+            while at[right] + length - at[left] > size or held[shingle[left]] > 1:
+                held[shingle[left]] -= 1
+                if not held[shingle[left]]:
+                    del held[shingle[left]]
+                left += 1
+            if limit is not None and at[left] >= limit:
+                break
+            if len(held) >= need:
+                limit = at[right] + length if limit is None else limit
+                found = (len(held), at[left] - at[right], -left, right)
+                best = found if best is None or found[:3] > best[:3] else best
+        if best is None:
+            return
+        first, end = at[-best[2]], at[best[3]] + length
+        yield first, end, best[0]
+        while begin < len(at) and at[begin] < end:
+            begin += 1
+
+
 def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
     """Minima of every window of ``size``; what lies past the end counts as largest."""
     x, done = np.concatenate([x, np.full(size, TOP)]), 1
@@ -92,16 +142,21 @@ class Scanner:
                 self.by_length.setdefault(len(own), []).append(k)
         most = max((plan(n)[2] for n in self.by_length), default=0) * ROWS
         self.factors = rng.integers(0, 2**63, most, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.keys = {}
+        self.keys, self.known, self.maybe = {}, {}, {}
         for n, of in self.by_length.items():
             found: dict[int, list[int]] = {}
+            known = []
             for k in of:
                 data = np.frombuffer(b" ".join(self.words[k]), np.uint8)
                 start, end, _ = words(data, np.array([0, len(data)]), word_mask(data))
                 h = shingle_hashes(run_hash(prefix_sums(data), start, end), min(SHINGLE, n))
+                known.append(h)
                 for band in range(plan(n)[2]):
                     found.setdefault(int(self.band(h, band, lambda x: x.min()[None])[0]), []).append(k)
             self.keys[n] = (np.array(sorted(found), np.uint64), found)
+            self.known[n] = np.unique(np.concatenate(known))
+            self.maybe[n] = np.zeros(1 << 16, bool)
+            self.maybe[n][(self.known[n] & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def band(self, h: np.ndarray, band: int, least) -> np.ndarray:
         """A band's value from the minima that ``least`` takes of the permuted hashes."""
@@ -113,18 +168,27 @@ class Scanner:
 
     def candidates(self, word: np.ndarray) -> Iterator[tuple[int, int]]:
         """(template, first word of a window) of every collision."""
+        hashes = {length: shingle_hashes(word, length) for length in {min(SHINGLE, n) for n in self.by_length}}
+        low = {length: (h & np.uint64(0xFFFF)).astype(np.int64) for length, h in hashes.items()}
         for n in self.by_length:
             size, step, bands = plan(n)
-            h, (keys, found) = shingle_hashes(word, min(SHINGLE, n)), self.keys[n]
-            if not len(h):
+            length = min(SHINGLE, n)
+            h, (keys, found) = hashes[length], self.keys[n]
+            some = np.flatnonzero(self.maybe[n][low[length]])
+            some = some[np.isin(h[some], self.known[n])]
+            if not len(some):
                 continue
-            width = max(1, size - min(SHINGLE, n) + 1)
+            width = max(1, size - length + 1)
+            # Whole windows around the templates' shingles, side by side; one that runs over a seam begins too far from a shingle.
+            near = np.flatnonzero(covered(some, width - 1, width - 1, len(h)))
+            starts = np.flatnonzero(covered(some, width - 1, 0, len(h))[near] & (near % step == 0))
+            h = h[near]
             for band in range(bands):
-                value = self.band(h, band, lambda x, width=width, step=step, m=len(h): sliding_min(x, width)[:m:step])
+                value = self.band(h, band, lambda x, width=width, starts=starts, m=len(h): sliding_min(x, width)[:m][starts])
                 at = np.minimum(np.searchsorted(keys, value), len(keys) - 1)
                 for i in np.flatnonzero(keys[at] == value).tolist():
                     for k in found[int(value[i])]:
-                        yield k, i * step
+                        yield k, int(near[starts[i]])
 
     def scan(self, data: np.ndarray, offsets: np.ndarray) -> dict[int, list[dict]]:
         """By row: the notices with their bytes and the share of the template's shingles they hold."""
@@ -134,24 +198,21 @@ class Scanner:
             return {}
         hashes = run_hash(prefix_sums(low), start, end)
         raw, out = low.tobytes(), {}
+        of: dict[int, list[int]] = {}
         for k, first in sorted(set(self.candidates(hashes))):
-            size, mine = plan(len(self.words[k]))[0], self.shingles[k]
-            # A window at the seam of two texts is looked at in the one and in the other.
-            for r in {int(row[first]), int(row[min(first + size, len(row)) - 1])}:
-                s, e = max(first, int(np.searchsorted(row, r))), min(first + size, int(np.searchsorted(row, r, "right")))
-                own = [raw[start[i] : end[i]] for i in range(s, e)]
-                at = [i for i in range(len(own)) if tuple(own[i : i + min(SHINGLE, len(self.words[k]))]) in mine]
-                share = len({tuple(own[i : i + min(SHINGLE, len(self.words[k]))]) for i in at}) / len(mine)
-                if share < CONTAINMENT:
-                    continue
-                hit = {"license": self.names[k], "start": int(start[s + at[0]] - offsets[r]), "end": int(end[min(e, s + at[-1] + min(SHINGLE, len(self.words[k]))) - 1] - offsets[r]), "containment": share}
-                before = out.setdefault(r, [])
-                last = before[-1] if before and before[-1]["license"] == hit["license"] else None
-                if last and hit["start"] < last["end"]:  # another window of the same notice
-                    if share > last["containment"]:
-                        before[-1] = hit
-                else:
-                    before.append(hit)
+            of.setdefault(k, []).append(first)
+        for k, firsts in of.items():
+            n, mine = len(self.words[k]), self.shingles[k]
+            size, length, need = plan(n)[0], min(SHINGLE, n), math.ceil(CONTAINMENT * len(mine) - 1e-9)
+            at = np.flatnonzero(covered(np.array(firsts), 0, size - 1, len(row)))
+            # Runs of words of one text; a window at the seam of texts is looked at in each.
+            for run in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(row[at]) > 0)) + 1):
+                own = [raw[start[i] : end[i]] for i in run.tolist()]
+                tuples = [tuple(own[i : i + length]) for i in range(len(own))]
+                hit = [i for i, x in enumerate(tuples) if x in mine]
+                r, base = int(row[run[0]]), int(run[0])
+                for first, last, held in notices(hit, [tuples[i] for i in hit], need, longest(n), length):
+                    out.setdefault(r, []).append({"license": self.names[k], "start": int(start[base + first] - offsets[r]), "end": int(end[base + last - 1] - offsets[r]), "containment": held / len(mine)})
         return out
 
 
@@ -162,9 +223,10 @@ def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """Per row of ``docs``: doc_id, n_matches, licenses, matches (license, start and end byte, containment).
 
     Words are runs of letters and digits, A-Z in lower case. A notice matches
-    when a window holds 0.8 of the template's five-word shingles; a template of
-    fewer words must be there whole. Overlapping windows of one notice give the
-    best, the first of equals. ``licenses`` lists the names once, in order. A
+    when a stretch of text, at most as long as the template, or twice as long where
+    inserted words leave 0.8 whole, holds 0.8 of the template's five-word
+    shingles; a template of fewer words must be there whole. Overlapping
+    stretches of one notice give the best, the shortest and first of equals. ``licenses`` lists the names once, in order. A
     null or empty text has no matches; rows that repeat an id are scanned each;
     an empty table gives an empty result. An empty template matches nothing.
     """

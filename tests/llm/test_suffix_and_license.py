@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from storecast.llm.license_scan import TEMPLATES, license_matches
+from storecast.llm.license_scan import CONTAINMENT, TEMPLATES, WORD, Scanner, license_matches, longest, notices, shingles
 from storecast.llm.suffix_dedup import Queues, repeats_removed, suffix_order
 
 
@@ -92,3 +92,48 @@ def test_licenses(spark):
     assert [got[k].licenses for k in (20, 21, 22, 23, 24, 25, 26)] == ["MIT", "", "", "", "MIT text", "", ""]
     assert got[27].n_matches == 2
     assert license_matches(docs.limit(0)).count() == 0
+
+
+def test_licenses_with_inserted_words(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use'
+    filler = "lorem ipsum dolor sit amet consetetur " * 30
+    apache = TEMPLATES["Apache-2.0 header"].replace("you may", "as we said in the notes of this release you may")
+    rows = [(1, mit), (2, f"{filler} {mit} {filler}"), (3, "x"), (4, apache), (5, f"{mit} {mit}")]
+    got = {r.doc_id: r for r in license_matches(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)).collect()}
+    assert [got[k].licenses for k in range(1, 6)] == ["MIT text", "MIT text", "", "Apache-2.0", "MIT text"]
+    assert got[1].matches[0].containment == 19 / 23 and got[5].n_matches == 2
+    m = got[2].matches[0]
+    assert rows[1][1][m.start : m.end] == mit[: mit.index(", including")]
+
+
+def test_licenses_equal_brute_force():
+    rng = np.random.default_rng(5)
+    scanner, texts = Scanner(TEMPLATES), []
+    for _ in range(300):
+        own = list(map(str, rng.integers(0, 50, rng.integers(0, 60))))
+        for name in rng.choice(sorted(TEMPLATES), rng.integers(0, 3)):
+            notice = TEMPLATES[name].split()
+            for _ in range(rng.integers(0, 3)):
+                cut = int(rng.integers(0, len(notice)))
+                notice[cut : cut + int(rng.integers(0, 2))] = ["more"] * int(rng.integers(0, 15))
+            cut = int(rng.integers(0, len(own) + 1))
+            own[cut:cut] = notice
+        texts.append(" ".join(own).encode())
+    offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    got = scanner.scan(np.frombuffer(b"".join(texts), np.uint8), offsets)
+    found = 0
+    for r, text in enumerate(texts):
+        words, want = WORD.findall(text.lower()), set()
+        for name in TEMPLATES:
+            template = WORD.findall(TEMPLATES[name].lower().encode())
+            mine, size = shingles(template), longest(len(template))
+            best = max((len(mine & {tuple(words[j : j + min(5, len(template))]) for j in range(i, min(len(words), i + size) - min(5, len(template)) + 1)}) for i in range(len(words))), default=0)
+            if best / len(mine) >= CONTAINMENT:
+                want.add(name)
+        assert {m["license"] for m in got.get(r, [])} == want, r
+        found += len(want)
+    assert found > 100
+
+
+def test_notices_do_not_overlap():
+    assert list(notices([0, 1, 2, 3, 7, 8], list("abcdab"), 2, 9, 2)) == [(0, 5, 4), (7, 10, 2)]
