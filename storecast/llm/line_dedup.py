@@ -24,12 +24,12 @@ MIN_DOCS, MIN_CHARS = 10, 1
 
 
 def _keys(min_chars: int):
-    """Arrow batches of (doc_id, text) to a row per document and distinct line key, with the lines that have it."""
+    """Arrow batches of (doc_id, t1, t2, text) to a row per document and distinct line key, with the lines that have it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, hashes, where = [], [], []
-            for row, (doc, text) in enumerate(zip(batch.column(0), batch.column(1).to_pylist(), strict=True)):
+            for row, (doc, text) in enumerate(zip(batch.column(0), batch.column(3).to_pylist(), strict=True)):
                 seen: dict[bytes, list[int]] = {}
                 for k, line in enumerate((text or b"").lower().split(b"\n")):
                     key = line.strip(SPACE)
@@ -39,9 +39,10 @@ def _keys(min_chars: int):
                 hashes.extend(map(xxhash.xxh3_128_digest, seen))
                 where.extend(seen.values())
             both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
+            rows = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(ids, pa.int64())), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(where, pa.list_(pa.int32()))],
-                ["doc_id", "h1", "h2", "lines"],
+                [*(batch.column(k).take(rows) for k in range(3)), pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(where, pa.list_(pa.int32()))],
+                ["doc_id", "t1", "t2", "h1", "h2", "lines"],
             )
 
     return run
@@ -64,16 +65,19 @@ def common_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     A line's key is the line without whitespace at its ends, A-Z in lower case.
     Keys of at least ``min_chars`` code points in at least ``min_docs``
-    documents lose all their lines. Documents are told apart by id: rows that
-    repeat an id are one document in the counts and lose the lines of either.
-    A null id is a document of its own. A null or empty text is one empty line,
+    documents lose all their lines. Rows that repeat an id are one document in
+    the counts; a null id is a document of its own. Each row loses lines of its
+    own text only. A null or empty text is one empty line,
     which is never dropped. Keys are compared by 128-bit hash.
     """
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    keys = written(texts.mapInArrow(_keys(min_chars), "doc_id long, h1 long, h2 long, lines array<int>"), "line-keys")
-    repeated = not texts.groupBy("doc_id").count().filter("count > 1").isEmpty()
-    counted = keys.select("doc_id", "h1", "h2").distinct() if repeated else keys
+    text = F.col(text_col).cast("binary")
+    # An id may be null or stand for several texts: a row is known by its id and 128 bits of its text.
+    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), text).alias("t2"), text.alias("text"))
+    keys = written(texts.mapInArrow(_keys(min_chars), "doc_id long, t1 long, t2 long, h1 long, h2 long, lines array<int>"), "line-keys")
+    counted = keys.select("doc_id", "h1", "h2")
+    if not texts.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        counted = counted.filter("doc_id is not null").distinct().unionByName(counted.filter("doc_id is null"))
     hot = written(counted.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h1", "h2"), "common-lines")
-    lost = keys.join(hot, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_list("lines").alias("lines"))
-    both = texts.join(lost.withColumnRenamed("doc_id", "lost_id"), F.col("doc_id").eqNullSafe(F.col("lost_id")), "left")
+    lost = keys.join(hot, ["h1", "h2"]).groupBy(F.col("doc_id").alias("lost_id"), F.col("t1").alias("l1"), F.col("t2").alias("l2")).agg(F.collect_set("lines").alias("lines"))
+    both = texts.join(lost, F.col("doc_id").eqNullSafe(F.col("lost_id")) & (F.col("t1") == F.col("l1")) & (F.col("t2") == F.col("l2")), "left")
     return both.select("doc_id", _without("text", "lines").alias("x")).select("doc_id", "x.n_lines", "x.n_dropped", "x.kept")

@@ -67,3 +67,12 @@ def test_vectors_without_ids_take_no_part(spark):
     df = spark.createDataFrame([(None, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (2, None, None), (3, [3.0, 1.0], 2)], "vec_id long, embedding array<float>, score int")
     got = sorted((r.query_id, r["rank"], r.vec_id) for r in top_k(df, df, 5).collect())
     assert got == [(1, 1, 3), (3, 1, 1), (3, 2, 1)]
+
+
+def test_lines_are_lost_by_row_not_by_id(spark):
+    rows = [(None, "own 1\nshared\nown 2"), (None, "shared\nown 3\nown 4"), (None, "own 5"), (None, None), (7, "shared\nown 6"), (7, "own 7\nown 8\nshared"), (7, "twice"), (7, "twice"), (8, "own 9")]
+    out = common_lines_dropped(spark.createDataFrame(rows, "doc_id long, text string"), min_docs=3)
+    got = sorted((r.doc_id or 0, r.n_lines, r.n_dropped, r.kept) for r in out.collect())
+    assert got == sorted([(0, 3, 1, "own 1\nown 2"), (0, 3, 1, "own 3\nown 4"), (0, 1, 0, "own 5"), (0, 1, 0, ""), (7, 2, 1, "own 6"), (7, 3, 1, "own 7\nown 8"), (7, 1, 0, "twice"), (7, 1, 0, "twice"), (8, 1, 0, "own 9")])
+    many = spark.createDataFrame([(None, f"common\nown {k}") for k in range(10)], "doc_id long, text string")
+    assert sorted(r.kept for r in common_lines_dropped(many).collect()) == [f"own {k}" for k in range(10)]
