@@ -393,23 +393,31 @@ def q_sample(spark, d):
     return quality.sample(open_panel(spark, d).select("Store", "Date", "Sales"), 5000)
 
 
+def least_cell(rows: DataFrame, n_segments: int, min_days: int, most: int) -> int:
+    """Stores a cell must have, by one rule for tables of any size: the operator's own number, or an even share of the stores with a long history where that is smaller."""
+    long = profiles.long_history(profiles.profiles(rows), min_days).count()
+    return max(1, min(most, long // n_segments))
+
+
 def q_store_segments(spark, d):
-    """Cells merged and clustered: no SQL; the least sizes shrink with the number of stores."""
-    rows = open_panel(spark, d)
-    stores = store_facts(spark, d).count()
-    return segments.segmenter(rows, 4 if stores >= 60 else 2, 300, 5 if stores >= 60 else 1).assignment
+    """Cells merged and clustered: no SQL."""
+    from .jobs.forecaster import Forecaster
+
+    own, rows = Forecaster(), open_panel(spark, d)
+    return segments.segmenter(rows, own.n_segments, own.min_days, least_cell(rows, own.n_segments, own.min_days, own.min_cell_stores)).assignment
 
 
 def q_forecast(spark, d):
-    """The newest window forecast by one small model per segment, with intervals."""
+    """The newest window forecast by the forecaster's own models, trees counted on the inner window, with intervals."""
     from .jobs.forecaster import Forecaster
 
     train_end, start = window_start(spark, d)
     rows = panel(spark, d)
     past, future = rows.filter(F.col("Date") <= F.lit(train_end)), rows.filter(F.col("Date") >= F.lit(start))
-    enough = store_facts(spark, d).count() >= 60
-    model = Forecaster(params={"maxDepth": 4, "stepSize": 0.3}, n_segments=4 if enough else 2, min_days=300, min_cell_stores=5 if enough else 1)
-    model.fit(past.filter("Open = 1 and Sales > 0"), past, fixed_rounds=3)
+    train = past.filter("Open = 1 and Sales > 0")
+    model = Forecaster()
+    model.min_cell_stores = least_cell(train, model.n_segments, model.min_days, model.min_cell_stores)
+    model.fit(train, past)
     return model.predict(future.drop("Sales", "Customers"), interval=True, strict=False).select("Store", "Date", "Open", "prediction", "low", "high")
 
 

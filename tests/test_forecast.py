@@ -92,3 +92,20 @@ def test_weeks_come_out_when_complete(spark, tmp_path):
     q.stop()
     got = {r.week: (r.rows, round(r.rmspe, 6), r.above_threshold) for r in spark.table("weeks").collect()}
     assert got[dt.date(2014, 6, 2)] == (7, 0.1, True) and got[dt.date(2014, 6, 9)] == (7, 0.0, False)
+
+
+def test_registered_forecast_counts_its_trees(spark, sf_dir, monkeypatch):
+    from storecast import queries
+    from storecast.jobs import forecaster
+
+    asked = []
+
+    def fit(self, train, calendar, **options):
+        asked.append((self.params, self.n_segments, self.min_days, options))
+        raise InterruptedError
+
+    monkeypatch.setattr(forecaster.Forecaster, "fit", fit)
+    with pytest.raises(InterruptedError):
+        queries.q_forecast(spark, sf_dir)
+    assert asked == [({}, 4, 365, {})]
+    assert {r.segment for r in queries.q_store_segments(spark, sf_dir).collect()} == {1, 2, 3, 4}
