@@ -2,12 +2,14 @@
 
 Features are words and the first three to eight bytes of words (inflected
 forms share a stem), lower-cased, split at everything that is neither a letter
-nor a digit. Those that go with the label by a chi-squared test on the
-examples make the vocabulary; the inverse document frequencies are counted
-over all documents. The examples' vectors stand in an inverted index whose
-postings lie in blocks with the largest weight of each term; a query visits
-blocks by falling bound and stops when no bound exceeds the kth best cosine.
-The votes of the neighbours, weighted by cosine, are calibrated by isotonic
+nor a digit. All features of the examples make the vocabulary. The inverse
+document frequencies are counted over all documents; a feature's is multiplied
+by one plus its chi-squared statistic with the label on the examples, so none is
+left out, and without any association the weights are plain TF-IDF. The
+examples' vectors stand in an inverted index whose postings lie in blocks with
+the largest weight of each term; a query reads its terms by falling bound and
+stops when the blocks' bounds on the other terms leave so few examples among the
+possible k best that their cosines are taken in full at less cost. The votes of the neighbours, weighted by cosine, are calibrated by isotonic
 regression on the examples themselves, each left out of its own vote.
 
 The classifier is fitted on at most MAX_EXAMPLES labelled documents, chosen by
@@ -18,76 +20,66 @@ depend on the text alone.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .store import dropped, sent, written
 from .text import lowered, mixed, pieces, prefix_sums, run_hash, words
 
-MAX_EXAMPLES, MAX_TERMS = 10_000, 512
-MIN_TOXIC, MIN_CHI2 = 8, 60.0
+MAX_EXAMPLES = 10_000
 PREFIXES = range(3, 9)
 NEIGHBOURS, BLOCK, SMOOTHING, EVIDENCE = 15, 64, 0.05, 3
 
 
-def _features(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(row, feature hash) of every word and of each of its beginnings, one array per kind."""
+def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, word, times) of the distinct words by row; the words' feature hashes, one row per kind, and which of them exist."""
     low = lowered(data)
-    word = (low >= 128) | ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57))
-    start, end, row = words(low, offsets, word)
+    letter = (low >= 128) | ((low >= 97) & (low <= 122)) | ((low >= 48) & (low <= 57))
+    start, end, row = words(low, offsets, letter)
     sums = prefix_sums(low)
-    yield row, run_hash(sums, start, end)
+    whole, first, word = np.unique(run_hash(sums, start, end), return_index=True, return_inverse=True)
+    start, end = start[first], end[first]
+    both, times = np.unique(row * max(1, len(whole)) + word, return_counts=True)
+    kinds, exist = [whole], [np.ones(len(whole), bool)]
     for k in PREFIXES:
         long = end - start >= k
-        yield row[long], mixed(run_hash(sums, start[long], start[long] + k) + np.uint64(k))
+        kinds.append(np.zeros(len(whole), np.uint64))
+        kinds[-1][long] = mixed(run_hash(sums, start[long], start[long] + k) + np.uint64(k))
+        exist.append(long)
+    return both // max(1, len(whole)), both % max(1, len(whole)), times, np.array(kinds), np.array(exist)
 
 
-def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, toxic) to (feature, documents, toxic documents), one row per feature and piece."""
-    for batch in batches:
-        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        for first, end, data, offsets in pieces(batch.column(0)):
-            rows, features = (np.concatenate(x) for x in zip(*_features(data, offsets), strict=True))
-            order = np.lexsort((rows, features))
-            rows, features = rows[order], features[order]
-            new = np.concatenate([[True], (features[1:] != features[:-1]) | (rows[1:] != rows[:-1])]) if len(rows) else np.zeros(0, bool)
-            rows, features = rows[new], features[new]
-            start = np.flatnonzero(np.concatenate([[True], features[1:] != features[:-1]])) if len(rows) else np.zeros(0, np.int64)
-            if len(start):
-                n = np.diff(start, append=len(rows))
-                yield pa.RecordBatch.from_arrays([pa.array(features[start].view(np.int64)), pa.array(n.astype(np.int64)), pa.array(np.add.reduceat(toxic[first:end][rows], start))], ["feature", "n", "n_toxic"])
+def _added(rows: np.ndarray, terms: np.ndarray, times: np.ndarray, n_terms: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, term, times) with equal pairs added up, by row and term."""
+    if not len(rows):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    both = rows * n_terms + terms
+    order = np.argsort(both)
+    both = both[order]
+    start = np.flatnonzero(np.concatenate([[True], both[1:] != both[:-1]]))
+    return both[start] // n_terms, both[start] % n_terms, np.add.reduceat(times[order], start)
 
 
 @dataclass
 class Terms:
-    """The vocabulary: sorted feature hashes, with a table that rules most others out at once."""
+    """The vocabulary: sorted feature hashes."""
 
     hashes: np.ndarray
-    maybe: np.ndarray = field(init=False)
-
-    def __post_init__(self):
-        self.maybe = np.zeros(1 << 16, bool)
-        self.maybe[(self.hashes & np.uint64(0xFFFF)).astype(np.int64)] = True
 
     def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(row, term, times) of the vocabulary's terms, by row."""
-        rows, terms = [], []
-        if len(self.hashes):
-            for row, h in _features(data, offsets):
-                some = np.flatnonzero(self.maybe[(h & np.uint64(0xFFFF)).astype(np.int64)])
-                h, row = h[some], row[some]
-                at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-                hit = self.hashes[at] == h
-                rows.append(row[hit])
-                terms.append(at[hit])
-        if not rows:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        both, times = np.unique(np.concatenate(rows) * len(self.hashes) + np.concatenate(terms), return_counts=True)
-        return both // len(self.hashes), both % len(self.hashes), times
+        if not len(self.hashes) or not len(data):
+            return _added(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 1)
+        row, word, times, features, exist = _features(data, offsets)
+        at = np.minimum(np.searchsorted(self.hashes, features), len(self.hashes) - 1)
+        hit = (exist & (self.hashes[at] == features))[:, word]
+        kind, pair = np.nonzero(hit)
+        return _added(row[pair], at[kind, word[pair]], times[pair], len(self.hashes))
 
 
 def _document_counts(terms: Terms):
@@ -99,62 +91,94 @@ def _document_counts(terms: Terms):
             n += len(batch)
             for _, _, data, offsets in pieces(batch.column(0)):
                 seen += np.bincount(terms.counts(data, offsets)[1], minlength=len(seen))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(seen))), pa.array(np.concatenate([[n], seen]))], ["term", "n"])
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[n], seen[some]]))], ["term", "n"])
 
     return run
 
 
-def _term_lists(terms: Terms):
-    """(doc_id, text, toxic) to (doc_id, toxic, terms, times)."""
+def _feature_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, toxic) to (doc_id, toxic, features, times)."""
+    for batch in batches:
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(batch)
+        for first, _, data, offsets in pieces(batch.column(1)):
+            if not len(data):
+                continue
+            row, word, times, features, exist = _features(data, offsets)
+            known, at = np.unique(features, return_inverse=True)
+            kind, pair = np.nonzero(exist[:, word])
+            rows, terms, times = _added(row[pair], at.reshape(features.shape)[kind, word[pair]], times[pair], max(1, len(known)))
+            start = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
+            for s, e in zip(start, [*start[1:], len(rows)], strict=False):
+                out[first + int(rows[s])] = known[terms[s:e]].view(np.int64), times[s:e].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in out], pa.list_(pa.int64())), pa.array([x[1] for x in out], pa.list_(pa.int32()))], ["doc_id", "toxic", "features", "times"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[list] = [[[], []] for _ in range(len(batch))]
-            for first, _, data, offsets in pieces(batch.column(1)):
-                for row, term, times in zip(*terms.counts(data, offsets), strict=True):
-                    out[first + row][0].append(int(term))
-                    out[first + row][1].append(int(times))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([x[0] for x in out], pa.list_(pa.int32())), pa.array([x[1] for x in out], pa.list_(pa.int32()))], ["doc_id", "toxic", "terms", "times"])
 
-    return run
+def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all the ranges, one after another, and the lengths."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
 
 
 class BlockMaxIndex:
-    """Unit vectors by term, the postings in blocks with their largest weight."""
+    """Unit vectors by term, the postings in blocks of owners with their largest weight; and by owner."""
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block, self.n_blocks = len(vectors), block, -(-len(vectors) // block)
-        owner = np.repeat(np.arange(self.n), [len(t) for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
-        term = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        n = [len(t) for t, _ in vectors]
+        self.first = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), n)
+        self.term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.lexsort((owner, term))
-        self.owner, self.weight, term = owner[order], weight[order], term[order]
-        cell = term * max(1, self.n_blocks) + self.owner // block
-        self.ends = np.searchsorted(cell, np.arange(n_terms * max(1, self.n_blocks) + 1))
-        self.most = np.zeros(n_terms * max(1, self.n_blocks))
-        np.maximum.at(self.most, cell, self.weight)
-        self.most = self.most.reshape(n_terms, -1)
+        order = np.argsort(self.term, kind="stable").astype(np.int32)
+        self.owner, self.weight, term = owner[order], weight[order], self.term[order]
+        self.at = np.empty(len(order), np.int32)  # where a posting by owner stands by term
+        self.at[order] = np.arange(len(order), dtype=np.int32)
+        self.ends = np.searchsorted(term, np.arange(n_terms + 1, dtype=np.int32))
+        where = self.owner // block
+        new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (where[1:] != where[:-1])])) if len(term) else np.zeros(0, np.int64)
+        self.cell_block, self.cell_ends = where[new], np.searchsorted(term[new], np.arange(n_terms + 1, dtype=np.int32))
+        self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
+        self.top = np.zeros(n_terms)
+        np.maximum.at(self.top, term[new], self.most)
+        self.query = np.zeros(n_terms)
+
+    def _bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        cells, n = _ranges(self.cell_ends[terms], self.cell_ends[terms + 1])
+        return np.bincount(self.cell_block[cells], self.most[cells] * np.repeat(weights, n), self.n_blocks)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k largest positive cosines, ties to the smaller number."""
         if not self.n or not len(terms):
             return np.zeros(0, np.int64), np.zeros(0)
-        bound = weights @ self.most[terms] + 1e-12
-        ids, cosines, floor = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 1e-12 or (len(ids) == k and bound[b] < floor):
-                break
-            score = np.zeros(self.block)
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                s, e = self.ends[t * self.n_blocks + b], self.ends[t * self.n_blocks + b + 1]
-                if e > s:
-                    score[self.owner[s:e] - b * self.block] += w * self.weight[s:e]
-            some = np.flatnonzero(score > 0)
-            ids, cosines = np.concatenate([ids, some + b * self.block]), np.concatenate([cosines, score[some]])
-            best = np.lexsort((ids, -np.round(cosines, 12)))[:k]
-            ids, cosines = ids[best], cosines[best]
-            floor = cosines[-1] if len(ids) == k else 0.0
-        return ids, cosines
+        order = np.argsort(-weights * self.top[terms], kind="stable")
+        terms, weights = terms[order], weights[order]
+        score, rest = np.zeros(self.n), self._bounds(terms, weights)
+        done, step = 0, 16
+        ids = np.arange(self.n)
+        while done < len(terms):
+            t, w = terms[done : done + step], weights[done : done + step]
+            posts, n = _ranges(self.ends[t], self.ends[t + 1])
+            score += np.bincount(self.owner[posts], self.weight[posts] * np.repeat(w, n), self.n)
+            done, step = done + step, step * 2
+            rest -= self._bounds(t, w)
+            if self.n > k:
+                floor = np.partition(score, self.n - k)[self.n - k] - 1e-9
+                ids = np.flatnonzero((score >= floor) | (score + np.repeat(np.maximum(rest, 0), self.block)[: self.n] >= floor))
+                left = terms[done:]
+                if (self.first[ids + 1] - self.first[ids]).sum() < (self.ends[left + 1] - self.ends[left]).sum():
+                    break  # their vectors are fewer numbers than the postings that are left
+        if done < len(terms):  # those that are left, in full
+            self.query[terms] = weights
+            posts, n = _ranges(self.first[ids], self.first[ids + 1])
+            cosines = np.bincount(np.repeat(np.arange(len(ids)), n), self.weight[self.at[posts]] * self.query[self.term[posts]], len(ids))
+            self.query[terms] = 0
+        else:
+            cosines = score[ids]
+        some = cosines > 0
+        ids, cosines = ids[some], cosines[some]
+        best = np.lexsort((ids, -np.round(cosines, 12)))[:k]
+        return ids[best], cosines[best]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -218,25 +242,33 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     n, n_toxic = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
     prior = (n_toxic + 0.5) / (n + 1) if n else 0.0
     rate = n_toxic / n if n else 0.0
-    if 0 < rate < 1:
-        counts = examples.select("text", "toxic").mapInArrow(_feature_counts, "feature long, n long, n_toxic long").groupBy("feature").agg(F.sum("n").alias("n"), F.sum("n_toxic").alias("n_toxic"))
-        usual = F.col("n") * F.lit(rate)
-        chi2 = F.pow(F.col("n_toxic") - usual, F.lit(2)) / usual / (1 - rate) * F.lit(n) / (F.lit(n) - F.col("n") + 0.5)
-        best = counts.filter((F.col("n_toxic") >= MIN_TOXIC) & (F.col("n_toxic") > usual)).withColumn("chi2", chi2).filter(F.col("chi2") >= MIN_CHI2).orderBy(F.desc("chi2"), "feature").limit(MAX_TERMS)
-        hashes = np.sort(np.array([r[0] for r in best.select("feature").collect()], np.int64).view(np.uint64))
-    else:
-        hashes = np.zeros(0, np.uint64)
-    terms = Terms(hashes)
-    seen = dict(texts.select("text").mapInArrow(_document_counts(terms), "term long, n long").groupBy("term").agg(F.sum("n")).collect()) if len(hashes) else {}
-    idf = np.log((1 + seen.get(-1, 0)) / (1 + np.array([seen.get(t, 0) for t in range(len(hashes))], float))) + 1
-    rows = examples.mapInArrow(_term_lists(terms), "doc_id long, toxic int, terms array<int>, times array<int>")
-    # max_examples rows at most, each of up to MAX_TERMS terms.
-    rows = sorted(rows.collect(), key=lambda r: (r["terms"], r["doc_id"]))
+    # max_examples rows at most.
+    rows = examples.mapInArrow(_feature_lists, "doc_id long, toxic int, features array<long>, times array<int>").toArrow()
     dropped(examples)
-    full = [r for r in rows if r["terms"]]
-    none = [r["toxic"] for r in rows if not r["terms"]]
-    model = Model(terms, idf, np.array([r["doc_id"] for r in full], np.int64), np.array([r["toxic"] for r in full], np.int64), None, prior, (sum(none) + prior) / (len(none) + 1), (np.zeros(0), np.zeros(0)))
-    vectors = [model.vector(np.array(r["terms"]), np.array(r["times"])) for r in full]
+    toxic, ids = rows["toxic"].to_numpy().astype(np.int64), rows["doc_id"].to_numpy()
+    size = pc.list_value_length(rows["features"]).to_numpy().astype(np.int64)
+    times = pc.list_flatten(rows["times"]).to_numpy()
+    features = pc.list_flatten(rows["features"]).to_numpy().view(np.uint64)
+    del rows
+    hashes = np.unique(features)
+    term = np.searchsorted(hashes, features).astype(np.int32)
+    del features
+    terms = Terms(hashes)
+    seen = texts.select("text").mapInArrow(_document_counts(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow() if len(hashes) else None
+    frequency = np.zeros(len(hashes) + 1)  # the last, term -1, is the number of documents
+    if seen is not None:
+        frequency[seen["term"].to_numpy()] = seen["n"].to_numpy()
+    idf = np.log((1 + frequency[-1]) / (1 + frequency[:-1])) + 1
+    if 0 < rate < 1:
+        held = np.bincount(term, minlength=len(hashes))
+        usual = held * rate
+        idf *= 1 + (np.bincount(term, np.repeat(toxic, size), len(hashes)) - usual) ** 2 / usual / (1 - rate) * n / (n - held + 0.5)
+    full = np.argsort(ids, kind="stable")
+    full = full[size[full] > 0]
+    none = toxic[size == 0].tolist()
+    model = Model(terms, idf, ids[full], toxic[full], None, prior, (sum(none) + prior) / (len(none) + 1), (np.zeros(0), np.zeros(0)))
+    start = np.concatenate([[0], np.cumsum(size)])
+    vectors = [model.vector(term[start[i] : start[i + 1]], times[start[i] : start[i + 1]]) for i in full.tolist()]
     model.index = BlockMaxIndex(vectors, max(1, len(hashes)))
     votes = []
     for k, v in enumerate(vectors):  # each example's vote without itself

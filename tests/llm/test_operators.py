@@ -1,6 +1,7 @@
 """Mixing, packing, toxicity and top-k against brute force or held-out rows."""
 
 import math
+import zlib
 
 import numpy as np
 
@@ -110,6 +111,16 @@ def test_toxicity_on_held_out_rows(spark):
     assert scored(odd, labels.limit(0)).count() == 3 and scored(odd.limit(0), labels).count() == 0
 
 
+def test_toxicity_from_few_labels_at_any_share(spark):
+    learnt = [i for i in range(200) if zlib.crc32(str(i).encode()) % 5][:40]
+    docs = spark.createDataFrame([(i, f"{'vile' if k % 2 else 'kind'} w{k} w{k + 1}") for k, i in enumerate(learnt)] + [(1000, "vile"), (1001, "kind"), (1002, "w7"), (1003, "w39")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(learnt)], "doc_id long, toxic int")
+    got = {r.doc_id: r for r in scored(docs, labels).filter("doc_id >= 1000").collect()}
+    assert (got[1000].predicted, got[1001].predicted) == (1, 0)
+    # A word of two examples is a term like any other.
+    assert {e.doc_id for e in got[1002].evidence} == {learnt[6], learnt[7]} and {e.doc_id for e in got[1003].evidence} == {learnt[38], learnt[39]}
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(3)
     vectors = [rng.normal(size=8).astype(np.float32).tolist() for _ in range(400)]
