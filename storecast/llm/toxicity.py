@@ -1,25 +1,26 @@
 """Toxicity by the nearest labelled examples under exact TF-IDF cosine.
 
-Features are words and the first three to eight bytes of words (inflected
-forms share a stem), lower-cased, split at everything that is neither a letter
-nor a digit. All features of the examples make the vocabulary. The inverse
-document frequencies are counted over all documents; a feature's is multiplied
-by one plus its chi-squared statistic with the label on the examples, so none is
-left out, and without any association the weights are plain TF-IDF. The
-examples' vectors stand in an inverted index whose postings lie in blocks with
-the largest weight of each term; a query reads its terms by falling bound and
-stops when the blocks' bounds on the other terms leave so few examples among the
-possible k best that their cosines are taken in full at less cost. The votes of the neighbours, weighted by cosine, are calibrated by isotonic
+Features are words and the first four bytes of words (inflected forms share a
+stem), lower-cased, split at everything that is neither a letter nor a digit.
+All features of the examples make the vocabulary. The inverse document
+frequencies are counted over all documents; a feature's is multiplied by the
+root of one plus its chi-squared statistic with the label on the examples, so
+none is left out, and without any association the weights are plain TF-IDF.
+The examples' vectors stand in an inverted index whose postings lie in blocks
+with the largest weight of each term; a query reads the common terms' lists
+first, and of the others only blocks that their bounds leave in reach of the k
+best.
+The votes of the neighbours, weighted by cosine, are calibrated by isotonic
 regression on the examples themselves, each left out of its own vote.
 
 The classifier is fitted on at most MAX_EXAMPLES labelled documents, chosen by
-a hash of their id, so the index that is broadcast has a fixed bound. Scores
-depend on the text alone.
+a hash of their id, so the index that is broadcast has a fixed bound: that of
+the features of so many texts. Scores depend on the text alone.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +32,10 @@ from pyspark.sql import functions as F
 from .store import dropped, sent, written
 from .text import lowered, mixed, pieces, prefix_sums, run_hash, words
 
-MAX_EXAMPLES = 10_000
-PREFIXES = range(3, 9)
+MAX_EXAMPLES = 4_000
+PREFIXES = (4,)
 NEIGHBOURS, BLOCK, SMOOTHING, EVIDENCE = 15, 64, 0.05, 3
+DENSE, QUERIES_AT_ONCE = 16, 64
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -82,10 +84,11 @@ class Terms:
         return _added(row[pair], at[kind, word[pair]], times[pair], len(self.hashes))
 
 
-def _document_counts(terms: Terms):
+def _document_counts(get: Callable[[], Terms]):
     """Texts to (term, documents), one row per term and task, and the number of documents as term -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = get()
         n, seen = 0, np.zeros(len(terms.hashes), np.int64)
         for batch in batches:
             n += len(batch)
@@ -121,64 +124,71 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 class BlockMaxIndex:
-    """Unit vectors by term, the postings in blocks of owners with their largest weight; and by owner."""
+    """Unit vectors by term, the postings in blocks of owners with their largest weight.
+
+    Terms that more than a DENSE-th of the owners have are lists without gaps,
+    a matrix that is read for many queries at once; the other terms' postings
+    lie by block, and are read only in blocks that can hold one of the k best.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
         self.n, self.block, self.n_blocks = len(vectors), block, -(-len(vectors) // block)
-        n = [len(t) for t, _ in vectors]
-        self.first = np.concatenate([[0], np.cumsum(n, dtype=np.int64)])
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), n)
-        self.term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
+        term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
         weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
-        order = np.argsort(self.term, kind="stable").astype(np.int32)
-        self.owner, self.weight, term = owner[order], weight[order], self.term[order]
-        self.at = np.empty(len(order), np.int32)  # where a posting by owner stands by term
-        self.at[order] = np.arange(len(order), dtype=np.int32)
-        self.ends = np.searchsorted(term, np.arange(n_terms + 1, dtype=np.int32))
+        dense = np.bincount(term, minlength=n_terms) * DENSE > self.n
+        self.column = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.matrix = np.zeros((int(dense.sum()), self.n_blocks * block))
+        full = dense[term]
+        self.matrix[self.column[term[full]], owner[full]] = weight[full]
+        order = np.flatnonzero(~full)
+        order = order[np.argsort(term[order], kind="stable")]
+        self.owner, self.weight, term = owner[order], weight[order], term[order]
+        # A cell is the postings of a term in a block.
         where = self.owner // block
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (where[1:] != where[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.cell_block, self.cell_ends = where[new], np.searchsorted(term[new], np.arange(n_terms + 1, dtype=np.int32))
+        self.cell_block, self.cell_start, self.cell_end = where[new], new, np.append(new[1:], len(term))
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.top = np.zeros(n_terms)
-        np.maximum.at(self.top, term[new], self.most)
-        self.query = np.zeros(n_terms)
-
-    def _bounds(self, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        cells, n = _ranges(self.cell_ends[terms], self.cell_ends[terms + 1])
-        return np.bincount(self.cell_block[cells], self.most[cells] * np.repeat(weights, n), self.n_blocks)
+        self.cells = np.searchsorted(term[new], np.arange(n_terms + 1, dtype=np.int32))
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k largest positive cosines, ties to the smaller number."""
-        if not self.n or not len(terms):
-            return np.zeros(0, np.int64), np.zeros(0)
-        order = np.argsort(-weights * self.top[terms], kind="stable")
-        terms, weights = terms[order], weights[order]
-        score, rest = np.zeros(self.n), self._bounds(terms, weights)
-        done, step = 0, 16
-        ids = np.arange(self.n)
-        while done < len(terms):
-            t, w = terms[done : done + step], weights[done : done + step]
-            posts, n = _ranges(self.ends[t], self.ends[t + 1])
-            score += np.bincount(self.owner[posts], self.weight[posts] * np.repeat(w, n), self.n)
-            done, step = done + step, step * 2
-            rest -= self._bounds(t, w)
+        return next(self.nearest_of(np.array([0]), terms, weights, k))
+
+    def nearest_of(self, start: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """:meth:`nearest` for each of several queries, the terms of which begin at ``start``."""
+        ends = np.append(start, len(terms))
+        column = self.column[terms]
+        for first in range(0, len(start), QUERIES_AT_ONCE):
+            part = ends[first : first + QUERIES_AT_ONCE + 1]
+            inside = slice(part[0], part[-1])
+            query, dense = np.repeat(np.arange(len(part) - 1), np.diff(part)), column[inside] >= 0
+            wanted = np.zeros((len(part) - 1, len(self.matrix)))
+            wanted[query[dense], column[inside][dense]] = weights[inside][dense]
+            scores = wanted @ self.matrix
+            for q in range(len(part) - 1):
+                own = slice(part[q], part[q + 1])
+                light = column[own] < 0
+                yield self._best(scores[q], terms[own][light], weights[own][light], k)
+
+    def _best(self, score: np.ndarray, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """The k best of the dense terms' scores with the other terms' added."""
+        cells, n = _ranges(self.cells[terms], self.cells[terms + 1])
+        if len(cells):
+            weight, block = np.repeat(weights, n), self.cell_block[cells]
             if self.n > k:
-                floor = np.partition(score, self.n - k)[self.n - k] - 1e-9
-                ids = np.flatnonzero((score >= floor) | (score + np.repeat(np.maximum(rest, 0), self.block)[: self.n] >= floor))
-                left = terms[done:]
-                if (self.first[ids + 1] - self.first[ids]).sum() < (self.ends[left + 1] - self.ends[left]).sum():
-                    break  # their vectors are fewer numbers than the postings that are left
-        if done < len(terms):  # those that are left, in full
-            self.query[terms] = weights
-            posts, n = _ranges(self.first[ids], self.first[ids + 1])
-            cosines = np.bincount(np.repeat(np.arange(len(ids)), n), self.weight[self.at[posts]] * self.query[self.term[posts]], len(ids))
-            self.query[terms] = 0
-        else:
-            cosines = score[ids]
-        some = cosines > 0
-        ids, cosines = ids[some], cosines[some]
-        best = np.lexsort((ids, -np.round(cosines, 12)))[:k]
-        return ids[best], cosines[best]
+                # What a block can still reach against what k owners have already.
+                reach = score.reshape(-1, self.block).max(1) + np.bincount(block, self.most[cells] * weight, self.n_blocks)
+                alive = (reach >= np.partition(score[: self.n], self.n - k)[self.n - k] - 1e-9)[block]
+                cells, weight = cells[alive], weight[alive]
+            posts, n = _ranges(self.cell_start[cells], self.cell_end[cells])
+            score += np.bincount(self.owner[posts], self.weight[posts] * np.repeat(weight, n), len(score))
+        score = np.round(score[: self.n], 12)
+        ids = np.flatnonzero(score > 0)
+        if len(ids) > k:
+            ids = ids[score[ids] >= np.partition(score[ids], len(ids) - k)[len(ids) - k]]
+        ids = ids[np.lexsort((ids, -score[ids]))[:k]]
+        return ids, score[ids]
 
 
 def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -204,7 +214,8 @@ class Model:
     index: BlockMaxIndex
     prior: float
     empty_score: float
-    knots: tuple[np.ndarray, np.ndarray]
+    knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
+    get: Callable[[], Model] | None = None  # the model in tasks, but for its knots
 
     def vector(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         w = (1 + np.log(times)) * self.idf[terms]
@@ -217,10 +228,13 @@ class Model:
         fitted = float(np.interp(vote, *self.knots)) if len(self.knots[0]) else vote
         return min(1.0, max(0.0, 0.9 * fitted + 0.1 * vote))
 
-    def score(self, terms: np.ndarray, times: np.ndarray) -> tuple[float, list]:
-        if not len(terms):
-            return self.empty_score, []
-        ids, cosines = self.index.nearest(*self.vector(terms, times), NEIGHBOURS)
+    def neighbours(self, start: np.ndarray, terms: np.ndarray, times: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of texts whose terms begin at ``start``."""
+        w = (1 + np.log(times)) * self.idf[terms]
+        norm = np.sqrt(np.add.reduceat(w * w, start)) if len(start) else np.zeros(0)
+        return self.index.nearest_of(start, terms, w / np.repeat(norm, np.diff(np.append(start, len(terms)))), k)
+
+    def score(self, ids: np.ndarray, cosines: np.ndarray) -> tuple[float, list]:
         if not len(ids):
             return self.empty_score, []
         near = [{"doc_id": int(self.ids[i]), "cosine": float(c), "toxic": int(self.toxic[i])} for i, c in zip(ids[:EVIDENCE], cosines[:EVIDENCE], strict=True)]
@@ -232,20 +246,46 @@ def learnable(id_col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
+def _own_votes(get: Callable[[], Model]):
+    """The examples (doc_id, text) to their numbers in the index and the votes of the others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = get()
+        for batch in batches:
+            number, votes = np.searchsorted(model.ids, batch.column(0).to_numpy()), []
+            for first, _, data, offsets in pieces(batch.column(1)):
+                rows, terms, times = model.terms.counts(data, offsets)
+                start = np.flatnonzero(np.diff(rows, prepend=-1))
+                for k, (ids, cosines) in zip(number[first + rows[start]].tolist(), model.neighbours(start, terms, times, NEIGHBOURS + 1), strict=True):
+                    other = ids != k
+                    votes.append((k, model.vote(ids[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS])))
+            yield pa.RecordBatch.from_arrays([pa.array([v[0] for v in votes], pa.int64()), pa.array([v[1] for v in votes], pa.float64())], ["number", "vote"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_examples: int = MAX_EXAMPLES) -> Model:
-    """A model from the labels (doc_id, toxic) of the learnable documents; without any, every score is the prior."""
+    """A model from the labels (doc_id, toxic) of the learnable documents; without any, every score is the prior.
+
+    One example per text: its id is the smallest, and it is toxic if any of
+    its documents is.
+    """
+    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     given = labels.select(F.col("doc_id").cast("long").alias("of"), F.col("toxic").cast("int").alias("toxic")).filter("of is not null and toxic in (0, 1)").filter(learnable("of"))
     chosen = given.groupBy("of").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("of"), "of").limit(max_examples)
     # At most max_examples rows of 12 bytes: a broadcast of proven size.
-    examples = written(texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).dropDuplicates(["text"]).select("doc_id", "text", "toxic"), "examples")
-    n, n_toxic = examples.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()
-    prior = (n_toxic + 0.5) / (n + 1) if n else 0.0
-    rate = n_toxic / n if n else 0.0
+    examples = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
+    # Rows that repeat an id with other texts: the one with the smallest text.
+    examples = written(examples.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("x")).select("doc_id", "x.text", "x.toxic"), "examples")
     # max_examples rows at most.
     rows = examples.mapInArrow(_feature_lists, "doc_id long, toxic int, features array<long>, times array<int>").toArrow()
-    dropped(examples)
-    toxic, ids = rows["toxic"].to_numpy().astype(np.int64), rows["doc_id"].to_numpy()
+    ids = rows["doc_id"].to_numpy()
+    order = np.argsort(ids)
+    rows, ids = rows.take(order), ids[order]
+    toxic = rows["toxic"].to_numpy().astype(np.int64)
+    n, n_toxic = len(ids), int(toxic.sum())
+    prior, rate = ((n_toxic + 0.5) / (n + 1), n_toxic / n) if n else (0.0, 0.0)
     size = pc.list_value_length(rows["features"]).to_numpy().astype(np.int64)
     times = pc.list_flatten(rows["times"]).to_numpy()
     features = pc.list_flatten(rows["features"]).to_numpy().view(np.uint64)
@@ -254,7 +294,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     term = np.searchsorted(hashes, features).astype(np.int32)
     del features
     terms = Terms(hashes)
-    seen = texts.select("text").mapInArrow(_document_counts(terms), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow() if len(hashes) else None
+    seen = texts.select("text").mapInArrow(_document_counts(sent(spark, terms)), "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow() if len(hashes) else None
     frequency = np.zeros(len(hashes) + 1)  # the last, term -1, is the number of documents
     if seen is not None:
         frequency[seen["term"].to_numpy()] = seen["n"].to_numpy()
@@ -262,37 +302,36 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if 0 < rate < 1:
         held = np.bincount(term, minlength=len(hashes))
         usual = held * rate
-        idf *= 1 + (np.bincount(term, np.repeat(toxic, size), len(hashes)) - usual) ** 2 / usual / (1 - rate) * n / (n - held + 0.5)
-    full = np.argsort(ids, kind="stable")
-    full = full[size[full] > 0]
+        idf *= np.sqrt(1 + (np.bincount(term, np.repeat(toxic, size), len(hashes)) - usual) ** 2 / usual / (1 - rate) * n / (n - held + 0.5))
+    full = np.flatnonzero(size)
     none = toxic[size == 0].tolist()
-    model = Model(terms, idf, ids[full], toxic[full], None, prior, (sum(none) + prior) / (len(none) + 1), (np.zeros(0), np.zeros(0)))
+    model = Model(terms, idf, ids[full], toxic[full], None, prior, (sum(none) + prior) / (len(none) + 1))
     start = np.concatenate([[0], np.cumsum(size)])
-    vectors = [model.vector(term[start[i] : start[i + 1]], times[start[i] : start[i + 1]]) for i in full.tolist()]
-    model.index = BlockMaxIndex(vectors, max(1, len(hashes)))
-    votes = []
-    for k, v in enumerate(vectors):  # each example's vote without itself
-        ids, cosines = model.index.nearest(*v, NEIGHBOURS + 1)
-        other = ids != k
-        votes.append(model.vote(ids[other][:NEIGHBOURS], cosines[other][:NEIGHBOURS]))
-    model.knots = isotonic(np.array(votes), model.toxic.astype(float)) if votes else model.knots
+    model.index = BlockMaxIndex([model.vector(term[start[i] : start[i + 1]], times[start[i] : start[i + 1]]) for i in full.tolist()], max(1, len(hashes)))
+    model.get = sent(spark, model)
+    if len(full):
+        # One number for each of max_examples rows.
+        votes = examples.select("doc_id", "text").mapInArrow(_own_votes(model.get), "number long, vote double").toArrow()
+        model.knots = isotonic(votes["vote"].to_numpy(), model.toxic[votes["number"].to_numpy()].astype(float))
+    dropped(examples)
     return model
 
 
-def scores(model: Model, spark):
+def scores(model: Model):
     """A function of a text column: struct(score, evidence), evidence being the nearest examples."""
-    get = sent(spark, model)
+    get, knots = model.get, model.knots
     evidence = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64()), ("toxic", pa.int32())]))
 
     @F.arrow_udf("struct<score:double,evidence:array<struct<doc_id:long,cosine:double,toxic:int>>>")
     def score(text: pa.Array) -> pa.Array:
         own = get()
+        own.knots = knots
         found = [(own.empty_score, [])] * len(text)
         for first, _, data, offsets in pieces(text):
             rows, terms, times = own.terms.counts(data, offsets)
-            start = np.flatnonzero(np.diff(rows, prepend=-1)).tolist()
-            for s, e in zip(start, [*start[1:], len(rows)], strict=False):
-                found[first + int(rows[s])] = own.score(terms[s:e], times[s:e])
+            start = np.flatnonzero(np.diff(rows, prepend=-1))
+            for k, near in zip((first + rows[start]).tolist(), own.neighbours(start, terms, times, NEIGHBOURS), strict=True):
+                found[k] = own.score(*near)
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], evidence)], ["score", "evidence"])
 
     return lambda text: score(F.col(text).cast("binary"))
@@ -303,9 +342,10 @@ def scored(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     A null or empty text, or one without a term of the vocabulary, gets the
     rate of such examples. Labels other than 0 and 1 are ignored; of several
-    for a document the larger counts; rows that repeat a text are one example.
+    for a document the larger counts; rows that repeat a text are one example,
+    toxic if any is. Texts of any length are scored whole, word by word.
     Empty tables: empty result, or the prior, zero without labels, for all.
     """
-    score = scores(fit(docs, labels, id_col, text_col), docs.sparkSession)
+    score = scores(fit(docs, labels, id_col, text_col))
     out = docs.select(F.col(id_col).cast("long").alias("doc_id"), score(text_col).alias("x"))
     return out.select("doc_id", (~learnable()).alias("held_out"), "x.score", (F.col("x.score") >= 0.5).cast("int").alias("predicted"), "x.evidence")
