@@ -25,7 +25,7 @@ def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score of 0.5 or more go."""
-    score = scores(fit(docs, table(spark, sf_dir, "labels")), spark)
+    score = scores(fit(docs, table(spark, sf_dir, "labels")))
     return docs.filter(score("text").getField("score") < 0.5)
 
 
