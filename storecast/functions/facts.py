@@ -62,6 +62,14 @@ def relative_error(actual: str = "Sales", predicted: str = "prediction") -> Colu
     return (F.col(predicted) - F.col(actual)) / F.col(actual)
 
 
+def closure_flags() -> dict[str, Column]:
+    """Flags that may overlap, for rows with closure columns: closed next to it, a holiday within a day, any of these."""
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    after, before = flag(F.col("open_yesterday") == 0), flag(F.col("open_tomorrow") == 0)
+    near = flag((F.col("days_to_next_holiday") <= 1) | (F.col("days_since_last_holiday") <= 1))
+    return {"after_closed": after, "before_closed": before, "near_holiday": near, "any_flag": after | before | near}
+
+
 def closure_label() -> Column:
     """What a closed neighbour explains; the day before wins over the day after."""
     return F.when(F.col("open_yesterday") == 0, "after a closed day").when(F.col("open_tomorrow") == 0, "before a closed day").otherwise("a normal day")

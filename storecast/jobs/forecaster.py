@@ -6,15 +6,20 @@ import json
 from dataclasses import dataclass, field
 from datetime import date
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.baseline import median_rule
 from ..operators.calendar import check_neighbours, compact, extended
 from ..operators.features import Features, Statistics, statistics
-from ..operators.monitor import interval_ratios, with_interval
+from ..operators.metrics import rmspe
+from ..operators.monitor import interval_quantiles, sales_ratios, with_interval
 from ..operators.segments import Segmenter, segmenter
+from ..schema import HORIZON
 from .model import SalesModel, inner_split
 
 
@@ -25,52 +30,69 @@ class Forecaster:
     n_segments: int = 4
     min_days: int = 365
     min_cell_stores: int = 15
-    tail: float = 0.1
+    parallelism: int = 4
+    options: dict = field(default_factory=dict)
     features: Features | None = None
     segments: Segmenter | None = None
     models: dict[int, list[SalesModel]] = field(default_factory=dict)
     ratios: DataFrame | None = None
     card: dict = field(default_factory=dict)
 
+    def _fit_segment(self, frame: DataFrame, segment: int) -> tuple[list[SalesModel], DataFrame] | None:
+        """The segment's models by seed, and its last days scored by the first seed's model that did not see them."""
+        rows = frame.filter(F.col("segment") == segment)
+        if rows.isEmpty():
+            return None
+        first = SalesModel(self.features.names, self.params, self.seeds[0], **self.options).fit(rows, watch=True)
+        later = {**self.options, "fixed_rounds": first.rounds, "refit": True}
+        more = [SalesModel(self.features.names, self.params, seed, **later).fit(rows) for seed in self.seeds[1:]]
+        _, new = inner_split(rows, first.inner_days)
+        return [first, *more], first.predict(new, model=first.watched).select("segment", "Sales", "prediction")
+
     def fit(self, train: DataFrame, calendar: DataFrame, **model_options) -> Forecaster:
-        """From open days and the calendar with closed ones. Each segment is a distributed fit of its own; no segment goes to one task."""
+        """From open days and the calendar with closed ones.
+
+        Each segment is a distributed fit of its own, ``parallelism`` of them at
+        a time; no segment goes to one task. ``model_options`` are those of
+        :class:`SalesModel`.
+        """
+        self.options = model_options
         self.features = Features(statistics(train), compact(calendar))
         self.segments = segmenter(train, self.n_segments, self.min_days, self.min_cell_stores)
         frame = self.segments.transform(self.features.transform(train)).persist()
-        scored = []
-        for s in range(1, self.n_segments + 1):
-            rows = frame.filter(F.col("segment") == s)
-            if rows.isEmpty():
-                continue
-            first = SalesModel(self.features.names, self.params, self.seeds[0], **model_options).fit(rows)
-            more = [SalesModel(self.features.names, self.params, seed, fixed_rounds=first.rounds, **{k: v for k, v in model_options.items() if k != "fixed_rounds"}).fit(rows) for seed in self.seeds[1:]]
-            old, new = inner_split(rows)
-            watched = SalesModel(self.features.names, self.params, self.seeds[0], fixed_rounds=first.rounds).fit(old)
-            scored.append(watched.predict(new).select("segment", "Sales", "prediction"))
-            self.models[s] = [first, *more]
-        self.ratios = interval_ratios(reduce(DataFrame.unionByName, scored), self.tail).persist()
+        numbers = range(1, self.n_segments + 1)
+        pool = ThreadPool(min(self.parallelism, self.n_segments))
+        try:
+            found = pool.map(inheritable_thread_target(train.sparkSession)(lambda s: self._fit_segment(frame, s)), numbers)
+        finally:
+            pool.close()
+        fitted = {s: x for s, x in zip(numbers, found, strict=True) if x}
+        self.models = {s: models for s, (models, _) in fitted.items()}
+        self.ratios = sales_ratios(reduce(DataFrame.unionByName, [scored for _, scored in fitted.values()])).persist()
         self.ratios.count()
         low, high, n, stores = frame.agg(F.min("Date"), F.max("Date"), F.count("*"), F.count_distinct("Store")).first()
         self.card = {
             "train_start": str(low), "train_end": str(high), "train_rows": n, "stores": stores, "features": self.features.names, "seeds": self.seeds, "params": self.params,
-            "trees_per_segment": {s: m[0].rounds for s, m in self.models.items()}, "interval_source": "last days of training", "tail": self.tail,
+            "trees_per_segment": {s: m[0].rounds for s, m in self.models.items()}, "interval_source": "last days of training", "model_options": self.options,
             "stores_per_segment": {r["segment"]: r["count"] for r in self.segments.assignment.groupBy("segment").count().collect()},
         }
         frame.unpersist()
         return self
 
-    def predict(self, rows: DataFrame, planned: DataFrame | None = None, interval: bool = False, strict: bool = True) -> DataFrame:
-        """The request with a prediction (zero on closed days), and low and high with ``interval``.
+    def predict(self, rows: DataFrame, planned: DataFrame | None = None, interval: float | None = None, strict: bool = True) -> DataFrame:
+        """The request with a prediction (zero on closed days), and with ``interval`` the low and high that held that share of the last days of training.
 
-        ``planned`` are the days to come of the request's stores; without it the request itself is the plan.
+        ``planned`` are the days to come of the request's stores; without it
+        the request itself is the plan. A row in neither calendar nor plan is
+        an error, and unless ``strict`` is off one without a day before too.
         """
         if not self.models:
             raise ValueError("fit the forecaster first")
         known = self.features.calendar
-        whole = extended(known, planned if planned is not None else rows)
+        whole = extended(known, planned if planned is not None else rows, request=rows)
         if strict:
             check_neighbours(rows, whole, date.fromisoformat(self.card["train_end"]))
-        built = Features(self.features.learned, whole, self.features.easter).transform(rows)
+        built = Features(self.features.learned, whole, self.features.easter).transform(rows, validate=planned is not None)
         parts = []
         frame = self.segments.transform(built)
         for s, models in self.models.items():
@@ -80,7 +102,7 @@ class Forecaster:
             mean = sum((F.col(f"p_{k}") for k in range(len(models))), F.lit(0.0)) / len(models)
             parts.append(out.withColumn("prediction", F.when(F.col("Open") == 0, 0.0).otherwise(mean)))
         scored = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-        scored = with_interval(scored, self.ratios) if interval else scored
+        scored = with_interval(scored, interval_quantiles(self.ratios, (1 - interval) / 2)) if interval else scored
         own = [*rows.columns, "prediction", *(["low", "high"] if interval else [])]
         return scored.select(*own)
 
@@ -103,24 +125,21 @@ class Forecaster:
         card = json.loads(spark.read.text(f"{path}/card").first().value)
         read = lambda n: spark.read.parquet(f"{path}/{n}")
         learned = Statistics(read("by_store"), read("by_weekday"), read("uplift"), **card["scalars"])
-        out = cls(seeds=card["seeds"], params=card["params"], tail=card["tail"], card=card, ratios=read("ratios"))
+        out = cls(seeds=card["seeds"], params=card["params"], options=card["model_options"], card=card, ratios=read("ratios"))
         out.features = Features(learned, read("calendar"))
         out.segments = Segmenter(read("assignment"), card["default_segment"])
         for s, trees in card["trees_per_segment"].items():
-            out.models[int(s)] = [SalesModel(card["features"], rounds=trees, model=GBTRegressionModel.load(f"{path}/model-{s}-{k}")) for k in range(card["n_models"])]
+            out.models[int(s)] = [SalesModel(card["features"], card["params"], seed, **{**out.options, "fixed_rounds": trees}, rounds=trees, model=GBTRegressionModel.load(f"{path}/model-{s}-{k}")) for k, seed in enumerate(out.seeds)]
         return out
 
 
 def rank_settings(train: DataFrame, features: list[str], settings: dict[str, dict], **options) -> DataFrame:
-    """Settings by their score on the inner window, best first."""
-    from ..operators.metrics import rmspe
-
-    old, new = inner_split(train)
+    """Settings by their score on the inner window, best first. For a segment's ranking give its rows."""
+    _, new = inner_split(train, options.get("inner_days", HORIZON))
     rows = []
     for name, params in settings.items():
-        model = SalesModel(features, params, refit=False, **options).fit(train)
-        watched = SalesModel(features, params, fixed_rounds=model.rounds, **options).fit(old)
-        rows.append((name, model.rounds, rmspe(watched.predict(new))))
+        model = SalesModel(features, params, **{**options, "refit": False}).fit(train)
+        rows.append((name, model.rounds, rmspe(model.predict(new))))
     return train.sparkSession.createDataFrame(rows, "setting string, trees int, rmspe double").orderBy("rmspe", "setting")
 
 
@@ -132,3 +151,17 @@ def feature_arms(train: DataFrame, valid: DataFrame, arms: dict[str, list[str]],
             out = SalesModel(names, params, seed, **options).fit(train).predict(valid)
             parts.append(out.select("Store", "Date", "Sales", "prediction", F.lit(arm).alias("arm"), F.lit(seed).alias("seed")))
     return reduce(DataFrame.unionByName, parts)
+
+
+def global_and_segmented(forecaster: Forecaster, train: DataFrame, valid: DataFrame, **options) -> DataFrame:
+    """The validation rows with the fitted forecaster's prediction and, as pred_global, that of one model of all segments' rows."""
+    features = forecaster.features
+    whole = SalesModel(features.names, forecaster.params, forecaster.seeds[0], **options).fit(features.transform(train))
+    both = whole.predict(features.transform(valid), "pred_global").select("Store", "Date", "pred_global")
+    return forecaster.predict(valid, strict=False).join(both, ["Store", "Date"])
+
+
+def overfit_check(forecaster: Forecaster, train: DataFrame, hidden: DataFrame) -> DataFrame:
+    """Two rows, train and hidden: the forecaster's score and the median rule's, both learnt from ``train``."""
+    rows = [(name, rmspe(forecaster.predict(part, strict=False)), rmspe(median_rule(train, part, store_level=False))) for name, part in (("train", train), ("hidden", hidden))]
+    return train.sparkSession.createDataFrame(rows, "days string, model double, median_rule double")

@@ -8,13 +8,12 @@ from datetime import timedelta
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.facts import from_log, log_target
 from ..schema import HORIZON
 
-DEFAULTS = {"stepSize": 0.05, "maxDepth": 8, "minInstancesPerNode": 5, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.8", "maxIter": 600}
+DEFAULTS = {"stepSize": 0.05, "maxDepth": 8, "minInstancesPerNode": 5, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.8", "maxIter": 2000}
 PATIENCE = 50
 
 
@@ -39,10 +38,15 @@ def best_round(errors: list[float], patience: int = PATIENCE) -> int:
     return best + 1
 
 
-def exact_metric_weight(by: str | None = None):
-    """1 / Sales squared at mean one (within ``by``): with it, squared error on raw sales is the squared relative error."""
-    w = 1 / F.pow(F.col("Sales"), 2)
-    return w / F.avg(w).over(W.partitionBy(by) if by else W.partitionBy())
+def exact_metric_weight(rows: DataFrame, by: str | None = None, name: str = "weight") -> DataFrame:
+    """The rows with sales and 1 / Sales squared at mean one (within ``by``): with it, squared error on raw sales is the squared relative error.
+
+    The means are aggregated and joined back, one row per level of ``by``.
+    """
+    sold = rows.filter("Sales > 0").withColumn(name, 1 / (F.col("Sales") * F.col("Sales")).cast("double"))
+    level = F.col(by) if by else F.lit(1)
+    means = sold.groupBy(level.alias("_level")).agg(F.avg(name).alias("_mean"))
+    return sold.join(means, level == F.col("_level")).withColumn(name, F.col(name) / F.col("_mean")).drop("_level", "_mean")
 
 
 @dataclass
@@ -58,6 +62,7 @@ class SalesModel:
     refit: bool = True
     rounds: int = 0
     model: GBTRegressionModel | None = None
+    watched: GBTRegressionModel | None = None
 
     def assembled(self, df: DataFrame) -> DataFrame:
         if missing := [c for c in self.features if c not in df.columns]:
@@ -68,28 +73,37 @@ class SalesModel:
         out = GBTRegressor(featuresCol="features", labelCol="label", predictionCol="raw", seed=self.seed, **{**DEFAULTS, **self.params, "maxIter": trees})
         return out.setWeightCol(self.weight) if self.weight else out
 
-    def fit(self, train: DataFrame) -> SalesModel:
-        """Trees are counted on the last days, then all rows are fitted with that number, unless it is fixed or ``refit`` is off."""
+    def _counted(self, old: DataFrame, new: DataFrame) -> int:
+        """The number of trees that is best on the newer rows. Trees do not depend on how many follow, so growth stops
+        once the patience is used up: the limit doubles until then, or until ``maxIter``."""
+        most, trees = {**DEFAULTS, **self.params}["maxIter"], self.patience * 3 // 2
+        while True:
+            trees = max(1, min(trees, most))
+            best = best_round(list(self._regressor(trees).fit(old).evaluateEachIteration(new, "squared")), self.patience)
+            if trees == most or best + self.patience <= trees:
+                return best
+            trees *= 2
+
+    def fit(self, train: DataFrame, watch: bool = False) -> SalesModel:
+        """Trees are counted on the last days, then all rows are fitted with that number, unless it is fixed or ``refit`` is off.
+
+        ``watch`` (and no refit) keeps as ``watched`` the model of the older rows with that number of trees.
+        """
         rows = self.assembled(train).withColumn("label", log_target() if self.log else F.col("Sales").cast("double")).persist()
         try:
-            if self.fixed_rounds:
-                self.rounds = self.fixed_rounds
-            else:
-                old, new = inner_split(rows, self.inner_days)
-                watched = self._regressor({**DEFAULTS, **self.params}["maxIter"]).fit(old)
-                self.rounds = best_round(list(watched.evaluateEachIteration(new, "squared")), self.patience)
-                if not self.refit:
-                    self.model = watched
-                    return self
-            self.model = self._regressor(self.rounds).fit(rows)
+            old, new = (rows, rows) if self.fixed_rounds and self.refit and not watch else inner_split(rows, self.inner_days)
+            self.rounds = self.fixed_rounds or self._counted(old, new)
+            self.watched = self._regressor(self.rounds).fit(old) if watch or not self.refit else None
+            self.model = self._regressor(self.rounds).fit(rows) if self.refit else self.watched
         finally:
             rows.unpersist()
         return self
 
-    def predict(self, df: DataFrame, name: str = "prediction") -> DataFrame:
-        if self.model is None:
+    def predict(self, df: DataFrame, name: str = "prediction", model: GBTRegressionModel | None = None) -> DataFrame:
+        model = model or self.model
+        if model is None:
             raise ValueError("fit the model first")
-        raw = self.model.transform(self.assembled(df))
+        raw = model.transform(self.assembled(df))
         value = from_log("raw") if self.log else F.greatest(F.col("raw"), F.lit(0.0))
         return raw.withColumn(name, value).drop("raw", "features")
 

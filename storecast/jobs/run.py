@@ -29,6 +29,8 @@ def evaluate(spark: SparkSession, a: argparse.Namespace) -> None:
     scored = spark.read.option("header", True).csv(a.predictions, inferSchema=False)
     scored = scored.select(F.col("Store").cast("int"), F.col("Date").cast("date"), *(F.col(c).cast("double") for c in ("prediction", "low", "high") if c in scored.columns))
     both = files.with_predictions(files.read(spark, a.daily, DAILY), scored)
+    if both.filter("Sales > 0").isEmpty():
+        raise ValueError("no row has sales and a prediction")
     monitor.evaluate(both, a.threshold).coalesce(1).write.mode("overwrite").option("header", True).csv(a.out)
 
 
@@ -45,7 +47,7 @@ def main() -> None:
         parser.add_argument(f"--{name}")
     parser.add_argument("--seeds", type=int, default=1)
     parser.add_argument("--threshold", type=float)
-    parser.add_argument("--interval", action="store_true")
+    parser.add_argument("--interval", type=float, help="share of sales that low and high shall hold, such as 0.8")
     a = parser.parse_args()
     spark = SparkSession.builder.appName(f"storecast {a.job}").getOrCreate()
     globals()[a.job](spark, a)

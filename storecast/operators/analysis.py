@@ -37,6 +37,17 @@ def shares(frame: DataFrame, *cols: str) -> DataFrame:
     return groups.select(*cols, "rows", (F.col("rows") / F.sum("rows").over(every)).alias("row_share"), (F.col("total") / F.sum("total").over(every)).alias("error_share"))
 
 
+def last_rows(rows: DataFrame, n: int, *keys: str, order: str = "Date") -> DataFrame:
+    """The newest n rows of each group, numbered from the newest."""
+    place = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(order)))
+    return rows.withColumn("place", place).filter(F.col("place") <= n)
+
+
+def fold_summary(scores: DataFrame) -> DataFrame:
+    """One row from the scores by fold: mean, deviation, and the hardest fold over the easiest."""
+    return scores.agg(F.avg("rmspe").alias("mean"), F.stddev_pop("rmspe").alias("deviation"), F.try_divide(F.max("rmspe"), F.min("rmspe")).alias("hardest_to_easiest"))
+
+
 def worst_days(frame: DataFrame, k: int = 4) -> DataFrame:
     """The k days of each fold with the most squared error, and their share of the fold's."""
     days = frame.filter("Sales <> 0").groupBy("fold", "Date").agg(F.sum(squared_error()).alias("total"))

@@ -18,6 +18,14 @@ def compact(df: DataFrame) -> DataFrame:
     return df.select(F.col("Store").cast("int").alias("Store"), "Date", F.col("Open").cast("int").alias("Open"), "StateHoliday")
 
 
+def distinct_days(calendar: DataFrame) -> DataFrame:
+    """One row per store and day, dealt by store: of repeated ones, open if any is, with the largest holiday letter.
+
+    The exchange by store serves the windows that follow as well.
+    """
+    return calendar.repartition("Store").groupBy("Store", "Date").agg(F.max("Open").alias("Open"), F.max("StateHoliday").alias("StateHoliday"))
+
+
 def last_per_key(df: DataFrame, keys: list[str], priority: str) -> DataFrame:
     """Of several rows of a key the one with the highest priority."""
     first = F.row_number().over(W.partitionBy(*keys).orderBy(F.desc(priority)))
@@ -33,9 +41,15 @@ def closure(calendar: DataFrame) -> DataFrame:
     """Store, Date and six columns: neighbours open, closed days within a week, days to holidays.
 
     At the edge of the whole calendar, where days are not known, a column is -1.
-    A null StateHoliday is no holiday. Expects one row per store and day.
+    A null StateHoliday is no holiday. One row per store and day, also where the calendar repeats one.
     """
+    return around(calendar, with_reopening=False)
+
+
+def around(calendar: DataFrame, with_reopening: bool = True, closed_days: int = LONG_CLOSURE, cap: int = REOPENING_CAP) -> DataFrame:
+    """The columns of :func:`closure` and :func:`reopening` from one exchange and one sort."""
     first, last = bounds(calendar)
+    calendar = distinct_days(calendar)
     day = F.col("day")
     w = W.partitionBy("Store").orderBy("day")
     open_days = lambda a, b: F.coalesce(F.sum("Open").over(w.rangeBetween(a, b)), F.lit(0))
@@ -43,27 +57,28 @@ def closure(calendar: DataFrame) -> DataFrame:
     to_next = F.min(holiday).over(w.rangeBetween(0, HOLIDAY_CAP)) - day
     since_last = day - F.max(holiday).over(w.rangeBetween(-HOLIDAY_CAP, 0))
     unless = lambda edge, x: F.when(edge, -1).otherwise(x).cast("int")
-    return calendar.select(*CALENDAR, F.unix_date("Date").alias("day")).select(
+    rows = calendar.select(*CALENDAR, F.unix_date("Date").alias("day"))
+    newest = []
+    if with_reopening:
+        before = F.max(F.when(F.col("Open") == 1, day)).over(w.rowsBetween(W.unboundedPreceding, -1))
+        gap = day - F.coalesce(before, F.lit(first - 1)) - 1
+        rows = rows.withColumn("back", F.when((F.col("Open") == 1) & (gap >= closed_days), day))
+        back = F.max("back").over(w.rowsBetween(W.unboundedPreceding, 0))
+        newest = [F.coalesce(F.least(day - back, F.lit(cap)), F.lit(cap)).cast("int").alias("days_since_reopening")]
+    return rows.select(
         "Store", "Date",
         unless(day == first, open_days(-1, -1)).alias("open_yesterday"), unless(day == last, open_days(1, 1)).alias("open_tomorrow"),
         unless(day + 7 > last, 7 - open_days(1, 7)).alias("closed_days_next_7"), unless(day - 7 < first, 7 - open_days(-7, -1)).alias("closed_days_last_7"),
-        F.coalesce(to_next, F.lit(HOLIDAY_CAP)).cast("int").alias("days_to_next_holiday"), F.coalesce(since_last, F.lit(HOLIDAY_CAP)).cast("int").alias("days_since_last_holiday"),
+        F.coalesce(to_next, F.lit(HOLIDAY_CAP)).cast("int").alias("days_to_next_holiday"), F.coalesce(since_last, F.lit(HOLIDAY_CAP)).cast("int").alias("days_since_last_holiday"), *newest,
     )
 
 
 def reopening(calendar: DataFrame, closed_days: int = LONG_CLOSURE, cap: int = REOPENING_CAP) -> DataFrame:
     """Days since a store's newest closed stretch of at least ``closed_days`` ended, cut at the cap (also without any).
 
-    A stretch from the calendar's start counts; one up to its end has not ended.
+    A stretch from the calendar's start counts; one up to its end has not ended. Repeated days count once.
     """
-    first, _ = bounds(calendar)
-    day, is_open = F.col("day"), F.col("Open") == 1
-    w = W.partitionBy("Store").orderBy("day")
-    before = F.max(F.when(is_open, day)).over(w.rowsBetween(W.unboundedPreceding, -1))
-    gap = day - F.coalesce(before, F.lit(first - 1)) - 1
-    out = calendar.select(*CALENDAR, F.unix_date("Date").alias("day")).withColumn("back", F.when(is_open & (gap >= closed_days), day))
-    newest = F.max("back").over(w.rowsBetween(W.unboundedPreceding, 0))
-    return out.select("Store", "Date", F.coalesce(F.least(day - newest, F.lit(cap)), F.lit(cap)).cast("int").alias("days_since_reopening"))
+    return around(calendar, True, closed_days, cap).select("Store", "Date", "days_since_reopening")
 
 
 def neighbouring_rows(calendar: DataFrame) -> DataFrame:
@@ -89,11 +104,17 @@ def nearest_holiday(calendar: DataFrame, none: int = 99) -> DataFrame:
     return calendar.select(*CALENDAR, F.unix_date("Date").alias("day")).select("Store", "Date", F.coalesce(F.least(past, ahead), F.lit(none)).cast("int").alias("holiday_gap"))
 
 
-def extended(known: DataFrame, plan: DataFrame, context_days: int = HOLIDAY_CAP) -> DataFrame:
-    """The plan with what is known of its stores from ``context_days`` before it on; the plan wins."""
-    start = F.date_sub(F.lit(plan.agg(F.min("Date")).first()[0]), context_days)
-    own = compact(known).filter(F.col("Date") >= start).join(plan.select("Store").distinct(), "Store", "left_semi")
-    return own.join(plan.select("Store", "Date"), ["Store", "Date"], "left_anti").unionByName(compact(plan))
+def extended(known: DataFrame, plan: DataFrame, context_days: int = HOLIDAY_CAP, request: DataFrame | None = None) -> DataFrame:
+    """The plan with what is known of the request's stores from ``context_days`` before the first day of either on; the plan wins.
+
+    Without a request the plan is one. One row per store and day, as :func:`distinct_days` has it.
+    """
+    asked = plan.select("Store", "Date") if request is None else request.select("Store", "Date")
+    first = asked.select("Date").unionByName(plan.select("Date")).agg(F.min("Date")).first()[0]
+    own = compact(known).filter(F.col("Date") >= F.date_sub(F.lit(first), context_days)).join(asked.select("Store").distinct(), "Store", "left_semi")
+    rows = own.withColumn("_planned", F.lit(0)).unionByName(compact(plan).withColumn("_planned", F.lit(1)))
+    best = rows.groupBy("Store", "Date").agg(F.max(F.struct("_planned", "Open", "StateHoliday")).alias("x"))
+    return best.select("Store", "Date", "x.Open", "x.StateHoliday")
 
 
 def without_day_before(rows: DataFrame, calendar: DataFrame, train_end) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import calendar_parts, days_to_easter, month_columns
 from ..functions.facts import competition, dummies, promo2
 from ..schema import MIN_REOPENED_ROWS, feature_names
-from .calendar import closure, reopening
+from .calendar import around, reopening
 
 
 def store_means(train: DataFrame) -> DataFrame:
@@ -89,11 +89,9 @@ class Features:
         rows = dummies(promo2(competition(calendar_parts(df), self.learned.comp_dist_median)))
         rows = self.learned.join(rows)
         if self.calendar is not None:
-            rows = rows.join(closure(self.calendar), ["Store", "Date"], "left")
+            rows = rows.join(around(self.calendar, self.with_reopening), ["Store", "Date"], "left")
             if validate and (n := rows.filter("open_yesterday is null").count()):
                 raise ValueError(f"{n} rows are not in the calendar")
-        if self.with_reopening:
-            rows = rows.join(reopening(self.calendar), ["Store", "Date"], "left")
         if self.easter:
             rows = rows.withColumn("days_to_easter", days_to_easter())
         return month_columns(rows) if self.month else rows

@@ -12,8 +12,12 @@ from .metrics import rmspe_of
 
 
 def evaluate(scored: DataFrame, threshold: float | None = None) -> DataFrame:
-    """Rows and score of every week and of 'all'; coverage where there is an interval; whether the rounded score is above the threshold."""
-    rows = scored.filter("Sales > 0").withColumn("week", week())
+    """Rows and score of every week and of 'all'; coverage where there is an interval; whether the rounded score is above the threshold.
+
+    A row with sales but no prediction is an error when the report is computed. Without any row with sales the report is empty.
+    """
+    given = F.when(F.col("prediction").isNull() | F.isnan(F.col("prediction").cast("double")), F.raise_error(F.lit("a row with sales has no prediction")).cast("double")).otherwise(F.col("prediction"))
+    rows = scored.filter("Sales > 0").withColumns({"week": week(), "prediction": given})
     aggs = [F.count("*").alias("rows"), F.round(rmspe_of(), 4).alias("rmspe")]
     if {"low", "high"} <= set(scored.columns):
         aggs.append(F.round(F.avg(F.col("Sales").between(F.col("low"), F.col("high")).cast("int")), 4).alias("coverage"))
@@ -28,11 +32,19 @@ def alarms(report: DataFrame) -> DataFrame:
     return report.filter("week <> 'all'").withColumn("state", state)
 
 
-def interval_ratios(scored: DataFrame, tail: float = 0.1) -> DataFrame:
+def sales_ratios(scored: DataFrame) -> DataFrame:
+    """Sales over prediction by segment, a row each."""
+    return scored.filter("Sales > 0 and prediction > 0").select("segment", (F.col("Sales") / F.col("prediction")).alias("ratio"))
+
+
+def interval_quantiles(ratios: DataFrame, tail: float = 0.1) -> DataFrame:
     """By segment the quantiles of sales over prediction."""
-    rows = scored.filter("Sales > 0 and prediction > 0").withColumn("ratio", F.col("Sales") / F.col("prediction"))
     q = F.percentile("ratio", F.array(F.lit(tail), F.lit(1 - tail)))
-    return rows.groupBy("segment").agg(q[0].alias("q_low"), q[1].alias("q_high"))
+    return ratios.groupBy("segment").agg(q[0].alias("q_low"), q[1].alias("q_high"))
+
+
+def interval_ratios(scored: DataFrame, tail: float = 0.1) -> DataFrame:
+    return interval_quantiles(sales_ratios(scored), tail)
 
 
 def with_interval(scored: DataFrame, ratios: DataFrame) -> DataFrame:

@@ -137,6 +137,12 @@ SQL = {
     "q_weights": PANEL + PROFILES + CELLS + ", w AS (SELECT Store, Date, segment, 1.0 / (Sales * Sales) AS w FROM open_days JOIN assignment USING (Store) WHERE Sales > 0) SELECT Store, Date, segment, round(w / avg(w) OVER (PARTITION BY segment), 6) AS weight FROM w",
     "q_closure": PANEL + CLOSURE + " SELECT * FROM closure",
     "q_closure_labels": PANEL + SCORED + CLOSURE + f", labelled AS (SELECT *, CASE WHEN open_yesterday = 0 THEN 'after a closed day' WHEN open_tomorrow = 0 THEN 'before a closed day' ELSE 'a normal day' END AS label FROM sold JOIN closure USING (Store, Date)) SELECT label, count(*) AS rows, round(count(*) / sum(count(*)) OVER (), 6) AS row_share, round(sum(sq) / sum(sum(sq)) OVER (), 6) AS error_share FROM labelled GROUP BY label",
+    "q_closure_flags": PANEL + SCORED + CLOSURE + f""", promo_runs AS (SELECT Store, Date, Promo = 1 AND coalesce(lag(Promo) OVER ({W}), 0) <> 1 AS first_promo FROM open_days),
+flagged AS (SELECT s.*, first_promo, open_yesterday = 0 AS after_closed, open_tomorrow = 0 AS before_closed, days_to_next_holiday <= 1 OR days_since_last_holiday <= 1 AS near_holiday
+  FROM scored s JOIN closure USING (Store, Date) JOIN promo_runs USING (Store, Date)),
+long AS (SELECT *, 'after_closed' AS flag FROM flagged WHERE after_closed UNION ALL SELECT *, 'before_closed' FROM flagged WHERE before_closed UNION ALL SELECT *, 'near_holiday' FROM flagged WHERE near_holiday
+  UNION ALL SELECT *, 'any_flag' FROM flagged WHERE after_closed OR before_closed OR near_holiday)
+SELECT flag, count(*) AS rows, count(*) FILTER (WHERE DayOfWeek = 1) AS mondays, count(*) FILTER (WHERE first_promo) AS first_promo_days, round(sqrt(avg(pow((Sales - prediction) / Sales, 2)) FILTER (WHERE Sales <> 0)), 6) AS rmspe FROM long GROUP BY flag""",
     "q_reopening": PANEL + REOPENING + " SELECT * FROM reopening",
     "q_first_back": PANEL + REOPENING + ", b AS (SELECT Store, min(Date) AS back FROM reopening WHERE days_since_reopening = 0 GROUP BY 1) SELECT Store, Date, CAST(floor(date_diff('day', back, Date) / 30.0) AS INT) * 30 AS bucket FROM open_days JOIN b USING (Store)",
     "q_neighbouring_rows": PANEL + f" SELECT Store, Date, Open, lag(Open) OVER ({W}) AS open_before, lead(Open) OVER ({W}) AS open_after FROM panel",
@@ -148,6 +154,11 @@ SQL = {
     "q_learned": PANEL + SCORED + LEARNED + " SELECT Store, DayOfWeek, round(store_mean_sales, 6) AS store_mean_sales, round(store_dow_mean_sales, 6) AS store_dow_mean_sales, round(store_promo_uplift, 6) AS store_promo_uplift, round(global_mean, 6) AS global_mean, round(global_uplift, 6) AS global_uplift, comp_dist_median FROM by_day JOIN by_store USING (Store) JOIN uplift USING (Store), every",
     "q_mean_shift": PANEL + SCORED + LEARNED + REOPENING + ", back AS (SELECT r.Store, max(r.Date) AS back FROM reopening r, folds WHERE fold = 4 AND days_since_reopening = 0 AND r.Date <= (SELECT max(Date) FROM history) GROUP BY 1), enough AS (SELECT Store, back FROM history JOIN back USING (Store) WHERE Date >= back GROUP BY 1, 2 HAVING count(*) >= 60), kept AS (SELECT h.* FROM history h LEFT JOIN enough e USING (Store) WHERE back IS NULL OR Date >= back), new AS (SELECT Store, avg(Sales) AS m FROM kept GROUP BY 1) SELECT Store, round(m / store_mean_sales - 1, 6) AS shift FROM new JOIN by_store USING (Store) WHERE abs(m / store_mean_sales - 1) > 1e-6",
     "q_fixed_train": PANEL + SCORED + ", t1 AS (SELECT * FROM train WHERE fold = 1), a3 AS (SELECT Store, DayOfWeek, Promo, median(Sales) AS a3 FROM t1 GROUP BY ALL), a2 AS (SELECT Store, median(Sales) AS a2 FROM t1 GROUP BY ALL), s AS (SELECT fold, Sales, coalesce(a3, a2, (SELECT median(Sales) FROM t1)) AS p FROM scored LEFT JOIN a3 USING (Store, DayOfWeek, Promo) LEFT JOIN a2 USING (Store)) SELECT fold, round(sqrt(avg(pow((Sales - p) / Sales, 2)) FILTER (WHERE Sales <> 0)), 6) AS rmspe FROM s GROUP BY 1",
+    "q_fold_summary": PANEL + SCORED + ", f AS (SELECT sqrt(avg(sq)) AS s FROM sold GROUP BY fold) SELECT round(avg(s), 6) AS mean, round(stddev_pop(s), 6) AS deviation, round(max(s) / min(s), 6) AS hardest_to_easiest FROM f",
+    "q_ratio_size": PANEL + PROFILES + " SELECT " + ", ".join(f"round(corr({c}, mean_sales), 6) AS {c}" for c in ("promo_uplift", "school_uplift", "weekend_ratio", "season_amp", "dec_lift", "basket", "momentum")) + " FROM profiles",
+    "q_last_rows": PANEL + " SELECT Store, Date, Sales, CAST(row_number() OVER (PARTITION BY Store ORDER BY Date DESC) AS INT) AS place FROM open_days QUALIFY row_number() OVER (PARTITION BY Store ORDER BY Date DESC) <= 5",
+    "q_inner_calibration": PANEL + SCORED + ", g AS (SELECT sum(prediction / Sales) / sum(pow(prediction / Sales, 2)) AS g FROM sold WHERE fold = 3), t AS (SELECT StoreType, sum(prediction / Sales) / sum(pow(prediction / Sales, 2)) AS t FROM sold WHERE fold = 3 GROUP BY 1) SELECT round(sqrt(avg(sq)), 6) AS before, round(sqrt(avg(pow((Sales - prediction * g) / Sales, 2))), 6) AS one_factor, round(sqrt(avg(pow((Sales - prediction * coalesce(t, 1)) / Sales, 2))), 6) AS by_type FROM sold LEFT JOIN t USING (StoreType), g WHERE fold = 4",
+    "q_sample": PANEL + " SELECT Store, Date, Sales FROM open_days ORDER BY md5('0:' || Store || ':' || Date), Store, Date LIMIT 5000",
     "q_year_ago": PANEL + SCORED + ", k AS (SELECT Store, DayOfWeek, Promo, median(Sales) AS k FROM history GROUP BY ALL), s AS (SELECT n.Store, n.Date, h.Sales IS NULL AS filled, coalesce(CAST(h.Sales AS DOUBLE), k, (SELECT median(Sales) FROM history)) AS p FROM newest n LEFT JOIN history h ON h.Store = n.Store AND h.Date = n.Date - 364 LEFT JOIN k ON k.Store = n.Store AND k.DayOfWeek = n.DayOfWeek AND k.Promo = n.Promo) SELECT Store, Date, filled, round(p, 6) AS prediction FROM s",
     "q_cv_results": PANEL + SCORED + f" SELECT fold, valid_start, valid_end, count(*) AS rows, {R6(RMSPE, 'rmspe')} FROM sold JOIN folds USING (fold, valid_start) GROUP BY ALL",
     "q_compare": PANEL + SCORED + ", f AS (SELECT CAST(fold AS VARCHAR) AS fold, sqrt(avg(sq)) AS a, sqrt(avg(pow((Sales - 0.9 * prediction) / Sales, 2))) AS b FROM sold GROUP BY 1) SELECT fold, round(a, 6) AS median_rule, round(b, 6) AS lower FROM f UNION ALL SELECT 'mean', round(avg(a), 6), round(avg(b), 6) FROM f",

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .functions import dates, facts
@@ -111,9 +110,9 @@ def cell_segments(spark, d) -> DataFrame:
 
 
 def q_weights(spark, d):
-    weight = 1 / (F.col("Sales") * F.col("Sales")).cast("double")
-    rows = open_panel(spark, d).filter("Sales > 0").join(cell_segments(spark, d), "Store").withColumn("w", weight)
-    return r6(rows.select("Store", "Date", "segment", (F.col("w") / F.avg("w").over(W.partitionBy("segment"))).alias("weight")))
+    from .jobs.model import exact_metric_weight
+
+    return r6(exact_metric_weight(open_panel(spark, d).join(cell_segments(spark, d), "Store"), "segment").select("Store", "Date", "segment", "weight"))
 
 
 def q_closure(spark, d):
@@ -125,6 +124,15 @@ def q_closure_labels(spark, d):
     return r6(analysis.shares(rows, "label"))
 
 
+def q_closure_flags(spark, d):
+    """Rows and shares of flags that overlap, with how many of the flagged are Mondays and first days of a promotion."""
+    rows = scored(spark, d).join(calendar.closure(panel(spark, d)), ["Store", "Date"]).withColumns(facts.closure_flags())
+    first = calendar.promo_block(open_panel(spark, d)).filter("Promo = 1 and place = 1").select("Store", "Date", F.lit(True).alias("first_promo"))
+    rows = rows.join(first, ["Store", "Date"], "left").withColumn("flag", F.explode(F.array(*(F.when(F.col(n), F.lit(n)) for n in ("after_closed", "before_closed", "near_holiday", "any_flag")))))
+    out = rows.filter("flag is not null").groupBy("flag").agg(F.count("*").alias("rows"), F.count_if(F.col("DayOfWeek") == 1).alias("mondays"), F.count_if("first_promo").alias("first_promo_days"), rmspe_of().alias("rmspe"))
+    return r6(out)
+
+
 def q_reopening(spark, d):
     return calendar.reopening(panel(spark, d))
 
@@ -176,6 +184,10 @@ def q_fixed_train(spark, d):
     return r6(baseline.scored_folds(open_panel(spark, d), SPLIT, fixed_train=True).groupBy("fold").agg(rmspe_of().alias("rmspe")))
 
 
+def q_fold_summary(spark, d):
+    return r6(analysis.fold_summary(scored(spark, d).groupBy("fold").agg(rmspe_of().alias("rmspe"))))
+
+
 def q_year_ago(spark, d):
     rows = newest(spark, d).drop("prediction", "fold", "valid_start")
     return r6(baseline.year_ago(history(spark, d), rows).select("Store", "Date", "filled", "prediction"))
@@ -226,6 +238,16 @@ def q_correlations(spark, d):
     return r6(one.join(F.broadcast(two)))
 
 
+def q_ratio_size(spark, d):
+    """How a store's ratios go with its size."""
+    rows = profiles.profiles(open_panel(spark, d))
+    return r6(rows.agg(*(F.corr(c, "mean_sales").alias(c) for c in ("promo_uplift", "school_uplift", "weekend_ratio", "season_amp", "dec_lift", "basket", "momentum"))))
+
+
+def q_last_rows(spark, d):
+    return analysis.last_rows(open_panel(spark, d).select("Store", "Date", "Sales"), 5, "Store")
+
+
 def q_means_by(spark, d):
     c = F.col
     dims = {"weekday": c("DayOfWeek"), "month": F.month("Date"), "promo": c("Promo"), "holiday": c("StateHoliday"), "school": c("SchoolHoliday"), "type": c("StoreType"), "assortment": c("Assortment")}
@@ -254,6 +276,16 @@ def q_calibration(spark, d):
     return r6(rows.groupBy("fold").agg(rmspe_of().alias("before")).join(after, "fold"))
 
 
+def q_inner_calibration(spark, d):
+    """Factors by store type learnt on the window before, applied to the newest: what could have been known."""
+    rows = scored(spark, d).filter("Sales > 0")
+    last, new = rows.filter("fold = 3"), rows.filter("fold = 4")
+    one = monitor.recalibrated(new.withColumn("all", F.lit(1)), monitor.best_factor(last.withColumn("all", F.lit(1)), "all"), "all")
+    own = monitor.recalibrated(new, monitor.best_factor(last, "StoreType"), "StoreType")
+    score = lambda df, n: df.agg(rmspe_of().alias(n))
+    return r6(score(new, "before").join(F.broadcast(score(one, "one_factor"))).join(F.broadcast(score(own, "by_type"))))
+
+
 def q_profiles(spark, d):
     return r6(profiles.profiles(open_panel(spark, d)))
 
@@ -418,7 +450,7 @@ def q_forecast(spark, d):
     model = Forecaster()
     model.min_cell_stores = least_cell(train, model.n_segments, model.min_days, model.min_cell_stores)
     model.fit(train, past)
-    return model.predict(future.drop("Sales", "Customers"), interval=True, strict=False).select("Store", "Date", "Open", "prediction", "low", "high")
+    return model.predict(future.drop("Sales", "Customers"), interval=0.8, strict=False).select("Store", "Date", "Open", "prediction", "low", "high")
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..schema import DAILY, REQUEST, STORE
 
@@ -12,13 +13,24 @@ SCORED = ("Id", "Store", "Date", "Open", "prediction", "low", "high")
 
 
 def read(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A table with the given columns, from Parquet by its ending, else from CSV with a header."""
+    """A table with the given columns, from Parquet by its ending, else from CSV with a header.
+
+    An empty field of a CSV file is null; a malformed one (a date or number that is none) is an error when the row is read.
+    """
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
         return df.select(*(F.col(f.name).cast(f.dataType) for f in schema if f.name in df.columns))
     # By the header's names, so files may lack columns or hold them in another order.
     raw = spark.read.option("header", True).csv(path)
-    return raw.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema if f.name in raw.columns))
+    return raw.select(*(strictly(f.name, f.dataType).alias(f.name) for f in schema if f.name in raw.columns))
+
+
+def strictly(name: str, kind) -> Column:
+    """Text as ``kind``; whole numbers may be written with a point ("9.0"). What cannot be read raises."""
+    text = F.col(name)
+    value = text.try_cast("double").try_cast(kind) if isinstance(kind, IntegralType) else text.try_cast(kind)
+    bad = F.raise_error(F.concat(F.lit(f"{name} is malformed: "), text)).cast(kind)
+    return F.when(text.isNotNull() & value.isNull(), bad).otherwise(value)
 
 
 def clean_panel(daily: DataFrame, store: DataFrame, drop_closed: bool = True) -> DataFrame:

@@ -10,6 +10,7 @@ from storecast.functions.dates import days_to_easter, easter_sunday
 from storecast.functions.facts import promo2
 from storecast.operators import calendar as cal
 from storecast.operators.baseline import median_rule
+from storecast.operators.experiment import run_cv
 from storecast.operators.features import Features, statistics
 from storecast.operators.metrics import rmspe
 from storecast.operators.monitor import alarms, evaluate
@@ -155,3 +156,39 @@ def test_cell_merge_and_ward():
     total = {0: np.array([0.0]), 1: np.array([2.0]), 2: np.array([200.0]), 3: np.array([1000.0])}
     assert merged_cells({0: 20, 1: 2, 2: 20, 3: 20}, total, 15, 1) == {0: 0, 1: 0, 2: 2, 3: 3}
     assert ward(np.array([[0.0], [1.0], [10.0], [11.0], [50.0]]), 3) == [0, 0, 1, 1, 2]
+
+
+def test_repeated_days_count_once(spark):
+    spec = "ooooccooooooooo"
+    once, twice = days(spark, spec), days(spark, spec).unionByName(days(spark, spec)).unionByName(days(spark, "c" * len(spec)))
+    same = lambda f: sorted(map(str, f(once).collect())) == sorted(map(str, f(twice).collect()))
+    assert same(cal.closure) and same(cal.reopening) and same(lambda d: cal.extended(once, d)) and same(lambda d: cal.extended(d, once))
+    assert cal.last_per_key(twice.withColumn("v", F.col("Open")), ["Store", "Date"], "v").count() == len(spec)
+
+
+def test_missing_predictions_are_an_error(spark):
+    schema = "Date date, Sales int, prediction double"
+    with pytest.raises(Exception, match="has no prediction"):
+        evaluate(spark.createDataFrame([(DAY, 5, None), (DAY, 5, 5.0)], schema)).collect()
+    assert evaluate(spark.createDataFrame([(DAY, 0, None), (DAY, 5, 5.0)], schema)).filter("week = 'all'").first().rmspe == 0
+    assert evaluate(spark.createDataFrame([], schema)).count() == 0
+
+
+def test_malformed_files_are_an_error(spark, tmp_path):
+    good = "Store,Date,Sales,Open\n1,2014-01-02,9.0,\n"
+    (tmp_path / "a.csv").write_text(good)
+    row = files.read(spark, str(tmp_path / "a.csv"), DAILY).first()
+    assert (row.Store, row.Date, row.Sales, row.Open) == (1, dt.date(2014, 1, 2), 9, None)
+    for name, bad in (("b", good.replace("2014-01-02", "2014-13-45")), ("c", good.replace("9.0", "abc"))):
+        (tmp_path / f"{name}.csv").write_text(bad)
+        with pytest.raises(Exception, match="malformed"):
+            files.read(spark, str(tmp_path / f"{name}.csv"), DAILY).collect()
+
+
+def test_cross_validation_of_a_function(spark):
+    rows = spark.createDataFrame([(1, DAY + dt.timedelta(k), 100 + k % 3) for k in range(60)], "Store int, Date date, Sales int")
+    split = RollingOrigin(n_splits=2, horizon_days=10, min_train_days=10)
+    results, scored = run_cv(rows, lambda train, valid: valid.withColumn("prediction", F.lit(100.0)), split)
+    assert sorted((r.fold, r.rows) for r in results.collect()) == [(1, 10), (2, 10)] and scored.count() == 20
+    with pytest.raises(ValueError, match="prediction"):
+        run_cv(rows, lambda train, valid: valid, split)
