@@ -29,7 +29,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .store import sent, written
+from .store import dropped, sent, written
 from .text import lowered, mixed, pieces, prefix_sums, run_hash, words
 
 DEPTH = 5  # bytes of context; a context with its byte is one number of DEPTH + 1 bytes
@@ -353,6 +353,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     shallow = Shallow(tops.groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect())
     logs = grouped.groupBy("group").applyInArrow(_logs(sent(spark, shallow)), "key long, log_p double")
     logs = written(logs, "log-probabilities")
+    dropped(contexts)
 
     @F.arrow_udf("int")
     def bucket_of(key: pa.Array) -> pa.Array:

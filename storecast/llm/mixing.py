@@ -2,30 +2,34 @@
 
 Tokens are summed by cell, a combination of source, language and topic. The
 cells' token weights are raked until their sums meet the target share of every
-source, language and topic; a cell's weight per token then sets the
-probability with which its documents are drawn, scaled so that the expected
-number of tokens is the wanted share of all, with no probability above one.
+source, language and topic, under the bound that no cell gives more tokens
+than it holds; a cell's weight over its tokens is the probability with which
+its documents are drawn. The expected tokens are the wanted share of all, and
+their shares by level the targets. Where a level holds too little for its
+target it is taken whole, and the others of its dimension fill the gap.
 
 Built-in functions only. Documents are shuffled as (id, cell, count); a cell
 that holds a third of them is summed before the shuffle. Raking works on cells
 alone: one partition while they are few, as many as Spark deals otherwise.
+Only the levels of one dimension are ranked in one task, a row each.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import dropped, written
 
 WORDS = r"[^\x20\x09-\x0D]+"
 DIMS = ("source", "lang", "topic")
 #: The targets of the query: a power of a level's tokens (0: equal shares, 1: as they are), or shares by level.
 TARGETS: Mapping[str, float | Mapping[str, float]] = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.5}
-ITERATIONS, EVERY, SHARE, SEED = 12, 4, 0.5, 17
+ITERATIONS, EVERY, SHARE, SEED = 24, 4, 0.5, 17
 FEW_CELLS = 20_000
 
 
@@ -35,52 +39,87 @@ def uniform(id_col: str | Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def with_targets(cells: DataFrame, targets: Mapping) -> DataFrame:
-    """The cells with the target share of each of their levels as t_<dim>; shares sum to one over the levels present."""
-    for dim, want in targets.items():
-        levels = cells.groupBy(F.col(dim).alias("level")).agg(F.sum("n").cast("double").alias("size"))
-        if isinstance(want, Mapping):
-            given = F.create_map(*[F.lit(x) for kv in want.items() for x in (kv[0], float(kv[1]))]) if want else F.create_map()
-            levels = levels.withColumn("share", F.coalesce(F.element_at(given, F.col("level")), F.lit(0.0)))
+def level_sizes(cells: DataFrame, dim: str, want: float | Mapping[str, float]) -> DataFrame:
+    """Each level's tokens and wanted share, not yet summing to one; a level without tokens gets none."""
+    levels = cells.groupBy(F.col(dim).alias("level")).agg(F.sum("n").cast("double").alias("size"))
+    if isinstance(want, Mapping):
+        given = F.create_map(*[F.lit(x) for kv in want.items() for x in (kv[0], float(kv[1]))]) if want else F.create_map()
+        share = F.coalesce(F.element_at(given, F.col("level")), F.lit(0.0))
+    else:
+        share = F.pow("size", F.lit(float(want)))
+    return levels.withColumn("share", F.when(F.col("size") > 0, share).otherwise(0.0))
+
+
+def reachable(levels: DataFrame, wanted: float) -> DataFrame:
+    """(level, t): the levels' target shares of ``wanted`` tokens.
+
+    A level that holds fewer tokens than its share asks for is taken whole, and
+    the other levels fill what it lacks in the proportion of their shares.
+    """
+    w = W.orderBy(F.desc(F.col("share") / F.col("size")), "level")
+    before = F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    scale = (F.lit(wanted) - before) / F.sum("share").over(w.rowsBetween(0, W.unboundedFollowing))
+    steps = levels.filter("share > 0").select("size", "share", F.row_number().over(w).alias("place"), scale.alias("scale"))
+    found = steps.filter(F.col("scale") * F.col("share") <= F.col("size") * (1 + 1e-12)).agg(F.min_by("scale", "place")).first()[0]
+    return levels.select("level", F.when(F.col("share") > 0, F.least("size", F.lit(found).cast("double") * F.col("share")) / F.lit(wanted)).otherwise(0.0).alias("t"))
+
+
+def with_targets(cells: DataFrame, targets: Mapping, share: float | None = None) -> tuple[DataFrame, float]:
+    """The cells with the target share of each of their levels as t_<dim>, and the tokens wanted.
+
+    With ``share``, that part of all tokens, or fewer where the levels with a
+    target hold fewer; targets are then what can be reached. Without it the
+    shares only sum to one.
+    """
+    sizes = {dim: level_sizes(cells, dim, want) for dim, want in targets.items()}
+    n = float(cells.agg(F.sum("n")).first()[0] or 0)
+    sums = {dim: levels.filter("share > 0").agg(F.sum("size"), F.sum("share")).first() for dim, levels in sizes.items()}
+    wanted = min([n if share is None else share * n, *(float(x[0] or 0) for x in sums.values())])
+    for dim, levels in sizes.items():
+        if share is None or not wanted:
+            levels = levels.select("level", (F.col("share") / F.lit(float(sums[dim][1] or 1.0))).alias("t"))
         else:
-            levels = levels.withColumn("share", F.when(F.col("size") > 0, F.pow("size", F.lit(float(want)))).otherwise(0.0))
-        total = levels.agg(F.sum("share")).first()[0] or 1.0
-        levels = levels.select("level", (F.col("share") / F.lit(total)).alias(f"t_{dim}"))
-        cells = cells.join(levels, F.col(dim) == F.col("level")).drop("level")
-    return cells
+            levels = reachable(levels, wanted)
+        cells = cells.join(levels.withColumnRenamed("t", f"t_{dim}"), F.col(dim) == F.col("level")).drop("level")
+    return cells, wanted
 
 
-def raked(cells: DataFrame, targets: Mapping = TARGETS, iterations: int = ITERATIONS) -> DataFrame:
-    """The cells with their share of the weight, w: sums by level meet the targets as far as the cells allow."""
-    cells = written(with_targets(cells, targets).withColumn("w", F.col("n").cast("double")), "cells")
-    if cells.count() <= FEW_CELLS:
-        cells = cells.coalesce(1)
+def raked(cells: DataFrame, targets: Mapping = TARGETS, iterations: int = ITERATIONS, share: float | None = None) -> DataFrame:
+    """The cells with their share of the weight, w: sums by level meet the targets as far as the cells allow.
+
+    With ``share``, w are shares of so many of all tokens, and no cell's w is
+    above cap, all of its tokens: a cell there is held while the others of its
+    level are scaled up.
+    """
+    cells, wanted = with_targets(cells, targets, share)
+    n = float(cells.agg(F.sum("n")).first()[0] or 0) or 1.0
+    cap = F.lit(float("inf")) if share is None or not wanted else F.col("n") / F.lit(wanted)
+    cells = written(cells.withColumns({"cap": cap, "w": F.col("n") / F.lit(n)}), "cells")
+    few = cells.count() <= FEW_CELLS
+    at_cap = F.col("w") >= F.col("cap") * (1 - 1e-9)
     for first in range(0, iterations, EVERY):
+        step = cells.coalesce(1) if few else cells
         for _ in range(first, min(first + EVERY, iterations)):
             for dim in targets:
-                total = F.sum("w").over(W.partitionBy(dim))
-                cells = cells.withColumn("w", F.when(total > 0, F.col("w") * F.col(f"t_{dim}") / total).otherwise(0.0))
-        cells = written(cells, "raked")
-        if cells.count() <= FEW_CELLS:
-            cells = cells.coalesce(1)
+                by, t = W.partitionBy(dim), F.col(f"t_{dim}")
+                step = step.withColumns({"total": F.sum("w").over(by), "full": F.sum(F.when(at_cap, F.col("w")).otherwise(0.0)).over(by), "free": F.sum(F.when(at_cap, 0.0).otherwise(F.col("w"))).over(by)})
+                up = F.when(at_cap | (F.col("free") <= 0), F.col("w")).otherwise(F.least("cap", F.col("w") * (t - F.col("full")) / F.col("free")))
+                step = step.withColumn("w", F.when(F.col("total") <= 0, 0.0).when(F.col("total") >= t, F.col("w") * t / F.col("total")).otherwise(up)).drop("total", "full", "free")
+        after = written(step, "raked")
+        dropped(cells)
+        cells = after
     return cells
 
 
-def probabilities(cells: DataFrame, share: float = SHARE) -> DataFrame:
-    """The cells with the probability of their documents: min(1, scale * w / n), the expected tokens being ``share`` of all."""
-    per_token = cells.withColumn("r", F.when(F.col("n") > 0, F.col("w") / F.col("n")).otherwise(0.0))
-    total, weighted = per_token.agg(F.sum("n"), F.sum(F.when(F.col("r") > 0, F.col("n")))).first()
-    wanted = share * (total or 0)
-    # With the cells by falling weight per token, those before the first that stays below one are taken whole.
-    before = W.orderBy(F.desc("r"), *DIMS).rowsBetween(W.unboundedPreceding, -1)
-    after = W.orderBy(F.desc("r"), *DIMS).rowsBetween(0, W.unboundedFollowing)
-    scale = (F.lit(wanted) - F.coalesce(F.sum("n").over(before), F.lit(0))) / F.sum("w").over(after)
-    steps = per_token.filter("r > 0").select("r", scale.alias("scale")).filter("scale * r <= 1").agg(F.max_by("scale", "r")).first()[0]
-    if wanted >= (weighted or 0) or steps is None:
-        p = F.when(F.col("r") > 0, 1.0).otherwise(0.0)
-    else:
-        p = F.least(F.lit(1.0), F.lit(steps) * F.col("r"))
-    return per_token.withColumn("probability", F.round(p, 6))
+def achieved(cells: DataFrame, targets: Mapping = TARGETS) -> DataFrame:
+    """What raked cells reach: dim, level, target (what can be reached), share, and whether it is within a hundredth of the target."""
+    parts = [cells.groupBy(F.lit(d).alias("dim"), F.col(d).alias("level")).agg(F.max(f"t_{d}").alias("target"), F.sum("w").alias("share")) for d in targets]
+    return reduce(DataFrame.unionByName, parts).withColumn("met", F.abs(F.col("share") - F.col("target")) <= 0.01 * F.col("target"))
+
+
+def probabilities(cells: DataFrame) -> DataFrame:
+    """Raked cells with the probability of their documents, w / cap."""
+    return cells.withColumn("probability", F.when(F.col("n") > 0, F.round(F.least(F.lit(1.0), F.col("w") / F.col("cap")), 6)).otherwise(0.0))
 
 
 def mixed_sample(docs: DataFrame, topics: DataFrame | None = None, *, targets: Mapping = TARGETS, share: float = SHARE, iterations: int = ITERATIONS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,7 +129,9 @@ def mixed_sample(docs: DataFrame, topics: DataFrame | None = None, *, targets: M
     languages, are the level ''. Tokens are words between whitespace. A level
     that the targets leave out, and an empty document's cell if it holds no
     token at all, has probability zero. Rows that repeat an id are drawn
-    together; a null id is drawn like any other. Empty table: empty result.
+    together; a null id is drawn like any other. Texts of any length are
+    counted whole. Empty table: empty result. :func:`achieved` says how near
+    raked cells come to the targets.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("long").alias("n_tokens")
@@ -102,6 +143,6 @@ def mixed_sample(docs: DataFrame, topics: DataFrame | None = None, *, targets: M
         rows = rows.join(one, F.col("doc_id") == F.col("of"), "left").drop("of").withColumn("topic", F.coalesce("topic", F.lit("")))
     rows = written(rows, "counted")
     cells = rows.groupBy(*DIMS).agg(F.sum("n_tokens").alias("n"))
-    named = written(probabilities(raked(cells, targets, iterations), share).select(*(F.col(c).alias(f"c_{c}") for c in DIMS), "probability"), "probabilities")
+    named = written(probabilities(raked(cells, targets, iterations, share)).select(*(F.col(c).alias(f"c_{c}") for c in DIMS), "probability"), "probabilities")
     same = [F.col(c) == F.col(f"c_{c}") for c in DIMS]
     return rows.join(named, same).select("doc_id", *DIMS, "n_tokens", "probability", (uniform("doc_id", seed) < F.col("probability")).alias("kept"))

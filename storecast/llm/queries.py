@@ -108,24 +108,29 @@ rows AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS la
 cells AS (SELECT source, lang, topic, sum(n_tokens) AS n FROM rows GROUP BY ALL)"""
     for d in DIMS:
         want = TARGETS[d]
-        share = f"CASE level {' '.join(f"WHEN '{k}' THEN {v}" for k, v in want.items())} ELSE 0 END" if isinstance(want, dict) else f"CASE WHEN size > 0 THEN pow(size, {want}) ELSE 0 END"
+        share = f"CASE level {' '.join(f"WHEN '{k}' THEN {v}" for k, v in want.items())} ELSE 0 END" if isinstance(want, dict) else f"pow(size, {want})"
         sql += f""",
-t_{d} AS (SELECT level, share / sum(share) OVER () AS t FROM (SELECT level, CAST({share} AS DOUBLE) AS share FROM (SELECT {d} AS level, CAST(sum(n) AS DOUBLE) AS size FROM cells GROUP BY 1)))"""
+s_{d} AS (SELECT level, size, CAST(CASE WHEN size > 0 THEN {share} ELSE 0 END AS DOUBLE) AS share FROM (SELECT {d} AS level, CAST(sum(n) AS DOUBLE) AS size FROM cells GROUP BY 1))"""
+    sql += f""",
+total AS (SELECT CAST((SELECT sum(n) FROM cells) AS DOUBLE) AS every, least({SHARE} * (SELECT sum(n) FROM cells), {', '.join(f"(SELECT sum(size) FROM s_{d} WHERE share > 0)" for d in DIMS)}) AS wanted)"""
+    for d in DIMS:
+        sql += f""",
+o_{d} AS (SELECT size, share, row_number() OVER (ORDER BY share / size DESC, level) AS place,
+  (wanted - coalesce(sum(size) OVER (ORDER BY share / size DESC, level ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+  / sum(share) OVER (ORDER BY share / size DESC, level ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM s_{d}, total WHERE share > 0),
+t_{d} AS (SELECT level, CASE WHEN share > 0 THEN least(size, (SELECT arg_min(scale, place) FROM o_{d} WHERE scale * share <= size * (1 + 1e-12)) * share) / wanted ELSE 0 END AS t FROM s_{d}, total)"""
     sql += """,
-w0 AS (SELECT cells.*, CAST(n AS DOUBLE) AS w, """ + ", ".join(f"t_{d}.t AS s_{d}" for d in DIMS) + " FROM cells " + " ".join(f"JOIN t_{d} ON cells.{d} = t_{d}.level" for d in DIMS) + ")"
+w0 AS MATERIALIZED (SELECT cells.*, n / wanted AS cap, n / every AS w, """ + ", ".join(f"t_{d}.t AS t_{d}" for d in DIMS) + " FROM cells CROSS JOIN total " + " ".join(f"JOIN t_{d} ON cells.{d} = t_{d}.level" for d in DIMS) + ")"
     k = 0
     for _ in range(ITERATIONS):
         for d in DIMS:
             sql += f""",
-w{k + 1} AS (SELECT * REPLACE (CASE WHEN sum(w) OVER (PARTITION BY {d}) > 0 THEN w * s_{d} / sum(w) OVER (PARTITION BY {d}) ELSE 0 END AS w) FROM w{k})"""
+w{k + 1} AS MATERIALIZED (SELECT * EXCLUDE (total, filled, free) REPLACE (CASE WHEN total <= 0 THEN 0 WHEN total >= t_{d} THEN w * t_{d} / total
+  WHEN w >= cap * (1 - 1e-9) OR free <= 0 THEN w ELSE least(cap, w * (t_{d} - filled) / free) END AS w)
+  FROM (SELECT *, sum(w) OVER p AS total, sum(CASE WHEN w >= cap * (1 - 1e-9) THEN w ELSE 0 END) OVER p AS filled, sum(CASE WHEN w >= cap * (1 - 1e-9) THEN 0 ELSE w END) OVER p AS free FROM w{k} WINDOW p AS (PARTITION BY {d})))"""
             k += 1
     return sql + f""",
-r AS (SELECT *, CASE WHEN n > 0 THEN w / n ELSE 0 END AS r FROM w{k}),
-total AS (SELECT {SHARE} * sum(n) AS wanted, sum(CASE WHEN r > 0 THEN n ELSE 0 END) AS weighted FROM r),
-steps AS (SELECT r, (wanted - coalesce(sum(n) OVER (ORDER BY r DESC, source, lang, topic ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
-          / sum(w) OVER (ORDER BY r DESC, source, lang, topic ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale FROM r, total WHERE r > 0),
-scale AS (SELECT max_by(scale, r) AS scale FROM steps WHERE scale * r <= 1),
-p AS (SELECT source, lang, topic, round(CASE WHEN wanted >= weighted OR scale IS NULL THEN CASE WHEN r > 0 THEN 1.0 ELSE 0.0 END ELSE least(1.0, scale * r) END, 6) AS probability FROM r, total, scale)
+p AS (SELECT source, lang, topic, CASE WHEN n > 0 THEN round(least(1.0, w / cap), 6) ELSE 0 END AS probability FROM w{k})
 SELECT doc_id, source, lang, topic, n_tokens, probability,
        CAST('0x' || substr(md5(CAST(doc_id AS VARCHAR) || ':{SEED}'), 1, 8) AS BIGINT) / 4294967296.0 < probability AS kept
 FROM rows JOIN p USING (source, lang, topic)"""

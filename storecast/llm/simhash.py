@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .graph import components
-from .store import written
+from .store import dropped, written
 
 SHINGLE, SEED = 3, 42
 ONES = [1 << k for k in range(64)]
@@ -35,6 +35,7 @@ PAIRS = [1 << (h + i) | 1 << (h + j) for h in (0, 32) for i in range(32) for j i
 FLIPS = np.array([0, *ONES, *PAIRS], np.uint64)
 NEAR = 65  # of FLIPS, those of one bit at most
 BATCH, BUCKET = 2048, 1 << 20  # fingerprints a batch, variants a bucket
+TASK_VARIANTS = 1 << 22
 MEAN_VARIANTS = (NEAR + len(FLIPS)) / 2
 
 
@@ -156,10 +157,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
     buckets = max(1, math.ceil(distinct.count() * MEAN_VARIANTS / BUCKET))
-    variants = distinct.select("fp").mapInArrow(_variants(buckets), "bucket int, keys binary, flips binary")
+    # The table of fingerprints is small, what a task makes of it is not: dealt by the variants to come.
+    tasks = max(1, math.ceil(distinct.count() * MEAN_VARIANTS / TASK_VARIANTS))
+    variants = distinct.select("fp").repartition(tasks, "fp").mapInArrow(_variants(buckets), "bucket int, keys binary, flips binary")
     found = written(variants.groupBy("bucket").applyInArrow(_links, "a long, b long"), "near-links")
     roots = components(found)
     rooted = written(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "rooted")
     least = written(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "component-ids")
+    dropped(found)
     named = written(rooted.join(least, "root").select(F.col("fp").alias("own"), "component_id"), "named")
+    for old in (distinct, rooted, least):
+        dropped(old)
     return rows.join(named, F.col("fp") == F.col("own")).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

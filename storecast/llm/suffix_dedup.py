@@ -355,17 +355,34 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A string starts earlier if its document has a smaller id, or in the same
     document if its place is. Matches do not cross documents. A null text is
     empty. Rows without an id take no part and lose nothing. Rows that repeat
-    an id are one document of several texts: a stretch covered in one of them
-    is removed at the same place in all (ids are expected to be distinct). An
-    empty table gives an empty result.
+    an id with different texts are documents of their own, the one with the
+    smaller hash of its text being the earlier; rows alike in id and text are
+    one document, and lose the same bytes. Texts of any length are read whole.
+    An empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    if texts.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
+        out = _removed(texts.withColumn("row", F.col("doc_id")), length, kmer, heavy)
+    else:
+        # Numbers in the order of the ids, and of 128 bits of the text within an id.
+        key = ["doc_id", "t1", "t2"]
+        named = texts.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
+        numbers = named.filter("doc_id is not null").select(*key).distinct().orderBy(*key).select(*(F.col(c).alias(f"of_{c}") for c in key), F.monotonically_increasing_id().alias("row"))
+        numbers = written(numbers, "row-numbers")
+        out = _removed(named.join(numbers, [F.col(c) == F.col(f"of_{c}") for c in key], "left").select("doc_id", "row", "text"), length, kmer, heavy, one_each=True)
+    return out
+
+
+def _removed(texts: DataFrame, length: int, kmer: int, heavy: int, one_each: bool = False) -> DataFrame:
+    """:func:`repeats_removed` of (doc_id, row, text); rows with one number hold one text, and those without take no part."""
+    whole, texts = texts, texts.filter("row is not null").select(F.col("row").alias("doc_id"), "text")
+    texts = texts.dropDuplicates(["doc_id"]) if one_each else texts
     # Anchors are about two in every length - kmer + 2 bytes.
     size = texts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(2 * size / (length - kmer + 2) / BUCKET_ANCHORS))
     blocks = max(1, math.ceil(size / BLOCK_BYTES))
     # The length is part of the hash, so that rows that repeat an id are spread too.
-    named = texts.filter("doc_id is not null").select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
+    named = texts.select(F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(blocks)).cast("int").alias("block"), "doc_id", "text")
     anchors = named.select("block", "text").mapInArrow(_anchors(buckets, length, kmer), "bucket int, hashes binary, blocks binary, twice binary")
     wanted = anchors.groupBy("bucket").applyInArrow(_repeated, "of int, hashes binary")
     found = written(named.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(_snippets(length, kmer), FOUND), "snippets")
@@ -382,7 +399,7 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     dealt = first.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int"))
     later = dealt.groupBy("shard").applyInArrow(_shard(length, kmer), "doc_id long, start long, end long")
     stretches = covered.unionByName(later).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
-    both = texts.join(stretches, F.col("doc_id") == F.col("of"), "left")
+    both = whole.join(stretches, F.col("row") == F.col("of"), "left")
     return both.select("doc_id", _kept()("text", "gone.start", "gone.end").alias("x")).select("doc_id", "x.n_bytes", "x.n_removed", "x.n_spans", "x.kept")
 
 

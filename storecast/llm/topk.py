@@ -2,9 +2,9 @@
 
 Vectors stand in blocks. A block has, for every component, a grid of 256
 cells over the block's own range, and each vector's cells as bytes. A scan of
-the cells gives bounds of every score; per query, the kth largest lower bound
-over all blocks rules out every row whose upper bound is less. Only for the
-rows that are left are the exact vectors read, best bound first, until the
+the cells gives bounds of every score; per query, the largest of the tasks'
+kth lower bounds rules out every row whose upper bound is less, in a second
+scan. Only for the rows that are left are the exact vectors read, best bound first, until the
 kth exact score is beyond the next bound. Queries go in blocks against all blocks.
 """
 
@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .store import written
 
@@ -81,30 +82,49 @@ def _floats(row: dict, name: str, n: int) -> np.ndarray:
     return np.frombuffer(row[name], np.float64).reshape(-1, n)
 
 
-def _bounds(k: int):
-    """A block and a query block to the rows whose upper bound reaches the block's kth lower bound."""
+def _scores_between(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ids of a block, and the queries' lower and upper bounds on its rows; -inf for a query's own row."""
+    n = row["dims"]
+    ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
+    cells = np.frombuffer(row["cells"], np.uint8).reshape(-1, n).astype(np.float64)
+    low, step, q = _floats(row, "low", n)[0], _floats(row, "step", n)[0], _floats(row, "q_exact", n)
+    middle = (q * step) @ cells.T + (q @ (low + step / 2))[:, None]
+    error = (np.abs(q) @ (step / 2))[:, None]
+    error = error * (1 + 1e-6) + 1e-9 * np.abs(middle)
+    lower, upper = middle - error, middle + error
+    own = q_ids[:, None] == ids[None, :]
+    lower[own] = upper[own] = -np.inf
+    return ids, q_ids, lower, upper
+
+
+def _floors(k: int):
+    """Blocks and query blocks to each query's kth largest lower bound over the rows of the task: one number a query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                n = row["dims"]
-                ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                cells = np.frombuffer(row["cells"], np.uint8).reshape(-1, n).astype(np.float64)
-                low, step, q = _floats(row, "low", n)[0], _floats(row, "step", n)[0], _floats(row, "q_exact", n)
-                middle = (q * step) @ cells.T + (q @ (low + step / 2))[:, None]
-                error = (np.abs(q) @ (step / 2))[:, None]
-                error = error * (1 + 1e-6) + 1e-9 * np.abs(middle)
-                lower, upper = middle - error, middle + error
-                own = q_ids[:, None] == ids[None, :]
-                lower[own] = upper[own] = -np.inf
-                m = len(ids)
-                floor = np.partition(lower, m - k, axis=1)[:, m - k] if m > k else np.full(len(q_ids), -np.inf)
-                a, b = np.nonzero((upper >= floor[:, None]) & ~own)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), row["block"], np.int64), np.full(len(a), row["q_block"], np.int64), q_ids[a], a.astype(np.int32), b.astype(np.int32), lower[a, b], upper[a, b])], ["block", "q_block", "query_id", "q_slot", "slot", "lower", "upper"])
+                _, q_ids, lower, _ = _scores_between(row)
+                known = best.get(row["q_block"], (q_ids, np.full((len(q_ids), k), -np.inf)))[1]
+                both = np.concatenate([known, lower], axis=1)
+                best[row["q_block"]] = q_ids, np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+        for q_ids, lower in best.values():
+            yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(lower.min(axis=1))], ["query_id", "least"])
 
     return run
 
 
+def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A block and a query block with its floors to the rows whose upper bound reaches the query's floor."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            ids, q_ids, _, upper = _scores_between(row)
+            floor = {x["query_id"]: x["least"] for x in row["floors"]}
+            least = np.array([floor[x] for x in q_ids.tolist()])
+            a, b = np.nonzero((upper >= least[:, None]) & (q_ids[:, None] != ids[None, :]))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), row["block"], np.int64), np.full(len(a), row["q_block"], np.int64), a.astype(np.int32), b.astype(np.int32), upper[a, b])], ["block", "q_block", "q_slot", "slot", "upper"])
+
+
 def _exact(k: int):
     """The rows left of a block and a query block to their exact scores, best bound first until the kth is certain."""
 
@@ -137,6 +157,11 @@ def _exact(k: int):
     return run
 
 
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def ids_of(packed: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(x, np.int64) for x in packed.to_pylist()], pa.list_(pa.int64()))
+
+
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per query: query_id, rank (from 1), vec_id, score of the k rows of ``vectors`` with the largest inner product.
 
@@ -155,13 +180,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sent = q_blocks.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
     pairs = blocks.drop("exact").withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).join(sent, (F.col("group") == F.col("to")) & (F.col("dims") == F.col("q_dims")))
-    bound = written(
-        pairs.select("block", "q_block", "dims", "ids", "cells", "low", "step", "q_ids", "q_exact").mapInArrow(_bounds(k), "block long, q_block long, query_id long, q_slot int, slot int, lower double, upper double"),
-        "bounds",
-    )
-    best = W.partitionBy("query_id").orderBy(F.desc("lower"))
-    floor = bound.select("query_id", "lower", F.row_number().over(best).alias("r")).filter(F.col("r") == k).select(F.col("query_id").alias("asked"), F.col("lower").alias("least"))
-    left = bound.join(floor, F.col("query_id") == F.col("asked"), "left").filter("least is null or upper >= least")
+    pairs = pairs.select("block", "q_block", "dims", "ids", "cells", "low", "step", "q_ids", "q_exact")
+    # First the floors, a number per query and task; then, from a second scan of the cells, the rows that reach them.
+    floors = pairs.mapInArrow(_floors(k), "query_id long, least double").groupBy("query_id").agg(F.max("least").alias("least"))
+    of = q_blocks.select(F.col("q_block").alias("asked"), F.explode(ids_of("q_ids")).alias("query_id"))
+    floors = written(floors.join(of, "query_id").groupBy("asked").agg(F.collect_list(F.struct("query_id", "least")).alias("floors")), "floors")
+    left = pairs.join(floors, F.col("q_block") == F.col("asked")).drop("asked").mapInArrow(_reaching, "block long, q_block long, q_slot int, slot int, upper double")
     left = left.groupBy(F.col("block").alias("of"), F.col("q_block").alias("of_q")).agg(F.collect_list(F.struct("q_slot", "slot", "upper")).alias("left"))
     read = left.join(blocks.select("block", "dims", "ids", "exact"), F.col("of") == F.col("block")).join(q_blocks.select("q_block", "q_ids", "q_exact"), F.col("of_q") == F.col("q_block"))
     scores = read.select("dims", "ids", "exact", "q_ids", "q_exact", "left").mapInArrow(_exact(k), "query_id long, vec_id long, score long")

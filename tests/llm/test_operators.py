@@ -1,14 +1,18 @@
 """Mixing, packing, toxicity and top-k against brute force or held-out rows."""
 
 import math
+import re
 import zlib
+from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from storecast.llm.mixing import mixed_sample, raked
+from storecast.llm.mixing import DIMS, SHARE, achieved, mixed_sample, probabilities, raked
 from storecast.llm.packing import best_fit, packed
 from storecast.llm.topk import top_k
-from storecast.llm.toxicity import BlockMaxIndex, isotonic, scored
+from storecast.llm.queries import table, topics_of
+from storecast.llm.toxicity import BlockMaxIndex, fit, isotonic, scored
 
 
 def test_raking_meets_the_targets(spark):
@@ -23,6 +27,39 @@ def test_raking_meets_the_targets(spark):
     assert np.allclose(out.groupby("source").w.sum(), root / root.sum(), atol=1e-9)
 
 
+def test_expected_shares_meet_the_targets_or_say_so(spark):
+    d = "/root/testdata/sf0.1"
+    docs = mixed_sample(table(spark, d, "documents"), topics_of(spark, d)).persist()
+    cells = docs.groupBy(*DIMS).agg(F.sum("n_tokens").alias("n"))
+    own = raked(cells, share=SHARE).persist()
+    # What the documents' probabilities amount to.
+    p = probabilities(own).select(*DIMS, "n", "probability").toPandas()
+    assert p.probability.between(0, 1).all()
+    expected = p.n * p.probability
+    assert abs(expected.sum() / p.n.sum() / SHARE - 1) < 0.01
+    report = achieved(own).toPandas()
+    for dim in DIMS:
+        part = report[report.dim == dim].set_index("level")
+        got = (expected / expected.sum()).groupby(p[dim]).sum()
+        assert np.allclose(got[part.index], part.share, atol=2e-3)
+        assert (np.abs(part.share - part.target) <= 0.01 * part.target + 1e-12).eq(part.met).all() and part.met.all()
+    lang = report[report.dim == "lang"].set_index("level").target
+    assert np.allclose(lang[["en", "de", "fr", "es"]], [0.5, 0.2, 0.2, 0.1])
+    kept = docs.filter("kept").groupBy("lang").agg(F.sum("n_tokens").alias("n")).toPandas().set_index("lang").n
+    assert np.allclose((kept / kept.sum())[["en", "de", "fr", "es"]], [0.5, 0.2, 0.2, 0.1], atol=0.03)
+
+
+def test_a_level_too_small_for_its_target_is_taken_whole(spark):
+    rows = [(s, "en", t, n) for s, n in (("big", 900), ("mid", 300), ("tiny", 4)) for t in "xy"]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, n long")
+    own = raked(cells, {"source": 0.0, "lang": 1.0, "topic": 0.0}, share=0.5)
+    p = {(r.source, r.topic): r.probability for r in probabilities(own).collect()}
+    assert p["tiny", "x"] == p["tiny", "y"] == 1
+    # 1204 of 2408 are wanted: 8 from tiny, and 598 each from the others.
+    assert math.isclose(p["big", "x"], 598 / 1800, abs_tol=1e-6) and math.isclose(p["mid", "y"], 598 / 600, abs_tol=1e-6)
+    assert achieved(own, {"source": 0.0}).filter("not met").count() == 0
+
+
 def test_sample_takes_nulls_and_holds_the_share(spark):
     docs = spark.createDataFrame([(k, "w " * (k % 7), None if k % 5 == 0 else "s" + str(k % 3), "en" if k % 2 else None) for k in range(2000)], "doc_id long, text string, source string, lang string")
     out = mixed_sample(docs, targets={"source": 0.5, "lang": 0.5, "topic": 1.0}).toPandas()
@@ -96,6 +133,86 @@ def test_block_max_search_equals_brute_force():
         assert np.allclose(np.sort(exact)[::-1][:10], cosines) and np.allclose(exact[ids], cosines)
 
 
+def test_search_with_dense_lists_equals_brute_force():
+    rng = np.random.default_rng(12)
+    common = np.arange(6)
+    vectors = []
+    for _ in range(700):
+        t = np.unique(np.concatenate([common[rng.random(6) < 0.5], 6 + rng.integers(0, 3000, rng.integers(1, 25))]))
+        w = rng.random(len(t)) + 0.1
+        vectors.append((t, w / np.linalg.norm(w)))
+    vectors[9] = vectors[8]
+    dense = np.zeros((700, 3006))
+    for k, (t, w) in enumerate(vectors):
+        dense[k, t] = w
+    index = BlockMaxIndex(vectors, 3006, block=16)
+    assert 0 < len(index.matrix) <= 6
+    start = np.cumsum([0, *(len(t) for t, _ in vectors[:-1])])
+    found = list(index.nearest_of(start, *(np.concatenate(x) for x in zip(*vectors, strict=True)), 15))
+    for k, (ids, cosines) in enumerate(found):
+        exact = np.round(dense @ dense[k], 12)
+        want = sorted(range(700), key=lambda i: (-exact[i], i))[:15]
+        want = [i for i in want if exact[i] > 0]
+        assert np.allclose(cosines, exact[want], atol=1e-9) and np.allclose(exact[ids], exact[want], atol=1e-9)
+
+
+def plain_scores(docs, labels):
+    """Toxicity scores by the definition: dictionaries, and cosines with every example."""
+    split = lambda t: re.findall(rb"[a-z0-9\x80-\xff]+", (t or "").encode().lower())
+    features = lambda t: Counter(f for w in split(t) for f in ([w] if len(w) < 4 else [w, b"." + w[:4]]))
+    learnable = lambda i: zlib.crc32(str(i).encode()) % 5 != 0
+    label = {}
+    for i, y in labels:
+        label[i] = max(label.get(i, 0), y)
+    by_text = {}
+    for i, t in docs:
+        if i in label and learnable(i):
+            known = by_text.get(t, (i, 0))
+            by_text[t] = (min(known[0], i), max(known[1], label[i]))
+    examples = sorted((i, y, features(t)) for t, (i, y) in by_text.items())
+    n, toxic = len(examples), sum(y for _, y, _ in examples)
+    rate, prior = toxic / n, (toxic + 0.5) / (n + 1)
+    vocabulary = {f for _, _, x in examples for f in x}
+    frequency = Counter(f for _, t in docs for f in set(features(t)))
+    held, with_toxic = Counter(f for _, _, x in examples for f in x), Counter(f for _, y, x in examples if y for f in x)
+    weight = {f: (math.log((1 + len(docs)) / (1 + frequency[f])) + 1) * math.sqrt(1 + (with_toxic[f] - held[f] * rate) ** 2 / (held[f] * rate) / (1 - rate) * n / (n - held[f] + 0.5)) for f in vocabulary}
+
+    def vector(x):
+        v = {f: (1 + math.log(c)) * weight[f] for f, c in x.items() if f in vocabulary}
+        norm = math.sqrt(sum(w * w for w in v.values()))
+        return {f: w / norm for f, w in v.items()}
+
+    known = [(y, vector(x)) for _, y, x in examples]
+
+    def vote(v, without=None):
+        near = sorted((-round(sum(w * u.get(f, 0) for f, w in v.items()), 12), k) for k, (_, u) in enumerate(known) if k != without)[:15]
+        near = [(-c, known[k][0]) for c, k in near if c < 0]
+        return (sum(c * y for c, y in near) + 0.05 * prior) / (sum(c for c, _ in near) + 0.05) if near else None
+
+    votes = [vote(v, k) for k, (_, v) in enumerate(known)]
+    x, y = isotonic(np.array([prior if v is None else v for v in votes]), np.array([float(e[1]) for e in examples]))
+    out = {}
+    for i, t in docs:
+        v = vote(vector(features(t)))
+        out[i] = prior if v is None else min(1, max(0, 0.9 * float(np.interp(v, x, y)) + 0.1 * v))
+    return out
+
+
+def test_toxicity_scores_equal_brute_force_from_any_partitioning(spark):
+    rng = np.random.default_rng(6)
+    word = [f"w{k}x{k % 7}" for k in range(80)] + ["vile", "viler", "vilest", "Grim", "ßä"]
+    docs = [(i, " ".join(rng.choice(word, rng.integers(1, 30)))) for i in range(300)]
+    docs[40], docs[41] = (40, docs[42][1]), (41, docs[42][1])  # equal texts
+    labels = [(i, int("vile" in t or rng.random() < 0.1)) for i, t in docs[:200]] + [(40, 1), (41, 0), (42, 0)]
+    df, given = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    want = plain_scores(docs, labels)
+    for parts in (1, 7):
+        got = {r.doc_id: r.score for r in scored(df.repartition(parts), given.repartition(parts)).collect()}
+        assert got.keys() == want.keys() and all(math.isclose(got[i], want[i], abs_tol=1e-8) for i in want)
+    model = fit(df, given)
+    assert model.toxic[model.ids.tolist().index(min(i for i in (40, 41, 42) if zlib.crc32(str(i).encode()) % 5))] == max(y for i, y in labels if i in (40, 41, 42) and zlib.crc32(str(i).encode()) % 5)
+
+
 def test_isotonic_pools_violations():
     x, y = isotonic(np.array([1.0, 2, 3, 4]), np.array([0.0, 1, 0, 1]))
     assert y.tolist() == [0, 0.5, 1] and x.tolist() == [1, 2.5, 4]
@@ -135,4 +252,4 @@ def test_top_k_equals_brute_force(spark):
         want = sorted((-int(s), i) for i, s in enumerate(x @ x[q]) if i != q)[:10]
         assert [got[q][k + 1] for k in range(10)] == [(i, -s) for s, i in want]
     assert set(got) == set(range(0, 460, 10))
-    assert top_k(df.limit(0), df, 10).count() == 0
+    assert top_k(df.limit(0), df, 10).count() == 0 and top_k(df, df.limit(0), 10).count() == 0

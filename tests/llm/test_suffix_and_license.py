@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from storecast.llm.license_scan import CONTAINMENT, TEMPLATES, WORD, Scanner, license_matches, longest, notices, shingles
 from storecast.llm.suffix_dedup import Queues, repeats_removed, suffix_order
@@ -137,3 +138,17 @@ def test_licenses_equal_brute_force():
 
 def test_notices_do_not_overlap():
     assert list(notices([0, 1, 2, 3, 7, 8], list("abcdab"), 2, 9, 2)) == [(0, 5, 4), (7, 10, 2)]
+
+
+def test_rows_that_repeat_an_id_are_texts_of_their_own(spark):
+    rng = np.random.default_rng(3)
+    word = lambda n: bytes(rng.integers(97, 105, n).astype(np.uint8)).decode()
+    passage, own = word(250), word(150)
+    rows = [(7, own), (7, passage + word(80)), (7, word(30) + passage), (7, "twice " + word(120)), (2, passage[:140]), (None, passage), (None, own), (None, None), (9, own[10:] + word(5)), (7, "")]
+    rows.append(rows[3])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    hashed = {(r.doc_id, r.text): (r.doc_id, r.a, r.b) for r in df.filter("doc_id is not null").select("doc_id", "text", F.xxhash64(F.col("text").cast("binary")).alias("a"), F.xxhash64(F.lit(1), F.col("text").cast("binary")).alias("b")).collect()}
+    order = sorted(hashed, key=hashed.get)
+    want = dict(zip(order, plain([t.encode() for _, t in order], 100), strict=True))
+    got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats_removed(df).collect())
+    assert got == sorted((i or -1, *want.get((i, t), (len(t or ""), 0, 0, (t or "").encode()))) for i, t in rows)
