@@ -29,7 +29,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 DIMS = ("source", "lang", "topic")
 #: The targets of the query: a power of a level's tokens (0: equal shares, 1: as they are), or shares by level.
 TARGETS: Mapping[str, float | Mapping[str, float]] = {"source": 0.5, "lang": {"en": 0.5, "de": 0.2, "fr": 0.2, "es": 0.1}, "topic": 0.5}
-ITERATIONS, EVERY, SHARE, SEED = 24, 4, 0.5, 17
+ITERATIONS, EVERY, SHARE, SEED = 16, 4, 0.5, 17
 FEW_CELLS = 20_000
 
 
