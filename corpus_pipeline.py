@@ -13,7 +13,7 @@ from storecast.llm.mixing import mixed_sample
 from storecast.llm.packing import packed
 from storecast.llm.queries import lengths, table, topics_of
 from storecast.llm.simhash import near_duplicates
-from storecast.llm.store import written
+from storecast.llm.store import dropped, written
 from storecast.llm.toxicity import fit, scores
 
 
@@ -58,5 +58,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
