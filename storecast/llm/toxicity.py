@@ -35,7 +35,7 @@ from .text import lowered, mixed, pieces, prefix_sums, run_hash, words
 MAX_EXAMPLES = 4_000
 PREFIXES = (4,)
 NEIGHBOURS, BLOCK, SMOOTHING, EVIDENCE = 15, 64, 0.05, 3
-DENSE, QUERIES_AT_ONCE = 16, 64
+DENSE, QUERIES_AT_ONCE, PIECE = 16, 64, 1 << 19
 
 
 def _features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -92,7 +92,7 @@ def _document_counts(get: Callable[[], Terms]):
         n, seen = 0, np.zeros(len(terms.hashes), np.int64)
         for batch in batches:
             n += len(batch)
-            for _, _, data, offsets in pieces(batch.column(0)):
+            for _, _, data, offsets in pieces(batch.column(0), PIECE):
                 seen += np.bincount(terms.counts(data, offsets)[1], minlength=len(seen))
         some = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], some])), pa.array(np.concatenate([[n], seen[some]]))], ["term", "n"])
@@ -104,7 +104,7 @@ def _feature_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     """(doc_id, text, toxic) to (doc_id, toxic, features, times)."""
     for batch in batches:
         out = [(np.zeros(0, np.int64), np.zeros(0, np.int32))] * len(batch)
-        for first, _, data, offsets in pieces(batch.column(1)):
+        for first, _, data, offsets in pieces(batch.column(1), PIECE):
             if not len(data):
                 continue
             row, word, times, features, exist = _features(data, offsets)
@@ -253,7 +253,7 @@ def _own_votes(get: Callable[[], Model]):
         model = get()
         for batch in batches:
             number, votes = np.searchsorted(model.ids, batch.column(0).to_numpy()), []
-            for first, _, data, offsets in pieces(batch.column(1)):
+            for first, _, data, offsets in pieces(batch.column(1), PIECE):
                 rows, terms, times = model.terms.counts(data, offsets)
                 start = np.flatnonzero(np.diff(rows, prepend=-1))
                 for k, (ids, cosines) in zip(number[first + rows[start]].tolist(), model.neighbours(start, terms, times, NEIGHBOURS + 1), strict=True):
@@ -327,7 +327,7 @@ def scores(model: Model):
         own = get()
         own.knots = knots
         found = [(own.empty_score, [])] * len(text)
-        for first, _, data, offsets in pieces(text):
+        for first, _, data, offsets in pieces(text, PIECE):
             rows, terms, times = own.terms.counts(data, offsets)
             start = np.flatnonzero(np.diff(rows, prepend=-1))
             for k, near in zip((first + rows[start]).tolist(), own.neighbours(start, terms, times, NEIGHBOURS), strict=True):
