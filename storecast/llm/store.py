@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -48,12 +49,20 @@ def dropped(df: DataFrame) -> None:
 
 
 def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
-    """``value`` in every task: sent once to each executor, classes by value, unpacked once a task. Only for values of bounded size."""
-    packed, own = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+    """``value`` in every task: sent once to each executor, classes by value, arrays as they are. Only for values of bounded size.
+
+    In a task its arrays stand on the bytes received, so there is one copy of
+    them, which cannot be written to.
+    """
+    parts: list = []
+    head = cloudpickle.dumps(value, protocol=5, buffer_callback=parts.append)
+    packed, own = spark.sparkContext.broadcast((head, [p.raw().tobytes() for p in parts])), []
+    del parts
 
     def get() -> Any:
         if not own:
-            own.append(cloudpickle.loads(packed.value))
+            head, arrays = packed.value
+            own.append(pickle.loads(head, buffers=arrays))
         return own[0]
 
     return get
