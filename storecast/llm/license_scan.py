@@ -3,7 +3,7 @@
 A notice may hold 0.8 of a template's five-word shingles. Words put in between
 them break four shingles at least, so a template that may miss four is looked
 for in windows of twice its words, any other in windows of its own length;
-windows start every few words, so one covers a notice of that length whole. A
+windows start every few words of a text, so one covers a notice of that length whole. A
 window's MinHash values are minima over its shingles; their bands are looked
 up among the templates' own. From the window's length follows the least
 similarity of window and template, and from that the number of bands: a notice
@@ -166,8 +166,8 @@ class Scanner:
             out = mixed(least(x ^ (x >> np.uint64(29))) + out)
         return out
 
-    def candidates(self, word: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(template, first word of a window) of every collision."""
+    def candidates(self, word: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(template, first word of a window) of every collision; ``place`` numbers the words of each text."""
         hashes = {length: shingle_hashes(word, length) for length in {min(SHINGLE, n) for n in self.by_length}}
         low = {length: (h & np.uint64(0xFFFF)).astype(np.int64) for length, h in hashes.items()}
         for n in self.by_length:
@@ -181,7 +181,7 @@ class Scanner:
             width = max(1, size - length + 1)
             # Whole windows around the templates' shingles, side by side; one that runs over a seam begins too far from a shingle.
             near = np.flatnonzero(covered(some, width - 1, width - 1, len(h)))
-            starts = np.flatnonzero(covered(some, width - 1, 0, len(h))[near] & (near % step == 0))
+            starts = np.flatnonzero(covered(some, width - 1, 0, len(h))[near] & (place[near] % step == 0))
             h = h[near]
             for band in range(bands):
                 value = self.band(h, band, lambda x, width=width, starts=starts, m=len(h): sliding_min(x, width)[:m][starts])
@@ -199,7 +199,7 @@ class Scanner:
         hashes = run_hash(prefix_sums(low), start, end)
         raw, out = low.tobytes(), {}
         of: dict[int, list[int]] = {}
-        for k, first in sorted(set(self.candidates(hashes))):
+        for k, first in sorted(set(self.candidates(hashes, np.arange(len(row)) - np.searchsorted(row, row)))):
             of.setdefault(k, []).append(first)
         for k, firsts in of.items():
             n, mine = len(self.words[k]), self.shingles[k]

@@ -152,3 +152,22 @@ def test_rows_that_repeat_an_id_are_texts_of_their_own(spark):
     want = dict(zip(order, plain([t.encode() for _, t in order], 100), strict=True))
     got = sorted((r.doc_id or -1, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats_removed(df).collect())
     assert got == sorted((i or -1, *want.get((i, t), (len(t or ""), 0, 0, (t or "").encode()))) for i, t in rows)
+
+
+def test_matches_do_not_depend_on_the_texts_before(spark):
+    rng = np.random.default_rng(5)
+    word = lambda: "t" + str(rng.integers(0, 10**6))
+    long = [word() for _ in range(64)]
+    full = [word() for _ in range(2000)]  # as long as a whole license
+    notes = [" ".join(long[:54]), " ".join(long[3:60]), " ".join([*long[:30], "put", "in", *long[30:]]), " ".join(full[:1700]), " ".join([*full[:900], *full[1000:]]), " ".join(long[:20])]
+    scanner = Scanner({"long": " ".join(long), "full": " ".join(full)})
+
+    def found(lead, text):
+        data = f"{lead}{text}".encode()
+        return scanner.scan(np.frombuffer(data, np.uint8), np.array([0, len(lead), len(data)])).get(1, [])
+
+    alone = [found("", t) for t in notes]
+    assert [[x["license"] for x in got] for got in alone] == [["long"], ["long"], ["long"], ["full"], ["full"], []]
+    for n in range(1, 21):
+        lead = "foreign word " * n + "\n"
+        assert [found(lead, t) for t in notes] == alone
