@@ -13,9 +13,11 @@ What is learnt is the number of times each byte follows each context in the
 training texts; all else follows from these counts. They are gathered from the
 whole corpus and never in one place: documents are dealt to blocks by a hash
 of their id, a block sends the distinct contexts (and words) it needs with its
-own counts, these are summed by bucket, the trees are computed by bucket, and
-each block gets back the values it asked for. Only the nodes of the two
-shallowest levels, 256 contexts of 255 decisions, go through the driver.
+own counts, these are summed by bucket, and each block gets back the values it
+asked for. The trees are computed for all contexts that share their last three
+bytes together; what the nodes above sum over such groups is added up in Spark
+for two bytes of context and sent back to the groups. Only the nodes of the
+two shallowest levels, 256 contexts of 255 decisions, go through the driver.
 """
 
 from __future__ import annotations
@@ -212,20 +214,47 @@ def _trees(key: np.ndarray, n: np.ndarray, decision: int, top: int) -> tuple[lis
     return levels, to
 
 
-TOP = 2  # the depth down to which a bucket of contexts, dealt by their last two bytes, is complete
+TOP = 3  # the depth down to which a group of contexts, dealt by their last three bytes, is complete
 
 
-def _tops(table: pa.Table) -> pa.Table:
-    """A group of contexts to what each node one depth above TOP sums over its children in the group."""
+def _above(level: Level, context: int, decision: int) -> np.ndarray:
+    """The number of each node's ancestor: its last ``context`` bytes, then the bits decided before under a leading one."""
+    last = (level.key >> np.uint64(8 * (DEPTH + 1 - context))).astype(np.int64)
+    return last * 256 + (1 << decision) + (level.key & np.uint64(0xFF)).astype(np.int64)
+
+
+def _parents(node: np.ndarray, level: Level) -> pa.Table:
+    """What each of the nodes named for the rows of ``level`` sums over these."""
+    names, at = np.unique(node, return_inverse=True)
+    return pa.table({"node": names, **{c: np.bincount(at, x, len(names)) for c, x in (("n0", level.n0), ("n1", level.n1), ("below", level.weight))}})
+
+
+SUMS = "node long, n0 double, n1 double, below double"
+
+
+def _tops(group: tuple, table: pa.Table) -> pa.Table:
+    """A group of contexts to what each node with two bytes of context sums over its children in the group."""
     key, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
     out = []
     for decision in range(8):
         level = _trees(key, n, decision, TOP)[0][-1]
-        last = (level.key >> np.uint64(8 * DEPTH)).astype(np.int64)
-        node = last * 256 + (1 << decision) + (level.key & np.uint64(0xFF)).astype(np.int64)
-        names, at = np.unique(node, return_inverse=True)
-        out.append(pa.table({"node": names, **{c: np.bincount(at, x, len(names)) for c, x in (("n0", level.n0), ("n1", level.n1), ("below", level.weight))}}))
-    return pa.concat_tables(out)
+        out.append(_parents(_above(level, TOP - 1, decision), level))
+    out = pa.concat_tables(out)
+    return out.add_column(0, "group", pa.array([group[0].as_py()] * out.num_rows, pa.int32()))
+
+
+def _level(table: pa.Table | pa.RecordBatch) -> Level:
+    """Rows of SUMS as a level, in the order of their numbers."""
+    node, *sums = (table.column(c).to_numpy(zero_copy_only=False) if isinstance(table, pa.RecordBatch) else table.column(c).to_numpy() for c in ("node", "n0", "n1", "below"))
+    order = np.argsort(node)
+    return Level(node[order], *(x[order] for x in sums))
+
+
+def _firsts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes with two bytes of context to what each node with one byte sums over these."""
+    for batch in batches:
+        level = _level(batch)
+        yield from _parents((level.key >> 16) * 256 + (level.key & 255), level).to_batches()
 
 
 class Shallow:
@@ -245,10 +274,12 @@ class Shallow:
 
 
 def _logs(shallow):
-    """A group of contexts to the log probability of each byte after its context, all depths mixed."""
+    """A group of contexts, and its nodes with two bytes of context, to the log probability of each byte after its context, all depths mixed."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(table: pa.Table, nodes: pa.Table) -> pa.Table:
         key, n = table.column("key").to_numpy().view(np.uint64), table.column("n").to_numpy()
+        symbol, second = (key & np.uint64(0xFF)).astype(np.int64), _level(nodes)
+        two = (key >> np.uint64(8 * (DEPTH - 1))).astype(np.int64)
         total = np.zeros(len(key))
         for decision in range(8):
             levels, to = _trees(key, n, decision, TOP)
@@ -256,9 +287,9 @@ def _logs(shallow):
             for level, up in zip(levels[1:], to[1:], strict=True):
                 at = up[at]
                 p, known = level.mix(p, known, at)
-            symbol = (key & np.uint64(0xFF)).astype(np.int64)
-            node = (key >> np.uint64(8 * DEPTH)).astype(np.int64) * 256 + (1 << decision) + (symbol >> (8 - decision))
-            p = shallow().mix(node, p, known)
+            name = (1 << decision) + (symbol >> (8 - decision))
+            p, known = second.mix(p, known, np.searchsorted(second.key, two * 256 + name))
+            p = shallow().mix((two >> 8) * 256 + name, p, known)
             total += np.log(np.where(symbol >> (7 - decision) & 1, p, 1 - p))
         return pa.table({"key": table.column("key"), "log_p": total})
 
@@ -275,7 +306,11 @@ def _context_replies(asked: pa.Table, logs: pa.Table) -> pa.Table:
     return pa.table({"block": asked.column("block"), "kind": pa.array([0] * n, pa.int32()), "bucket": asked.column("bucket"), "reply": pa.array(replies, pa.binary()), "seen": pa.array([0] * n, pa.int64())})
 
 
-SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double"
+def _summed_nodes(parts: DataFrame) -> DataFrame:
+    return parts.groupBy("node").agg(*(F.sum(c).alias(c) for c in ("n0", "n1", "below")))
+
+
+SCORED = "doc_id long, n_tokens long, n_known long, base_score double, score double, n_bytes long"
 
 
 def _scores(total: int, distinct: int, buckets: int):
@@ -311,7 +346,7 @@ def _scores(total: int, distinct: int, buckets: int):
             n_tokens[first:last] += np.bincount(row, minlength=last - first)
             n_known[first:last] += np.bincount(row, (count > 0)[own][word_at], last - first).astype(np.int64)
             base[first:last] += np.bincount(row, points[own][word_at], last - first)
-        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score})
+        return pa.table({"doc_id": docs.column("doc_id"), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score, "n_bytes": pc.binary_length(docs.column("text")).cast(pa.int64())})
 
     return run
 
@@ -321,11 +356,12 @@ def held_out(id_col: str = "doc_id"):
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
+    """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte.
 
     score is the log10 probability of the text, A-Z in lower case, and its end
     under the weighted context trees of the rows that are not held out, summed
-    from each byte's in single precision;
+    from each byte's in single precision; bits_per_byte is its code length over the
+text's bytes and its end mark, which counts as one;
     base_score that of its words under their smoothed counts. Words are told
     apart by 64-bit hash. A null text is empty: its end alone is scored. A null
     id counts as the empty string for the split. Rows that repeat an id are
@@ -345,15 +381,19 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     distinct = by_word.groupBy("bucket").agg(F.max("seen").alias("seen")).agg(F.sum("seen")).first()[0] or 0
 
     contexts = written(asked.filter("kind = 0").groupBy("bucket").applyInArrow(_context_counts, "key long, n long"), "contexts")
-    groups = max(1, min(1 << 16, math.ceil(contexts.count() / BUCKET_KEYS * 8)))
-    # Contexts with the same last two bytes go together: at most 256 ** (DEPTH - 1) numbers, however large the corpus.
-    grouped = contexts.withColumn("group", F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8 * (DEPTH - 1))), F.lit(groups)).cast("int"))
-    tops = grouped.groupBy("group").applyInArrow(_tops, "node long, n0 double, n1 double, below double")
+    groups = max(1, min(1 << 20, math.ceil(contexts.count() / BUCKET_KEYS * 8)))
+    # Contexts with the same last three bytes go together: at most 256 ** (DEPTH - 2) numbers, however large the corpus.
+    grouped = contexts.withColumn("group", F.pmod(F.xxhash64(F.shiftrightunsigned("key", 8 * (DEPTH - 2))), F.lit(groups)).cast("int"))
+    tops = written(grouped.groupBy("group").applyInArrow(_tops, f"group int, {SUMS}"), "context-tops")
+    # Nodes with two bytes of context: 2 ** 24 at most, each in 256 groups at most.
+    second = written(_summed_nodes(tops), "two-bytes")
     # One row per node of depth 1: 65,536 at most, by construction.
-    shallow = Shallow(tops.groupBy("node").agg(F.sum("n0"), F.sum("n1"), F.sum("below")).collect())
-    logs = grouped.groupBy("group").applyInArrow(_logs(sent(spark, shallow)), "key long, log_p double")
+    shallow = Shallow(_summed_nodes(second.mapInArrow(_firsts, SUMS)).collect())
+    wanted = tops.select("group", "node").join(second, "node")
+    logs = grouped.groupBy("group").cogroup(wanted.groupBy("group")).applyInArrow(_logs(sent(spark, shallow)), "key long, log_p double")
     logs = written(logs, "log-probabilities")
-    dropped(contexts)
+    for read in (contexts, tops, second):
+        dropped(read)
 
     @F.arrow_udf("int")
     def bucket_of(key: pa.Array) -> pa.Array:
@@ -362,7 +402,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     by_context = asked.filter("kind = 0").groupBy("bucket").cogroup(logs.select(bucket_of("key").alias("bucket"), "key", "log_p").groupBy("bucket")).applyInArrow(_context_replies, REPLY)
     replies = by_word.unionByName(by_context)
     out = dealt.select("block", "doc_id", "text").groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_scores(total, distinct, buckets), SCORED)
-    return out.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+    return out.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score", "n_bytes", (-F.col("score") * math.log2(10) / (F.col("n_bytes") + 1)).alias("bits_per_byte"))
 
 
 def plain_log_probabilities(train: list[bytes], texts: Iterator[bytes]) -> list[float]:

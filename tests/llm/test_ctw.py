@@ -38,6 +38,8 @@ def test_scores_equal_the_definition(spark, block_bytes):
         base = sum(math.log10((counts[w] + 1) / (total + distinct + 1)) for w in words[i])
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (i in out, len(words[i]), sum(counts[w] > 0 for w in words[i]), total)
         assert math.isclose(r.base_score, base, rel_tol=1e-9) and math.isclose(r.score, score, rel_tol=1e-6)
+        n_bytes = len((TEXTS[i % len(TEXTS)] or "").encode())
+        assert r.n_bytes == n_bytes and math.isclose(r.bits_per_byte, -score * math.log2(10) / (n_bytes + 1), rel_tol=1e-6)
 
 
 def test_scores_are_probabilities_of_whole_texts():
