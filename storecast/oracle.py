@@ -148,7 +148,7 @@ SELECT flag, count(*) AS rows, count(*) FILTER (WHERE DayOfWeek = 1) AS mondays,
     "q_neighbouring_rows": PANEL + f" SELECT Store, Date, Open, lag(Open) OVER ({W}) AS open_before, lead(Open) OVER ({W}) AS open_after FROM panel",
     "q_promo_block": PANEL + f", c AS (SELECT Store, Date, Promo, d, CASE WHEN Promo = lag(Promo) OVER ({W}) THEN 0 ELSE 1 END AS change FROM open_days), r AS (SELECT *, CAST(sum(change) OVER ({W} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run FROM c) SELECT Store, Date, Promo, run, CAST(row_number() OVER (PARTITION BY Store, run ORDER BY Date) AS INT) AS place FROM r",
     "q_nearest_holiday": PANEL + f" SELECT Store, Date, CAST(coalesce(least(d - max(CASE WHEN StateHoliday <> '0' THEN d END) OVER ({W} ROWS UNBOUNDED PRECEDING), min(CASE WHEN StateHoliday <> '0' THEN d END) OVER ({W} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - d), 99) AS INT) AS holiday_gap FROM panel",
-    "q_calendar_extension": PANEL + FOLDS + ", plan AS (SELECT Store, Date, 1 AS Open, StateHoliday FROM panel, folds WHERE fold = 4 AND Date >= valid_start AND Store % 2 = 0), own AS (SELECT Store, Date, Open, StateHoliday FROM panel WHERE Date >= (SELECT min(Date) - 10 FROM plan) AND Store IN (SELECT Store FROM plan)) SELECT * FROM plan UNION ALL SELECT own.* FROM own ANTI JOIN plan USING (Store, Date)",
+    "q_calendar_extension": PANEL + FOLDS + ", plan AS (SELECT Store, Date, 1 AS Open, StateHoliday FROM panel, folds WHERE fold = 4 AND Date >= valid_start), own AS (SELECT Store, Date, Open, StateHoliday FROM panel WHERE Date >= (SELECT min(Date) - 10 FROM plan) AND Store IN (SELECT Store FROM plan)) SELECT * FROM plan UNION ALL SELECT own.* FROM own ANTI JOIN plan USING (Store, Date)",
     "q_missing_day_before": PANEL + FOLDS + " SELECT p.Store, p.Date FROM open_days p, folds WHERE fold = 4 AND p.Date > train_end AND NOT EXISTS (SELECT 1 FROM panel c WHERE c.Store = p.Store AND c.Date = p.Date - 1)",
     "q_folds": PANEL + FOLDS + " SELECT fold, train_end, valid_start, valid_end, count(*) FILTER (WHERE Date <= train_end) AS train_rows, count(*) FILTER (WHERE Date BETWEEN valid_start AND valid_end) AS valid_rows FROM folds, open_days GROUP BY ALL",
     "q_learned": PANEL + SCORED + LEARNED + " SELECT Store, DayOfWeek, round(store_mean_sales, 6) AS store_mean_sales, round(store_dow_mean_sales, 6) AS store_dow_mean_sales, round(store_promo_uplift, 6) AS store_promo_uplift, round(global_mean, 6) AS global_mean, round(global_uplift, 6) AS global_uplift, comp_dist_median FROM by_day JOIN by_store USING (Store) JOIN uplift USING (Store), every",
