@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.facts import relative_error, squared_error
 from .metrics import rmspe_of
+from .quantiles import quantiles
 
 
 def seed_scores(frame: DataFrame, *cols: str, predicted: str = "prediction") -> DataFrame:
@@ -75,15 +76,23 @@ def pivoted(frame: DataFrame, row: str, column: str, values: list) -> DataFrame:
 def business(frame: DataFrame) -> DataFrame:
     """Misses in units and shares, and how often and by how much the forecast is high or low."""
     miss, rel = F.abs(F.col("prediction") - F.col("Sales")), relative_error()
-    return frame.filter("Sales <> 0").agg(
-        F.median("Sales").alias("median_sales"), F.percentile(miss, 0.5).alias("miss_median"), F.percentile(miss, 0.9).alias("miss_90"),
-        F.percentile(F.abs(rel), 0.5).alias("share_median"), F.percentile(F.abs(rel), 0.9).alias("share_90"),
-        F.avg((rel > 0).cast("int")).alias("too_high"), F.avg((rel < 0).cast("int")).alias("too_low"), (F.sum("prediction") / F.sum("Sales") - 1).alias("bias"),
+    sold = frame.filter("Sales <> 0")
+    each = F.array(*(F.struct(F.lit(n).alias("of"), v.cast("double").alias("value")) for n, v in (("sales", F.col("Sales")), ("miss", miss), ("share", F.abs(rel)))))
+    cuts = quantiles(sold.select(F.inline(each)), ["of"], "value", {"half": 0.5, "nine_tenths": 0.9})
+    cut = lambda of, share: F.max(F.when(F.col("of") == of, F.col(share)))
+    cuts = cuts.agg(
+        cut("sales", "half").alias("median_sales"), cut("miss", "half").alias("miss_median"), cut("miss", "nine_tenths").alias("miss_90"),
+        cut("share", "half").alias("share_median"), cut("share", "nine_tenths").alias("share_90"),
     )
+    rest = sold.agg(F.avg((rel > 0).cast("int")).alias("too_high"), F.avg((rel < 0).cast("int")).alias("too_low"), (F.sum("prediction") / F.sum("Sales") - 1).alias("bias"))
+    return cuts.join(F.broadcast(rest))
 
 
 def bias(frame: DataFrame, *cols: str) -> DataFrame:
-    return frame.filter("Sales <> 0").groupBy(*cols).agg(F.avg(relative_error()).alias("mean_error"), F.median(relative_error()).alias("median_error"))
+    """Mean and median relative error by group; the groups may be few and large."""
+    sold = frame.filter("Sales <> 0").select(*cols, relative_error().alias("rel"))
+    means = sold.groupBy(*cols).agg(F.avg("rel").alias("mean_error"))
+    return means.join(quantiles(sold, list(cols), "rel", {"median_error": 0.5}), list(cols), "left")
 
 
 def size_quartiles(train: DataFrame) -> DataFrame:

@@ -16,15 +16,16 @@ def median_rule(train: DataFrame, rows: DataFrame, by: list[str] | None = None,
     ``by`` are keys, such as the fold, that stand on both sides.
     """
     by = by or []
-    median = lambda keys, name: train.groupBy(*keys).agg(F.median("Sales").alias(name)) if keys else train.agg(F.median("Sales").alias(name))
+    median = lambda keys, name: train.groupBy(*keys).agg(F.median("Sales").alias(name))
     out = rows.join(median([*by, *KEYS], "m_key"), [*by, *KEYS], "left")
     levels = ["m_key"]
     if store_level:
         out, levels = out.join(median([*by, "Store"], "m_store"), [*by, "Store"], "left"), [*levels, "m_store"]
+    # Sales are whole numbers, so the task of a fold holds a count per distinct number, not its rows.
     if by:
         out = out.join(median(by, "m_all"), by, "left").withColumn("prediction", F.coalesce(*levels, "m_all"))
     else:
-        out = out.withColumn("prediction", F.coalesce(*levels, F.lit(median([], "m_all").first()[0])))
+        out = out.withColumn("prediction", F.coalesce(*levels, F.lit(train.agg(F.median("Sales")).first()[0])))
     return out.drop("m_key", "m_store", "m_all")
 
 

@@ -55,6 +55,6 @@ def accepted(scores: DataFrame, base: str) -> DataFrame:
     """Per arm: the folds it is better on, and whether it beats the base on every one by more than the base's seed noise."""
     by_fold = scores.groupBy("arm", "fold").agg(F.avg("rmspe").alias("rmspe"))
     own = by_fold.filter(F.col("arm") == base).select("fold", F.col("rmspe").alias("base"))
-    noise = arm_summary(scores).filter(F.col("arm") == base).first().noise
+    own = own.join(F.broadcast(arm_summary(scores).filter(F.col("arm") == base).select("noise")))
     delta = F.col("rmspe") - F.col("base")
-    return by_fold.filter(F.col("arm") != base).join(F.broadcast(own), "fold").groupBy("arm").agg(F.count_if(delta < 0).alias("better_on"), F.count("*").alias("folds"), F.bool_and(delta < -noise).alias("accepted"))
+    return by_fold.filter(F.col("arm") != base).join(F.broadcast(own), "fold").groupBy("arm").agg(F.count_if(delta < 0).alias("better_on"), F.count("*").alias("folds"), F.bool_and(delta < -F.col("noise")).alias("accepted"))

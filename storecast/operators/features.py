@@ -89,9 +89,9 @@ class Features:
         rows = dummies(promo2(competition(calendar_parts(df), self.learned.comp_dist_median)))
         rows = self.learned.join(rows)
         if self.calendar is not None:
-            rows = rows.join(around(self.calendar, self.with_reopening), ["Store", "Date"], "left")
-            if validate and (n := rows.filter("open_yesterday is null").count()):
+            if validate and (n := df.select("Store", "Date").join(self.calendar.select("Store", "Date"), ["Store", "Date"], "left_anti").count()):
                 raise ValueError(f"{n} rows are not in the calendar")
+            rows = rows.join(around(self.calendar, self.with_reopening), ["Store", "Date"], "left")
         if self.easter:
             rows = rows.withColumn("days_to_easter", days_to_easter())
         return month_columns(rows) if self.month else rows

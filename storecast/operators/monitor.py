@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import week
 from ..functions.facts import squared_error
 from .metrics import rmspe_of
+from .quantiles import quantiles
 
 
 def evaluate(scored: DataFrame, threshold: float | None = None) -> DataFrame:
@@ -39,8 +40,7 @@ def sales_ratios(scored: DataFrame) -> DataFrame:
 
 def interval_quantiles(ratios: DataFrame, tail: float = 0.1) -> DataFrame:
     """By segment the quantiles of sales over prediction."""
-    q = F.percentile("ratio", F.array(F.lit(tail), F.lit(1 - tail)))
-    return ratios.groupBy("segment").agg(q[0].alias("q_low"), q[1].alias("q_high"))
+    return quantiles(ratios, ["segment"], "ratio", {"q_low": tail, "q_high": 1 - tail})
 
 
 def interval_ratios(scored: DataFrame, tail: float = 0.1) -> DataFrame:

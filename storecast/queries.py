@@ -14,6 +14,7 @@ from .operators.validation import RollingOrigin
 from .schema import feature_names
 from .sources import files
 from .sources.panel import daily_rows, panel, store_facts
+from .sources.tables import written
 
 SPLIT = RollingOrigin()
 
@@ -27,21 +28,32 @@ def open_panel(spark: SparkSession, d: str) -> DataFrame:
     return panel(spark, d, drop_closed=True)
 
 
-def scored(spark: SparkSession, d: str) -> DataFrame:
-    return baseline.scored_folds(open_panel(spark, d), SPLIT)
+def stored(spark: SparkSession, d: str) -> DataFrame:
+    """The panel as a table, for queries that read it more than once."""
+    return written(panel(spark, d), "panel")
 
 
-def newest(spark: SparkSession, d: str) -> DataFrame:
-    return scored(spark, d).filter("fold = 4")
+def open_days(rows: DataFrame) -> DataFrame:
+    return rows.filter("Open = 1")
 
 
-def history(spark: SparkSession, d: str) -> DataFrame:
-    return SPLIT.assigned(open_panel(spark, d), "train").filter("fold = 4").drop("fold", "train_end", "valid_start", "valid_end", "role")
+def scored(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    """All folds with the median rule; ``rows``: the stored panel, if the query has it."""
+    return baseline.scored_folds(open_days(rows) if rows is not None else written(open_panel(spark, d), "open-days"), SPLIT)
 
 
-def window_start(spark: SparkSession, d: str) -> tuple:
-    """(train_end, valid_start) of the newest fold."""
-    f = SPLIT.folds(open_panel(spark, d)).filter("fold = 4").first()
+def newest(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    return scored(spark, d, rows).filter("fold = 4")
+
+
+def history(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
+    days = open_days(rows) if rows is not None else written(open_panel(spark, d), "open-days")
+    return SPLIT.assigned(days, "train").filter("fold = 4").drop("fold", "train_end", "valid_start", "valid_end", "role")
+
+
+def window_start(rows: DataFrame) -> tuple:
+    """(train_end, valid_start) of the newest fold of a stored panel."""
+    f = SPLIT.folds(open_days(rows)).filter("fold = 4").first()
     return f.train_end, f.valid_start
 
 
@@ -54,8 +66,9 @@ def q_clean_panel(spark, d):
 
 
 def q_rows_to_score(spark, d):
-    _, start = window_start(spark, d)
-    request = daily_rows(spark, d).filter(F.col("Date") >= F.lit(start)).select("Store", "Date", F.when(F.pmod(F.unix_date("Date"), F.lit(3)) != 0, F.col("Open")).alias("Open"), "Promo")
+    daily = written(daily_rows(spark, d), "daily")
+    _, start = window_start(daily)
+    request = daily.filter(F.col("Date") >= F.lit(start)).select("Store", "Date", F.when(F.pmod(F.unix_date("Date"), F.lit(3)) != 0, F.col("Open")).alias("Open"), "Promo")
     return files.rows_to_score(request, store_facts(spark, d)).select("Store", "Date", "DayOfWeek", "Open", "Promo", "StoreType")
 
 
@@ -64,8 +77,9 @@ def q_scored_file(spark, d):
 
 
 def q_joined_actuals(spark, d):
-    predictions = files.scored_columns(newest(spark, d).filter("Sales > 0").select("Store", "Date", "prediction"))
-    return files.with_predictions(open_panel(spark, d).select("Store", "Date", "Sales"), predictions)
+    rows = stored(spark, d)
+    predictions = files.scored_columns(newest(spark, d, rows).filter("Sales > 0").select("Store", "Date", "prediction"))
+    return files.with_predictions(open_days(rows).select("Store", "Date", "Sales"), predictions)
 
 
 def q_dates(spark, d):
@@ -74,8 +88,8 @@ def q_dates(spark, d):
 
 
 def q_facts(spark, d):
-    rows = panel(spark, d)
-    median = rows.filter("Open = 1").agg(F.median("CompetitionDistance")).first()[0]
+    rows = stored(spark, d)
+    median = open_days(rows).agg(F.median("CompetitionDistance")).first()[0]
     return facts.promo2(facts.competition(rows, median)).select("Store", "Date", "CompetitionDistance", "competition_age_months", "promo2_active", "promo2_tenure_weeks", "promo_cycle_pos")
 
 
@@ -85,8 +99,9 @@ def q_dummies(spark, d):
 
 
 def q_features(spark, d):
-    built = features.Features(features.statistics(history(spark, d)), panel(spark, d), with_reopening=True, month=True)
-    out = built.transform(open_panel(spark, d), validate=True)
+    rows = stored(spark, d)
+    built = features.Features(features.statistics(history(spark, d, rows)), rows, with_reopening=True, month=True)
+    out = built.transform(open_days(rows), validate=True)
     built.check(out)
     return r6(out.select("Store", "Date", *feature_names(reopening=True, month=True)))
 
@@ -101,8 +116,13 @@ def q_size_quartiles(spark, d):
     return analysis.size_quartiles(history(spark, d))
 
 
+def store_profiles(spark, d) -> DataFrame:
+    """One row per store."""
+    return written(profiles.profiles(written(open_panel(spark, d), "open-days")), "profiles")
+
+
 def cell_table(spark, d) -> DataFrame:
-    return profiles.cells(profiles.long_history(profiles.profiles(open_panel(spark, d)), 300))
+    return profiles.cells(profiles.long_history(store_profiles(spark, d), 300))
 
 
 def cell_segments(spark, d) -> DataFrame:
@@ -120,14 +140,16 @@ def q_closure(spark, d):
 
 
 def q_closure_labels(spark, d):
-    rows = scored(spark, d).join(calendar.closure(panel(spark, d)), ["Store", "Date"]).withColumn("label", facts.closure_label())
+    days = stored(spark, d)
+    rows = scored(spark, d, days).join(calendar.closure(days), ["Store", "Date"]).withColumn("label", facts.closure_label())
     return r6(analysis.shares(rows, "label"))
 
 
 def q_closure_flags(spark, d):
     """Rows and shares of flags that overlap, with how many of the flagged are Mondays and first days of a promotion."""
-    rows = scored(spark, d).join(calendar.closure(panel(spark, d)), ["Store", "Date"]).withColumns(facts.closure_flags())
-    first = calendar.promo_block(open_panel(spark, d)).filter("Promo = 1 and place = 1").select("Store", "Date", F.lit(True).alias("first_promo"))
+    days = stored(spark, d)
+    rows = scored(spark, d, days).join(calendar.closure(days), ["Store", "Date"]).withColumns(facts.closure_flags())
+    first = calendar.promo_block(open_days(days)).filter("Promo = 1 and place = 1").select("Store", "Date", F.lit(True).alias("first_promo"))
     rows = rows.join(first, ["Store", "Date"], "left").withColumn("flag", F.explode(F.array(*(F.when(F.col(n), F.lit(n)) for n in ("after_closed", "before_closed", "near_holiday", "any_flag")))))
     out = rows.filter("flag is not null").groupBy("flag").agg(F.count("*").alias("rows"), F.count_if(F.col("DayOfWeek") == 1).alias("mondays"), F.count_if("first_promo").alias("first_promo_days"), rmspe_of().alias("rmspe"))
     return r6(out)
@@ -138,8 +160,9 @@ def q_reopening(spark, d):
 
 
 def q_first_back(spark, d):
-    back = calendar.reopening(panel(spark, d)).filter("days_since_reopening = 0").groupBy("Store").agg(F.min("Date").alias("back"))
-    return open_panel(spark, d).join(back, "Store").select("Store", "Date", dates.bucket(F.date_diff("Date", "back"), 30).alias("bucket"))
+    rows = stored(spark, d)
+    back = calendar.reopening(rows).filter("days_since_reopening = 0").groupBy("Store").agg(F.min("Date").alias("back"))
+    return open_days(rows).join(back, "Store").select("Store", "Date", dates.bucket(F.date_diff("Date", "back"), 30).alias("bucket"))
 
 
 def q_neighbouring_rows(spark, d):
@@ -155,18 +178,19 @@ def q_nearest_holiday(spark, d):
 
 
 def q_calendar_extension(spark, d):
-    _, start = window_start(spark, d)
-    known = panel(spark, d)
+    known = stored(spark, d)
+    _, start = window_start(known)
     plan = known.filter(F.col("Date") >= F.lit(start)).select("Store", "Date", F.lit(1).alias("Open"), "StateHoliday")
     return calendar.extended(known, plan)
 
 
 def q_missing_day_before(spark, d):
-    return calendar.without_day_before(open_panel(spark, d), panel(spark, d), window_start(spark, d)[0])
+    rows = stored(spark, d)
+    return calendar.without_day_before(open_days(rows), rows, window_start(rows)[0])
 
 
 def q_folds(spark, d):
-    return SPLIT.describe(open_panel(spark, d))
+    return SPLIT.describe(written(open_panel(spark, d).select("Date"), "open-dates"))
 
 
 def q_learned(spark, d):
@@ -176,12 +200,13 @@ def q_learned(spark, d):
 
 
 def q_mean_shift(spark, d):
-    rows = history(spark, d)
-    return r6(features.mean_shift(features.store_means(rows), features.store_means(features.since_reopening(rows, panel(spark, d)))))
+    days = stored(spark, d)
+    rows = history(spark, d, days)
+    return r6(features.mean_shift(features.store_means(rows), features.store_means(features.since_reopening(rows, days))))
 
 
 def q_fixed_train(spark, d):
-    return r6(baseline.scored_folds(open_panel(spark, d), SPLIT, fixed_train=True).groupBy("fold").agg(rmspe_of().alias("rmspe")))
+    return r6(baseline.scored_folds(written(open_panel(spark, d), "open-days"), SPLIT, fixed_train=True).groupBy("fold").agg(rmspe_of().alias("rmspe")))
 
 
 def q_fold_summary(spark, d):
@@ -189,12 +214,14 @@ def q_fold_summary(spark, d):
 
 
 def q_year_ago(spark, d):
-    rows = newest(spark, d).drop("prediction", "fold", "valid_start")
-    return r6(baseline.year_ago(history(spark, d), rows).select("Store", "Date", "filled", "prediction"))
+    days = stored(spark, d)
+    rows = SPLIT.assigned(open_days(days), "valid").filter("fold = 4").drop("fold", "train_end", "valid_start", "valid_end", "role")
+    return r6(baseline.year_ago(history(spark, d, days), rows).select("Store", "Date", "filled", "prediction"))
 
 
 def q_cv_results(spark, d):
-    return r6(experiment.cv_results(scored(spark, d).filter("Sales <> 0"), SPLIT, open_panel(spark, d)))
+    rows = stored(spark, d)
+    return r6(experiment.cv_results(scored(spark, d, rows).filter("Sales <> 0"), SPLIT, open_days(rows)))
 
 
 def q_compare(spark, d):
@@ -240,7 +267,7 @@ def q_correlations(spark, d):
 
 def q_ratio_size(spark, d):
     """How a store's ratios go with its size."""
-    rows = profiles.profiles(open_panel(spark, d))
+    rows = store_profiles(spark, d)
     return r6(rows.agg(*(F.corr(c, "mean_sales").alias(c) for c in ("promo_uplift", "school_uplift", "weekend_ratio", "season_amp", "dec_lift", "basket", "momentum"))))
 
 
@@ -287,11 +314,11 @@ def q_inner_calibration(spark, d):
 
 
 def q_profiles(spark, d):
-    return r6(profiles.profiles(open_panel(spark, d)))
+    return r6(store_profiles(spark, d))
 
 
 def q_standardised(spark, d):
-    return r6(profiles.standardised(profiles.long_history(profiles.profiles(open_panel(spark, d)), 300)).drop("mean_sales", "days", "raw_uplift"))
+    return r6(profiles.standardised(profiles.long_history(store_profiles(spark, d), 300)).drop("mean_sales", "days", "raw_uplift"))
 
 
 def q_cells(spark, d):
@@ -321,7 +348,7 @@ def q_adjusted_rand(spark, d):
 
 
 def q_business(spark, d):
-    return r6(analysis.business(newest(spark, d)))
+    return r6(analysis.business(written(newest(spark, d).select("Sales", "prediction"), "newest")))
 
 
 def q_week_ahead(spark, d):
@@ -330,16 +357,17 @@ def q_week_ahead(spark, d):
 
 
 def q_bias(spark, d):
-    return r6(analysis.bias(scored(spark, d), "StoreType"))
+    return r6(analysis.bias(written(scored(spark, d).select("StoreType", "Sales", "prediction"), "scored"), "StoreType"))
 
 
 def q_shape(spark, d):
-    rows = newest(spark, d)
-    return r6(monitor.shape(rows).join(F.broadcast(monitor.level_ratios(rows, history(spark, d)))))
+    days = stored(spark, d)
+    rows = newest(spark, d, days)
+    return r6(monitor.shape(rows).join(F.broadcast(monitor.level_ratios(rows, history(spark, d, days)))))
 
 
 def q_intervals(spark, d):
-    rows = scored(spark, d).withColumn("segment", (F.ascii("StoreType") - 96).cast("int"))
+    rows = written(scored(spark, d).select("fold", "Sales", "Open", "prediction", (F.ascii("StoreType") - 96).cast("int").alias("segment")), "scored")
     ratios = monitor.interval_ratios(rows.filter("fold = 3"))
     return r6(monitor.interval_quality(monitor.with_interval(rows.filter("fold = 4"), ratios), "segment"))
 
@@ -356,7 +384,7 @@ def q_arms(spark, d):
 
 
 def q_accepted(spark, d):
-    return experiment.accepted(experiment.grid(arms(spark, d)), "median")
+    return experiment.accepted(written(experiment.grid(arms(spark, d)), "grid"), "median")
 
 
 def q_seed_scores(spark, d):
@@ -405,11 +433,12 @@ def q_daily_totals(spark, d):
 
 
 def q_weekday_levels(spark, d):
-    return r6(monitor.weekday_levels(newest(spark, d), history(spark, d)))
+    rows = stored(spark, d)
+    return r6(monitor.weekday_levels(newest(spark, d, rows), history(spark, d, rows)))
 
 
 def q_segment_described(spark, d):
-    return r6(segments.described(profiles.profiles(open_panel(spark, d)), cell_segments(spark, d)))
+    return r6(segments.described(store_profiles(spark, d), cell_segments(spark, d)))
 
 
 def q_fold_correlation(spark, d):
@@ -435,7 +464,7 @@ def q_store_segments(spark, d):
     """Cells merged and clustered: no SQL."""
     from .jobs.forecaster import Forecaster
 
-    own, rows = Forecaster(), open_panel(spark, d)
+    own, rows = Forecaster(), written(open_panel(spark, d), "open-days")
     return segments.segmenter(rows, own.n_segments, own.min_days, least_cell(rows, own.n_segments, own.min_days, own.min_cell_stores)).assignment
 
 
@@ -443,8 +472,8 @@ def q_forecast(spark, d):
     """The newest window forecast by the forecaster's own models, trees counted on the inner window, with intervals."""
     from .jobs.forecaster import Forecaster
 
-    train_end, start = window_start(spark, d)
-    rows = panel(spark, d)
+    rows = stored(spark, d)
+    train_end, start = window_start(rows)
     past, future = rows.filter(F.col("Date") <= F.lit(train_end)), rows.filter(F.col("Date") >= F.lit(start))
     train = past.filter("Open = 1 and Sales > 0")
     model = Forecaster()

@@ -14,6 +14,7 @@ from storecast.operators.experiment import run_cv
 from storecast.operators.features import Features, statistics
 from storecast.operators.metrics import rmspe
 from storecast.operators.monitor import alarms, evaluate
+from storecast.operators.quantiles import quantiles
 from storecast.operators.segments import merged_cells, ward
 from storecast.operators.validation import RollingOrigin
 from storecast.schema import DAILY, STORE
@@ -192,3 +193,17 @@ def test_cross_validation_of_a_function(spark):
     assert sorted((r.fold, r.rows) for r in results.collect()) == [(1, 10), (2, 10)] and scored.count() == 20
     with pytest.raises(ValueError, match="prediction"):
         run_cv(rows, lambda train, valid: valid, split)
+
+
+def test_quantiles_are_those_of_percentile(spark):
+    """Ties, null keys, null values, a group of nulls only, one large group, shares at the ends, an empty table."""
+    rows = [("a", float(k * 37 % 101)) for k in range(900)] + [("b", 5.0)] * 40 + [(None, v) for v in (1.0, 4.0, None)] + [("c", None), ("d", -2.5)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = {"least": 0.0, "low": 0.13, "half": 0.5, "high": 0.9, "most": 1.0}
+    want = df.filter("v is not null").groupBy("g").agg(*(F.percentile("v", s).alias(n) for n, s in shares.items()))
+    key = lambda r: str(r.g)
+    got, want = sorted(quantiles(df, ["g"], "v", shares).collect(), key=key), sorted(want.collect(), key=key)
+    assert [r.g for r in got] == [r.g for r in want]
+    assert all(a == pytest.approx(b) for g, w in zip(got, want, strict=True) for a, b in zip(g[1:], w[1:], strict=True))
+    assert quantiles(df, [], "v", {"half": 0.5}).first().half == df.agg(F.median("v")).first()[0]
+    assert quantiles(df.limit(0), ["g"], "v", shares).isEmpty()
