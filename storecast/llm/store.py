@@ -1,51 +1,17 @@
-"""Intermediate tables in the folder that all executors share."""
+"""Values sent to every task; tables in the folder that all executors share come from the library's sources."""
 
 from __future__ import annotations
 
 import pickle
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
+from ..sources.tables import dropped, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, or the one the context was given; a temporary one only where neither is set and the master is local (tests)."""
-    sc = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not sc.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not getattr(shared_dir, "own", None):
-        shared_dir.own = tempfile.mkdtemp(prefix="spark-")
-    return f"file://{shared_dir.own}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder.
-
-    Cuts the lineage, survives lost executors, and gives later joins the
-    table's true size, so that the planner broadcasts it only when it is small.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stored_at = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing reads any more."""
-    path = getattr(df, "_stored_at", None)
-    if path:
-        spark = df.sparkSession
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+__all__ = ["dropped", "sent", "shared_dir", "written"]
 
 
 def sent(spark: SparkSession, value: Any) -> Callable[[], Any]:
