@@ -87,10 +87,35 @@ def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(vectors, vectors.filter("vec_id % 100 = 0"))
 
 
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .importance import importance_sample
+
+    out = importance_sample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rules, and beyond them a list of the hosts whose names have one of the bad parts."""
+    from .url_filter import hosts_with, judged
+
+    pages = table(spark, sf_dir, "pages")
+    return judged(pages, listed=hosts_with(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op13_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .infill import infilled, restored
+
+    out = infilled(table(spark, sf_dir, "documents")).withColumn("restored", restored(F.col("output"), F.col("form")))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_mixing, op2_license_scan, op3_ctw, op4_exact_dedup, op5_packing, op6_suffix_dedup, op7_simhash, op8_toxicity, op9_line_dedup, op10_top_k)
-}
+    for f in (
+        op1_mixing, op2_license_scan, op3_ctw, op4_exact_dedup, op5_packing, op6_suffix_dedup, op7_simhash, op8_toxicity, op9_line_dedup, op10_top_k,
+        op11_importance, op12_url_filter, op13_infill,
+    )
+}
 
 #: Whitespace and lower case of A-Z alone, as DuckDB expressions.
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -136,8 +161,62 @@ SELECT doc_id, source, lang, topic, n_tokens, probability,
 FROM rows JOIN p USING (source, lang, topic)"""
 
 
+def _importance_sql() -> str:
+    """CRC-32 is written out: DuckDB has none. 3988292384 is its polynomial."""
+    from .importance import BUCKETS, LEAST_WORDS, PERCENT, SEED, WORDS
+
+    words = f"unnest(regexp_extract_all({LOWER.format("coalesce(text, '')")}, '{WORDS}'))"
+    return f"""
+WITH crc AS (SELECT list(list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+d AS (SELECT doc_id, {words} AS w FROM documents), b AS (SELECT {words} AS w FROM benchmark),
+spelt AS (SELECT w, hex(w) AS x FROM (SELECT w FROM d UNION SELECT w FROM b)),
+coded AS (SELECT w, xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+  lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1]), 4294967295), 4294967295) % {BUCKETS} AS bucket FROM spelt, crc),
+own AS (SELECT bucket, count(*) AS s FROM d JOIN coded USING (w) GROUP BY 1), wanted AS (SELECT bucket, count(*) AS t FROM b JOIN coded USING (w) GROUP BY 1),
+gains AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM d) + {BUCKETS}) / ((s + 1.0::DOUBLE) * ((SELECT count(*) FROM b) + {BUCKETS})))) AS BIGINT) AS gain
+  FROM own LEFT JOIN wanted USING (bucket)),
+weights AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS weight FROM d JOIN coded USING (w) JOIN gains USING (bucket) GROUP BY 1),
+scores AS (SELECT doc_id, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight,
+  coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('{SEED}:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM documents LEFT JOIN weights USING (doc_id)),
+drawn AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM scores WHERE n_features >= {LEAST_WORDS})
+SELECT doc_id, n_features, weight, score, rank FROM scores
+LEFT JOIN (SELECT * FROM drawn WHERE rank <= {PERCENT} * (SELECT count(*) FROM drawn) // 100) USING (doc_id)"""
+
+
+def _url_sql() -> str:
+    from .url_filter import BAD_PARTS, RULES
+
+    rules = ", ".join(f"{{'n': {len(h + p)}, 'h': '{h}', 'p': '{p}', 'v': '{v}'}}" for v, h, p in RULES)
+    part = lambda k: rf"regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)([^?#]*)', {k})"
+    return f"""
+WITH u AS (SELECT page_id, {LOWER.format(part(1))} AS host, {part(2)} AS path FROM pages),
+r AS (SELECT *, list_aggregate(list_filter([{rules}], lambda r: (host = r.h OR ends_with(host, '.' || r.h)) AND starts_with(path, r.p)), 'max') AS best FROM u)
+SELECT page_id, host, path, best.h || best.p AS rule,
+  CASE WHEN best IS NOT NULL THEN best.v WHEN list_has_any(regexp_split_to_array(host, '[.-]'), {list(BAD_PARTS)}) THEN 'block' ELSE 'allow' END AS verdict FROM r"""
+
+
+def _infill_sql() -> str:
+    from .infill import RATE, SEED, SPM
+
+    number = lambda k: f"CAST('0x' || substr(digits, {8 * k - 7}, 8) AS BIGINT)"
+    return rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^
+]*
+|[^
+]+') AS units, sha256('{SEED}:' || doc_id) AS digits FROM documents),
+c AS (SELECT *, len(units) AS n, least({number(1)} % (len(units) + 1), {number(2)} % (len(units) + 1)) AS a, greatest({number(1)} % (len(units) + 1), {number(2)} % (len(units) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {number(3)} % 100 >= {RATE} THEN 'plain' WHEN {number(4)} % 100 < {SPM} THEN 'spm' ELSE 'psm' END AS form FROM t),
+s AS (SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle, array_to_string(units[b + 1:], '') AS suffix FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+  sha256(text) AS restored_sha256 FROM s"""
+
+
 ORACLE_SQL = {
     "op1_mixing": _raking_sql(),
+    "op11_importance": _importance_sql(),
+    "op12_url_filter": _url_sql(),
+    "op13_infill": _infill_sql(),
     "op10_top_k": """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS y FROM embeddings
