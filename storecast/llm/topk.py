@@ -4,8 +4,10 @@ Vectors stand in blocks. A block has, for every component, a grid of 256
 cells over the block's own range, and each vector's cells as bytes. A scan of
 the cells gives bounds of every score; per query, the largest of the tasks'
 kth lower bounds rules out every row whose upper bound is less, in a second
-scan. Only for the rows that are left are the exact vectors read, best bound first, until the
-kth exact score is beyond the next bound. Queries go in blocks against all blocks.
+scan. Exact vectors are rows of their own, read for what is left only, in the
+order of the bounds: first each query's 2k best bounds, whose kth exact score
+is the new floor, then those others whose bound reaches it, after which the
+kth result is certain. Queries go in blocks against all blocks.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from pyspark.sql import types as T
 from .store import written
 
 SCALE, BLOCK, QUERY_BLOCK = 1024, 2048, 256
+#: Query blocks whose best bounds a task holds before it gives them out.
+HELD = 512
 
 
 def scaled(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -42,30 +46,38 @@ def scaled(batch: pa.RecordBatch) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def _blocks(k: int):
-    """Batches of (id, vector) to blocks with their cells.
+def _needed(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rows, equal vectors together, that can be among the k best of any query.
 
-    Of equal vectors in a block only the k + 1 smallest ids can be among the k
-    best of a query, its own row aside; the others are left out of the block.
+    Of equal vectors those are the rows of the k + 1 smallest distinct ids, one
+    of which may be the query's own; of equal vectors under one id k rows do.
     """
+    order = np.lexsort((ids, np.unique(x, axis=0, return_inverse=True)[1].ravel()))
+    ids, x = ids[order], x[order]
+    place = np.arange(len(x))
+    new_vector = np.concatenate([[True], (x[1:] != x[:-1]).any(axis=1)])
+    new_id = new_vector | np.concatenate([[True], ids[1:] != ids[:-1]])
+    first = lambda new: np.maximum.accumulate(np.where(new, place, 0))
+    seen = np.cumsum(new_id)
+    keep = (seen - seen[first(new_vector)] <= k) & (place - first(new_id) < k)
+    return ids[keep], x[keep]
+
+
+def _blocks(k: int):
+    """Batches of (id, vector) to blocks with their cells and their exact vectors."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for n, (ids, x) in scaled(batch).items():
-                order = np.lexsort((ids, np.unique(x, axis=0, return_inverse=True)[1].ravel()))
-                ids, x = ids[order], x[order]
-                same = np.concatenate([[False], (x[1:] == x[:-1]).all(axis=1)])
-                run_start = np.maximum.accumulate(np.where(same, 0, np.arange(len(x))))
-                keep = np.arange(len(x)) - run_start <= k
-                ids, x = ids[keep], x[keep]
+            for n, found in scaled(batch).items():
+                ids, x = _needed(*found, k)
                 for i in range(0, len(x), BLOCK):
                     part = x[i : i + BLOCK]
                     low = part.min(axis=0)
                     step = np.maximum(part.max(axis=0) - low, 1e-9) / 255
                     cells = np.minimum((part - low) / step, 255).astype(np.uint8)
                     yield pa.RecordBatch.from_pylist(
-                        [{"dims": n, "ids": ids[i : i + BLOCK].tobytes(), "cells": cells.tobytes(), "low": low.tobytes(), "step": step.tobytes(), "exact": part.tobytes()}],
-                        pa.schema([("dims", pa.int32()), *((c, pa.binary()) for c in ("ids", "cells", "low", "step", "exact"))]),
+                        [{"dims": n, "ids": ids[i : i + BLOCK].tobytes(), "cells": cells.tobytes(), "low": low.tobytes(), "step": step.tobytes(), "exact": [v.tobytes() for v in part]}],
+                        pa.schema([("dims", pa.int32()), *((c, pa.binary()) for c in ("ids", "cells", "low", "step")), ("exact", pa.list_(pa.binary()))]),
                     )
 
     return run
@@ -98,7 +110,12 @@ def _scores_between(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
 
 
 def _floors(k: int):
-    """Blocks and query blocks to each query's kth largest lower bound over the rows of the task: one number a query."""
+    """Blocks and query blocks to each query's kth largest lower bound over rows of the task: one number a query and HELD query blocks."""
+
+    def given(best: dict) -> Iterator[pa.RecordBatch]:
+        for q_block, (q_ids, lower) in best.items():
+            least = lower.min(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(q_ids), q_block, np.int64)), pa.array(np.arange(len(q_ids), dtype=np.int32)), pa.array(least)], ["asked", "q_slot", "least"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -108,8 +125,10 @@ def _floors(k: int):
                 known = best.get(row["q_block"], (q_ids, np.full((len(q_ids), k), -np.inf)))[1]
                 both = np.concatenate([known, lower], axis=1)
                 best[row["q_block"]] = q_ids, np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-        for q_ids, lower in best.values():
-            yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(lower.min(axis=1))], ["query_id", "least"])
+                if len(best) > HELD:
+                    yield from given(best)
+                    best = {}
+        yield from given(best)
 
     return run
 
@@ -119,47 +138,30 @@ def _reaching(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             ids, q_ids, _, upper = _scores_between(row)
-            floor = {x["query_id"]: x["least"] for x in row["floors"]}
-            least = np.array([floor[x] for x in q_ids.tolist()])
+            least = np.full(len(q_ids), -np.inf)
+            for x in row["floors"]:
+                least[x["q_slot"]] = x["least"]
             a, b = np.nonzero((upper >= least[:, None]) & (q_ids[:, None] != ids[None, :]))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.full(len(a), row["block"], np.int64), np.full(len(a), row["q_block"], np.int64), a.astype(np.int32), b.astype(np.int32), upper[a, b])], ["block", "q_block", "q_slot", "slot", "upper"])
-
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(a), row["block"], np.int64)), pa.array(b.astype(np.int32)), pa.array(q_ids[a]), pa.array(ids[b]), pa.array(upper[a, b])], ["block", "slot", "query_id", "vec_id", "upper"]
+            )
 
-def _exact(k: int):
-    """The rows left of a block and a query block to their exact scores, best bound first until the kth is certain."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                n = row["dims"]
-                ids, q_ids = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["q_ids"], np.int64)
-                exact, q = _floats(row, "exact", n), _floats(row, "q_exact", n)
-                left: dict[int, list[tuple[float, int]]] = {}
-                for x in row["left"]:
-                    left.setdefault(x["q_slot"], []).append((-x["upper"], x["slot"]))
-                found: list[tuple[int, int, int]] = []
-                for a, order in left.items():
-                    order.sort()
-                    scores: list[int] = []
-                    for i in range(0, len(order), 4 * k):
-                        part = order[i : i + 4 * k]
-                        if len(scores) >= k and -part[0][0] < sorted(scores)[-k]:
-                            break
-                        rows = exact[[s for _, s in part]]
-                        got = rows @ q[a]
-                        if np.abs(rows).max() * np.abs(q[a]).max() * n >= 2**53:
-                            got = [sum(int(u) * int(v) for u, v in zip(r, q[a], strict=True)) for r in rows]
-                        for s, score in zip((s for _, s in part), got, strict=True):
-                            scores.append(int(score))
-                            found.append((int(q_ids[a]), int(ids[s]), int(score)))
-                yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"])
-
-    return run
+@F.arrow_udf(T.BinaryType())
+def packed(vector: pa.Array) -> pa.Array:
+    """Vectors as the bytes of their components' floor(1024 x), in doubles."""
+    return pa.array([np.floor(SCALE * x.values.cast(pa.float64()).to_numpy(zero_copy_only=False)).tobytes() for x in vector], pa.binary())
 
 
-@F.arrow_udf(T.ArrayType(T.LongType()))
-def ids_of(packed: pa.Array) -> pa.Array:
-    return pa.array([np.frombuffer(x, np.int64) for x in packed.to_pylist()], pa.list_(pa.int64()))
+@F.arrow_udf(T.LongType())
+def exact_scores(vector: pa.Array, query: pa.Array) -> pa.Array:
+    """Inner products of whole numbers, in whole numbers where doubles do not hold them."""
+    out = []
+    for v, q in zip(vector, query, strict=True):
+        x, y = np.frombuffer(v.as_buffer(), np.float64), np.frombuffer(q.as_buffer(), np.float64)
+        small = np.abs(x).max() * np.abs(y).max() * len(x) < 2**53
+        out.append(int(x @ y) if small else sum(int(a) * int(b) for a, b in zip(x, y, strict=True)))
+    return pa.array(out, pa.int64())
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -169,12 +171,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     no candidate. Vectors that are null or empty, or hold a null or a non-finite
     number, and rows without an id take no part; vectors compare with those of
     their own length. Rows that repeat an id are candidates each; queries that
-    repeat one count once, with the least of their vectors. A score beyond a
-    long fails the task. No rows left on either side: an empty result.
+    repeat one count once, with the least of their vectors that take part. A
+    score beyond a long fails the task. Columns other than the two named, whatever
+    their names, are not read. No rows left on either side: an empty result.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v"))
-    asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
-    blocks = written(rows.mapInArrow(_blocks(k), "dims int, ids binary, cells binary, low binary, step binary, exact binary").withColumn("block", F.monotonically_increasing_id()), "cells")
+    fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) * SCALE < float("inf")))
+    asked = queries.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vec_col).alias("v")).filter(fine & (F.size("v") > 0)).groupBy("vec_id").agg(F.min("v").alias("v"))
+    blocks = written(rows.mapInArrow(_blocks(k), "dims int, ids binary, cells binary, low binary, step binary, exact array<binary>").withColumn("block", F.monotonically_increasing_id()), "cells")
     q_blocks = written(asked.mapInArrow(_query_blocks, "q_dims int, q_ids binary, q_exact binary").withColumn("q_block", F.monotonically_increasing_id()), "query-blocks")
     # A query block goes once to each group of blocks, and the groups are many: a join on the group's number, not of rows with rows.
     groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -182,12 +186,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     pairs = blocks.drop("exact").withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).join(sent, (F.col("group") == F.col("to")) & (F.col("dims") == F.col("q_dims")))
     pairs = pairs.select("block", "q_block", "dims", "ids", "cells", "low", "step", "q_ids", "q_exact")
     # First the floors, a number per query and task; then, from a second scan of the cells, the rows that reach them.
-    floors = pairs.mapInArrow(_floors(k), "query_id long, least double").groupBy("query_id").agg(F.max("least").alias("least"))
-    of = q_blocks.select(F.col("q_block").alias("asked"), F.explode(ids_of("q_ids")).alias("query_id"))
-    floors = written(floors.join(of, "query_id").groupBy("asked").agg(F.collect_list(F.struct("query_id", "least")).alias("floors")), "floors")
-    left = pairs.join(floors, F.col("q_block") == F.col("asked")).drop("asked").mapInArrow(_reaching, "block long, q_block long, q_slot int, slot int, upper double")
-    left = left.groupBy(F.col("block").alias("of"), F.col("q_block").alias("of_q")).agg(F.collect_list(F.struct("q_slot", "slot", "upper")).alias("left"))
-    read = left.join(blocks.select("block", "dims", "ids", "exact"), F.col("of") == F.col("block")).join(q_blocks.select("q_block", "q_ids", "q_exact"), F.col("of_q") == F.col("q_block"))
-    scores = read.select("dims", "ids", "exact", "q_ids", "q_exact", "left").mapInArrow(_exact(k), "query_id long, vec_id long, score long")
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    floors = pairs.mapInArrow(_floors(k), "asked long, q_slot int, least double").groupBy("asked", "q_slot").agg(F.max("least").alias("least"))
+    floors = floors.groupBy("asked").agg(F.collect_list(F.struct("q_slot", "least")).alias("floors"))
+    left = pairs.join(floors, F.col("q_block") == F.col("asked")).drop("asked").mapInArrow(_reaching, "block long, slot int, query_id long, vec_id long, upper double")
+    by_bound = W.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id", "block", "slot")
+    left = written(left.withColumn("turn", F.row_number().over(by_bound)), "left")
+    # Exact vectors go to the rows that are left by block and slot, and queries by their ids.
+    vector = blocks.select(F.col("block").alias("of"), F.posexplode("exact").alias("at", "vector"))
+    query = asked.select(F.col("vec_id").alias("asked_id"), packed("v").alias("query"))
+
+    def scored(part: DataFrame) -> DataFrame:
+        both = part.join(vector, (F.col("block") == F.col("of")) & (F.col("slot") == F.col("at"))).join(query, F.col("query_id") == F.col("asked_id"))
+        return both.select("query_id", "vec_id", "block", "slot", exact_scores("vector", "query").alias("score"))
+
+    first = written(scored(left.filter(F.col("turn") <= 2 * k)), "first")
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "block", "slot")
+    kth = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("of_query"), F.col("score").alias("floor"))
+    rest = left.filter(F.col("turn") > 2 * k).join(kth, F.col("query_id") == F.col("of_query"), "left").filter("floor is null or upper >= floor").select("block", "slot", "query_id", "vec_id", "upper", "turn")
+    scores = first.unionByName(scored(rest))
     return scores.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

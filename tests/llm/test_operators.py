@@ -253,3 +253,42 @@ def test_top_k_equals_brute_force(spark):
         assert [got[q][k + 1] for k in range(10)] == [(i, -s) for s, i in want]
     assert set(got) == set(range(0, 460, 10))
     assert top_k(df.limit(0), df, 10).count() == 0 and top_k(df, df.limit(0), 10).count() == 0
+
+
+def plain_top_k(rows, k, is_query):
+    good = [(i, np.floor(1024 * np.array(v, float))) for i, v in rows if i is not None and v and None not in v and np.isfinite(1024 * np.array(v, float)).all()]
+    asked = {}
+    for i, v in rows:
+        if i is not None and v and None not in v and np.isfinite(np.array(v, float)).all() and is_query(i):
+            asked[i] = min(asked.get(i, v), v)
+    out = []
+    for q, v in asked.items():
+        x = np.floor(1024 * np.array(v, float))
+        best = sorted((-int(x @ y), i) for i, y in good if i != q and len(y) == len(x))[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_k_loses_nothing_where_ids_repeat(spark):
+    rng = np.random.default_rng(11)
+    pool = [rng.integers(-4, 5, 3).astype(float).tolist() for _ in range(12)]
+    rows = []
+    for i in range(60):
+        for _ in range(int(rng.integers(1, 21)) if i % 4 == 0 else 1):
+            rows.append((i, pool[int(rng.integers(12))] if rng.random() < 0.7 else rng.normal(size=3).tolist()))
+        if i % 5 == 0:
+            rows += [(i, [float("-inf"), 1.0, 0.0]), (i, None), (i, [None, 1.0, 2.0]), (i, [float("nan")] * 3), (i, [])]
+    rows += [(0, pool[0])] * 30 + [(None, pool[0])] * 3 + [(90, [-0.0, 1.0]), (91, [0.0, 1.0]), (92, [1e306, 0.0]), (93, [2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    clash = df.select("*", *(F.lit(1).alias(c) for c in ("v", "block", "slot", "query_id", "rank", "score", "dims", "ids", "asked", "upper", "turn", "of", "at", "vector", "query", "floor", "left")))
+    for k in (1, 2, 3, 7, 12):
+        for parts in (1, 5):
+            got = sorted(map(tuple, top_k(clash.repartition(parts), clash.filter("vec_id % 3 = 0"), k).collect()))
+            assert got == plain_top_k(rows, k, lambda i: i % 3 == 0)
+
+
+def test_top_k_of_the_findings(spark):
+    same = spark.createDataFrame([(0, [1.0, 2.0])] * 3 + [(5, [1.0, 2.0]), (9, [0.5, 0.5])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id) for r in top_k(same, same.filter("vec_id = 0"), 2).orderBy("rank").collect()] == [5, 9]
+    bad = spark.createDataFrame([(0, [float("-inf"), 1.0]), (0, [1.0, 2.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert [(r.query_id, r.vec_id, r.score) for r in top_k(bad, bad.filter("vec_id = 0"), 2).collect()] == [(0, 3, 3 * 1024 * 1024)]
