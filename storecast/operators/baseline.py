@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .folds import fold_statistics
 from .validation import RollingOrigin
 
 KEYS = ["Store", "DayOfWeek", "Promo"]
@@ -30,13 +31,17 @@ def median_rule(train: DataFrame, rows: DataFrame, by: list[str] | None = None,
 
 
 def scored_folds(open_days: DataFrame, splitter: RollingOrigin | None = None, fixed_train: bool = False) -> DataFrame:
-    """The validation rows of all folds with the median rule's prediction; ``fixed_train``: fold 1's training rows for all."""
-    rows = (splitter or RollingOrigin()).assigned(open_days)
-    valid = rows.filter("role = 'valid'").drop("role", "train_end", "valid_end")
-    train = rows.filter("role = 'train'")
-    if fixed_train:
-        return median_rule(train.filter("fold = 1").drop("fold"), valid)
-    return median_rule(train, valid, ["fold"])
+    """The validation rows of all folds with the median rule's prediction; ``fixed_train``: fold 1's training rows for all.
+
+    All folds learn from one pass (:mod:`.folds`); only validation rows are
+    matched with folds, as often as their windows overlap.
+    """
+    splitter = splitter or RollingOrigin()
+    folds = splitter.folds(open_days).orderBy("fold").collect()  # a row a fold
+    learned = fold_statistics(open_days, folds=folds)
+    valid = splitter.assigned(open_days, "valid", folds).drop("role", "train_end", "valid_end")
+    # By store like the statistics, so that the join moves nothing more.
+    return learned.with_medians(valid.repartition("Store"), F.lit(1) if fixed_train else F.col("fold"))
 
 
 def year_ago(history: DataFrame, rows: DataFrame) -> DataFrame:

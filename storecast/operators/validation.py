@@ -35,17 +35,23 @@ class RollingOrigin:
 
     def folds(self, df: DataFrame) -> DataFrame:
         """One row per fold."""
+        return df.sparkSession.createDataFrame(self.dates(*self._span(df)), "fold int, train_end date, valid_start date, valid_end date")
+
+    @staticmethod
+    def _span(df: DataFrame) -> tuple[date, date]:
         first, last = df.agg(F.min("Date"), F.max("Date")).first()
         if first is None:
             raise ValueError("no rows to split")
-        return df.sparkSession.createDataFrame(self.dates(first, last), "fold int, train_end date, valid_start date, valid_end date")
+        return first, last
 
-    def assigned(self, df: DataFrame, role: str | None = None) -> DataFrame:
+    def assigned(self, df: DataFrame, role: str | None = None, known: list | None = None) -> DataFrame:
         """The rows of every fold with fold and role ('train' or 'valid'); a row trains several folds.
 
         The folds are at most ``n_splits`` rows, so they are sent to all tasks.
+        ``known`` are the rows of :meth:`folds`, where the caller has them.
         """
-        folds = F.broadcast(self.folds(df).select("fold", "train_end", "valid_start", "valid_end"))
+        folds = self.folds(df) if known is None else df.sparkSession.createDataFrame(known, "fold int, train_end date, valid_start date, valid_end date")
+        folds = F.broadcast(folds.select("fold", "train_end", "valid_start", "valid_end"))
         train, valid = F.col("Date") <= F.col("train_end"), F.col("Date").between(F.col("valid_start"), F.col("valid_end"))
         out = df.join(folds, {None: train | valid, "train": train, "valid": valid}[role])
         return out.withColumn("role", F.when(F.col("Date") <= F.col("train_end"), "train").otherwise("valid"))

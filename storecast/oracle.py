@@ -114,7 +114,12 @@ arm_grid AS (SELECT arm, seed, fold, sqrt(avg(pow((Sales - p) / Sales, 2)) FILTE
 arm_folds AS (SELECT arm, fold, avg(rmspe) AS rmspe FROM arm_grid GROUP BY ALL),
 arm_means AS (SELECT arm, avg(m) AS rmspe, stddev_pop(m) AS noise FROM (SELECT arm, seed, avg(rmspe) AS m FROM arm_grid GROUP BY ALL) GROUP BY ALL)"""
 
+FOLD_LEARNED = """, f_store AS (SELECT fold, Store, avg(Sales) AS store_mean_sales, avg(Sales) FILTER (WHERE Promo = 1) / nullif(avg(Sales) FILTER (WHERE Promo = 0), 0) AS store_promo_uplift FROM train GROUP BY ALL),
+f_day AS (SELECT fold, Store, DayOfWeek, avg(Sales) AS store_dow_mean_sales FROM train GROUP BY ALL),
+f_all AS (SELECT fold, avg(Sales) AS global_mean, avg(Sales) FILTER (WHERE Promo = 1) / avg(Sales) FILTER (WHERE Promo = 0) AS global_uplift, median(CompetitionDistance) AS comp_dist_median FROM train GROUP BY ALL)"""
 SQL = {
+    "q_fold_means": PANEL + SCORED + FOLD_LEARNED + " SELECT fold, Store, DayOfWeek, " + ", ".join(R6(c, c) for c in ("store_mean_sales", "store_promo_uplift", "store_dow_mean_sales", "global_mean", "global_uplift", "comp_dist_median")) + " FROM f_day JOIN f_store USING (fold, Store) JOIN f_all USING (fold)",
+    "q_fold_medians": PANEL + SCORED + f" SELECT fold, Store, DayOfWeek, Promo, {R6('m3', 'median')}, {R6('m2', 'store_median')}, {R6('m0', 'all_median')} FROM m3 JOIN m2 USING (fold, Store) JOIN m0 USING (fold)",
     "q_median_rule_by_store_type": PANEL + SCORED + f" SELECT StoreType, {R6(RMSPE, 'rmspe')}, count(*) AS rows, {R6('avg(Sales)', 'mean_sales')} FROM sold WHERE fold = 4 GROUP BY StoreType",
     "q_clean_panel": PANEL + " SELECT Store, Date, Sales, Customers, Promo, StateHoliday, SchoolHoliday, DayOfWeek, StoreType, Assortment, CompetitionDistance, PromoInterval FROM open_days",
     "q_rows_to_score": PANEL + FOLDS + " SELECT Store, Date, DayOfWeek, CASE WHEN d % 3 = 0 THEN 1 ELSE Open END AS Open, Promo, StoreType FROM panel, folds WHERE fold = 4 AND Date >= valid_start",

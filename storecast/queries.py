@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import dates, facts
 from .operators import analysis, baseline, calendar, experiment, features, monitor, profiles, quality, segments
+from .operators.folds import fold_statistics
 from .operators.metrics import rmspe_by, rmspe_of, worst_first
 from .operators.validation import RollingOrigin
 from .schema import feature_names
@@ -209,6 +210,28 @@ def q_fixed_train(spark, d):
     return r6(baseline.scored_folds(written(open_panel(spark, d), "open-days"), SPLIT, fixed_train=True).groupBy("fold").agg(rmspe_of().alias("rmspe")))
 
 
+def fold_numbers(spark, d):
+    rows = written(open_panel(spark, d), "open-days")
+    return fold_statistics(rows, SPLIT)
+
+
+def q_fold_means(spark, d):
+    """What the features of every fold stand on, all folds from one pass."""
+    own = fold_numbers(spark, d)
+    one = own.overall.crossJoin(own.distance.select(F.col("medians").alias("distances")))
+    days = own.by_store.select("Store", "means", "uplifts", F.explode("weekday_means").alias("DayOfWeek", "x")).crossJoin(F.broadcast(one.select(F.col("means").alias("every"), F.col("uplifts").alias("every_uplift"), "distances")))
+    each = days.select("Store", "DayOfWeek", F.inline(F.arrays_zip(F.sequence(F.lit(1), F.lit(len(own.folds))).alias("fold"), "means", "uplifts", "x", "every", "every_uplift", "distances")))
+    names = {"means": "store_mean_sales", "uplifts": "store_promo_uplift", "x": "store_dow_mean_sales", "every": "global_mean", "every_uplift": "global_uplift", "distances": "comp_dist_median"}
+    return r6(each.withColumnsRenamed(names).filter("store_dow_mean_sales is not null"))
+
+
+def q_fold_medians(spark, d):
+    own = fold_numbers(spark, d)
+    keys = own.by_store.select("Store", "medians", F.explode("key_medians").alias("key", "x")).crossJoin(F.broadcast(own.overall.select(F.col("medians").alias("every"))))
+    each = keys.select("Store", "key.DayOfWeek", "key.Promo", F.inline(F.arrays_zip(F.sequence(F.lit(1), F.lit(len(own.folds))).alias("fold"), "medians", "x", "every")))
+    return r6(each.withColumnsRenamed({"medians": "store_median", "x": "median", "every": "all_median"}).filter("median is not null"))
+
+
 def q_fold_summary(spark, d):
     return r6(analysis.fold_summary(scored(spark, d).groupBy("fold").agg(rmspe_of().alias("rmspe"))))
 
