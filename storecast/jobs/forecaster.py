@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import json
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
-from functools import reduce
-from multiprocessing.pool import ThreadPool
+from functools import partial, reduce
 
-from pyspark import inheritable_thread_target
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators.baseline import median_rule
@@ -19,8 +17,10 @@ from ..operators.features import Features, Statistics, statistics
 from ..operators.metrics import rmspe
 from ..operators.monitor import interval_quantiles, sales_ratios, with_interval
 from ..operators.segments import Segmenter, segmenter
-from ..schema import HORIZON
-from .model import SalesModel, inner_split
+from ..schema import HOLIDAY_CAP, HORIZON, LONG_CLOSURE, REOPENING_CAP
+from ..sources import versions
+from .model import SalesModel, exact_metric_weight, inner_split
+from .pools import in_pools
 
 
 @dataclass
@@ -32,6 +32,12 @@ class Forecaster:
     min_cell_stores: int = 15
     parallelism: int = 4
     options: dict = field(default_factory=dict)
+    #: Feature families that differ from the usual ones, by the names of schema.FAMILIES.
+    families: dict = field(default_factory=dict)
+    #: Learned statistics from the rows since a store's newest reopening, where these are enough.
+    since_reopening: bool = False
+    #: Raw sales with weights that make squared error the squared relative error.
+    exact_weights: bool = False
     features: Features | None = None
     segments: Segmenter | None = None
     models: dict[int, list[SalesModel]] = field(default_factory=dict)
@@ -43,6 +49,8 @@ class Forecaster:
         rows = frame.filter(F.col("segment") == segment)
         if rows.isEmpty():
             return None
+        if self.exact_weights:
+            rows = exact_metric_weight(rows)
         first = SalesModel(self.features.names, self.params, self.seeds[0], **self.options).fit(rows, watch=True)
         later = {**self.options, "fixed_rounds": first.rounds, "refit": True}
         more = [SalesModel(self.features.names, self.params, seed, **later).fit(rows) for seed in self.seeds[1:]]
@@ -56,17 +64,13 @@ class Forecaster:
         a time; no segment goes to one task. ``model_options`` are those of
         :class:`SalesModel`.
         """
-        self.options = model_options
-        self.features = Features(statistics(train), compact(calendar))
+        self.options = {**model_options, **({"log": False, "weight": "weight"} if self.exact_weights else {})}
+        self.features = Features.of(statistics(train, calendar if self.since_reopening else None), compact(calendar), self.families)
         self.segments = segmenter(train, self.n_segments, self.min_days, self.min_cell_stores)
         frame = self.segments.transform(self.features.transform(train)).persist()
         numbers = range(1, self.n_segments + 1)
-        pool = ThreadPool(min(self.parallelism, self.n_segments))
-        try:
-            found = pool.map(inheritable_thread_target(train.sparkSession)(lambda s: self._fit_segment(frame, s)), numbers)
-        finally:
-            pool.close()
-        fitted = {s: x for s, x in zip(numbers, found, strict=True) if x}
+        found = in_pools(train.sparkSession, {f"segment-{s}": partial(self._fit_segment, frame, s) for s in numbers}, self.parallelism)
+        fitted = {s: x for s, x in zip(numbers, found.values(), strict=True) if x}
         self.models = {s: models for s, (models, _) in fitted.items()}
         self.ratios = sales_ratios(reduce(DataFrame.unionByName, [scored for _, scored in fitted.values()])).persist()
         self.ratios.count()
@@ -74,6 +78,7 @@ class Forecaster:
         self.card = {
             "train_start": str(low), "train_end": str(high), "train_rows": n, "stores": stores, "features": self.features.names, "seeds": self.seeds, "params": self.params,
             "trees_per_segment": {s: m[0].rounds for s, m in self.models.items()}, "interval_source": "last days of training", "model_options": self.options,
+            "families": self.families, "since_reopening": self.since_reopening, "exact_weights": self.exact_weights,
             "stores_per_segment": {r["segment"]: r["count"] for r in self.segments.assignment.groupBy("segment").count().collect()},
         }
         frame.unpersist()
@@ -89,10 +94,12 @@ class Forecaster:
         if not self.models:
             raise ValueError("fit the forecaster first")
         known = self.features.calendar
-        whole = extended(known, planned if planned is not None else rows, request=rows)
+        # A reopening within the cap has its closed stretch within the cap and the stretch's least length.
+        context = REOPENING_CAP + LONG_CLOSURE if self.features.with_reopening else HOLIDAY_CAP
+        whole = extended(known, planned if planned is not None else rows, context, request=rows)
         if strict:
             check_neighbours(rows, whole, date.fromisoformat(self.card["train_end"]))
-        built = Features(self.features.learned, whole, self.features.easter).transform(rows, validate=planned is not None)
+        built = replace(self.features, calendar=whole).transform(rows, validate=planned is not None)
         parts = []
         frame = self.segments.transform(built)
         for s, models in self.models.items():
@@ -107,34 +114,40 @@ class Forecaster:
         return scored.select(*own)
 
     def save(self, path: str, **extra) -> None:
-        """Models, side tables and one JSON card under a folder."""
+        """Models, side tables and one JSON card as a version of their own: a reader has the old model until the new one is whole."""
         spark = self.ratios.sparkSession
+        folder = versions.new_folder(path)
         learned = self.features.learned
         tables = {"by_store": learned.by_store, "by_weekday": learned.by_weekday, "uplift": learned.uplift, "calendar": self.features.calendar, "assignment": self.segments.assignment, "ratios": self.ratios}
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{path}/{name}")
+            df.write.parquet(f"{folder}/{name}")
         for s, models in self.models.items():
             for k, m in enumerate(models):
-                m.model.write().overwrite().save(f"{path}/model-{s}-{k}")
+                m.model.save(f"{folder}/model-{s}-{k}")
         scalars = {n: getattr(learned, n) for n in ("global_mean", "global_uplift", "comp_dist_median")}
         card = {**self.card, **extra, "scalars": scalars, "default_segment": self.segments.default, "n_models": len(self.seeds)}
-        spark.createDataFrame([(json.dumps(card),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/card")
+        versions.commit(spark, path, folder, {"card": card})
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> Forecaster:
-        card = json.loads(spark.read.text(f"{path}/card").first().value)
-        read = lambda n: spark.read.parquet(f"{path}/{n}")
+        """The newest whole version under ``path``."""
+        manifest = versions.latest(spark, path)
+        if manifest is None:
+            raise ValueError(f"no saved forecaster in {path}")
+        card, folder = manifest["card"], manifest["folder"]
+        read = lambda n: spark.read.parquet(f"{folder}/{n}")
         learned = Statistics(read("by_store"), read("by_weekday"), read("uplift"), **card["scalars"])
         out = cls(seeds=card["seeds"], params=card["params"], options=card["model_options"], card=card, ratios=read("ratios"))
-        out.features = Features(learned, read("calendar"))
+        out.families, out.since_reopening, out.exact_weights = card["families"], card["since_reopening"], card["exact_weights"]
+        out.features = Features.of(learned, read("calendar"), out.families)
         out.segments = Segmenter(read("assignment"), card["default_segment"])
         for s, trees in card["trees_per_segment"].items():
-            out.models[int(s)] = [SalesModel(card["features"], card["params"], seed, **{**out.options, "fixed_rounds": trees}, rounds=trees, model=GBTRegressionModel.load(f"{path}/model-{s}-{k}")) for k, seed in enumerate(out.seeds)]
+            out.models[int(s)] = [SalesModel(card["features"], card["params"], seed, **{**out.options, "fixed_rounds": trees}, rounds=trees, model=GBTRegressionModel.load(f"{folder}/model-{s}-{k}")) for k, seed in enumerate(out.seeds)]
         return out
 
 
 def rank_settings(train: DataFrame, features: list[str], settings: dict[str, dict], **options) -> DataFrame:
-    """Settings by their score on the inner window, best first. For a segment's ranking give its rows."""
+    """Settings by their score on the inner window, best first. For every segment's own ranking: :func:`settings_by_segment`."""
     _, new = inner_split(train, options.get("inner_days", HORIZON))
     rows = []
     for name, params in settings.items():
@@ -143,6 +156,20 @@ def rank_settings(train: DataFrame, features: list[str], settings: dict[str, dic
     return train.sparkSession.createDataFrame(rows, "setting string, trees int, rmspe double").orderBy("rmspe", "setting")
 
 
+def settings_by_segment(frame: DataFrame, features: list[str], settings: dict[str, dict], parallelism: int = 4, **options) -> DataFrame:
+    """segment, place, setting, trees, rmspe: the settings ranked within each segment of ``frame``.
+
+    Segments and settings are fits side by side; a segment whose days are too few for an inner window is an error.
+    """
+    segments = [r.segment for r in frame.select("segment").distinct().orderBy("segment").collect()]  # as many as there are segments
+    calls = {f"{s}|{name}": partial(rank_settings, frame.filter(F.col("segment") == s), features, {name: params}, **options) for s in segments for name, params in settings.items()}
+    found = in_pools(frame.sparkSession, calls, parallelism)
+    rows = [(int(key.split("|")[0]), *r) for key, df in found.items() for r in df.collect()]
+    ranked = frame.sparkSession.createDataFrame(rows, "segment int, setting string, trees int, rmspe double")
+    place = F.row_number().over(W.partitionBy("segment").orderBy("rmspe", "setting"))
+    return ranked.select("segment", place.alias("place"), "setting", "trees", "rmspe")
+
+
 def feature_arms(train: DataFrame, valid: DataFrame, arms: dict[str, list[str]], seeds: list[int], params: dict, **options) -> DataFrame:
     """Validation rows scored by one model per arm and seed: input of the acceptance rule."""
     parts = []

@@ -1,12 +1,14 @@
-"""spark-submit storecast/jobs/run.py fit|predict|evaluate|backtest ..."""
+"""spark-submit storecast/jobs/run.py fit|predict|evaluate|backtest|compare ..."""
 
 from __future__ import annotations
 
 import argparse
+import json
 
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
+from storecast.jobs.backtest import Arm, Backtest, results
 from storecast.jobs.forecaster import Forecaster
 from storecast.operators import baseline, experiment, monitor
 from storecast.operators.validation import RollingOrigin
@@ -40,10 +42,19 @@ def backtest(spark: SparkSession, a: argparse.Namespace) -> None:
     experiment.cv_results(baseline.scored_folds(rows, split), split, rows).coalesce(1).write.mode("overwrite").option("header", True).csv(a.out)
 
 
+def compare(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Arms of the model over folds and seeds; --model is the folder of what is scored already, --arms a JSON list of arms."""
+    arms = [Arm(**x) for x in json.loads("\n".join(r.value for r in spark.read.text(a.arms).collect()))]  # a file written by hand
+    calendar = files.read_panel(spark, a.daily, a.store, drop_closed=False)
+    scores = results(Backtest(a.model, arms, list(range(a.seeds))).run(calendar))
+    summary = experiment.arm_summary(scores).join(experiment.accepted(scores, a.base), "arm", "left")
+    summary.coalesce(1).write.mode("overwrite").option("header", True).csv(a.out)
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=["fit", "predict", "evaluate", "backtest"])
-    for name in ("daily", "store", "rows", "model", "predictions", "out"):
+    parser.add_argument("job", choices=["fit", "predict", "evaluate", "backtest", "compare"])
+    for name in ("daily", "store", "rows", "model", "predictions", "out", "arms", "base"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--seeds", type=int, default=1)
     parser.add_argument("--threshold", type=float)

@@ -7,8 +7,9 @@ frames over the day number give that without filling the axis.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import CALENDAR, HOLIDAY_CAP, LONG_CLOSURE, REOPENING_CAP
@@ -49,28 +50,47 @@ def closure(calendar: DataFrame) -> DataFrame:
 def around(calendar: DataFrame, with_reopening: bool = True, closed_days: int = LONG_CLOSURE, cap: int = REOPENING_CAP) -> DataFrame:
     """The columns of :func:`closure` and :func:`reopening` from one exchange and one sort."""
     first, last = bounds(calendar)
-    calendar = distinct_days(calendar)
-    day = F.col("day")
-    w = W.partitionBy("Store").orderBy("day")
+    rows = distinct_days(calendar).select(*CALENDAR, F.unix_date("Date").alias("day"))
+    newest = []
+    if with_reopening:
+        rows = rows.withColumns(reopened(F.lit(first - 1), closed_days))
+        back = F.max("back").over(up_to_here())
+        newest = [since_back(back, cap).alias("days_since_reopening")]
+    return rows.select("Store", "Date", *neighbours(first, last), *newest)
+
+
+def by_day() -> WindowSpec:
+    return W.partitionBy("Store").orderBy("day")
+
+
+def up_to_here() -> WindowSpec:
+    return by_day().rowsBetween(W.unboundedPreceding, 0)
+
+
+def neighbours(first: int, last: int) -> list[Column]:
+    """The six columns of :func:`closure` for rows with ``day``, in a calendar of the days ``first`` to ``last``."""
+    day, w = F.col("day"), by_day()
     open_days = lambda a, b: F.coalesce(F.sum("Open").over(w.rangeBetween(a, b)), F.lit(0))
     holiday = F.when(F.col("StateHoliday") != "0", day)
     to_next = F.min(holiday).over(w.rangeBetween(0, HOLIDAY_CAP)) - day
     since_last = day - F.max(holiday).over(w.rangeBetween(-HOLIDAY_CAP, 0))
     unless = lambda edge, x: F.when(edge, -1).otherwise(x).cast("int")
-    rows = calendar.select(*CALENDAR, F.unix_date("Date").alias("day"))
-    newest = []
-    if with_reopening:
-        before = F.max(F.when(F.col("Open") == 1, day)).over(w.rowsBetween(W.unboundedPreceding, -1))
-        gap = day - F.coalesce(before, F.lit(first - 1)) - 1
-        rows = rows.withColumn("back", F.when((F.col("Open") == 1) & (gap >= closed_days), day))
-        back = F.max("back").over(w.rowsBetween(W.unboundedPreceding, 0))
-        newest = [F.coalesce(F.least(day - back, F.lit(cap)), F.lit(cap)).cast("int").alias("days_since_reopening")]
-    return rows.select(
-        "Store", "Date",
+    return [
         unless(day == first, open_days(-1, -1)).alias("open_yesterday"), unless(day == last, open_days(1, 1)).alias("open_tomorrow"),
         unless(day + 7 > last, 7 - open_days(1, 7)).alias("closed_days_next_7"), unless(day - 7 < first, 7 - open_days(-7, -1)).alias("closed_days_last_7"),
-        F.coalesce(to_next, F.lit(HOLIDAY_CAP)).cast("int").alias("days_to_next_holiday"), F.coalesce(since_last, F.lit(HOLIDAY_CAP)).cast("int").alias("days_since_last_holiday"), *newest,
-    )
+        F.coalesce(to_next, F.lit(HOLIDAY_CAP)).cast("int").alias("days_to_next_holiday"), F.coalesce(since_last, F.lit(HOLIDAY_CAP)).cast("int").alias("days_since_last_holiday"),
+    ]
+
+
+def reopened(open_before: Column, closed_days: int = LONG_CLOSURE) -> dict[str, Column]:
+    """``back``: the day, where it ends a long closed stretch. ``open_before``: the last open day before the rows at hand."""
+    day, is_open = F.col("day"), F.col("Open") == 1
+    gap = day - F.coalesce(F.max(F.when(is_open, day)).over(by_day().rowsBetween(W.unboundedPreceding, -1)), open_before) - 1
+    return {"back": F.when(is_open & (gap >= closed_days), day)}
+
+
+def since_back(back: Column, cap: int = REOPENING_CAP) -> Column:
+    return F.coalesce(F.least(F.col("day") - back, F.lit(cap)), F.lit(cap)).cast("int")
 
 
 def reopening(calendar: DataFrame, closed_days: int = LONG_CLOSURE, cap: int = REOPENING_CAP) -> DataFrame:

@@ -8,13 +8,14 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import rmspe_of
+from .metrics import given, rmspe_of
 from .validation import RollingOrigin
 
 
 def cv_results(scored: DataFrame, splitter: RollingOrigin, rows: DataFrame) -> DataFrame:
-    """Dates, rows and score of each fold."""
+    """Dates, rows and score of each fold. A row with sales but no prediction is an error when the table is computed."""
     folds = splitter.folds(rows).select("fold", "valid_start", "valid_end")
+    scored = scored.withColumn("prediction", F.when(F.col("Sales") != 0, given()).otherwise(F.col("prediction")))
     return scored.groupBy("fold").agg(F.count("*").alias("rows"), rmspe_of().alias("rmspe")).join(F.broadcast(folds), "fold").select("fold", "valid_start", "valid_end", "rows", "rmspe")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import calendar_parts, days_to_easter, month_columns
 from ..functions.facts import competition, dummies, promo2
-from ..schema import MIN_REOPENED_ROWS, feature_names
+from ..schema import FAMILIES, MIN_REOPENED_ROWS, feature_names
 from .calendar import around, reopening
 
 
@@ -75,14 +75,25 @@ class Features:
     easter: bool = True
     with_reopening: bool = False
     month: bool = False
+    promo2: bool = False
+    customers: bool = False
+    closure: bool | str = True
 
     def __post_init__(self):
         if self.with_reopening and self.calendar is None:
             raise ValueError("days since a reopening need a calendar")
 
+    @classmethod
+    def of(cls, learned: Statistics, calendar: DataFrame | None, families: dict) -> Features:
+        """By the names of :data:`FAMILIES`."""
+        if unknown := set(families) - set(FAMILIES):
+            raise ValueError(f"no such feature family: {', '.join(sorted(unknown))}")
+        own = {("with_reopening" if k == "reopening" else k): v for k, v in families.items()}
+        return cls(learned, calendar, **own)
+
     @property
     def names(self) -> list[str]:
-        return feature_names(closure=self.calendar is not None, easter=self.easter, reopening=self.with_reopening, month=self.month)
+        return feature_names(closure=self.calendar is not None and self.closure, easter=self.easter, reopening=self.with_reopening, month=self.month, promo2=self.promo2, customers=self.customers)
 
     def transform(self, df: DataFrame, validate: bool = False) -> DataFrame:
         """The columns of ``df`` and the features; ``validate`` counts rows that the calendar lacks, which costs a job."""

@@ -13,6 +13,12 @@ def rmspe_of(actual: str = "Sales", predicted: str = "prediction") -> Column:
     return F.sqrt(F.avg(F.when(F.col(actual) != 0, squared_error(actual, predicted))))
 
 
+def given(predicted: str = "prediction") -> Column:
+    """The prediction; a missing one is an error when the row is computed."""
+    bad = F.col(predicted).isNull() | F.isnan(F.col(predicted).cast("double"))
+    return F.when(bad, F.raise_error(F.lit("a row with sales has no prediction")).cast("double")).otherwise(F.col(predicted))
+
+
 def rmspe(df: DataFrame, actual: str = "Sales", predicted: str = "prediction") -> float:
     """The score as a number; a missing prediction or a table without sales is an error."""
     sold = F.col(actual) != 0

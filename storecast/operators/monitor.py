@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import week
 from ..functions.facts import squared_error
-from .metrics import rmspe_of
+from .metrics import given, rmspe_of
 from .quantiles import quantiles
 
 
@@ -17,8 +17,7 @@ def evaluate(scored: DataFrame, threshold: float | None = None) -> DataFrame:
 
     A row with sales but no prediction is an error when the report is computed. Without any row with sales the report is empty.
     """
-    given = F.when(F.col("prediction").isNull() | F.isnan(F.col("prediction").cast("double")), F.raise_error(F.lit("a row with sales has no prediction")).cast("double")).otherwise(F.col("prediction"))
-    rows = scored.filter("Sales > 0").withColumns({"week": week(), "prediction": given})
+    rows = scored.filter("Sales > 0").withColumns({"week": week(), "prediction": given()})
     aggs = [F.count("*").alias("rows"), F.round(rmspe_of(), 4).alias("rmspe")]
     if {"low", "high"} <= set(scored.columns):
         aggs.append(F.round(F.avg(F.col("Sales").between(F.col("low"), F.col("high")).cast("int")), 4).alias("coverage"))

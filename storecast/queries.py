@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from .operators.validation import RollingOrigin
 from .schema import feature_names
 from .sources import files
 from .sources.panel import daily_rows, panel, store_facts
-from .sources.tables import written
+from .sources.tables import shared_dir, written
 
 SPLIT = RollingOrigin()
 
@@ -505,4 +506,13 @@ def q_forecast(spark, d):
     return model.predict(future.drop("Sales", "Customers"), interval=0.8, strict=False).select("Store", "Date", "Open", "prediction", "low", "high")
 
 
+def q_backtest(spark, d):
+    """Two arms of one small model over all folds: with and without the closed-day family. No SQL."""
+    from .jobs.backtest import Arm, Backtest, results
+
+    arms = [Arm("closed days", segmented=False), Arm("without", {"closure": False}, segmented=False)]
+    params = {"maxDepth": 4, "stepSize": 0.3, "subsamplingRate": 1.0, "featureSubsetStrategy": "all"}
+    return r6(results(Backtest(f"{shared_dir(spark)}/backtest-{uuid.uuid4().hex}", arms, params=params, options={"fixed_rounds": 10}).run(panel(spark, d))))
+
+
 QUERIES = {name: f for name, f in list(globals().items()) if name.startswith("q_")}

@@ -35,10 +35,20 @@ LEARNED_FEATURES = ["store_mean_sales", "store_dow_mean_sales", "store_promo_upl
 CLOSURE_FEATURES = ["open_yesterday", "open_tomorrow", "closed_days_next_7", "closed_days_last_7", "days_to_next_holiday", "days_since_last_holiday"]
 
 
-def feature_names(*, closure: bool = True, easter: bool = True, reopening: bool = False, month: bool = False) -> list[str]:
-    """The model's features in their fixed order."""
+PROMO2_EXTRAS = ["promo2_tenure_weeks", "promo_cycle_pos"]
+#: Switches of :func:`feature_names`, as arms and the forecaster name them.
+FAMILIES = ("closure", "easter", "reopening", "month", "promo2", "customers")
+
+
+def feature_names(*, closure: bool | str = True, easter: bool = True, reopening: bool = False, month: bool = False, promo2: bool = False, customers: bool = False) -> list[str]:
+    """The model's features in their fixed order.
+
+    ``closure`` may be "flags" (the neighbouring days and counts) or "distances"
+    (to holidays). ``customers`` leaks what is not known beforehand: for comparison only.
+    """
     names = DATE_FEATURES + KNOWN_FEATURES + DUMMIES + LEARNED_FEATURES
-    names += CLOSURE_FEATURES if closure else []
+    names += {"flags": CLOSURE_FEATURES[:4], "distances": CLOSURE_FEATURES[4:]}.get(closure, CLOSURE_FEATURES if closure else [])
     names += ["days_to_easter"] if easter else []
     names += ["days_since_reopening"] if reopening else []
-    return names + (["month_start", "days_to_month_end"] if month else [])
+    names += ["month_start", "days_to_month_end"] if month else []
+    return names + (PROMO2_EXTRAS if promo2 else []) + (["Customers"] if customers else [])
