@@ -1,4 +1,4 @@
-"""spark-submit storecast/jobs/run.py fit|predict|evaluate|backtest|compare ..."""
+"""spark-submit storecast/jobs/run.py fit|predict|evaluate|backtest|compare|calendar ..."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from storecast.jobs.backtest import Arm, Backtest, results
+from storecast.jobs.calendar_store import CalendarStore
 from storecast.jobs.forecaster import Forecaster
 from storecast.operators import baseline, experiment, monitor
 from storecast.operators.validation import RollingOrigin
@@ -51,9 +52,14 @@ def compare(spark: SparkSession, a: argparse.Namespace) -> None:
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(a.out)
 
 
+def calendar(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Add the days of --daily to the calendar kept in --model."""
+    print(CalendarStore(spark, a.model).add(files.read(spark, a.daily, DAILY)), "days added")
+
+
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=["fit", "predict", "evaluate", "backtest", "compare"])
+    parser.add_argument("job", choices=["fit", "predict", "evaluate", "backtest", "compare", "calendar"])
     for name in ("daily", "store", "rows", "model", "predictions", "out", "arms", "base"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--seeds", type=int, default=1)

@@ -7,8 +7,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.facts import relative_error, squared_error
+from ..sources.tables import written
 from .metrics import rmspe_of
 from .quantiles import quantiles
+from .running import running
 
 
 def seed_scores(frame: DataFrame, *cols: str, predicted: str = "prediction") -> DataFrame:
@@ -24,11 +26,11 @@ def side_by_side(frame: DataFrame, *cols: str, a: str = "pred_a", b: str = "pred
 
 
 def concentration(frame: DataFrame, key: str) -> DataFrame:
-    """Squared error by key with its running share, worst first. The ordered window is over groups, not rows."""
-    groups = frame.filter("Sales <> 0").groupBy(key).agg(F.sum(squared_error()).alias("total"), F.count("*").alias("rows"))
-    w = W.orderBy(F.desc("total"), key)
-    running = F.sum("total").over(w.rowsBetween(W.unboundedPreceding, 0)) / F.sum("total").over(W.partitionBy())
-    return groups.select(key, "total", "rows", running.alias("running_share"), F.row_number().over(w).alias("place"))
+    """Squared error by key with its running share, worst first; of equal ones the smaller key first. No task holds all keys."""
+    groups = written(frame.filter("Sales <> 0").groupBy(key).agg(F.sum(squared_error()).alias("total"), F.count("*").alias("rows")), "groups")
+    ranked = running(groups, [F.desc("total"), F.asc(key)], {"upto": F.col("total")}, place="place")
+    every = groups.agg(F.sum("total").alias("every"))  # one row
+    return ranked.crossJoin(F.broadcast(every)).select(key, "total", "rows", F.try_divide("upto", "every").alias("running_share"), F.col("place").cast("int").alias("place"))
 
 
 def shares(frame: DataFrame, *cols: str) -> DataFrame:
@@ -111,3 +113,15 @@ def fold_correlation(frame: DataFrame, a: int, b: int) -> DataFrame:
     """One row: how a store's score in one fold goes with that in another, over stores that have both."""
     by_store = frame.groupBy("Store").pivot("fold", [a, b]).agg(rmspe_of())
     return by_store.agg(F.corr(str(a), str(b)).alias("correlation"), F.count_if(F.col(str(a)).isNotNull() & F.col(str(b)).isNotNull()).alias("stores"))
+
+
+def fold_correlations(frame: DataFrame) -> DataFrame:
+    """fold_a, fold_b, stores, correlation: how a store's score in one fold goes with that in another, for every pair of folds.
+
+    A pair counts the stores that have both. A store's scores are one array, and
+    all pairs are summed in one pass; a store has as many pairs as folds allow.
+    """
+    by_fold = frame.groupBy("Store", "fold").agg(rmspe_of().alias("score")).filter("score is not null")
+    scores = by_fold.groupBy("Store").agg(F.sort_array(F.collect_list(F.struct("fold", "score"))).alias("s"))
+    pairs = F.flatten(F.transform("s", lambda x: F.transform(F.filter("s", lambda y: y["fold"] > x["fold"]), lambda y: F.struct(x["fold"].alias("fold_a"), y["fold"].alias("fold_b"), x["score"].alias("x"), y["score"].alias("y")))))
+    return scores.select(F.inline(pairs)).groupBy("fold_a", "fold_b").agg(F.count("*").alias("stores"), F.corr("x", "y").alias("correlation"))

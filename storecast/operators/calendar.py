@@ -13,6 +13,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import CALENDAR, HOLIDAY_CAP, LONG_CLOSURE, REOPENING_CAP
+from ..sources.tables import bucketed, is_stored
 
 
 def compact(df: DataFrame) -> DataFrame:
@@ -22,9 +23,11 @@ def compact(df: DataFrame) -> DataFrame:
 def distinct_days(calendar: DataFrame) -> DataFrame:
     """One row per store and day, dealt by store: of repeated ones, open if any is, with the largest holiday letter.
 
-    The exchange by store serves the windows that follow as well.
+    The exchange by store serves the windows that follow as well; a table in
+    buckets by store needs none.
     """
-    return calendar.repartition("Store").groupBy("Store", "Date").agg(F.max("Open").alias("Open"), F.max("StateHoliday").alias("StateHoliday"))
+    rows = calendar if getattr(calendar, "_table", None) else calendar.repartition("Store")
+    return rows.groupBy("Store", "Date").agg(F.max("Open").alias("Open"), F.max("StateHoliday").alias("StateHoliday"))
 
 
 def last_per_key(df: DataFrame, keys: list[str], priority: str) -> DataFrame:
@@ -48,9 +51,14 @@ def closure(calendar: DataFrame) -> DataFrame:
 
 
 def around(calendar: DataFrame, with_reopening: bool = True, closed_days: int = LONG_CLOSURE, cap: int = REOPENING_CAP) -> DataFrame:
-    """The columns of :func:`closure` and :func:`reopening` from one exchange and one sort."""
-    first, last = bounds(calendar)
-    rows = distinct_days(calendar).select(*CALENDAR, F.unix_date("Date").alias("day"))
+    """The columns of :func:`closure` and :func:`reopening` from one exchange and one sort.
+
+    Distinct days are stored by store first, unless ``calendar`` is a stored
+    table: the ends of the calendar are needed before the rows.
+    """
+    days = distinct_days(calendar) if is_stored(calendar) else bucketed(distinct_days(calendar), "days")
+    first, last = bounds(calendar if is_stored(calendar) else days)
+    rows = days.select(*CALENDAR, F.unix_date("Date").alias("day"))
     newest = []
     if with_reopening:
         rows = rows.withColumns(reopened(F.lit(first - 1), closed_days))
@@ -82,6 +90,20 @@ def neighbours(first: int, last: int) -> list[Column]:
     ]
 
 
+def own_calendar(panel: DataFrame, first: int, last: int, closure: bool = True, with_reopening: bool = True) -> DataFrame:
+    """A panel that is its own calendar with the columns of :func:`around`, and no join.
+
+    ``panel`` holds every store's days, closed ones too, each once. In buckets
+    by store it needs no exchange either. ``first`` and ``last`` are :func:`bounds`.
+    """
+    rows = panel.withColumn("day", F.unix_date("Date"))
+    more = []
+    if with_reopening:
+        rows = rows.withColumns(reopened(F.lit(first - 1)))
+        more = [since_back(F.max("back").over(up_to_here())).alias("days_since_reopening")]
+    return rows.select(*panel.columns, *(neighbours(first, last) if closure else []), *more)
+
+
 def reopened(open_before: Column, closed_days: int = LONG_CLOSURE) -> dict[str, Column]:
     """``back``: the day, where it ends a long closed stretch. ``open_before``: the last open day before the rows at hand."""
     day, is_open = F.col("day"), F.col("Open") == 1

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import calendar_parts, days_to_easter, month_columns
 from ..functions.facts import competition, dummies, promo2
 from ..schema import FAMILIES, MIN_REOPENED_ROWS, feature_names
-from .calendar import around, reopening
+from .calendar import around, own_calendar, reopening
 
 
 def store_means(train: DataFrame) -> DataFrame:
@@ -51,19 +51,35 @@ class Statistics:
     global_mean: float
     global_uplift: float
     comp_dist_median: float | None
+    #: One row per store with all three, where they were learnt together: Store, store_mean_sales, store_promo_uplift, weekday_means (a map).
+    whole: DataFrame | None = None
 
     def join(self, df: DataFrame) -> DataFrame:
         """Left joins with the chain of fallbacks: weekday, store, all."""
-        rows = df.join(self.by_store, "Store", "left").join(self.by_weekday, ["Store", "DayOfWeek"], "left").join(self.uplift, "Store", "left")
+        if self.whole is not None:
+            rows = df.join(self.whole, "Store", "left").withColumn("store_dow_mean_sales", F.try_element_at("weekday_means", F.col("DayOfWeek").cast("int"))).drop("weekday_means")
+        else:
+            rows = df.join(self.by_store, "Store", "left").join(self.by_weekday, ["Store", "DayOfWeek"], "left").join(self.uplift, "Store", "left")
         rows = rows.withColumn("store_mean_sales", F.coalesce("store_mean_sales", F.lit(self.global_mean)))
         return rows.withColumns({"store_dow_mean_sales": F.coalesce("store_dow_mean_sales", "store_mean_sales"), "store_promo_uplift": F.coalesce("store_promo_uplift", F.lit(self.global_uplift))})
 
 
 def statistics(train: DataFrame, calendar: DataFrame | None = None) -> Statistics:
-    """Means and uplifts; with a calendar, from the rows since a reopening. The scalars always use all rows."""
+    """Means and uplifts; with a calendar, from the rows since a reopening. The scalars always use all rows.
+
+    What is learnt of a store comes from one grouping of its weekdays and
+    promotions, so a table in buckets by store is not moved.
+    """
     one = scalars(train).first()
     own = since_reopening(train, calendar) if calendar is not None else train
-    return Statistics(store_means(own), weekday_means(own), promo_uplift(own), one.global_mean, one.global_uplift, one.comp_dist_median)
+    cells = own.groupBy("Store", "DayOfWeek", "Promo").agg(F.sum("Sales").alias("s"), F.count("Sales").alias("n"))
+    total = lambda c, when=None: F.sum(F.col(c) if when is None else F.when(when, F.col(c)))
+    days = cells.groupBy("Store", "DayOfWeek").agg(*(total(c, w).alias(f"{c}{k}") for c in "sn" for k, w in enumerate((None, F.col("Promo") == 1, F.col("Promo") == 0))))
+    entry = F.when(F.col("DayOfWeek").isNotNull() & (F.col("n0") > 0), F.struct(F.col("DayOfWeek").cast("int").alias("key"), (F.col("s0") / F.col("n0")).alias("value")))
+    ratio = lambda k: F.try_divide(F.sum(f"s{k}"), F.sum(f"n{k}"))
+    whole = days.groupBy("Store").agg(ratio(0).alias("store_mean_sales"), F.try_divide(ratio(1), ratio(2)).alias("store_promo_uplift"), F.map_from_entries(F.collect_list(entry)).alias("weekday_means"))
+    by_weekday = whole.select("Store", F.explode("weekday_means").alias("DayOfWeek", "store_dow_mean_sales"))
+    return Statistics(whole.select("Store", "store_mean_sales"), by_weekday, whole.select("Store", "store_promo_uplift"), one.global_mean, one.global_uplift, one.comp_dist_median, whole)
 
 
 @dataclass
@@ -107,6 +123,17 @@ class Features:
             rows = rows.withColumn("days_to_easter", days_to_easter())
         return month_columns(rows) if self.month else rows
 
+    def of_panel(self, panel: DataFrame, first: int, last: int) -> DataFrame:
+        """The open days of a panel that is its own calendar, with the features: windows in place of the join.
+
+        ``panel`` and the ends as :func:`~.calendar.own_calendar` has them; all rows are covered, so there is nothing to validate.
+        """
+        rows = own_calendar(panel, first, last, bool(self.closure), self.with_reopening).filter("Open = 1")
+        rows = self.learned.join(dummies(promo2(competition(calendar_parts(rows), self.learned.comp_dist_median))))
+        if self.easter:
+            rows = rows.withColumn("days_to_easter", days_to_easter())
+        return month_columns(rows) if self.month else rows
+
     def check(self, df: DataFrame) -> None:
         if missing := [n for n in self.names if n not in df.columns]:
             raise ValueError(f"missing features: {', '.join(missing)}")

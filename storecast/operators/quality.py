@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.dates import week
+from ..sources.tables import dropped, written
 
 ROW_CHECKS = {
     "store below 1": "Store < 1", "weekday out of range": "DayOfWeek not between 1 and 7", "weekday differs from date": "DayOfWeek <> weekday(Date) + 1", "negative sales": "Sales < 0",
     "negative customers": "Customers < 0", "open not 0 or 1": "Open not in (0, 1)", "promo not 0 or 1": "Promo not in (0, 1)", "unknown holiday": "StateHoliday not in ('0', 'a', 'b', 'c')",
-    "closed with sales": "Open = 0 and Sales > 0", "open without sales": "Open = 1 and Sales = 0", "sales without customers": "Sales > 0 and Customers = 0", "no store facts": "StoreType is null",
+    "closed with sales": "Open = 0 and Sales > 0", "closed with customers": "Open = 0 and Customers > 0", "open without sales": "Open = 1 and Sales = 0", "sales without customers": "Sales > 0 and Customers = 0",
+    "customers without sales": "Customers > 0 and Sales = 0", "no store facts": "StoreType is null",
 }
 STORE_CHECKS = {
     "no distance": "CompetitionDistance is null", "no competitor date": "CompetitionOpenSinceYear is null", "placeholder year": "CompetitionOpenSinceYear < 1950", "unknown type": "StoreType not in ('a', 'b', 'c', 'd')",
@@ -18,15 +20,24 @@ STORE_CHECKS = {
 }
 
 
-def _counted(df: DataFrame, checks: dict[str, str]) -> DataFrame:
-    one = df.agg(*(F.count_if(F.expr(x)).alias(n) for n, x in checks.items()))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(n).alias("check"), F.col(f"`{n}`").alias("bad")) for n in checks))).alias("x")).select("x.check", "x.bad")
+def _counts(checks: dict[str, str]) -> list[Column]:
+    return [F.count_if(F.expr(x)).alias(n) for n, x in checks.items()]
 
 
 def report(rows: DataFrame, stores: DataFrame) -> DataFrame:
-    """Name and number of bad rows of every check: one pass over the rows, one over the stores, one for repeated keys."""
-    repeated = rows.groupBy("Store", "Date").count().agg(F.count_if(F.col("count") > 1).alias("bad")).select(F.lit("repeated key").alias("check"), "bad")
-    return _counted(rows, ROW_CHECKS).unionByName(_counted(stores, STORE_CHECKS)).unionByName(repeated)
+    """Name and number of bad rows of every check.
+
+    The rows are read once: the checks are counted while they are stored, and
+    repeated keys from the two stored key columns. Empty tables have no bad rows.
+    """
+    seen, facts = Observation(), Observation()
+    keys = written(rows.observe(seen, *_counts(ROW_CHECKS)).select("Store", "Date"), "keys")
+    kept = written(stores.observe(facts, *_counts(STORE_CHECKS)).select("Store"), "stores")
+    repeated = keys.groupBy("Store", "Date").count().filter("count > 1").count()
+    found = {**seen.get, **facts.get, "repeated key": repeated}
+    for table in (keys, kept):
+        dropped(table)
+    return rows.sparkSession.createDataFrame(list(found.items()), "check string, bad long")
 
 
 def silent_stores(rows: DataFrame, start, end) -> DataFrame:

@@ -118,6 +118,20 @@ FOLD_LEARNED = """, f_store AS (SELECT fold, Store, avg(Sales) AS store_mean_sal
 f_day AS (SELECT fold, Store, DayOfWeek, avg(Sales) AS store_dow_mean_sales FROM train GROUP BY ALL),
 f_all AS (SELECT fold, avg(Sales) AS global_mean, avg(Sales) FILTER (WHERE Promo = 1) / avg(Sales) FILTER (WHERE Promo = 0) AS global_uplift, median(CompetitionDistance) AS comp_dist_median FROM train GROUP BY ALL)"""
 SQL = {
+    "q_fold_correlations": PANEL + SCORED + ", s AS (SELECT Store, fold, sqrt(avg(sq)) AS x FROM sold GROUP BY 1, 2) SELECT a.fold AS fold_a, b.fold AS fold_b, count(*) AS stores, round(corr(a.x, b.x), 6) AS correlation FROM s a JOIN s b ON a.Store = b.Store AND a.fold < b.fold GROUP BY 1, 2",
+    "q_asof_holiday": PANEL + """, h AS (SELECT DISTINCT Store, Date, StateHoliday AS kind FROM panel WHERE StateHoliday <> '0'),
+last AS (SELECT o.Store, o.Date, h.Date AS at, h.kind FROM open_days o ASOF LEFT JOIN h ON o.Store = h.Store AND o.Date >= h.Date),
+next AS (SELECT o.Store, o.Date, h.Date AS at, h.kind FROM open_days o ASOF LEFT JOIN h ON o.Store = h.Store AND o.Date <= h.Date)
+SELECT Store, Date, CASE WHEN Date - last.at <= 200 THEN last.kind END AS last_kind, CAST(CASE WHEN Date - last.at <= 200 THEN Date - last.at END AS INT) AS days_since,
+  CASE WHEN next.at - Date <= 200 THEN next.kind END AS next_kind, CAST(CASE WHEN next.at - Date <= 200 THEN next.at - Date END AS INT) AS days_until FROM last JOIN next USING (Store, Date)""",
+    "q_asof_shipment": """WITH o AS (SELECT o_orderkey, o_orderpriority AS priority, CAST(o_orderdate AS DATE) AS day FROM orders),
+s AS (SELECT priority, CAST(l_shipdate AS DATE) AS day, max(o_orderkey * 10 + l_linenumber) AS line FROM lineitem JOIN o ON l_orderkey = o_orderkey GROUP BY 1, 2)
+SELECT o.*, CASE WHEN o.day - s.day <= 30 THEN s.day END AS shipped_day, CASE WHEN o.day - s.day <= 30 THEN s.line END AS shipped_line
+FROM o ASOF LEFT JOIN s ON o.priority = s.priority AND o.day > s.day""",
+    "q_calendar_upkeep": PANEL + CLOSURE + REOPENING + " SELECT Store, Date, Open, StateHoliday, closure.* EXCLUDE (Store, Date), days_since_reopening FROM closure JOIN reopening USING (Store, Date) JOIN (SELECT Store, Date, Open, StateHoliday FROM panel) USING (Store, Date)",
+    "q_distinct_sketches": """WITH l AS (SELECT CAST(date_trunc('week', l_shipdate) AS DATE) AS week, l_orderkey, l_suppkey FROM lineitem)
+SELECT CAST(date_trunc('quarter', week) AS DATE) AS quarter, min(week) AS first_week, max(week) AS last_week, count(DISTINCT week) AS weeks,
+  count(DISTINCT l_orderkey) AS exact_orders, count(DISTINCT l_suppkey) AS exact_suppliers, true AS orders_within, true AS suppliers_within FROM l GROUP BY 1""",
     "q_fold_means": PANEL + SCORED + FOLD_LEARNED + " SELECT fold, Store, DayOfWeek, " + ", ".join(R6(c, c) for c in ("store_mean_sales", "store_promo_uplift", "store_dow_mean_sales", "global_mean", "global_uplift", "comp_dist_median")) + " FROM f_day JOIN f_store USING (fold, Store) JOIN f_all USING (fold)",
     "q_fold_medians": PANEL + SCORED + f" SELECT fold, Store, DayOfWeek, Promo, {R6('m3', 'median')}, {R6('m2', 'store_median')}, {R6('m0', 'all_median')} FROM m3 JOIN m2 USING (fold, Store) JOIN m0 USING (fold)",
     "q_median_rule_by_store_type": PANEL + SCORED + f" SELECT StoreType, {R6(RMSPE, 'rmspe')}, count(*) AS rows, {R6('avg(Sales)', 'mean_sales')} FROM sold WHERE fold = 4 GROUP BY StoreType",
@@ -182,7 +196,7 @@ SELECT flag, count(*) AS rows, count(*) FILTER (WHERE DayOfWeek = 1) AS mondays,
         f"{' UNION ALL' if i else ''} SELECT '{n}' AS \"check\", count(*) AS bad FROM {t} WHERE {x}" for i, (n, t, x) in enumerate([
             ("store below 1", "r", "Store < 1"), ("weekday out of range", "r", "DayOfWeek NOT BETWEEN 1 AND 7"), ("weekday differs from date", "r", "DayOfWeek <> isodow(Date)"), ("negative sales", "r", "Sales < 0"),
             ("negative customers", "r", "Customers < 0"), ("open not 0 or 1", "r", "Open NOT IN (0, 1)"), ("promo not 0 or 1", "r", "Promo NOT IN (0, 1)"), ("unknown holiday", "r", "StateHoliday NOT IN ('0', 'a', 'b', 'c')"),
-            ("closed with sales", "r", "Open = 0 AND Sales > 0"), ("open without sales", "r", "Open = 1 AND Sales = 0"), ("sales without customers", "r", "Sales > 0 AND Customers = 0"), ("no store facts", "r", "StoreType IS NULL"),
+            ("closed with sales", "r", "Open = 0 AND Sales > 0"), ("closed with customers", "r", "Open = 0 AND Customers > 0"), ("customers without sales", "r", "Customers > 0 AND Sales = 0"), ("open without sales", "r", "Open = 1 AND Sales = 0"), ("sales without customers", "r", "Sales > 0 AND Customers = 0"), ("no store facts", "r", "StoreType IS NULL"),
             ("no distance", "store", "CompetitionDistance IS NULL"), ("no competitor date", "store", "CompetitionOpenSinceYear IS NULL"), ("placeholder year", "store", "CompetitionOpenSinceYear < 1950"), ("unknown type", "store", "StoreType NOT IN ('a', 'b', 'c', 'd')"),
             ("promo2 without start", "store", "Promo2 = 1 AND Promo2SinceYear IS NULL"), ("start without promo2", "store", "Promo2 = 0 AND Promo2SinceYear IS NOT NULL"), ("promo2 without months", "store", "Promo2 = 1 AND PromoInterval IS NULL"),
             ("repeated key", "(SELECT Store, Date FROM panel GROUP BY ALL HAVING count(*) > 1)", "true")])),

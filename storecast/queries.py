@@ -9,14 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import dates, facts
-from .operators import analysis, baseline, calendar, experiment, features, monitor, profiles, quality, segments
+from .operators import analysis, baseline, calendar, experiment, features, monitor, profiles, quality, segments, sketches
+from .operators.asof import asof
 from .operators.folds import fold_statistics
 from .operators.metrics import rmspe_by, rmspe_of, worst_first
 from .operators.validation import RollingOrigin
 from .schema import feature_names
 from .sources import files
 from .sources.panel import daily_rows, panel, store_facts
-from .sources.tables import shared_dir, written
+from .sources.tables import bucketed, shared_dir, written
 
 SPLIT = RollingOrigin()
 
@@ -101,9 +102,13 @@ def q_dummies(spark, d):
 
 
 def q_features(spark, d):
-    rows = stored(spark, d)
-    built = features.Features(features.statistics(history(spark, d, rows)), rows, with_reopening=True, month=True)
-    out = built.transform(open_days(rows), validate=True)
+    """The panel in buckets by store: its windows and statistics need no exchange, and its dates are asked for once."""
+    days = bucketed(panel(spark, d), "panel")
+    ends = days.agg(*(f(c).alias(f"{n}_{k}") for k, c in (("day", F.col("Date")), ("open", F.when(F.col("Open") == 1, F.col("Date")))) for n, f in (("first", F.min), ("last", F.max)))).first()
+    train_end = SPLIT.dates(ends.first_open, ends.last_open)[-1][1]
+    learned = features.statistics(open_days(days).filter(F.col("Date") <= F.lit(train_end)))
+    built = features.Features(learned, days, with_reopening=True, month=True)
+    out = built.of_panel(days, *((x - datetime.date(1970, 1, 1)).days for x in (ends.first_day, ends.last_day)))
     built.check(out)
     return r6(out.select("Store", "Date", *feature_names(reopening=True, month=True)))
 
@@ -138,7 +143,7 @@ def q_weights(spark, d):
 
 
 def q_closure(spark, d):
-    return calendar.closure(panel(spark, d))
+    return calendar.closure(daily_rows(spark, d))
 
 
 def q_closure_labels(spark, d):
@@ -158,7 +163,7 @@ def q_closure_flags(spark, d):
 
 
 def q_reopening(spark, d):
-    return calendar.reopening(panel(spark, d))
+    return calendar.reopening(daily_rows(spark, d))
 
 
 def q_first_back(spark, d):
@@ -474,6 +479,51 @@ def q_segment_one_hot(spark, d):
     return segments.one_hot(segments.Segmenter(own, segments.largest(own)).transform(open_panel(spark, d)).select("Store", "Date", "segment"), 4)
 
 
+def q_fold_correlations(spark, d):
+    return r6(analysis.fold_correlations(scored(spark, d)))
+
+
+def q_asof_holiday(spark, d):
+    """Every open day with its store's last holiday and the next, 200 days away at most."""
+    days = stored(spark, d)
+    holidays = days.filter("StateHoliday <> '0'").select("Store", "Date", F.col("StateHoliday").alias("kind"))
+    rows = open_days(days).select("Store", "Date")
+    last = asof(rows, holidays, ["Store"], "Date", ["kind"], tolerance=200, prefix="last_")
+    both = asof(last, holidays, ["Store"], "Date", ["kind"], direction="forward", tolerance=200, prefix="next_")
+    return both.select("Store", "Date", "last_kind", F.date_diff("Date", "last_Date").alias("days_since"), "next_kind", F.date_diff("next_Date", "Date").alias("days_until"))
+
+
+def q_asof_shipment(spark, d):
+    """Every order with the newest shipment before it among lines of its priority: few keys with very many rows."""
+    orders = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.col("o_orderpriority").alias("priority"), F.col("o_orderdate").cast("date").alias("day"))
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("date").alias("day"), "l_linenumber")
+    shipped = lines.join(orders.select("o_orderkey", "priority"), "o_orderkey").groupBy("priority", "day").agg(F.max(F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("line"))
+    return asof(orders, shipped, ["priority"], "day", ["line"], tolerance=30, strict=True, prefix="shipped_")
+
+
+def q_calendar_upkeep(spark, d):
+    """The calendar with all its columns, as it stands after its last weeks were added one by one."""
+    from .jobs.calendar_store import CalendarStore
+
+    days, store = stored(spark, d), CalendarStore(spark, f"{shared_dir(spark)}/calendar-{uuid.uuid4().hex}")
+    last = days.agg(F.max("Date")).first()[0]
+    cuts = [last - datetime.timedelta(days=k) for k in (14, 7, 0)]
+    for low, high in zip([datetime.date(1900, 1, 1), *cuts], cuts):
+        store.add(days.filter((F.col("Date") > F.lit(low)) & (F.col("Date") <= F.lit(high))))
+    return store.days()
+
+
+def q_distinct_sketches(spark, d):
+    """Distinct orders and suppliers of every quarter from weekly sketches: whether they are within the stated error, next to the exact counts."""
+    rows = spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_shipdate").cast("date").alias("Date"), F.col("l_orderkey").alias("orders"), F.col("l_suppkey").alias("suppliers"))
+    names, quarter = ["orders", "suppliers"], F.date_trunc("quarter", "week").cast("date").alias("quarter")
+    kept = written(sketches.weekly_sketches(rows, names), "sketches")
+    near = sketches.united(kept, names, quarter)
+    exact = rows.withColumn("week", dates.week()).groupBy(quarter).agg(*(F.count_distinct(n).alias(f"exact_{n}") for n in names))
+    within = lambda n: F.abs(F.col(n) - F.col(f"exact_{n}")) <= F.greatest(F.lit(1.0), sketches.error() * F.col(f"exact_{n}"))
+    return near.join(exact, "quarter").select("quarter", "first_week", "last_week", "weeks", *(F.col(f"exact_{n}") for n in names), *(within(n).alias(f"{n}_within") for n in names))
+
+
 def q_sample(spark, d):
     return quality.sample(open_panel(spark, d).select("Store", "Date", "Sales"), 5000)
 

@@ -25,12 +25,43 @@ def read(spark: SparkSession, path: str, schema) -> DataFrame:
     return raw.select(*(strictly(f.name, f.dataType).alias(f.name) for f in schema if f.name in raw.columns))
 
 
+def read_setting_aside(spark: SparkSession, path: str, schema, aside: str) -> DataFrame:
+    """The rows of a CSV file that can be read; the others go to the Parquet folder ``aside`` (replaced) as file, record, problems.
+
+    ``problems`` names the malformed columns, or "number of fields" for a line
+    with more or fewer fields than the header. :func:`aside_counts` has their
+    numbers. The file is parsed twice: for what is set aside, and when the rows are used.
+    """
+    names = spark.read.option("header", True).csv(path).columns
+    texts = ", ".join(f"`{n}` string" for n in names)
+    lines = spark.read.option("header", True).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_record").schema(f"{texts}, `_record` string").csv(path)
+    own = [f for f in schema if f.name in names]
+    problems = F.filter(F.array(*(F.when(_malformed(f.name, f.dataType), F.lit(f.name)) for f in own), F.when(F.col("_record").isNotNull(), F.lit("number of fields"))), lambda x: x.isNotNull())
+    record = F.coalesce("_record", F.to_csv(F.struct(*(F.col(f"`{n}`") for n in names))))
+    checked = lines.withColumns({"_problems": problems, "_line": record})
+    bad = checked.filter(F.size("_problems") > 0).select(F.input_file_name().alias("file"), F.col("_line").alias("record"), F.col("_problems").alias("problems"))
+    bad.write.mode("overwrite").parquet(aside)
+    return checked.filter(F.size("_problems") == 0).select(*(strictly(f.name, f.dataType).alias(f.name) for f in own))
+
+
+def aside_counts(spark: SparkSession, aside: str) -> DataFrame:
+    """problem, rows: a row with two malformed columns counts for both."""
+    return spark.read.parquet(aside).select(F.explode("problems").alias("problem")).groupBy("problem").agg(F.count("*").alias("rows"))
+
+
+def _value(name: str, kind) -> Column:
+    text = F.col(name)
+    return text.try_cast("double").try_cast(kind) if isinstance(kind, IntegralType) else text.try_cast(kind)
+
+
+def _malformed(name: str, kind) -> Column:
+    return F.col(name).isNotNull() & _value(name, kind).isNull()
+
+
 def strictly(name: str, kind) -> Column:
     """Text as ``kind``; whole numbers may be written with a point ("9.0"). What cannot be read raises."""
-    text = F.col(name)
-    value = text.try_cast("double").try_cast(kind) if isinstance(kind, IntegralType) else text.try_cast(kind)
-    bad = F.raise_error(F.concat(F.lit(f"{name} is malformed: "), text)).cast(kind)
-    return F.when(text.isNotNull() & value.isNull(), bad).otherwise(value)
+    bad = F.raise_error(F.concat(F.lit(f"{name} is malformed: "), F.col(name))).cast(kind)
+    return F.when(_malformed(name, kind), bad).otherwise(_value(name, kind))
 
 
 def clean_panel(daily: DataFrame, store: DataFrame, drop_closed: bool = True) -> DataFrame:

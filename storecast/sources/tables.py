@@ -35,11 +35,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, key: str = "Store", order: tuple[str, ...] = ("Date",)) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt into buckets by ``key`` and sorted in each.
+
+    Windows, groups and joins by ``key`` (with or without further columns in a
+    window or group) then need no exchange: all tables that are dealt into the
+    same number of buckets lie side by side. The catalog knows the table until
+    :func:`dropped`, or until the session ends.
+    """
+    spark = df.sparkSession
+    own = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
+    path, n = f"{shared_dir(spark)}/{own}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key, *order).option("path", path).option("compression", "zstd").saveAsTable(own)
+    out = spark.table(own)
+    out._stored_at, out._table = path, own
+    return out
+
+
+def is_stored(df: DataFrame) -> bool:
+    """Whether this is, as it stands, a table made here: reading it twice costs little."""
+    return getattr(df, "_stored_at", None) is not None
+
+
 def dropped(df: DataFrame) -> None:
-    """Delete a table made by :func:`written` that nothing reads any more."""
+    """Delete a table made by :func:`written` or :func:`bucketed` that nothing reads any more."""
     path = getattr(df, "_stored_at", None)
     if path:
         spark = df.sparkSession
+        if getattr(df, "_table", None):
+            spark.sql(f"DROP TABLE IF EXISTS {df._table}")
         where = spark._jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 

@@ -13,6 +13,7 @@ from storecast.operators.experiment import accepted
 from storecast.operators.features import Features, statistics
 from storecast.operators.metrics import rmspe
 from storecast.operators.validation import RollingOrigin
+from storecast.sources import versions
 from storecast.schema import LEARNED_FEATURES, feature_names
 
 FOLDS = RollingOrigin(n_splits=2, horizon_days=21, min_train_days=300)
@@ -85,7 +86,7 @@ def test_arms_need_their_own_names(tmp_path):
         backtest(tmp_path, [Arm("x"), Arm("x")])
 
 
-def test_forecaster_takes_families_and_weights(made, spark, tmp_path):  # noqa: F811
+def test_forecaster_takes_families_and_weights(made, spark, tmp_path, monkeypatch):  # noqa: F811
     past, future = (df.filter("Store <= 24") for df in made)
     train, sold = past.filter("Open = 1 and Sales > 0"), future.filter("Open = 1 and Sales > 0")
     scores = {}
@@ -101,6 +102,16 @@ def test_forecaster_takes_families_and_weights(made, spark, tmp_path):  # noqa:
             assert {"days_since_reopening", "days_to_month_end", "promo_cycle_pos"} <= set(model.features.names) and "days_to_easter" not in model.features.names
         if name == "weights":
             assert "open_yesterday" not in model.features.names and "days_to_next_holiday" in model.features.names
+    # A save that breaks leaves the model before it.
+    model.card["note"] = "half written"
+    with monkeypatch.context() as m:
+        m.setattr(versions, "commit", lambda *_: (_ for _ in ()).throw(InterruptedError()))
+        with pytest.raises(InterruptedError):
+            model.save(str(tmp_path / "weights"))
+    old = Forecaster.load(spark, str(tmp_path / "weights"))
+    assert "note" not in old.card and old.predict(future.limit(5), planned=future.drop("Sales")).count() == 5
+    with pytest.raises(ValueError, match="no saved"):
+        Forecaster.load(spark, str(tmp_path / "nothing"))
     assert all(s < 0.4 for s in scores.values()) and scores["weights"] != scores["families"]
     with pytest.raises(ValueError, match="no such feature family"):
         Forecaster(families={"weather": True}).fit(train, past)
