@@ -11,6 +11,13 @@ is missed with a probability of at most MISS. Windows without a shingle of any
 template share no minimum with one and are not hashed further. What the bands
 retrieve is then compared word by word.
 
+A notice that is longer than any window, because more was put in, is found by
+the exact count that follows: of the shingles that stand in a text outside the
+notices found so far, and that the windows' first step has at hand anyway, the
+shortest stretch with the most distinct ones matches if these are 0.8 of the
+template's and it is longer than the windows. So the stretch of the windows
+decides how a notice is found, not whether.
+
 Templates are a parameter; each adds a fixed cost, and they are sent with the
 code. Texts are scanned where they lie, without a shuffle.
 """
@@ -41,7 +48,7 @@ TEMPLATES: Mapping[str, str] = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 SHINGLE, CONTAINMENT, ROWS, MISS, SEED = 5, 0.8, 2, 1e-4, 11
-#: The longest notice of a template that may hold inserted words, as a multiple of the template.
+#: The longest notice that windows cover, as a multiple of its template, where words may be put in; longer ones are counted over the text.
 STRETCH = 2
 WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 TOP = np.uint64(2**64 - 1)
@@ -64,16 +71,16 @@ def shingle_hashes(word: np.ndarray, size: int = SHINGLE) -> np.ndarray:
     return mixed(h)
 
 
-def longest(n_words: int) -> int:
-    """Words of the longest notice looked for: shingles on both sides of an insertion are kept only if those across it may be missing."""
+def longest(n_words: int, stretch: float = STRETCH) -> int:
+    """Words of the longest notice that a window covers: shingles on both sides of an insertion are kept only if those across it may be missing."""
     own = max(1, n_words - SHINGLE + 1)
-    return STRETCH * n_words if own - math.ceil(CONTAINMENT * own - 1e-9) >= SHINGLE - 1 else n_words
+    return int(stretch * n_words) if own - math.ceil(CONTAINMENT * own - 1e-9) >= SHINGLE - 1 else n_words
 
 
-def plan(n_words: int) -> tuple[int, int, int]:
+def plan(n_words: int, stretch: float = STRETCH) -> tuple[int, int, int]:
     """Words of a window, words from one to the next, and bands, for a template of so many words."""
     step = max(1, n_words // 16)
-    size = longest(n_words) + step - 1
+    size = longest(n_words, stretch) + step - 1
     own, theirs = max(1, n_words - SHINGLE + 1), max(1, size - SHINGLE + 1)
     shared = math.ceil(CONTAINMENT * own - 1e-9)
     least = shared / (own + theirs - shared)
@@ -131,7 +138,10 @@ def sliding_min(x: np.ndarray, size: int) -> np.ndarray:
 
 
 class Scanner:
-    def __init__(self, templates: Mapping[str, str]):
+    def __init__(self, templates: Mapping[str, str], stretch: float = STRETCH):
+        if stretch < 1:
+            raise ValueError("a window covers its template at least")
+        self.stretch = stretch
         rng = np.random.default_rng(SEED)
         self.names = sorted(templates)
         self.words = [WORD.findall(templates[n].encode().lower()) for n in self.names]
@@ -140,9 +150,9 @@ class Scanner:
         for k, own in enumerate(self.words):
             if own:
                 self.by_length.setdefault(len(own), []).append(k)
-        most = max((plan(n)[2] for n in self.by_length), default=0) * ROWS
+        most = max((plan(n, stretch)[2] for n in self.by_length), default=0) * ROWS
         self.factors = rng.integers(0, 2**63, most, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.keys, self.known, self.maybe = {}, {}, {}
+        self.keys, self.known, self.maybe, self.mine = {}, {}, {}, {}
         for n, of in self.by_length.items():
             found: dict[int, list[int]] = {}
             known = []
@@ -151,7 +161,8 @@ class Scanner:
                 start, end, _ = words(data, np.array([0, len(data)]), word_mask(data))
                 h = shingle_hashes(run_hash(prefix_sums(data), start, end), min(SHINGLE, n))
                 known.append(h)
-                for band in range(plan(n)[2]):
+                self.mine[k] = np.unique(h)
+                for band in range(plan(n, stretch)[2]):
                     found.setdefault(int(self.band(h, band, lambda x: x.min()[None])[0]), []).append(k)
             self.keys[n] = (np.array(sorted(found), np.uint64), found)
             self.known[n] = np.unique(np.concatenate(known))
@@ -166,18 +177,22 @@ class Scanner:
             out = mixed(least(x ^ (x >> np.uint64(29))) + out)
         return out
 
-    def candidates(self, word: np.ndarray, place: np.ndarray) -> Iterator[tuple[int, int]]:
-        """(template, first word of a window) of every collision; ``place`` numbers the words of each text."""
+    def known_shingles(self, word: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(template length, shingle hashes, where those of a template of this length stand), where there are any."""
         hashes = {length: shingle_hashes(word, length) for length in {min(SHINGLE, n) for n in self.by_length}}
         low = {length: (h & np.uint64(0xFFFF)).astype(np.int64) for length, h in hashes.items()}
         for n in self.by_length:
-            size, step, bands = plan(n)
-            length = min(SHINGLE, n)
-            h, (keys, found) = hashes[length], self.keys[n]
-            some = np.flatnonzero(self.maybe[n][low[length]])
+            h = hashes[min(SHINGLE, n)]
+            some = np.flatnonzero(self.maybe[n][low[min(SHINGLE, n)]])
             some = some[np.isin(h[some], self.known[n])]
-            if not len(some):
-                continue
+            if len(some):
+                yield n, h, some
+
+    def candidates(self, found_shingles: list, place: np.ndarray) -> Iterator[tuple[int, int]]:
+        """(template, first word of a window) of every collision; ``place`` numbers the words of each text."""
+        for n, h, some in found_shingles:
+            size, step, bands = plan(n, self.stretch)
+            length, (keys, found) = min(SHINGLE, n), self.keys[n]
             width = max(1, size - length + 1)
             # Whole windows around the templates' shingles, side by side; one that runs over a seam begins too far from a shingle.
             near = np.flatnonzero(covered(some, width - 1, width - 1, len(h)))
@@ -196,41 +211,72 @@ class Scanner:
         start, end, row = words(low, offsets, word_mask(low))
         if not len(start):
             return {}
-        hashes = run_hash(prefix_sums(low), start, end)
         raw, out = low.tobytes(), {}
+        known = list(self.known_shingles(run_hash(prefix_sums(low), start, end)))
         of: dict[int, list[int]] = {}
-        for k, first in sorted(set(self.candidates(hashes, np.arange(len(row)) - np.searchsorted(row, row)))):
+        for k, first in sorted(set(self.candidates(known, np.arange(len(row)) - np.searchsorted(row, row)))):
             of.setdefault(k, []).append(first)
+
+        def stretches(k: int, at: np.ndarray, most: int) -> Iterator[tuple[int, int, int]]:
+            """Notices of template k among its shingles that begin at the words ``at`` of one text, as first and end word, with their shingles."""
+            length, mine = min(SHINGLE, len(self.words[k])), self.shingles[k]
+            tuples = [tuple(raw[start[j] : end[j]] for j in range(i, i + length)) for i in at.tolist()]
+            hit = [(i, x) for i, x in zip(at.tolist(), tuples, strict=True) if x in mine]
+            yield from notices([i for i, _ in hit], [x for _, x in hit], math.ceil(CONTAINMENT * len(mine) - 1e-9), most, length)
+
+        def add(k: int, first: int, last: int, held: int) -> None:
+            r = int(row[first])
+            out.setdefault(r, []).append({"license": self.names[k], "start": int(start[first] - offsets[r]), "end": int(end[last - 1] - offsets[r]), "containment": held / len(self.shingles[k])})
+
+        taken: dict[int, list[tuple[int, int]]] = {}
         for k, firsts in of.items():
-            n, mine = len(self.words[k]), self.shingles[k]
-            size, length, need = plan(n)[0], min(SHINGLE, n), math.ceil(CONTAINMENT * len(mine) - 1e-9)
+            n = len(self.words[k])
+            size, length = plan(n, self.stretch)[0], min(SHINGLE, n)
             at = np.flatnonzero(covered(np.array(firsts), 0, size - 1, len(row)))
             # Runs of words of one text; a window at the seam of texts is looked at in each.
             for run in np.split(at, np.flatnonzero((np.diff(at) > 1) | (np.diff(row[at]) > 0)) + 1):
-                own = [raw[start[i] : end[i]] for i in run.tolist()]
-                tuples = [tuple(own[i : i + length]) for i in range(len(own))]
-                hit = [i for i, x in enumerate(tuples) if x in mine]
-                r, base = int(row[run[0]]), int(run[0])
-                for first, last, held in notices(hit, [tuples[i] for i in hit], need, longest(n), length):
-                    out.setdefault(r, []).append({"license": self.names[k], "start": int(start[base + first] - offsets[r]), "end": int(end[base + last - 1] - offsets[r]), "containment": held / len(mine)})
+                for found in stretches(k, run[: len(run) - length + 1], longest(n, self.stretch)):
+                    add(k, *found)
+                    taken.setdefault(k, []).append(found[:2])
+        for n, h, some in known:
+            length = min(SHINGLE, n)
+            some = some[row[np.minimum(some + length - 1, len(row) - 1)] == row[some]]
+            for k in self.by_length[n]:
+                mine = some[np.isin(h[some], self.mine[k])]
+                for first, last in taken.get(k, ()):
+                    mine = mine[(mine + length <= first) | (mine >= last)]
+                need = math.ceil(CONTAINMENT * len(self.shingles[k]) - 1e-9)
+                if len(mine) < need:
+                    continue
+                # Texts with enough distinct shingles of the template; few are left.
+                each, begin = np.unique(row[mine], return_index=True)
+                for part in np.split(mine, begin[1:]):
+                    if len(np.unique(h[part])) >= need:
+                        for first, last, held in stretches(k, part, len(row)):
+                            if last - first > longest(n, self.stretch):
+                                add(k, first, last, held)
         return out
 
 
 MATCH = pa.list_(pa.struct([("license", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
 
 
-def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: Mapping[str, str] = TEMPLATES) -> DataFrame:
+def license_matches(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, templates: Mapping[str, str] = TEMPLATES, stretch: float = STRETCH) -> DataFrame:
     """Per row of ``docs``: doc_id, n_matches, licenses, matches (license, start and end byte, containment).
 
     Words are runs of letters and digits, A-Z in lower case. A notice matches
-    when a stretch of text, at most as long as the template, or twice as long where
-    inserted words leave 0.8 whole, holds 0.8 of the template's five-word
-    shingles; a template of fewer words must be there whole. Overlapping
-    stretches of one notice give the best, the shortest and first of equals. ``licenses`` lists the names once, in order. A
-    null or empty text has no matches; rows that repeat an id are scanned each;
-    an empty table gives an empty result. An empty template matches nothing.
+    when a stretch of text holds 0.8 of the template's five-word shingles; a
+    template of fewer words must be there whole. Windows cover stretches as long
+    as the template, or ``stretch`` times that where inserted words leave 0.8
+    whole; stretches of more words, however many, are found by an exact count
+    over the rest of the text. Overlapping stretches of one notice give the best,
+    the shortest and first of equals. ``licenses`` lists the names once, in
+    order. A null or empty text has no matches; rows that repeat an id are
+    scanned each; texts of any length are scanned whole; an empty table gives an
+    empty result. An empty template matches nothing. Other columns, whatever
+    their names, are not read.
     """
-    scanner = Scanner(templates)
+    scanner = Scanner(templates, stretch)
 
     @F.arrow_udf("array<struct<license:string,start:long,end:long,containment:double>>")
     def found(text: pa.Array) -> pa.Array:

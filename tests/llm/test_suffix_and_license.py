@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from storecast.llm.license_scan import CONTAINMENT, TEMPLATES, WORD, Scanner, license_matches, longest, notices, shingles
+from storecast.llm.license_scan import CONTAINMENT, TEMPLATES, WORD, Scanner, license_matches, notices, shingles
 from storecast.llm.suffix_dedup import Queues, repeats_removed, suffix_order
 
 
@@ -127,8 +127,8 @@ def test_licenses_equal_brute_force():
         words, want = WORD.findall(text.lower()), set()
         for name in TEMPLATES:
             template = WORD.findall(TEMPLATES[name].lower().encode())
-            mine, size = shingles(template), longest(len(template))
-            best = max((len(mine & {tuple(words[j : j + min(5, len(template))]) for j in range(i, min(len(words), i + size) - min(5, len(template)) + 1)}) for i in range(len(words))), default=0)
+            mine, size = shingles(template), min(5, len(template))
+            best = len(mine & {tuple(words[j : j + size]) for j in range(len(words) - size + 1)})
             if best / len(mine) >= CONTAINMENT:
                 want.add(name)
         assert {m["license"] for m in got.get(r, [])} == want, r
@@ -136,6 +136,33 @@ def test_licenses_equal_brute_force():
     assert found > 100
 
 
+def test_any_number_of_inserted_words_equals_a_plain_count(spark):
+    """0 to 200 words put in at one to three places, through Spark, against a count over the whole text."""
+    rng = np.random.default_rng(6)
+    texts = []
+    for n in (0, 1, 5, 12, 26, 27, 28, 29, 40, 80, 150, 200):
+        for places in (1, 2, 3):
+            for name in ("MIT text", "Apache-2.0 header", "GPL-3.0", "BSD-3-Clause"):
+                own = TEMPLATES[name].split()
+                for cut in sorted(rng.choice(np.arange(1, len(own)), places, replace=False), reverse=True):
+                    own[cut:cut] = [f"w{x}" for x in rng.integers(0, 500, n)]
+                texts.append(" ".join([*(f"v{x}" for x in rng.integers(0, 500, int(rng.integers(0, 60)))), *own, "end of it"]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for stretch in (1, 2, 3.5):
+        got = {r.doc_id: r for r in license_matches(docs, stretch=stretch).collect()}
+        found = 0
+        for k, text in enumerate(texts):
+            words, want = WORD.findall(text.lower().encode()), set()
+            for name, template in TEMPLATES.items():
+                mine = shingles(WORD.findall(template.lower().encode()))
+                size = len(next(iter(mine)))
+                if len(mine & {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}) >= CONTAINMENT * len(mine) - 1e-9:
+                    want.add(name)
+            assert set(filter(None, got[k].licenses.split(","))) == want, (k, stretch)
+            found += len(want)
+        assert found > 40
+
+
 def test_notices_do_not_overlap():
     assert list(notices([0, 1, 2, 3, 7, 8], list("abcdab"), 2, 9, 2)) == [(0, 5, 4), (7, 10, 2)]
 
