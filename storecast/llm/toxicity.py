@@ -13,9 +13,10 @@ best.
 The votes of the neighbours, weighted by cosine, are calibrated by isotonic
 regression on the examples themselves, each left out of its own vote.
 
-The classifier is fitted on at most MAX_EXAMPLES labelled documents, chosen by
-a hash of their id, so the index that is broadcast has a fixed bound: that of
-the features of so many texts. Scores depend on the text alone.
+The classifier is fitted on at most MAX_EXAMPLES labelled documents with at most
+MAX_FEATURES distinct features each counted, taken in the order of a hash of
+their id, each whole. So the index that is built on the driver and broadcast has
+a fixed bound, however long the texts are. Scores depend on the text alone.
 """
 
 from __future__ import annotations
@@ -27,12 +28,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .store import dropped, sent, written
 from .text import lowered, mixed, pieces, prefix_sums, run_hash, words
 
-MAX_EXAMPLES = 4_000
+MAX_EXAMPLES, MAX_FEATURES = 4_000, 3_000_000
+#: An example with more than this share of all features that may be taken is passed over.
+LARGEST = 1 / 20
 PREFIXES = (4,)
 NEIGHBOURS, BLOCK, SMOOTHING, EVIDENCE = 15, 64, 0.05, 3
 DENSE, QUERIES_AT_ONCE, PIECE = 16, 64, 1 << 19
@@ -264,11 +268,13 @@ def _own_votes(get: Callable[[], Model]):
     return run
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_examples: int = MAX_EXAMPLES) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, max_examples: int = MAX_EXAMPLES, max_features: int = MAX_FEATURES) -> Model:
     """A model from the labels (doc_id, toxic) of the learnable documents; without any, every score is the prior.
 
     One example per text: its id is the smallest, and it is toxic if any of
-    its documents is.
+    its documents is. Examples are a bounded sample: ``max_examples`` of them,
+    as long as they have ``max_features`` features together, each example's
+    distinct ones counted; one with a twentieth of that alone is passed over.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
@@ -277,9 +283,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # At most max_examples rows of 12 bytes: a broadcast of proven size.
     examples = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("of")).groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"))
     # Rows that repeat an id with other texts: the one with the smallest text.
-    examples = written(examples.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("x")).select("doc_id", "x.text", "x.toxic"), "examples")
-    # max_examples rows at most.
-    rows = examples.mapInArrow(_feature_lists, "doc_id long, toxic int, features array<long>, times array<int>").toArrow()
+    stored = written(examples.groupBy("doc_id").agg(F.min(F.struct("text", "toxic")).alias("x")).select("doc_id", "x.text", "x.toxic"), "examples")
+    examples = stored
+    features_of = written(examples.mapInArrow(_feature_lists, "doc_id long, toxic int, features array<long>, times array<int>").withColumn("size", F.size("features")), "features")
+    # One window over max_examples rows of 12 bytes at most, and as many ids to all tasks.
+    upto = F.sum(F.col("size").cast("long")).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))
+    taken = written(features_of.filter(F.col("size") <= max_features * LARGEST).select("doc_id", upto.alias("upto")).filter(F.col("upto") <= max_features).select(F.col("doc_id").alias("of")), "taken")
+    lists, examples = (df.join(F.broadcast(taken), F.col("doc_id") == F.col("of"), "left_semi") for df in (features_of, examples))
+    # max_features numbers at most.
+    rows = lists.drop("size").toArrow()
     ids = rows["doc_id"].to_numpy()
     order = np.argsort(ids)
     rows, ids = rows.take(order), ids[order]
@@ -313,7 +325,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         # One number for each of max_examples rows.
         votes = examples.select("doc_id", "text").mapInArrow(_own_votes(model.get), "number long, vote double").toArrow()
         model.knots = isotonic(votes["vote"].to_numpy(), model.toxic[votes["number"].to_numpy()].astype(float))
-    dropped(examples)
+    for table in (stored, features_of, taken):
+        dropped(table)
     return model
 
 

@@ -292,3 +292,19 @@ def test_top_k_of_the_findings(spark):
     assert [(r.vec_id) for r in top_k(same, same.filter("vec_id = 0"), 2).orderBy("rank").collect()] == [5, 9]
     bad = spark.createDataFrame([(0, [float("-inf"), 1.0]), (0, [1.0, 2.0]), (3, [1.0, 1.0])], "vec_id long, embedding array<double>")
     assert [(r.query_id, r.vec_id, r.score) for r in top_k(bad, bad.filter("vec_id = 0"), 2).collect()] == [(0, 3, 3 * 1024 * 1024)]
+
+
+def test_toxicity_examples_are_bounded_by_their_features(spark):
+    """Long examples do not make the model larger than its bound; those taken are taken whole, in the order of a hash."""
+    rng = np.random.default_rng(2)
+    text = lambda k, n: " ".join(f"{'vile' if k % 3 == 0 else 'kind'}{x}" for x in rng.integers(0, 40 if k % 2 else 100_000, n))
+    rows = [(k, text(k, 60_000 if k == 7 else 2_000 if k % 2 == 0 else 50)) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k, _ in rows], "doc_id long, toxic int")
+    model = fit(docs, labels, max_features=40_000)
+    sizes = {r.doc_id: r.n for r in docs.selectExpr("doc_id", "size(array_distinct(split(text, ' '))) n").collect()}
+    assert 10 < len(model.ids) < 100 and sum(sizes[i] for i in model.ids.tolist()) <= 40_000 and len(model.terms.hashes) <= 40_000
+    whole = fit(docs, labels)
+    assert len(whole.ids) > len(model.ids) and set(model.ids.tolist()) <= set(whole.ids.tolist())
+    out = scored(docs, labels).toPandas()
+    assert ((out.score >= 0.5) == (out.doc_id % 3 == 0)).mean() > 0.9
