@@ -39,49 +39,60 @@ def uniform(id_col: str | Column, seed: int = SEED) -> Column:
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
-def level_sizes(cells: DataFrame, dim: str, want: float | Mapping[str, float]) -> DataFrame:
-    """Each level's tokens and wanted share, not yet summing to one; a level without tokens gets none."""
-    levels = cells.groupBy(F.col(dim).alias("level")).agg(F.sum("n").cast("double").alias("size"))
-    if isinstance(want, Mapping):
-        given = F.create_map(*[F.lit(x) for kv in want.items() for x in (kv[0], float(kv[1]))]) if want else F.create_map()
-        share = F.coalesce(F.element_at(given, F.col("level")), F.lit(0.0))
-    else:
-        share = F.pow("size", F.lit(float(want)))
+def level_sizes(cells: DataFrame, targets: Mapping) -> DataFrame:
+    """dim, level, size (tokens) and share (wanted, not yet summing to one) of every level of every dimension; a level without tokens gets none."""
+    each = F.inline(F.array(*(F.struct(F.lit(d).alias("dim"), F.col(d).alias("level")) for d in targets)))
+    levels = cells.select("n", each).groupBy("dim", "level").agg(F.sum("n").cast("double").alias("size"))
+    share = F.lit(0.0)
+    for dim, want in targets.items():
+        if isinstance(want, Mapping):
+            given = F.create_map(*[F.lit(x) for kv in want.items() for x in (kv[0], float(kv[1]))]) if want else F.create_map()
+            own = F.coalesce(F.element_at(given, F.col("level")), F.lit(0.0))
+        else:
+            own = F.pow("size", F.lit(float(want)))
+        share = F.when(F.col("dim") == dim, own).otherwise(share)
     return levels.withColumn("share", F.when(F.col("size") > 0, share).otherwise(0.0))
 
 
 def reachable(levels: DataFrame, wanted: float) -> DataFrame:
-    """(level, t): the levels' target shares of ``wanted`` tokens.
+    """(dim, level, t): the levels' target shares of ``wanted`` tokens.
 
     A level that holds fewer tokens than its share asks for is taken whole, and
-    the other levels fill what it lacks in the proportion of their shares.
+    the other levels of its dimension fill what it lacks in the proportion of
+    their shares.
     """
-    w = W.orderBy(F.desc(F.col("share") / F.col("size")), "level")
+    w = W.partitionBy("dim").orderBy(F.desc(F.col("share") / F.col("size")), "level")
     before = F.coalesce(F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     scale = (F.lit(wanted) - before) / F.sum("share").over(w.rowsBetween(0, W.unboundedFollowing))
-    steps = levels.filter("share > 0").select("size", "share", F.row_number().over(w).alias("place"), scale.alias("scale"))
-    found = steps.filter(F.col("scale") * F.col("share") <= F.col("size") * (1 + 1e-12)).agg(F.min_by("scale", "place")).first()[0]
-    return levels.select("level", F.when(F.col("share") > 0, F.least("size", F.lit(found).cast("double") * F.col("share")) / F.lit(wanted)).otherwise(0.0).alias("t"))
+    steps = levels.filter("share > 0").select("dim", "size", "share", F.row_number().over(w).alias("place"), scale.alias("scale"))
+    found = {r.dim: r.scale for r in steps.filter(F.col("scale") * F.col("share") <= F.col("size") * (1 + 1e-12)).groupBy("dim").agg(F.min_by("scale", "place").alias("scale")).collect()}  # a row a dimension
+    by = F.lit(None).cast("double")
+    for dim, scale in found.items():
+        by = F.when(F.col("dim") == dim, F.lit(float(scale))).otherwise(by)
+    return levels.select("dim", "level", F.when(F.col("share") > 0, F.least("size", by * F.col("share")) / F.lit(wanted)).otherwise(0.0).alias("t"))
 
 
-def with_targets(cells: DataFrame, targets: Mapping, share: float | None = None) -> tuple[DataFrame, float]:
-    """The cells with the target share of each of their levels as t_<dim>, and the tokens wanted.
+def with_targets(cells: DataFrame, targets: Mapping, share: float | None = None) -> tuple[DataFrame, float, float]:
+    """The cells with the target share of each of their levels as t_<dim>, the tokens wanted, and all tokens.
 
     With ``share``, that part of all tokens, or fewer where the levels with a
     target hold fewer; targets are then what can be reached. Without it the
     shares only sum to one.
     """
-    sizes = {dim: level_sizes(cells, dim, want) for dim, want in targets.items()}
-    n = float(cells.agg(F.sum("n")).first()[0] or 0)
-    sums = {dim: levels.filter("share > 0").agg(F.sum("size"), F.sum("share")).first() for dim, levels in sizes.items()}
-    wanted = min([n if share is None else share * n, *(float(x[0] or 0) for x in sums.values())])
-    for dim, levels in sizes.items():
-        if share is None or not wanted:
-            levels = levels.select("level", (F.col("share") / F.lit(float(sums[dim][1] or 1.0))).alias("t"))
-        else:
-            levels = reachable(levels, wanted)
-        cells = cells.join(levels.withColumnRenamed("t", f"t_{dim}"), F.col(dim) == F.col("level")).drop("level")
-    return cells, wanted
+    levels = written(level_sizes(cells, targets), "levels")
+    sums = {r.dim: r for r in levels.groupBy("dim").agg(F.sum("size").alias("n"), F.sum(F.when(F.col("share") > 0, F.col("size"))).alias("size"), F.sum(F.when(F.col("share") > 0, F.col("share"))).alias("share")).collect()}  # a row a dimension
+    n = max((float(r.n or 0) for r in sums.values()), default=0.0)
+    wanted = min([n if share is None else share * n, *(float(sums[d].size or 0) if d in sums else 0.0 for d in targets)])
+    if share is None or not wanted:
+        every = F.lit(1.0)
+        for dim, r in sums.items():
+            every = F.when(F.col("dim") == dim, F.lit(float(r.share or 1.0))).otherwise(every)
+        goals = levels.select("dim", "level", (F.col("share") / every).alias("t"))
+    else:
+        goals = reachable(levels, wanted)
+    for dim in targets:
+        cells = cells.join(goals.filter(F.col("dim") == dim).select("level", F.col("t").alias(f"t_{dim}")), F.col(dim) == F.col("level")).drop("level")
+    return cells, wanted, n
 
 
 def raked(cells: DataFrame, targets: Mapping = TARGETS, iterations: int = ITERATIONS, share: float | None = None) -> DataFrame:
@@ -91,26 +102,34 @@ def raked(cells: DataFrame, targets: Mapping = TARGETS, iterations: int = ITERAT
     above cap, all of its tokens: a cell there is held while the others of its
     level are scaled up.
     """
-    cells, wanted = with_targets(cells, targets, share)
-    n = float(cells.agg(F.sum("n")).first()[0] or 0) or 1.0
+    stored = written(cells, "cell-tokens")
+    cells, wanted, n = with_targets(stored, targets, share)
+    n = n or 1.0
     cap = F.lit(float("inf")) if share is None or not wanted else F.col("n") / F.lit(wanted)
     cells = written(cells.withColumns({"cap": cap, "w": F.col("n") / F.lit(n)}), "cells")
+    dropped(stored)
     few = cells.count() <= FEW_CELLS
-    at_cap = F.col("w") >= F.col("cap") * (1 - 1e-9)
     for first in range(0, iterations, EVERY):
-        step = cells.coalesce(1) if few else cells
+        # Some rounds in one statement: it is analysed once.
+        rounds = "{cells}"
         for _ in range(first, min(first + EVERY, iterations)):
             for dim in targets:
-                by, t = W.partitionBy(dim), F.col(f"t_{dim}")
-                step = step.withColumns({"total": F.sum("w").over(by), "full": F.sum(F.when(at_cap, F.col("w")).otherwise(0.0)).over(by), "free": F.sum(F.when(at_cap, 0.0).otherwise(F.col("w"))).over(by)})
-                up = F.when(at_cap | (F.col("free") <= 0), F.col("w")).otherwise(F.least("cap", F.col("w") * (t - F.col("full")) / F.col("free")))
-                step = step.withColumn("w", F.when(F.col("total") <= 0, 0.0).when(F.col("total") >= t, F.col("w") * t / F.col("total")).otherwise(up)).drop("total", "full", "free")
-        after = written(step, "raked")
+                rounds = _fitted(dim, rounds, cells.columns)
+        after = written(cells.sparkSession.sql(f"SELECT * FROM {rounds}", cells=cells.coalesce(1) if few else cells), "raked")
         dropped(cells)
         cells = after
     return cells
 
 
+def _fitted(dim: str, rows: str, columns: list[str]) -> str:
+    """SQL: the rows with w scaled so that the levels of one dimension meet their targets; cells at their cap are held."""
+    at_cap = "w >= cap * (1 - 1e-9D)"
+    sums = f"sum(w) OVER p AS total, sum(CASE WHEN {at_cap} THEN w ELSE 0D END) OVER p AS held, sum(CASE WHEN {at_cap} THEN 0D ELSE w END) OVER p AS free"
+    up = f"CASE WHEN {at_cap} OR free <= 0 THEN w ELSE least(cap, w * (`t_{dim}` - held) / free) END"
+    own = ", ".join(f"`{c}`" for c in columns if c != "w")
+    return f"(SELECT {own}, CASE WHEN total <= 0 THEN 0D WHEN total >= `t_{dim}` THEN w * `t_{dim}` / total ELSE {up} END AS w FROM (SELECT *, {sums} FROM {rows} WINDOW p AS (PARTITION BY `{dim}`)))"
+
+
 def achieved(cells: DataFrame, targets: Mapping = TARGETS) -> DataFrame:
     """What raked cells reach: dim, level, target (what can be reached), share, and whether it is within a hundredth of the target."""
     parts = [cells.groupBy(F.lit(d).alias("dim"), F.col(d).alias("level")).agg(F.max(f"t_{d}").alias("target"), F.sum("w").alias("share")) for d in targets]
