@@ -361,12 +361,13 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     score is the log10 probability of the text, A-Z in lower case, and its end
     under the weighted context trees of the rows that are not held out, summed
     from each byte's in single precision; bits_per_byte is its code length over the
-text's bytes and its end mark, which counts as one;
+    text's bytes and its end mark, which counts as one;
     base_score that of its words under their smoothed counts. Words are told
     apart by 64-bit hash. A null text is empty: its end alone is scored. A null
     id counts as the empty string for the split. Rows that repeat an id are
     scored, and learnt from, each. An empty table gives an empty result; with
-    no training rows, every decision has probability one half.
+    no training rows, every decision has probability one half. Texts of any length are read whole. Other columns, whatever
+    their names, are not read.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))

@@ -47,7 +47,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A null text is empty; an empty table gives an empty result. A null id
     counts as larger than any other; a group of nulls only keeps null. Of
     several rows with the smallest id, each is marked as kept: they are one
-    document. ``hash_bits`` is for tests, which shorten the hash to make chunks collide.
+    document. Texts of any length are read whole. Other columns, whatever
+    their names, are not read.
+    ``hash_bits`` is for tests, which shorten the hash to make chunks collide.
     """
     norm = normalised(F.col("text"))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -68,7 +68,9 @@ def common_lines_dropped(docs: DataFrame, id_col: str = "doc_id", text_col: str
     documents lose all their lines. Rows that repeat an id are one document in
     the counts; a null id is a document of its own. Each row loses lines of its
     own text only. A null or empty text is one empty line,
-    which is never dropped. Keys are compared by 128-bit hash.
+    which is never dropped. Keys are compared by 128-bit hash. An empty table gives
+    an empty result. Texts of any length are read whole. Other columns, whatever
+    their names, are not read.
     """
     text = F.col(text_col).cast("binary")
     # An id may be null or stand for several texts: a row is known by its id and 128 bits of its text.

@@ -150,7 +150,8 @@ def mixed_sample(docs: DataFrame, topics: DataFrame | None = None, *, targets: M
     token at all, has probability zero. Rows that repeat an id are drawn
     together; a null id is drawn like any other. Texts of any length are
     counted whole. Empty table: empty result. :func:`achieved` says how near
-    raked cells come to the targets.
+    raked cells come to the targets. Other columns, whatever their names, are not
+    read.
     """
     rows = docs.select(
         F.col(id_col).alias("doc_id"), *(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("source", "lang")), F.regexp_count(F.coalesce(F.col(text_col), F.lit("")), F.lit(WORDS)).cast("long").alias("n_tokens")

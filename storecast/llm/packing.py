@@ -96,7 +96,8 @@ def packed(docs: DataFrame, *, capacity: int = CAPACITY, shard_tokens: int = SHA
     its last piece is packed with others. start is the first token in the bin.
     A document without tokens has one piece of length 0 in no bin (null). Null
     sources are one source; a null cluster is a cluster of its own. Rows that
-    repeat an id are packed each. An empty table gives an empty result.
+    repeat an id are packed each. An empty table gives an empty result. Other
+    columns, whatever their names, are not read.
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),

@@ -152,7 +152,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Texts without words, empty or null, have fingerprint zero and link like any
     other. Rows that repeat an id are all returned. A null id is never the
     smallest, so a component of null ids has a null component_id. An empty
-    table gives an empty result.
+    table gives an empty result. Texts of any length are read whole. Other columns, whatever
+    their names, are not read.
     """
     rows = written(fingerprints(docs, id_col, text_col), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")

@@ -358,7 +358,8 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     an id with different texts are documents of their own, the one with the
     smaller hash of its text being the earlier; rows alike in id and text are
     one document, and lose the same bytes. Texts of any length are read whole.
-    An empty table gives an empty result.
+    An empty table gives an empty result. Other columns, whatever their names, are
+    not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     if texts.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
