@@ -6,22 +6,20 @@ smallest hash in it, which equal windows share at the same place. Runs of
 windows with one anchor are snippets. First the anchors' hashes alone are
 sent, and blocks of documents get back those that occur more than once: only
 their snippets go on. Equal snippets of a block are sent once, by their first place; the others are
-covered whole. A shard drops equal snippets likewise and sorts the suffixes
-of those that are left by induction: the suffixes that begin a rise are
-sorted by their substrings, named, and the names by doubling up to LENGTH
-bytes; all other suffixes are induced from these, bucket by bucket, through
-queues that spill to disk. Neighbours that share LENGTH bytes are equal
-windows; all but the first in the order of the documents are covered.
-
-An anchor with more than HEAVY different snippets (around a passage that very
-many documents hold) is taken apart into windows, which are dealt by their
-own hash.
+covered whole. A shard is a sorted partition of snippets, read as a stream;
+it drops equal snippets likewise, writes the others to a file and sorts their
+suffixes by external induction (:mod:`.induced_sort`), which also tells how
+many bytes neighbours share. Those that share LENGTH bytes are equal windows;
+all but the first in the order of the documents are covered.
+
+An anchor with more than HEAVY snippets (around a passage that very many
+documents hold) first drops equal snippets in SALTS parts; if it still has
+more, it is taken apart into windows, which are dealt by their own hash.
 """
 
 from __future__ import annotations
 
 import math
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,11 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .induced_sort import CAP, MEMORY, Spool, blank, least_between, suffixes
 from .store import written
 from .text import MIX_1, bytes_of, mixed, pieces, prefix_sums, run_hash, window_sums
 
 LENGTH, KMER = 100, 36
-BUCKET_ANCHORS, SHARD_BYTES, HEAVY, IN_MEMORY = 1 << 20, 1 << 22, 4096, 1 << 26
+BUCKET_ANCHORS, SHARD_BYTES, HEAVY, SALTS, ROWS = 1 << 20, 1 << 23, 4096, 64, 8192
 PIECE, BLOCK_BYTES, UPPER = 1 << 19, 1 << 24, np.uint64(0xFFFFFFFF00000000)
 FOUND = "doc_id long, start long, end long, route long, rel int, snippet binary"
 
@@ -123,14 +122,14 @@ class _Out:
         elif place > known:
             self.covered.append((doc, start, start + len(snippet)))
 
-    def table(self, with_first: bool = True) -> pa.Table:
+    def table(self) -> pa.Table:
         merged: list[list[int]] = []
         for d, s, e in sorted(self.covered):
             if merged and merged[-1][0] == d and s <= merged[-1][2]:
                 merged[-1][2] = max(merged[-1][2], e)
             else:
                 merged.append([d, s, e])
-        rows = list(self.first.items()) if with_first else []
+        rows = list(self.first.items())
         none = [None] * len(merged)
         return pa.table(
             {
@@ -179,149 +178,119 @@ def _windows(length: int):
     return run
 
 
-class Queues:
-    """A first-in first-out queue of positions per symbol, on disk beyond ``in_memory`` bytes."""
-
-    def __init__(self, symbols: int, in_memory: int):
-        self.parts: list[list] = [[] for _ in range(symbols)]
-        self.held, self.in_memory, self.file = 0, in_memory, None
-
-    def push(self, at: np.ndarray, symbol: np.ndarray) -> None:
-        order = np.argsort(symbol, kind="stable")
-        at, symbol = at[order], symbol[order]
-        start = np.flatnonzero(np.concatenate([[True], symbol[1:] != symbol[:-1]])) if len(at) else np.zeros(0, np.int64)
-        for s, e in zip(start.tolist(), [*start[1:].tolist(), len(at)], strict=False):
-            part = at[s:e]
-            self.held += part.nbytes
-            if self.held > self.in_memory:
-                self.file = self.file or tempfile.TemporaryFile()
-                place = self.file.seek(0, 2)
-                self.file.write(part.tobytes())
-                part = (place, len(part), part.dtype)
-            self.parts[symbol[s]].append(part)
-
-    def pop(self, symbol: int) -> np.ndarray:
-        parts, self.parts[symbol] = self.parts[symbol], []
-        out = []
-        for p in parts:
-            if isinstance(p, tuple):
-                self.file.seek(p[0])
-                p = np.frombuffer(self.file.read(p[1] * p[2].itemsize), p[2])
-            self.held -= p.nbytes
-            out.append(p)
-        return np.concatenate(out) if out else np.zeros(0, np.int32)
-
-
-def _induced(text: np.ndarray, rises: np.ndarray, rising: np.ndarray, in_memory: int) -> np.ndarray:
-    """All suffixes in order, from the order of those that begin a rise."""
-    symbols = int(text.max()) + 1
-    falls = [np.zeros(0, np.int32)] * symbols
-    queue, seeds = Queues(symbols, in_memory), Queues(symbols, in_memory)
-    seeds.push(rises, text[rises])
-    for c in range(symbols):
-        done, batch = [], queue.pop(c)
-        while len(batch):
-            done.append(batch)
-            before = batch[batch > 0] - 1
-            before = before[~rising[before]]
-            own = text[before] == c
-            queue.push(before[~own], text[before[~own]])
-            batch = before[own]
-        falls[c] = np.concatenate(done) if done else falls[c]
-        start = seeds.pop(c)
-        before = start[start > 0] - 1
-        queue.push(before, text[before])
-    order: list[np.ndarray] = []
-    queue = Queues(symbols, in_memory)
-    for c in range(symbols - 1, -1, -1):
-        batch = queue.pop(c)
-        while len(batch):
-            order.append(batch)
-            before = batch[batch > 0] - 1
-            before = before[rising[before]]
-            own = text[before] == c
-            queue.push(before[~own], text[before[~own]])
-            batch = before[own]
-        down = falls[c][::-1]
-        order.append(down)
-        before = down[down > 0] - 1
-        before = before[rising[before]]
-        queue.push(before, text[before])
-    return np.concatenate([np.array([len(text) - 1], np.int32), np.concatenate(order)[::-1]])
-
-
-def suffix_order(text: np.ndarray, depth: int, in_memory: int = IN_MEMORY) -> np.ndarray:
-    """The suffixes in the order of their first ``depth`` symbols at least; the last symbol must be the only 0."""
-    n = len(text)
-    if n == 1:
-        return np.zeros(1, np.int32)
-    change = np.flatnonzero(text[1:] != text[:-1])
-    nearest = np.searchsorted(change, np.arange(n - 1))
-    rising = np.append(text[change[nearest]] < text[change[nearest] + 1], True)
-    rises = np.flatnonzero(rising[1:] & ~rising[:-1]).astype(np.int32) + 1
-    by_part = _induced(text, rises, rising, in_memory)
-    is_rise = np.zeros(n, bool)
-    is_rise[rises] = True
-    by_part = by_part[is_rise[by_part]]
-    # Names of the substrings from one rise to the next, in order.
-    number = np.zeros(n, np.int64)
-    number[rises] = np.arange(len(rises))
-    end = np.append(rises[1:].astype(np.int64) + 1, n)[number[by_part]]
-    part = run_hash(prefix_sums(text), by_part.astype(np.int64), end)
-    name = np.zeros(len(rises), np.int64)
-    name[number[by_part]] = np.cumsum(np.concatenate([[0], (part[1:] != part[:-1]).astype(np.int64)]))
-    step = 1
-    while 2 * step <= depth + 2 and name.max() + 1 < len(name):
-        after = np.append(name[step:] + 1, np.zeros(min(step, len(name)), np.int64))[: len(name)]
-        name = np.unique(name * (len(name) + 1) + after, return_inverse=True)[1].astype(np.int64)
-        step *= 2
-    return _induced(text, rises[np.argsort(name, kind="stable")], rising, in_memory)
-
-
-def _shard(length: int, kmer: int):
-    """A shard's first snippets to the stretches covered by what starts earlier."""
-
-    def run(table: pa.Table) -> pa.Table:
-        out = _Out()
-        for c in zip(*(table.column(c).to_pylist() for c in ("route", "rel", "snippet", "doc_id", "start")), strict=True):
-            out.add(*c)
-        by_anchor: dict[tuple, list] = {}
-        for (route, rel, snippet), place in out.first.items():
-            by_anchor.setdefault((route, snippet[rel : rel + kmer] if 0 <= rel <= length - kmer else b""), []).append((snippet, *place))
-        rows = [x for group in by_anchor.values() if len(group) > 1 for x in group]
-        if rows:
-            size = np.array([len(x[0]) for x in rows])
+def _distinct(batches: Iterator[pa.RecordBatch], covered: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, bytes, int, int]]:
+    """The first of equal rows (route, rel, snippet) of a sorted partition; the stretches of the others are added to ``covered``."""
+    last = None
+    for batch in batches:
+        for route, rel, snippet, doc, start in zip(*(batch.column(c).to_pylist() for c in ("route", "rel", "snippet", "doc_id", "start")), strict=True):
+            if last == (route, rel, snippet):
+                covered.append((doc, start, start + len(snippet)))
+            else:
+                last = (route, rel, snippet)
+                yield route, rel, snippet, doc, start
+
+
+def _cut(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    types = {"doc_id": pa.int64(), "start": pa.int64(), "end": pa.int64(), "route": pa.int64(), "rel": pa.int32(), "snippet": pa.binary()}
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(x, types[n]) for x, n in zip(columns, names, strict=True)], names)
+
+
+def _reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows of FOUND to the first of equal snippets, and the stretches of the others."""
+    covered, rows = [], []
+    for route, rel, snippet, doc, start in _distinct(batches, covered):
+        rows.append((doc, start, start + len(snippet), route, rel, snippet))
+        if len(rows) + len(covered) >= ROWS:
+            yield _cut([*rows, *((*c, None, None, None) for c in covered)], list(FOUND_COLUMNS))
+            rows.clear()
+            covered.clear()
+    yield _cut([*rows, *((*c, None, None, None) for c in covered)], list(FOUND_COLUMNS))
+
+
+class _Text:
+    """Snippets one after another in a file, as symbols from 2, with a 1 behind each, and where each stands."""
+
+    def __init__(self):
+        self.text, self.base, self.size, self.doc, self.start = (Spool(t) for t in (np.uint16, np.int64, np.int64, np.int64, np.int64))
+        self.counts, self.rows = np.zeros(258, np.int64), []
+
+    def add(self, snippet: bytes, doc: int, start: int) -> None:
+        self.rows.append((snippet, doc, start))
+        if len(self.rows) >= ROWS:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.rows:
+            snippet, doc, start = zip(*self.rows, strict=True)
+            self.rows = []
+            size = np.array([len(x) for x in snippet])
             base = np.cumsum(size + 1) - size - 1
-            text = np.ones(int((size + 1).sum()) + 1, np.uint16)
-            raw = np.frombuffer(b"\xff".join(x[0] for x in rows), np.uint8)
-            text[: len(raw)] = raw.astype(np.uint16) + 2
-            text[base[1:] - 1] = 1
-            text[len(raw) :] = 1
-            text[-1] = 0
-            order = suffix_order(text, length).astype(np.int64)
-            owner = np.searchsorted(base, order, "right") - 1
-            window = order - base[owner] <= size[owner] - length
-            order, owner = order[window], owner[window]
-            # Neighbours that share LENGTH bytes, eight at a time.
-            eight = np.zeros(len(raw), np.uint64)
-            for k in range(8):
-                eight[: len(raw) - k] |= raw[k:].astype(np.uint64) << np.uint64(8 * k)
-            same = np.arange(1, len(order))
-            for k in [*range(0, length - 8, 8), length - 8]:
-                same = same[eight[order[same] + k] == eight[order[same - 1] + k]]
-            group = np.ones(len(order), np.int64)
-            group[same] = 0
-            group = np.cumsum(group)
-            doc, start = np.array([x[1] for x in rows], np.int64)[owner], np.array([x[2] for x in rows], np.int64)[owner] + order - base[owner]
-            by = np.lexsort((start, doc, group))
-            later = by[1:][group[by[1:]] == group[by[:-1]]]
-            later = later[np.lexsort((start[later], doc[later]))]
-            if len(later):
-                cut = np.concatenate([[True], (doc[later][1:] != doc[later][:-1]) | (start[later][1:] != start[later][:-1] + 1)])
-                s = np.flatnonzero(cut)
-                e = np.append(s[1:], len(later)) - 1
-                out.covered += list(zip(doc[later[s]].tolist(), start[later[s]].tolist(), (start[later[e]] + length).tolist(), strict=True))
-        return out.table(with_first=False).select(["doc_id", "start", "end"])
+            symbols = np.ones(int((size + 1).sum()), np.uint16)
+            inside = np.ones(len(symbols), bool)
+            inside[base + size] = False
+            symbols[inside] = np.frombuffer(b"".join(snippet), np.uint8).astype(np.uint16) + 2
+            self.base.append(base + self.text.n)
+            self._symbols(symbols)
+            for spool, x in ((self.size, size), (self.doc, doc), (self.start, start)):
+                spool.append(np.array(x, np.int64))
+
+    def _symbols(self, symbols: np.ndarray) -> None:
+        self.text.append(symbols)
+        self.counts += np.bincount(symbols, minlength=258)
+
+    def sorted(self, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        self._symbols(np.zeros(1, np.uint16))
+        return suffixes(self.text.mapped(), np.cumsum(self.counts) - self.counts, memory)
+
+
+def _shard(length: int, memory: int):
+    """A shard's sorted first snippets to the stretches covered by what starts earlier."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, covered, held, texts = ["doc_id", "start", "end"], [], None, _Text()
+        for route, _, snippet, doc, start in _distinct(batches, covered):
+            # An anchor with one snippet repeats nothing.
+            if held and held[0] == route:
+                if held[1]:
+                    texts.add(*held[1])
+                texts.add(snippet, doc, start)
+                held = (route, None)
+            else:
+                held = (route, (snippet, doc, start))
+            if len(covered) >= ROWS:
+                yield _cut(covered, names)
+                covered.clear()
+        yield _cut(covered, names)
+        texts.flush()
+        if not texts.base.n:
+            return
+        base, size, of, at = (x.mapped() for x in (texts.base, texts.size, texts.doc, texts.start))
+        later, carried, best = blank((texts.text.n,)), CAP, np.zeros(0, np.int64)
+        for place, share in texts.sorted(memory):
+            place = np.minimum(place, len(later) - 1)
+            owner = np.searchsorted(base, place, "right") - 1
+            window = place - base[owner] <= size[owner] - length
+            share, carried = least_between(share, window, carried)
+            if not len(share):
+                continue
+            # The best of the group that may go on, then this batch's; suffixes that share LENGTH symbols are equal windows.
+            group = np.concatenate([np.zeros(len(best), np.int64), np.cumsum(share < length)])
+            place = np.concatenate([best, place[window]])
+            owner = np.searchsorted(base, place, "right") - 1
+            by = np.lexsort((at[owner] + place - base[owner], of[owner], group))
+            first = np.concatenate([[True], group[by[1:]] != group[by[:-1]]])
+            later[place[by[~first]]] = 1
+            best = place[by[np.flatnonzero(first)[-1:]]]
+        for s in range(0, len(later), PIECE):
+            place = s + np.flatnonzero(later[s : s + PIECE])
+            if len(place):
+                cut = np.flatnonzero(np.diff(place, prepend=-2) != 1)
+                end = place[np.append(cut[1:], len(place)) - 1] + length
+                place = place[cut]
+                owner = np.searchsorted(base, place, "right") - 1
+                shift = at[owner] - base[owner]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (of[owner], place + shift, end + shift)], names)
 
     return run
 
@@ -349,7 +318,7 @@ def _kept():
     return kept
 
 
-def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, kmer: int = KMER, heavy: int = HEAVY) -> DataFrame:
+def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, length: int = LENGTH, kmer: int = KMER, heavy: int = HEAVY, memory: int = MEMORY) -> DataFrame:
     """Per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept (the bytes that are left).
 
     A string starts earlier if its document has a smaller id, or in the same
@@ -359,22 +328,22 @@ def repeats_removed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     smaller hash of its text being the earlier; rows alike in id and text are
     one document, and lose the same bytes. Texts of any length are read whole.
     An empty table gives an empty result. Other columns, whatever their names, are
-    not read.
+    not read. A shard's sorter holds about ``memory`` bytes; ``length`` is CAP at most.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
     if texts.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").isEmpty():
-        out = _removed(texts.withColumn("row", F.col("doc_id")), length, kmer, heavy)
+        out = _removed(texts.withColumn("row", F.col("doc_id")), length, kmer, heavy, memory)
     else:
         # Numbers in the order of the ids, and of 128 bits of the text within an id.
         key = ["doc_id", "t1", "t2"]
         named = texts.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")})
         numbers = named.filter("doc_id is not null").select(*key).distinct().orderBy(*key).select(*(F.col(c).alias(f"of_{c}") for c in key), F.monotonically_increasing_id().alias("row"))
         numbers = written(numbers, "row-numbers")
-        out = _removed(named.join(numbers, [F.col(c) == F.col(f"of_{c}") for c in key], "left").select("doc_id", "row", "text"), length, kmer, heavy, one_each=True)
+        out = _removed(named.join(numbers, [F.col(c) == F.col(f"of_{c}") for c in key], "left").select("doc_id", "row", "text"), length, kmer, heavy, memory, one_each=True)
     return out
 
 
-def _removed(texts: DataFrame, length: int, kmer: int, heavy: int, one_each: bool = False) -> DataFrame:
+def _removed(texts: DataFrame, length: int, kmer: int, heavy: int, memory: int, one_each: bool = False) -> DataFrame:
     """:func:`repeats_removed` of (doc_id, row, text); rows with one number hold one text, and those without take no part."""
     whole, texts = texts, texts.filter("row is not null").select(F.col("row").alias("doc_id"), "text")
     texts = texts.dropDuplicates(["doc_id"]) if one_each else texts
@@ -389,19 +358,31 @@ def _removed(texts: DataFrame, length: int, kmer: int, heavy: int, one_each: boo
     found = written(named.groupBy("block").cogroup(wanted.groupBy("of")).applyInArrow(_snippets(length, kmer), FOUND), "snippets")
 
     first = found.filter("snippet is not null")
-    many = written(first.groupBy("route").count().filter(F.col("count") > heavy).select(F.col("route").alias("many")), "heavy-anchors")
     covered = found.filter("snippet is null").select("doc_id", "start", "end")
+    key = ["route", "rel", "snippet", "doc_id", "start"]
+    many = _heavy(first, heavy)
     if not many.isEmpty():
-        apart = written(first.join(many, F.col("route") == F.col("many"), "left_semi").select(*FOUND_COLUMNS).mapInArrow(_windows(length), FOUND), "heavy-windows")
-        covered = covered.unionByName(apart.filter("snippet is null").select("doc_id", "start", "end"))
-        first = first.join(many, F.col("route") == F.col("many"), "left_anti").unionByName(apart.filter("snippet is not null"))
+        salted = first.join(many, F.col("route") == F.col("many"), "left_semi").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)))
+        fewer = written(salted.repartition("route", "salt").sortWithinPartitions(*key).select(*FOUND_COLUMNS).mapInArrow(_reduced, FOUND), "heavy-snippets")
+        covered = covered.unionByName(fewer.filter("snippet is null").select("doc_id", "start", "end"))
+        first, fewer = first.join(many, F.col("route") == F.col("many"), "left_anti"), fewer.filter("snippet is not null")
+        many = _heavy(fewer, heavy)
+        if not many.isEmpty():
+            apart = written(fewer.join(many, F.col("route") == F.col("many"), "left_semi").select(*FOUND_COLUMNS).mapInArrow(_windows(length), FOUND), "heavy-windows")
+            covered = covered.unionByName(apart.filter("snippet is null").select("doc_id", "start", "end"))
+            fewer = fewer.join(many, F.col("route") == F.col("many"), "left_anti").unionByName(apart.filter("snippet is not null"))
+        first = first.unionByName(fewer)
     total = first.agg(F.coalesce(F.sum(F.octet_length("snippet")), F.lit(0))).first()[0]
     shards = max(1, math.ceil(total / SHARD_BYTES))
-    dealt = first.withColumn("shard", F.pmod(F.xxhash64("route"), F.lit(shards)).cast("int"))
-    later = dealt.groupBy("shard").applyInArrow(_shard(length, kmer), "doc_id long, start long, end long")
+    dealt = first.select(*key).repartition(shards, "route").sortWithinPartitions(*key)
+    later = dealt.mapInArrow(_shard(length, memory), "doc_id long, start long, end long")
     stretches = covered.unionByName(later).groupBy(F.col("doc_id").alias("of")).agg(F.collect_list(F.struct("start", "end")).alias("gone"))
     both = whole.join(stretches, F.col("row") == F.col("of"), "left")
     return both.select("doc_id", _kept()("text", "gone.start", "gone.end").alias("x")).select("doc_id", "x.n_bytes", "x.n_removed", "x.n_spans", "x.kept")
 
 
+def _heavy(first: DataFrame, heavy: int) -> DataFrame:
+    return written(first.groupBy("route").count().filter(F.col("count") > heavy).select(F.col("route").alias("many")), "heavy-anchors")
+
+
 FOUND_COLUMNS = ("doc_id", "start", "end", "route", "rel", "snippet")

@@ -1,11 +1,14 @@
 """Repeated passages against brute force; license notices with edits."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from storecast.llm.induced_sort import CAP, Queue, Spool, suffixes
 from storecast.llm.license_scan import CONTAINMENT, TEMPLATES, WORD, Scanner, license_matches, notices, shingles
-from storecast.llm.suffix_dedup import Queues, repeats_removed, suffix_order
+from storecast.llm.suffix_dedup import repeats_removed
 
 
 def plain(texts, length):
@@ -24,21 +27,69 @@ def plain(texts, length):
     return out
 
 
-@pytest.mark.parametrize("in_memory", [1 << 26, 64])
-def test_suffix_order(in_memory):
-    rng = np.random.default_rng(4)
-    for k in range(12):
-        body = rng.integers(2, 3 + k, 400) if k % 3 else np.tile(rng.integers(2, 5, 7), 60)
-        text = np.append(body, 0).astype(np.uint16)
-        order = suffix_order(text, len(text), in_memory)
-        assert order.tolist() == sorted(range(len(text)), key=lambda i, t=text.tolist(): t[i:])
+def in_order(text, memory):
+    batches = list(suffixes(text, np.cumsum(np.bincount(text)) - np.bincount(text), memory))
+    return [np.concatenate(x) for x in zip(*batches, strict=True)]
 
 
-def test_queues_are_first_in_first_out():
-    q = Queues(3, 8)
-    q.push(np.array([5, 6, 7], np.int32), np.array([2, 1, 2]))
-    q.push(np.array([9], np.int32), np.array([2]))
-    assert q.pop(2).tolist() == [5, 7, 9] and q.pop(1).tolist() == [6] and q.pop(0).tolist() == []
+@pytest.mark.parametrize("memory", [1 << 20, 1])
+def test_suffixes_and_shared_prefixes_equal_a_plain_scan(memory):
+    rng = np.random.default_rng(4)
+    bodies = [rng.integers(1, 2 + k % 9, int(rng.integers(0, 300))) for k in range(60)]
+    bodies += [np.tile(rng.integers(1, 5, k), 40) for k in range(1, 9)] + [np.ones(600, int)]
+    for body in bodies:
+        text = np.append(body, 0).astype(np.uint16)
+        plain_text = text.tolist()
+        order, shared = in_order(text, memory)
+        want = sorted(range(len(text)), key=lambda i, t=plain_text: t[i:])
+        if len(body) < CAP:
+            assert order.tolist() == want
+        for a, b, n in zip(order, order[1:], shared[1:], strict=False):
+            x, y = plain_text[a : a + CAP], plain_text[b : b + CAP]
+            assert x <= y and n == next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), CAP)
+
+
+def test_sorting_far_more_than_memory_holds():
+    """Tuples of 24 bytes for each of 300,000 symbols go through queues that hold a twentieth of the text's own bytes."""
+    rng = np.random.default_rng(5)
+    rows = rng.integers(2, 60, (200, 120))[rng.integers(0, 200, 2500)]
+    rows[np.arange(2500), rng.integers(0, 120, 2500)] = 1
+    spool = Spool(np.uint16)
+    spool.append(np.append(rows.ravel(), 0))
+    del rows
+    text, memory = spool.mapped(), spool.n * 2 // 20
+    starts = np.cumsum(np.bincount(text)) - np.bincount(text)
+    seen, last, spilled, push = 0, None, [], Queue.push
+
+    def counted(self, *x):
+        push(self, *x)
+        spilled.append(self.spilled)
+
+    Queue.push = counted
+    tracemalloc.start()
+    try:
+        for place, shared in suffixes(text, starts, memory):
+            seen += len(place)
+            last = (place, shared)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        Queue.push = push
+        tracemalloc.stop()
+    assert seen == len(text) and max(spilled) > len(text) / 4
+    assert peak < 2 * len(text), peak  # the tuples of one pass are 24 bytes each
+    place, shared = last
+    for a, b, n in zip(place, place[1:], shared[1:], strict=False):
+        x, y = text[a : a + CAP].tolist(), text[b : b + CAP].tolist()
+        assert x <= y and n == next((k for k, (p, q) in enumerate(zip(x, y, strict=False)) if p != q), CAP)
+
+
+def test_queue_gives_keys_in_order_and_equal_ones_as_they_came():
+    rng = np.random.default_rng(6)
+    key = rng.integers(0, 9, 500)
+    queue = Queue(np.array([0, 3, 4]), np.array([False, True, False]), 1)
+    for s in range(0, 500, 50):
+        queue.push(key[s : s + 50], np.arange(s, s + 50), np.arange(s, s + 50))
+    assert np.concatenate([x[:, 1] for x in queue.drain()]).tolist() == np.argsort(key, kind="stable").tolist() and queue.spilled
 
 
 def texts_with_repeats():
@@ -57,13 +108,13 @@ def texts_with_repeats():
     return [*texts, b"", b"a" * 700, b"ab" * 300, passage, passage[:99], passage[:100]]
 
 
-@pytest.mark.parametrize("heavy", [4096, 2])
-def test_repeats_equal_brute_force(spark, heavy):
+@pytest.mark.parametrize(("heavy", "memory"), [(4096, 1 << 23), (2, 1 << 10)])
+def test_repeats_equal_brute_force(spark, heavy, memory):
     texts = texts_with_repeats()
     rows = [(i, t.decode("utf-8", "replace"), 1, 2) for i, t in enumerate(texts)]
     texts = [r[1].encode() for r in rows]
     docs = spark.createDataFrame([*rows[::-1], (99, None, 1, 2), (None, texts[1].decode(), 1, 2)], "doc_id long, text string, start long, of long").repartition(3)
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats_removed(docs, heavy=heavy).collect()}
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in repeats_removed(docs, heavy=heavy, memory=memory).collect()}
     for i, want in enumerate(plain(texts, 100)):
         assert got[i] == want, i
     assert got[99] == (0, 0, 0, b"") and got[None][1] == 0
