@@ -2,7 +2,8 @@
 
 A suffix that begins a rise (a seed) is sorted by its substring up to the next
 seed; the substrings are named in order, and the names sorted as a text of
-their own, by the same means, until every name occurs once. All other suffixes
+their own, by the same means, until every name occurs once. Up to DIRECT
+seeds are named and sorted in memory. All other suffixes
 are induced from the seeds: ascending those that fall, then descending those
 that rise. A priority queue holds (symbol, rank of the suffix that induced it,
 place), spilled as sorted runs and read by ranges of symbols.
@@ -15,8 +16,8 @@ symbol are read. Between seeds, shared names give the length that is known,
 and the rest is read. Prefixes count up to CAP; so does the order.
 
 Text, names, lists and table lie in files of the task's own, mapped where they
-are read by place. What is held in memory is bounded by ``memory`` bytes at
-any length of text.
+are read by place. What is held in memory is bounded by ``memory`` bytes and
+DIRECT names at any length of text.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-CAP, MEMORY, TUPLE = 254, 1 << 23, 128
+CAP, MEMORY, TUPLE, BLOCK, DIRECT = 254, 1 << 23, 128, 16, 1 << 20
 NONE = np.zeros((0, 3), np.int64)
 
 
@@ -101,9 +102,9 @@ class Queue:
             rows = np.concatenate(self.waiting)
             rows = rows[np.argsort(rows[:, 0], kind="stable")]
             self.file.seek(self.written)
-            self.file.write(rows.data)
+            self.file.write(rows.astype(np.uint32).data)
             self.runs = np.concatenate([self.runs[self.runs[:, 2] > 0], [[rows[0, 0], self.written, len(rows)]]])
-            self.written += rows.nbytes
+            self.written += 12 * len(rows)
             self.spilled += len(rows)
             self.waiting, self.held = [], 0
 
@@ -113,10 +114,10 @@ class Queue:
         out, size = [], 32
         while most and left:
             n = min(left, size, most)
-            rows = np.frombuffer(os.pread(self.file.fileno(), 24 * min(n + 1, left), offset), np.int64).reshape(-1, 3)
+            rows = np.frombuffer(os.pread(self.file.fileno(), 12 * min(n + 1, left), offset), np.uint32).reshape(-1, 3).astype(np.int64)
             m = min(n, int(np.searchsorted(rows[:, 0], self.end[self.now])))
             out.append(rows[:m])
-            offset, left, most, size = offset + 24 * m, left - m, most - m, 4 * size
+            offset, left, most, size = offset + 12 * m, left - m, most - m, 4 * size
             if left:
                 self.runs[k, 0] = rows[m, 0]
             if m < n:
@@ -180,9 +181,9 @@ class Listed:
     def _read(self, s: int, e: int) -> tuple[np.ndarray, np.ndarray]:
         n = self.place.n
         if not self.backwards:
-            return self.place.read(s, e), self.shared.read(s, e).astype(np.int64)
+            return self.place.read(s, e).astype(np.int64), self.shared.read(s, e).astype(np.int64)
         shared = self.shared.read(n - e + 1, min(n, n - s + 1))[::-1].astype(np.int64)
-        return self.place.read(n - e, n - s)[::-1], shared if s else np.concatenate([[0], shared])
+        return self.place.read(n - e, n - s)[::-1].astype(np.int64), shared if s else np.concatenate([[0], shared])
 
     def peek(self, want: int) -> tuple[np.ndarray, np.ndarray]:
         if len(self.rows[0]) < want and self.at < self.place.n:
@@ -201,24 +202,53 @@ class Listed:
 
 
 class Least:
-    """Least values over any run of a list that grows."""
+    """Least values over any run of a list that grows.
+
+    For each place the least value of its BLOCK up to it and from it on, and a
+    table of the least of 2^k blocks.
+    """
 
     def __init__(self, most: int):
-        self.levels, self.n = blank((max(1, most.bit_length()), most)), 0
+        blocks = most // BLOCK + 1
+        self.values, self.upto, self.onward = (blank((blocks * BLOCK,)) for _ in range(3))
+        self.levels, self.n = blank((blocks.bit_length(), blocks)), 0
 
     def append(self, x: np.ndarray) -> None:
-        begin, end = self.n, self.n + len(x)
-        self.levels[0, begin:end] = x
-        for k in range(1, end.bit_length()):
-            s, e, half = max(0, begin - (1 << k) + 1), end - (1 << k) + 1, 1 << (k - 1)
-            below = self.levels[k - 1]
-            np.minimum(below[s:e], below[s + half : e + half], out=self.levels[k, s:e])
-        self.n = end
+        begin, self.n = self.n // BLOCK, self.n + len(x)
+        self.values[self.n - len(x) : self.n] = x
+        end = self.n // BLOCK
+        part = self.values[end * BLOCK : self.n]
+        self.upto[end * BLOCK : self.n] = np.minimum.accumulate(part)
+        if end > begin:
+            here = slice(begin * BLOCK, end * BLOCK)
+            full = self.values[here].reshape(-1, BLOCK)
+            self.upto[here] = np.minimum.accumulate(full, 1).ravel()
+            self.onward[here] = np.minimum.accumulate(full[:, ::-1], 1)[:, ::-1].ravel()
+            self.levels[0, begin:end] = full.min(1)
+            for k in range(1, end.bit_length()):
+                s, e, half = max(0, begin - (1 << k) + 1), end - (1 << k) + 1, 1 << (k - 1)
+                below = self.levels[k - 1]
+                np.minimum(below[s:e], below[s + half : e + half], out=self.levels[k, s:e])
 
     def between(self, after: np.ndarray, to: np.ndarray) -> np.ndarray:
         """The least of after + 1 .. to."""
-        k = np.frexp((to - after).astype(np.float64))[1].astype(np.int64) - 1
-        return np.minimum(self.levels[k, after + 1], self.levels[k, to - (1 << k) + 1]).astype(np.int64)
+        after = after + 1
+        first, last = after // BLOCK, to // BLOCK
+        out = np.minimum(self.onward[after], self.upto[to]).astype(np.int64)
+        some = np.flatnonzero(last - first > 1)
+        if len(some):
+            s, n = first[some] + 1, last[some] - first[some] - 1
+            k = np.frexp(n.astype(np.float64))[1].astype(np.int64) - 1
+            out[some] = np.minimum(out[some], np.minimum(self.levels[k, s], self.levels[k, s + n - (1 << k)]))
+        some = np.flatnonzero(first == last)
+        at, end = after[some], to[some]
+        out[some] = self.values[at]
+        while len(some):
+            at += 1
+            left = at <= end
+            some, at, end = some[left], at[left], end[left]
+            out[some] = np.minimum(out[some], self.values[at])
+        return out
 
 
 def common(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -238,7 +268,7 @@ def induced(text: np.ndarray, given: Listed, first: np.ndarray, single: np.ndarr
     ``top`` is the largest symbol if symbols count downwards from it, else None.
     """
     queue, least = Queue(first, single, memory), Least(len(text))
-    places, shares = Spool(np.int64), Spool(np.uint8)
+    places, shares = Spool(np.uint32), Spool(np.uint8)
     symbol = (lambda at: text[at].astype(np.int64)) if top is None else (lambda at: top - text[at].astype(np.int64))
     end = np.append(first[1:], np.iinfo(np.int64).max)
     want, last = 256, (-1, False, 0, 0)  # symbol, from the queue, rank, place
@@ -276,11 +306,13 @@ def induced(text: np.ndarray, given: Listed, first: np.ndarray, single: np.ndarr
         share = np.zeros(n, np.int64)
         same = key == key_0
         both = same & own & own_0
-        share[both] = 1 + least.between(rank_0[both], rank[both])
+        if both.any():
+            share[both] = 1 + least.between(rank_0[both], rank[both])
         both = same & ~own & ~own_0
         share[both] = rank[both]
         seam = np.flatnonzero(same & ~own & own_0)
-        share[seam] = common(text, place[seam], place_0[seam], np.ones(len(seam), np.int64))
+        if len(seam):
+            share[seam] = common(text, place[seam], place_0[seam], np.ones(len(seam), np.int64))
         share = np.minimum(share, CAP)
         last = (int(key[-1]), bool(own[-1]), int(rank[-1]), int(place[-1]))
         now = least.n
@@ -297,6 +329,7 @@ def both_ways(text: np.ndarray, seeds: Listed, first: np.ndarray, single: np.nda
     falls = induced(text, seeds, first, single, None, memory, every=False)
     last = np.append(first[1:] - 1, top)
     order = induced(text, Listed(*falls, True, room), (top - last)[::-1], single[::-1], top, memory, every=True)
+    del falls
     yield np.array([len(text) - 1]), np.zeros(1, np.int64)
     yield from Listed(*order, True, room).all()
 
@@ -315,23 +348,58 @@ def ranges(starts: np.ndarray, total: int, room: int) -> tuple[np.ndarray, np.nd
     """Ranges of symbols that hold ``room`` suffixes at most, or one symbol; symbol k's suffixes begin at ``starts[k]``."""
     first, single, at = [], [], 0
     while at < len(starts):
-        to = len(starts) if total - starts[at] <= room else max(at + 1, int(np.searchsorted(starts, starts[at] + room, "right")) - 1)
+        begin = int(starts[at])
+        to = len(starts) if total - begin <= room else max(at + 1, int(np.searchsorted(starts, np.array(begin + room, starts.dtype), "right")) - 1)
         first.append(at)
         single.append(to == at + 1)
         at = to
     return np.array(first, np.int64), np.array(single)
 
 
-def suffixes(text: np.ndarray, starts: np.ndarray, memory: int = MEMORY) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def doubled(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`suffixes` of a text that fits in memory, by doubling."""
+    name, step = np.unique(text, return_inverse=True)[1].astype(np.int64), 1
+    while step < CAP and name.max() + 1 < len(name):
+        after = np.append(name[step:] + 1, np.zeros(min(step, len(name)), np.int64))
+        name = np.unique(name * (len(name) + 1) + after, return_inverse=True)[1].astype(np.int64)
+        step *= 2
+    order = np.argsort(name, kind="stable")
+    return order, np.concatenate([[0], common(text, order[1:], order[:-1], np.zeros(len(order) - 1, np.int64))])
+
+
+def names_of(text: np.ndarray, at: np.ndarray, size: np.ndarray, top: int) -> np.ndarray:
+    """Numbers of the substrings at ``at``, in their order; where one ends, it is above those that go on, since they fall there."""
+    bits = (top + 1).bit_length()
+    each, name, left, done = 63 // bits, np.zeros(len(at), np.int64), np.arange(len(at)), 0
+    while len(left):
+        key = np.zeros(len(left), np.int64)
+        for k in range(done, done + each):
+            inside = k < size[left]
+            key = (key << bits) | np.where(inside, text[np.minimum(at[left] + k, len(text) - 1)].astype(np.int64), (1 << bits) - 1)
+        done += each
+        order = np.lexsort((key, name[left]))
+        left, key = left[order], key[order]
+        group = name[left]
+        outer = np.concatenate([[True], group[1:] != group[:-1]])
+        inner = outer | np.concatenate([[True], key[1:] != key[:-1]])
+        place = np.arange(len(left))
+        start = np.maximum.accumulate(np.where(inner, place, 0))
+        name[left] = group + start - np.maximum.accumulate(np.where(outer, place, 0))
+        many = ~inner | np.append(~inner[1:], False)
+        left = left[many & (size[left] > done)]
+    return np.unique(name, return_inverse=True)[1].astype(np.int64)
+
+
+def suffixes(text: np.ndarray, starts: np.ndarray, memory: int = MEMORY, direct: int = DIRECT) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Batches of (place, symbols shared with the suffix before, up to CAP), in order.
 
-    ``text`` is an array, best a mapped one, whose last symbol is its only 0;
+    ``text`` is an array, best a mapped one, of less than 2^32 symbols, whose last is its only 0;
     ``starts[k]`` is the number of symbols less than k.
     """
     n, room, top = len(text), max(16, memory // TUPLE), len(starts) - 1
     first, single = ranges(starts, n, room)
     # Seeds from the end of the text: where it falls to a symbol from which it rises.
-    seed, span, follows, rises = Spool(np.int64), blank((n,)), n - 1, True
+    seed, span, follows, rises = Spool(np.uint32), blank((n,)), n - 1, True
     by_symbol = Queue(first, single, memory)
     for e in range(n, 0, -room):
         s = max(0, e - room)
@@ -349,20 +417,27 @@ def suffixes(text: np.ndarray, starts: np.ndarray, memory: int = MEMORY) -> Iter
             follows = int(at[0])
             seed.append(at[::-1])
             by_symbol.push(text[at].astype(np.int64), np.zeros(len(at), np.int64), at)
-    places, shares, before = Spool(np.int64), Spool(np.uint8), -1
     if n == 1:
         span[0] = 1
         seed.append(np.zeros(1, np.int64))
         by_symbol.push(*np.zeros((3, 1), np.int64))
+    n_seeds, seed_at = seed.n, seed.mapped()
+    if n_seeds <= direct:
+        at = seed_at[::-1].astype(np.int64)
+        number, many = doubled(names_of(text, at, span[at].astype(np.int64), top))
+        cuts = range(0, n_seeds, room)
+        yield from _from_seeds(text, ((at[number[k : k + room]], many[k : k + room], number[k : k + room]) for k in cuts), seed_at, first, single, top, memory)
+        return
+    places, shares, before = Spool(np.uint32), Spool(np.uint8), -1
     for rows in by_symbol.drain():
         places.append(rows[:, 2])
         shares.append(np.diff(rows[:, 0], prepend=before) == 0)
         before = int(rows[-1, 0])
+    del by_symbol
 
     # Names of the seeds' substrings, in order; then back to the order of the text.
-    n_seeds, seed_at = seed.n, seed.mapped()
     by_place = Queue(np.arange(0, n, room), np.full(-(-n // room), room == 1), memory)
-    sorted_seeds, begins, name, length, carried, seen = Spool(np.int64), Spool(np.int64), -1, 0, CAP, 0
+    sorted_seeds, begins, name, length, carried, seen = Spool(np.uint32), Spool(np.uint32), -1, 0, CAP, 0
     for place, share in both_ways(text, Listed(places, shares, False, room), first, single, top, memory):
         is_seed = span[place] > 0
         share, carried = least_between(share, is_seed, carried)
@@ -377,20 +452,24 @@ def suffixes(text: np.ndarray, starts: np.ndarray, memory: int = MEMORY) -> Iter
         seen += len(place)
         sorted_seeds.append(place)
         by_place.push(place, names, place)
-    shares = Spool(np.uint8)
     if name + 1 == n_seeds:
-        places, batches = Spool(np.int64), ((x, np.zeros(len(x), np.int64), None) for x, _ in Listed(sorted_seeds, sorted_seeds, False, room).all())
+        batches = ((x, np.zeros(len(x), np.int64), None) for x, _ in Listed(sorted_seeds, sorted_seeds, False, room).all())
     else:
         upper = Spool(np.uint32)
         for rows in by_place.drain():
             upper.append(rows[:, 1])
-        named = suffixes(upper.mapped(), begins.mapped(), memory)
-        places, batches = Spool(np.int64), ((seed_at[n_seeds - 1 - number], many, number) for number, many in named)
-    before = n - 1
+        del by_place
+        batches = ((seed_at[n_seeds - 1 - number].astype(np.int64), many, number) for number, many in suffixes(upper.mapped(), begins.mapped(), memory, direct))
+    yield from _from_seeds(text, batches, seed_at, first, single, top, memory)
+
+
+def _from_seeds(text: np.ndarray, batches: Iterator[tuple], seed_at: np.ndarray, first: np.ndarray, single: np.ndarray, top: int, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """:func:`suffixes` from batches of sorted seeds: place, names shared with the one before, number in the text (None: no name is shared)."""
+    places, shares, before, n_seeds = Spool(np.uint32), Spool(np.uint8), len(text) - 1, len(seed_at)
     for place, many, number in batches:
         known = np.zeros(len(place), np.int64)
         if number is not None:
-            known = seed_at[n_seeds - 1 - np.minimum(number + many, n_seeds - 1)] - place
+            known = seed_at[n_seeds - 1 - np.minimum(number + many, n_seeds - 1)].astype(np.int64) - place
         other = np.concatenate([[before], place[:-1]])
         differ = np.flatnonzero(other != place)
         share = np.zeros(len(place), np.int64)
@@ -398,4 +477,4 @@ def suffixes(text: np.ndarray, starts: np.ndarray, memory: int = MEMORY) -> Iter
         places.append(place)
         shares.append(share)
         before = int(place[-1])
-    yield from both_ways(text, Listed(places, shares, False, room), first, single, top, memory)
+    yield from both_ways(text, Listed(places, shares, False, max(16, memory // TUPLE)), first, single, top, memory)

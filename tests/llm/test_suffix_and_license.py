@@ -27,20 +27,20 @@ def plain(texts, length):
     return out
 
 
-def in_order(text, memory):
-    batches = list(suffixes(text, np.cumsum(np.bincount(text)) - np.bincount(text), memory))
+def in_order(text, memory, direct):
+    batches = list(suffixes(text, np.cumsum(np.bincount(text)) - np.bincount(text), memory, direct))
     return [np.concatenate(x) for x in zip(*batches, strict=True)]
 
 
-@pytest.mark.parametrize("memory", [1 << 20, 1])
-def test_suffixes_and_shared_prefixes_equal_a_plain_scan(memory):
+@pytest.mark.parametrize(("memory", "direct"), [(1 << 20, 1 << 20), (1 << 20, 0), (1, 20), (1, 0)])
+def test_suffixes_and_shared_prefixes_equal_a_plain_scan(memory, direct):
     rng = np.random.default_rng(4)
     bodies = [rng.integers(1, 2 + k % 9, int(rng.integers(0, 300))) for k in range(60)]
     bodies += [np.tile(rng.integers(1, 5, k), 40) for k in range(1, 9)] + [np.ones(600, int)]
     for body in bodies:
         text = np.append(body, 0).astype(np.uint16)
         plain_text = text.tolist()
-        order, shared = in_order(text, memory)
+        order, shared = in_order(text, memory, direct)
         want = sorted(range(len(text)), key=lambda i, t=plain_text: t[i:])
         if len(body) < CAP:
             assert order.tolist() == want
@@ -68,7 +68,7 @@ def test_sorting_far_more_than_memory_holds():
     Queue.push = counted
     tracemalloc.start()
     try:
-        for place, shared in suffixes(text, starts, memory):
+        for place, shared in suffixes(text, starts, memory, 1000):
             seen += len(place)
             last = (place, shared)
         peak = tracemalloc.get_traced_memory()[1]
