@@ -23,10 +23,10 @@ from ..operators.segments import one_hot, segmenter
 from ..operators.validation import RollingOrigin
 from ..schema import LEARNED_FEATURES, feature_names
 from ..sources.tables import dropped, exists, written
-from .model import SalesModel, exact_metric_weight
+from .model import SalesModel, exact_metric_weight, inner_split
 from .pools import in_pools
 
-CELL = "Store int, Date date, Sales long, prediction double, trees int"
+CELL = "Store int, Date date, Sales long, prediction double, trees int, segment int"
 
 
 @dataclass(frozen=True)
@@ -49,7 +49,12 @@ class Arm:
 
 @dataclass
 class Backtest:
-    """``path``: a folder that all executors share. ``options`` are those of :class:`SalesModel` for all arms."""
+    """``path``: a folder that all executors share. ``options`` are those of :class:`SalesModel` for all arms.
+
+    With ``inner`` each cell also stores the last days of its training rows,
+    scored by a model of the same number of trees that did not see them
+    (:meth:`inner_scored`): one fit more for each model.
+    """
 
     path: str
     arms: list[Arm]
@@ -61,18 +66,19 @@ class Backtest:
     min_days: int = 365
     min_cell_stores: int = 15
     parallelism: int = 4
+    inner: bool = False
 
     def __post_init__(self):
         if len({a.name for a in self.arms}) < len(self.arms) or not self.arms:
             raise ValueError("arms need names of their own")
 
-    def _cell(self, arm: str, seed: int, fold: int) -> str:
+    def _cell(self, arm: str, seed: int, fold: int, inner: bool = False) -> str:
         # A name is a folder: what paths give a meaning to is written as its number.
         own = "".join(c if c.isalnum() or c in " -_+" else f"%{ord(c):02X}" for c in arm)
-        return f"{self.path.rstrip('/')}/arm={own}/seed={seed}/fold={fold}"
+        return f"{self.path.rstrip('/')}/{'inner/' if inner else ''}arm={own}/seed={seed}/fold={fold}"
 
     def _done(self, spark: SparkSession, arm: str, seed: int, fold: int) -> bool:
-        return exists(spark, f"{self._cell(arm, seed, fold)}/_SUCCESS")
+        return all(exists(spark, f"{self._cell(arm, seed, fold, inner)}/_SUCCESS") for inner in {False, self.inner})
 
     def missing(self, spark: SparkSession, n_folds: int) -> list[tuple[Arm, int, int]]:
         return [(a, s, f) for f in range(1, n_folds + 1) for a in self.arms for s in self.seeds if not self._done(spark, a.name, s, f)]
@@ -146,7 +152,8 @@ class Backtest:
     def _one(self, frame: DataFrame, arm: Arm, seed: int, fold: int) -> None:
         """Fit, score and store one cell."""
         groups = range(1, self.n_segments + 1) if arm.segmented else [None]
-        parts = []
+        parts, cuts = [], []
+        keep = lambda df, g, model: df.select("Store", "Date", "Sales", "prediction", F.lit(model.rounds).alias("trees"), F.lit(g).cast("int").alias("segment"))
         for g in groups:
             rows = frame if g is None else frame.filter(F.col("segment") == g)
             train, valid = rows.filter("role = 'train'"), rows.filter("role = 'valid'")
@@ -155,18 +162,26 @@ class Backtest:
             own = dict(self.options)
             if arm.exact_weights:
                 train, own = exact_metric_weight(train), {**own, "log": False, "weight": "weight"}
-            model = SalesModel(arm.features(self.n_segments), {**self.params, **arm.params}, seed, **own).fit(train)
-            parts.append(model.predict(valid).select("Store", "Date", "Sales", "prediction", F.lit(model.rounds).alias("trees")))
+            model = SalesModel(arm.features(self.n_segments), {**self.params, **arm.params}, seed, **own).fit(train, watch=self.inner)
+            parts.append(keep(model.predict(valid), g, model))
+            if self.inner:
+                cuts.append(keep(model.predict(inner_split(train, model.inner_days)[1], model=model.watched), g, model))
         if not parts:
             raise ValueError(f"fold {fold} has no rows to train on")
         scored = reduce(DataFrame.unionByName, parts)
         rmspe(scored)  # raises where a prediction is missing
+        if cuts:
+            reduce(DataFrame.unionByName, cuts).write.mode("overwrite").parquet(self._cell(arm.name, seed, fold, inner=True))
         scored.write.mode("overwrite").parquet(self._cell(arm.name, seed, fold))
 
-    def scored(self, spark: SparkSession, n_folds: int) -> DataFrame:
-        """arm, seed, fold and the scored rows of the cells that are stored."""
+    def inner_scored(self, spark: SparkSession, n_folds: int) -> DataFrame:
+        """arm, seed, fold and the scored rows of the stored cells' inner cuts."""
+        return self.scored(spark, n_folds, inner=True)
+
+    def scored(self, spark: SparkSession, n_folds: int, inner: bool = False) -> DataFrame:
+        """arm, seed, fold and the scored rows of the cells that are stored. A model of all segments has a null segment."""
         own = [(a.name, s, f) for a in self.arms for s in self.seeds for f in range(1, n_folds + 1) if self._done(spark, a.name, s, f)]
-        read = lambda a, s, f: spark.read.schema(CELL).parquet(self._cell(a, s, f)).select(F.lit(a).alias("arm"), F.lit(s).alias("seed"), F.lit(f).alias("fold"), "*")
+        read = lambda a, s, f: spark.read.schema(CELL).parquet(self._cell(a, s, f, inner)).select(F.lit(a).alias("arm"), F.lit(s).alias("seed"), F.lit(f).alias("fold"), "*")
         return reduce(DataFrame.unionByName, (read(*x) for x in own)) if own else spark.createDataFrame([], f"arm string, seed int, fold int, {CELL}")
 
 

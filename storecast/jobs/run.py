@@ -1,4 +1,4 @@
-"""spark-submit storecast/jobs/run.py fit|predict|evaluate|backtest|compare|calendar ..."""
+"""spark-submit storecast/jobs/run.py fit|predict|evaluate|backtest|compare|correct|calendar ..."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from storecast.operators import baseline, experiment, monitor
 from storecast.operators.validation import RollingOrigin
 from storecast.schema import DAILY, STORE
 from storecast.sources import files
+from storecast.sources.tables import released
 
 
 def fit(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -43,15 +44,27 @@ def backtest(spark: SparkSession, a: argparse.Namespace) -> None:
     experiment.cv_results(baseline.scored_folds(rows, split), split, rows).coalesce(1).write.mode("overwrite").option("header", True).csv(a.out)
 
 
+def _arms(spark: SparkSession, path: str) -> list[Arm]:
+    return [Arm(**x) for x in json.loads("\n".join(r.value for r in spark.read.text(path).collect()))]  # a file written by hand
+
+
 def compare(spark: SparkSession, a: argparse.Namespace) -> None:
     """Arms of the model over folds and seeds; --model is the folder of what is scored already, --arms a JSON list of arms."""
-    arms = [Arm(**x) for x in json.loads("\n".join(r.value for r in spark.read.text(a.arms).collect()))]  # a file written by hand
+    arms = _arms(spark, a.arms)
     calendar = files.read_panel(spark, a.daily, a.store, drop_closed=False)
     scores = results(Backtest(a.model, arms, list(range(a.seeds))).run(calendar))
     summary = experiment.arm_summary(scores).join(experiment.accepted(scores, a.base), "arm", "left")
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(a.out)
 
 
+def correct(spark: SparkSession, a: argparse.Namespace) -> None:
+    """What factors learnt on the inner cuts would have done to the arms of --arms, by arm and window; --model as for compare."""
+    own = Backtest(a.model, _arms(spark, a.arms), list(range(a.seeds)), inner=True)
+    scored = own.run(files.read_panel(spark, a.daily, a.store, drop_closed=False))
+    out = monitor.corrections(scored, own.inner_scored(spark, own.splitter.n_splits), keys=("arm", "fold"))
+    out.coalesce(1).write.mode("overwrite").option("header", True).csv(a.out)
+
+
 def calendar(spark: SparkSession, a: argparse.Namespace) -> None:
     """Add the days of --daily to the calendar kept in --model."""
     print(CalendarStore(spark, a.model).add(files.read(spark, a.daily, DAILY)), "days added")
@@ -59,7 +72,7 @@ def calendar(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def main() -> None:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("job", choices=["fit", "predict", "evaluate", "backtest", "compare", "calendar"])
+    parser.add_argument("job", choices=["fit", "predict", "evaluate", "backtest", "compare", "correct", "calendar"])
     for name in ("daily", "store", "rows", "model", "predictions", "out", "arms", "base"):
         parser.add_argument(f"--{name}")
     parser.add_argument("--seeds", type=int, default=1)
@@ -67,7 +80,10 @@ def main() -> None:
     parser.add_argument("--interval", type=float, help="share of sales that low and high shall hold, such as 0.8")
     a = parser.parse_args()
     spark = SparkSession.builder.appName(f"storecast {a.job}").getOrCreate()
-    globals()[a.job](spark, a)
+    try:
+        globals()[a.job](spark, a)
+    finally:
+        released(spark)
 
 
 if __name__ == "__main__":

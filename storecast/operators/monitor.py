@@ -98,6 +98,43 @@ def recalibrated(rows: DataFrame, factors: DataFrame, *cols: str) -> DataFrame:
     return out.withColumn("prediction", F.col("prediction") * F.coalesce("factor", F.lit(1.0))).drop("factor")
 
 
+def corrections(rows: DataFrame, inner: DataFrame, by: str = "segment", keys: tuple[str, ...] = ("fold",), seed: str = "seed") -> DataFrame:
+    """What a factor on predictions would have done to each window: ``keys``, factor, ceiling_factor, and the scores before, one_factor, by_group, ceiling.
+
+    ``rows`` are the scored rows of the windows, ``inner`` those of each window's
+    inner cut, scored by a model that has not seen them; both have ``keys``,
+    ``seed``, ``by``, Sales and prediction. one_factor is learnt on the inner cut
+    of all seeds, by_group on that of each group, ceiling on the window itself,
+    which nobody could have known. Scores are means over the seeds.
+
+    With the factor g a group's squared errors add up to n - 2g * sum(r) + g^2 *
+    sum(r^2), r being prediction over sales. So each table is read once, and all
+    else is done on one row per window, seed and group. A row with sales but no
+    prediction is an error when the table is computed; a group or window without
+    an inner cut keeps its predictions. Null groups are one group.
+    """
+    r = given() / F.col("Sales")
+    tag = lambda df, new: df.filter("Sales > 0").select(*keys, seed, by, r.alias("r"), F.lit(new).alias("new"))
+    sums = tag(rows, True).unionByName(tag(inner, False)).groupBy(*keys, seed, by, "new").agg(F.count("*").alias("n"), F.sum("r").alias("r"), F.sum(F.col("r") * F.col("r")).alias("rr"))
+
+    def factor(new: bool, *cols: str):
+        of = lambda c: F.sum(F.when(F.col("new") == new, F.col(c))).over(W.partitionBy(*cols))
+        return F.try_divide(of("r"), of("rr"))
+
+    known = sums.withColumns({"one_factor": factor(False, *keys), "by_group": factor(False, *keys, by), "ceiling": factor(True, *keys)}).filter("new")
+    squares = lambda g: F.col("n") - 2 * g * F.col("r") + g * g * F.col("rr")
+    score = lambda g: F.sqrt(F.greatest(F.sum(squares(g)) / F.sum("n"), F.lit(0.0)))
+    kept = {"before": F.lit(1.0)} | {c: F.coalesce(c, F.lit(1.0)) for c in ("one_factor", "by_group", "ceiling")}
+    by_seed = known.groupBy(*keys, seed).agg(F.max("one_factor").alias("factor"), F.max("ceiling").alias("ceiling_factor"), *(score(g).alias(name) for name, g in kept.items()))
+    return by_seed.groupBy(*keys).agg(F.max("factor").alias("factor"), F.max("ceiling_factor").alias("ceiling_factor"), *(F.avg(name).alias(name) for name in kept))
+
+
+def correction_scores(corrected: DataFrame, keys: tuple[str, ...] = ("fold",)) -> DataFrame:
+    """``keys``, arm and rmspe, an arm for each way to correct: what :func:`~.experiment.accepted` takes, with ``before`` as its base."""
+    arms = ["before", "one_factor", "by_group", "ceiling"]
+    return corrected.unpivot([*keys], arms, "arm", "rmspe").withColumn("seed", F.lit(0))
+
+
 def promote(champion: DataFrame, challenger: DataFrame, noise: float) -> DataFrame:
     """One row: both scores on the same window; the challenger is promoted unless worse by more than the noise."""
     tag = lambda df, n: df.select("Sales", "prediction", F.lit(n).alias("model"))

@@ -177,6 +177,12 @@ SELECT flag, count(*) AS rows, count(*) FILTER (WHERE DayOfWeek = 1) AS mondays,
     "q_ratio_size": PANEL + PROFILES + " SELECT " + ", ".join(f"round(corr({c}, mean_sales), 6) AS {c}" for c in ("promo_uplift", "school_uplift", "weekend_ratio", "season_amp", "dec_lift", "basket", "momentum")) + " FROM profiles",
     "q_last_rows": PANEL + " SELECT Store, Date, Sales, CAST(row_number() OVER (PARTITION BY Store ORDER BY Date DESC) AS INT) AS place FROM open_days QUALIFY row_number() OVER (PARTITION BY Store ORDER BY Date DESC) <= 5",
     "q_inner_calibration": PANEL + SCORED + ", g AS (SELECT sum(prediction / Sales) / sum(pow(prediction / Sales, 2)) AS g FROM sold WHERE fold = 3), t AS (SELECT StoreType, sum(prediction / Sales) / sum(pow(prediction / Sales, 2)) AS t FROM sold WHERE fold = 3 GROUP BY 1) SELECT round(sqrt(avg(sq)), 6) AS before, round(sqrt(avg(pow((Sales - prediction * g) / Sales, 2))), 6) AS one_factor, round(sqrt(avg(pow((Sales - prediction * coalesce(t, 1)) / Sales, 2))), 6) AS by_type FROM sold LEFT JOIN t USING (StoreType), g WHERE fold = 4",
+    "q_corrections": PANEL + SCORED.replace("range(0, 4)", "range(0, 5)") + """, one AS (SELECT fold + 1 AS fold, sum(prediction / Sales) / sum(pow(prediction / Sales, 2)) AS g FROM sold GROUP BY 1),
+own AS (SELECT fold + 1 AS fold, StoreType, sum(prediction / Sales) / sum(pow(prediction / Sales, 2)) AS t FROM sold GROUP BY 1, 2),
+top AS (SELECT fold, sum(prediction / Sales) / sum(pow(prediction / Sales, 2)) AS c FROM sold GROUP BY 1)
+SELECT fold, round(any_value(g), 6) AS factor, round(any_value(c), 6) AS ceiling_factor, round(sqrt(avg(sq)), 6) AS before, round(sqrt(avg(pow((Sales - prediction * g) / Sales, 2))), 6) AS one_factor,
+  round(sqrt(avg(pow((Sales - prediction * coalesce(t, 1)) / Sales, 2))), 6) AS by_group, round(sqrt(avg(pow((Sales - prediction * c) / Sales, 2))), 6) AS ceiling
+FROM sold JOIN one USING (fold) LEFT JOIN own USING (fold, StoreType) JOIN top USING (fold) GROUP BY fold""",
     "q_sample": PANEL + " SELECT Store, Date, Sales FROM open_days ORDER BY md5('0:' || Store || ':' || Date), Store, Date LIMIT 5000",
     "q_year_ago": PANEL + SCORED + ", k AS (SELECT Store, DayOfWeek, Promo, median(Sales) AS k FROM history GROUP BY ALL), s AS (SELECT n.Store, n.Date, h.Sales IS NULL AS filled, coalesce(CAST(h.Sales AS DOUBLE), k, (SELECT median(Sales) FROM history)) AS p FROM newest n LEFT JOIN history h ON h.Store = n.Store AND h.Date = n.Date - 364 LEFT JOIN k ON k.Store = n.Store AND k.DayOfWeek = n.DayOfWeek AND k.Promo = n.Promo) SELECT Store, Date, filled, round(p, 6) AS prediction FROM s",
     "q_cv_results": PANEL + SCORED + f" SELECT fold, valid_start, valid_end, count(*) AS rows, {R6(RMSPE, 'rmspe')} FROM sold JOIN folds USING (fold, valid_start) GROUP BY ALL",

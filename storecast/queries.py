@@ -342,6 +342,12 @@ def q_inner_calibration(spark, d):
     return r6(score(new, "before").join(F.broadcast(score(one, "one_factor"))).join(F.broadcast(score(own, "by_type"))))
 
 
+def q_corrections(spark, d):
+    """Factors learnt on each window's inner cut, the six weeks before it, by the median rule learnt before these."""
+    rows = baseline.scored_folds(written(open_panel(spark, d), "open-days"), RollingOrigin(SPLIT.n_splits + 1)).withColumn("seed", F.lit(0))
+    return r6(monitor.corrections(rows.withColumn("fold", F.col("fold") - 1).filter("fold > 0"), rows.filter(F.col("fold") <= SPLIT.n_splits), "StoreType"))
+
+
 def q_profiles(spark, d):
     return r6(store_profiles(spark, d))
 

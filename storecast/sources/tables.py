@@ -7,6 +7,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Folders of this driver's stored tables that are still there, each with its name in the catalog, if any.
+_kept: dict[str, str | None] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, or the one the context was given; a temporary one only where neither is set and the master is local (tests)."""
@@ -32,6 +35,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
+    _kept[path] = None
     return out
 
 
@@ -49,6 +53,7 @@ def bucketed(df: DataFrame, name: str, key: str = "Store", order: tuple[str, ...
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key, *order).option("path", path).option("compression", "zstd").saveAsTable(own)
     out = spark.table(own)
     out._stored_at, out._table = path, own
+    _kept[path] = own
     return out
 
 
@@ -61,11 +66,25 @@ def dropped(df: DataFrame) -> None:
     """Delete a table made by :func:`written` or :func:`bucketed` that nothing reads any more."""
     path = getattr(df, "_stored_at", None)
     if path:
-        spark = df.sparkSession
-        if getattr(df, "_table", None):
-            spark.sql(f"DROP TABLE IF EXISTS {df._table}")
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if name := _kept.pop(path, None):
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def released(spark: SparkSession) -> int:
+    """Delete all tables that :func:`written` and :func:`bucketed` made in this driver and that are still there; how many these were.
+
+    For the end of a job: results that were not written out yet can no longer be computed.
+    """
+    paths = list(_kept)
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
 
 
 def exists(spark: SparkSession, path: str) -> bool:

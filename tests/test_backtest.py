@@ -12,6 +12,7 @@ from storecast.jobs.model import SalesModel
 from storecast.operators.experiment import accepted
 from storecast.operators.features import Features, statistics
 from storecast.operators.metrics import rmspe
+from storecast.operators.monitor import correction_scores, corrections
 from storecast.operators.validation import RollingOrigin
 from storecast.sources import versions
 from storecast.schema import LEARNED_FEATURES, feature_names
@@ -136,3 +137,55 @@ def test_settings_are_ranked_within_each_segment(made):  # noqa: F811
     settings = {"flat": {"maxIter": 1, "maxDepth": 0}, "deep": {"maxIter": 4, "maxDepth": 4, "stepSize": 0.5}}
     got = [(r.segment, r.place, r.setting) for r in settings_by_segment(rows, ["DayOfWeek", "Promo"], settings).orderBy("segment", "place").collect()]
     assert got == [(1, 1, "deep"), (1, 2, "flat"), (2, 1, "deep"), (2, 2, "flat")]
+
+
+def plain_score(rows, g):
+    return (sum((1 - g(r) * r.prediction / r.Sales) ** 2 for r in rows) / len(rows)) ** 0.5
+
+
+def plain_factor(rows):
+    return sum(r.prediction / r.Sales for r in rows) / sum((r.prediction / r.Sales) ** 2 for r in rows)
+
+
+def test_inner_cuts_are_stored_with_their_cells_and_give_the_factors(made, spark, tmp_path, monkeypatch):  # noqa: F811
+    past = made[0].filter("Store <= 30")
+    arms = [Arm("by segment"), Arm("weights", segmented=False, exact_weights=True)]
+    own = backtest(tmp_path / "b", arms, seeds=(0, 1), inner=True)
+    assert len(own.missing(spark, 2)) == 8
+    scored = own.run(past)
+    assert not own.missing(spark, 2)
+    inner = own.inner_scored(spark, 2)
+    ends = {f.fold: f.train_end for f in FOLDS.folds(past.filter("Open = 1 and Sales > 0")).collect()}
+    for r in inner.groupBy("arm", "seed", "fold").agg(F.min("Date").alias("a"), F.max("Date").alias("b")).collect():
+        assert ends[r.fold] - dt.timedelta(42) < r.a < r.b <= ends[r.fold]
+    got = {(r.arm, r.fold): r for r in corrections(scored, inner, keys=("arm", "fold")).collect()}
+    assert len(got) == 4
+    new, old = scored.collect(), inner.collect()
+    for (arm, fold), r in got.items():
+        of = lambda rows, **k: [x for x in rows if x.arm == arm and x.fold == fold and all(x[n] == v for n, v in k.items())]  # noqa: B023, E731
+        segments = {x.segment for x in of(new)}
+        assert segments == ({1, 2} if arm == "by segment" else {None})
+        by = {s: plain_factor(of(old, segment=s)) for s in segments}
+        one, top = plain_factor(of(old)), plain_factor(of(new))
+        assert r.factor == pytest.approx(one) and r.ceiling_factor == pytest.approx(top)
+        for name, g in (("before", lambda _: 1), ("one_factor", lambda _: one), ("by_group", lambda x: by[x.segment]), ("ceiling", lambda _: top)):  # noqa: B023
+            assert r[name] == pytest.approx(sum(plain_score(of(new, seed=s), g) for s in (0, 1)) / 2), (arm, fold, name)
+    # A cell without its inner cut is missing; an arm that needs none is not.
+    again = backtest(tmp_path / "b", arms, seeds=(0, 1))
+    assert not again.missing(spark, 2)
+    verdicts = {r.arm: r for r in accepted(correction_scores(corrections(scored.filter("arm = 'weights'"), inner.filter("arm = 'weights'"))), "before").collect()}
+    assert set(verdicts) == {"one_factor", "by_group", "ceiling"} and all(v.folds == 2 for v in verdicts.values())
+
+
+def test_corrections_of_odd_input(spark):
+    cols = "fold int, seed int, segment int, Sales long, prediction double"
+    rows = spark.createDataFrame([(1, 0, 1, 10, 20.0), (1, 0, None, 10, 5.0), (1, 0, 1, 0, None), (2, 0, 1, 10, 10.0)], cols)
+    inner = spark.createDataFrame([(1, 0, None, 10, 20.0), (1, 0, 9, 10, 20.0)], cols)
+    got = {r.fold: r for r in corrections(rows, inner).collect()}
+    # Segment 1 has no inner cut and keeps its predictions; null segments are one group; window 2 has no inner cut.
+    assert got[1].factor == 0.5 and got[1].by_group == pytest.approx(((1 - 2) ** 2 / 2 + (1 - 0.25) ** 2 / 2) ** 0.5)
+    assert got[1].one_factor == pytest.approx(((1 - 1) ** 2 / 2 + (1 - 0.25) ** 2 / 2) ** 0.5)
+    assert got[2].factor is None and got[2].one_factor == got[2].before == 0.0
+    assert corrections(rows.limit(0), inner).isEmpty()
+    with pytest.raises(Exception, match="no prediction"):
+        corrections(rows.withColumn("prediction", F.lit(None).cast("double")), inner).collect()

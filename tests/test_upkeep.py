@@ -134,3 +134,16 @@ def test_counts_of_two_tables_add_up(spark):
 
     scored = scored_folds(df, split)
     assert scored.count() == sum(len(pdf[(pdf.Date >= f.valid_start) & (pdf.Date <= f.valid_end)]) for f in folds) and scored.filter("prediction is null").isEmpty()
+
+
+def test_a_job_leaves_no_stored_tables(spark, monkeypatch):
+    from storecast.sources import tables
+
+    monkeypatch.setattr(tables, "_kept", {})
+    df = spark.range(100).withColumnRenamed("id", "Store").withColumn("Date", F.lit(1))
+    one, two, three = tables.written(df, "one"), tables.bucketed(df, "two"), tables.written(df, "three")
+    assert one.count() == two.count() == three.count() == 100
+    tables.dropped(three)
+    assert [tables.exists(spark, x._stored_at) for x in (one, two, three)] == [True, True, False]
+    assert tables.released(spark) == 2 and tables.released(spark) == 0
+    assert not any(tables.exists(spark, x._stored_at) for x in (one, two)) and not spark.catalog.tableExists(two._table)
