@@ -66,9 +66,10 @@ def best_fit(lengths: list[int], sources: list, clusters: list, capacity: int) -
 def _shard(capacity: int):
     def run(table: pa.Table) -> pa.Table:
         shard, ids, n = (table.column(c).to_numpy(zero_copy_only=False) for c in ("shard", "doc_id", "n_tokens"))
-        order = np.lexsort((table.column("cluster").to_numpy(zero_copy_only=False), np.nan_to_num(ids.astype(float), nan=np.inf), -(n % capacity)))
+        order = np.lexsort((table.column("cluster").fill_null(0).to_numpy(), np.nan_to_num(ids.astype(float), nan=np.inf), -(n % capacity)))
         tail = order[n[order] % capacity > 0]
-        sources, clusters = table.column("source").to_pylist(), table.column("cluster").to_pylist()
+        # A row without a cluster is one of its own, whatever its id and length.
+        sources, clusters = table.column("source").to_pylist(), [(k,) if c is None else c for k, c in enumerate(table.column("cluster").to_pylist())]
         bins = best_fit((n[tail] % capacity).tolist(), [sources[k] for k in tail], [clusters[k] for k in tail], capacity)
         full = np.repeat(np.arange(len(n)), n // capacity)  # whole bins of long documents
         piece = np.arange(len(full)) - np.repeat(np.cumsum(n // capacity) - n // capacity, n // capacity)
@@ -101,10 +102,10 @@ def packed(docs: DataFrame, *, capacity: int = CAPACITY, shard_tokens: int = SHA
     """
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"),
-        F.coalesce(F.col("cluster").cast("long"), F.xxhash64(F.lit("no cluster"), "doc_id", "n_tokens")).alias("cluster"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"),
+        F.col("cluster").cast("long").alias("cluster"), F.coalesce(F.col("n_tokens").cast("long"), F.lit(0)).alias("n_tokens"),
     )
     rows = written(rows, "lengths")
     tokens, n = rows.agg(F.sum("n_tokens"), F.count("*")).first()
     shards = max(1, math.ceil(max((tokens or 0) / shard_tokens, n / shard_docs)))
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "n_tokens"), F.lit(shards)).cast("int"))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.coalesce("cluster", F.xxhash64(F.lit("no cluster"), "doc_id", "n_tokens")), "n_tokens"), F.lit(shards)).cast("int"))
     return dealt.groupBy("shard").applyInArrow(_shard(capacity), "doc_id long, piece int, bin long, start long, n_tokens long")

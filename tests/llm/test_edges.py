@@ -52,6 +52,15 @@ def test_packing_has_every_row(docs):
     assert packed(lengths(docs.limit(0))).count() == 0
 
 
+def test_a_null_cluster_is_one_of_its_own_whatever_the_id(spark):
+    rows = [(None, "a", None, 40, "x"), (None, "b", None, 40, "x"), (7, "c", None, 5, "x"), (7, "d", None, 5, "x"), (8, "e", 3, 2, "x"), (9, "f", 3, 2, "x")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, cluster long, n_tokens long, shard string").withColumns({c: F.lit("clash") for c in ("piece", "bin", "start")})
+    got = [(r.doc_id, r.bin) for r in packed(df, capacity=100).collect()]
+    of = lambda d: [b for x, b in got if x == d]
+    # All but one of the two rows of cluster 3 fit together; that one needs another bin.
+    assert len(got) == 6 and len({*of(None), *of(7)}) == 1 and of(8) != of(9) and {*of(8), *of(9)} > {*of(7)}
+
+
 def test_pipeline_stages_keep_the_columns(spark, docs, sf_dir):
     out = docs
     for _, stage in pipeline.STAGES[:-1]:
