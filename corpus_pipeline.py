@@ -6,6 +6,8 @@ A row without an id is never dropped as a copy of another.
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from storecast.llm.exact_dedup import exact_groups
@@ -15,6 +17,7 @@ from storecast.llm.queries import lengths, table, topics_of
 from storecast.llm.simhash import near_duplicates
 from storecast.llm.store import dropped, written
 from storecast.llm.toxicity import fit, scores
+from storecast.sources.tables import settled
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -58,6 +61,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        before, docs = docs, written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        before, docs = docs, settled(spark, partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
         dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)

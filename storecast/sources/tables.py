@@ -4,11 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 #: Folders of this driver's stored tables that are still there, each with its name in the catalog, if any.
 _kept: dict[str, str | None] = {}
+#: Of these the ones made by the step that :func:`settled` runs, if any, in this thread.
+_step: ContextVar[list[str] | None] = ContextVar("step", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -35,7 +39,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
-    _kept[path] = None
+    _made(path)
+    return out
+
+
+def _made(path: str, name: str | None = None) -> None:
+    _kept[path] = name
+    if (step := _step.get()) is not None:
+        step.append(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """What ``make`` gives, as a table; the tables that it stored on the way are deleted once this one stands, or when it fails.
+
+    Tables that ``make`` had stored by other threads stay.
+    """
+    made: list[str] = []
+    token = _step.set(made)
+    out = None
+    try:
+        out = written(make(), name)
+    finally:
+        _step.reset(token)
+        for path in made:
+            if path in _kept and (out is None or path != out._stored_at):
+                _delete(spark, path)
+    if (outer := _step.get()) is not None:
+        outer.append(out._stored_at)
     return out
 
 
@@ -53,7 +83,7 @@ def bucketed(df: DataFrame, name: str, key: str = "Store", order: tuple[str, ...
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key, *order).option("path", path).option("compression", "zstd").saveAsTable(own)
     out = spark.table(own)
     out._stored_at, out._table = path, own
-    _kept[path] = own
+    _made(path, own)
     return out
 
 

@@ -147,3 +147,32 @@ def test_a_job_leaves_no_stored_tables(spark, monkeypatch):
     assert [tables.exists(spark, x._stored_at) for x in (one, two, three)] == [True, True, False]
     assert tables.released(spark) == 2 and tables.released(spark) == 0
     assert not any(tables.exists(spark, x._stored_at) for x in (one, two)) and not spark.catalog.tableExists(two._table)
+
+
+def test_a_step_keeps_its_result_alone(spark, monkeypatch):
+    from storecast.sources import tables
+
+    monkeypatch.setattr(tables, "_kept", {})
+    df, made = spark.range(10).withColumn("Date", F.lit(1)), []
+
+    def inner():
+        made.append(tables.written(df, "inner"))
+        return made[-1].filter("id > 1")
+
+    def step():
+        made.append(tables.bucketed(df, "first", "id"))
+        made.append(tables.settled(spark, inner, "nested"))
+        tables.dropped(made[0])
+        return made[-1].filter("id > 2")
+
+    def breaks():
+        made.append(tables.written(df, "broken"))
+        raise InterruptedError
+
+    before = tables.written(df, "before")
+    out = tables.settled(spark, step, "out")
+    with pytest.raises(InterruptedError):
+        tables.settled(spark, breaks, "never")
+    assert out.count() == 7 and before.count() == 10 and len(made) == 4
+    assert not any(tables.exists(spark, x._stored_at) for x in made) and set(tables._kept) == {out._stored_at, before._stored_at}
+    assert tables.released(spark) == 2
