@@ -41,3 +41,12 @@ def test_stages_equal_brute_force(spark):
 def test_run_is_the_stages_in_order(spark, sf_dir):
     assert [k for k, _ in p.STAGES] == ["toxicity", "exact dedup", "near dedup", "mixing", "packing"]
     assert p.run(spark, sf_dir).count() > 0
+
+
+def test_run_leaves_the_last_stages_tables_alone(spark, sf_dir, monkeypatch):
+    from storecast.sources import tables
+
+    monkeypatch.setattr(tables, "_kept", {})
+    out = p.run(spark, sf_dir)
+    left = sorted(path.rsplit("/", 1)[1].rsplit("-", 1)[0] for path in tables._kept)
+    assert left == ["lengths", "mixing"] and out.count() > 0
