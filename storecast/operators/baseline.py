@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .folds import fold_statistics
+from ..sources.tables import dealt
+from .folds import fold_medians
 from .validation import RollingOrigin
 
 KEYS = ["Store", "DayOfWeek", "Promo"]
@@ -38,10 +39,11 @@ def scored_folds(open_days: DataFrame, splitter: RollingOrigin | None = None, fi
     """
     splitter = splitter or RollingOrigin()
     folds = splitter.folds(open_days).orderBy("fold").collect()  # a row a fold
-    learned = fold_statistics(open_days, folds=folds)
+    rows = open_days.count()
+    learned = fold_medians(open_days, folds, rows)
     valid = splitter.assigned(open_days, "valid", folds).drop("role", "train_end", "valid_end")
     # By store like the statistics, so that the join moves nothing more.
-    return learned.with_medians(valid.repartition("Store"), F.lit(1) if fixed_train else F.col("fold"))
+    return learned.with_medians(dealt(valid, "Store", rows), F.lit(1) if fixed_train else F.col("fold"))
 
 
 def year_ago(history: DataFrame, rows: DataFrame) -> DataFrame:

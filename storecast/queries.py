@@ -17,7 +17,7 @@ from .operators.validation import RollingOrigin
 from .schema import feature_names
 from .sources import files
 from .sources.panel import daily_rows, panel, store_facts
-from .sources.tables import bucketed, shared_dir, written
+from .sources.tables import bucketed, settled, shared_dir, written
 
 SPLIT = RollingOrigin()
 
@@ -32,8 +32,8 @@ def open_panel(spark: SparkSession, d: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, d: str) -> DataFrame:
-    """The panel as a table, for queries that read it more than once."""
-    return written(panel(spark, d), "panel")
+    """The panel as a table, for queries that read it more than once. None of them asks for customers, whose distinct count is most of the panel's cost."""
+    return written(panel(spark, d).drop("Customers"), "panel")
 
 
 def open_days(rows: DataFrame) -> DataFrame:
@@ -41,8 +41,9 @@ def open_days(rows: DataFrame) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
-    """All folds with the median rule; ``rows``: the stored panel, if the query has it."""
-    return baseline.scored_folds(open_days(rows) if rows is not None else written(open_panel(spark, d), "open-days"), SPLIT)
+    """All folds with the median rule as a table, since queries read it more than once; ``rows``: the stored panel, if the query has it."""
+    days = lambda: open_days(rows) if rows is not None else written(open_panel(spark, d).drop("Customers"), "open-days")
+    return settled(spark, lambda: baseline.scored_folds(days(), SPLIT), "scored")
 
 
 def newest(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
@@ -50,7 +51,7 @@ def newest(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFr
 
 
 def history(spark: SparkSession, d: str, rows: DataFrame | None = None) -> DataFrame:
-    days = open_days(rows) if rows is not None else written(open_panel(spark, d), "open-days")
+    days = open_days(rows) if rows is not None else written(open_panel(spark, d).drop("Customers"), "open-days")
     return SPLIT.assigned(days, "train").filter("fold = 4").drop("fold", "train_end", "valid_start", "valid_end", "role")
 
 
@@ -103,7 +104,7 @@ def q_dummies(spark, d):
 
 def q_features(spark, d):
     """The panel in buckets by store: its windows and statistics need no exchange, and its dates are asked for once."""
-    days = bucketed(panel(spark, d), "panel")
+    days = bucketed(panel(spark, d).drop("Customers"), "panel")
     ends = days.agg(*(f(c).alias(f"{n}_{k}") for k, c in (("day", F.col("Date")), ("open", F.when(F.col("Open") == 1, F.col("Date")))) for n, f in (("first", F.min), ("last", F.max)))).first()
     train_end = SPLIT.dates(ends.first_open, ends.last_open)[-1][1]
     learned = features.statistics(open_days(days).filter(F.col("Date") <= F.lit(train_end)))
@@ -213,11 +214,11 @@ def q_mean_shift(spark, d):
 
 
 def q_fixed_train(spark, d):
-    return r6(baseline.scored_folds(written(open_panel(spark, d), "open-days"), SPLIT, fixed_train=True).groupBy("fold").agg(rmspe_of().alias("rmspe")))
+    return r6(baseline.scored_folds(written(open_panel(spark, d).drop("Customers"), "open-days"), SPLIT, fixed_train=True).groupBy("fold").agg(rmspe_of().alias("rmspe")))
 
 
 def fold_numbers(spark, d):
-    rows = written(open_panel(spark, d), "open-days")
+    rows = written(open_panel(spark, d).drop("Customers"), "open-days")
     return fold_statistics(rows, SPLIT)
 
 
@@ -344,7 +345,7 @@ def q_inner_calibration(spark, d):
 
 def q_corrections(spark, d):
     """Factors learnt on each window's inner cut, the six weeks before it, by the median rule learnt before these."""
-    rows = baseline.scored_folds(written(open_panel(spark, d), "open-days"), RollingOrigin(SPLIT.n_splits + 1)).withColumn("seed", F.lit(0))
+    rows = settled(spark, lambda: baseline.scored_folds(written(open_panel(spark, d).drop("Customers"), "open-days"), RollingOrigin(SPLIT.n_splits + 1)), "scored").withColumn("seed", F.lit(0))
     return r6(monitor.corrections(rows.withColumn("fold", F.col("fold") - 1).filter("fold > 0"), rows.filter(F.col("fold") <= SPLIT.n_splits), "StoreType"))
 
 
@@ -552,7 +553,7 @@ def q_forecast(spark, d):
     """The newest window forecast by the forecaster's own models, trees counted on the inner window, with intervals."""
     from .jobs.forecaster import Forecaster
 
-    rows = stored(spark, d)
+    rows = written(panel(spark, d), "panel")  # the segments' profiles need customers
     train_end, start = window_start(rows)
     past, future = rows.filter(F.col("Date") <= F.lit(train_end)), rows.filter(F.col("Date") >= F.lit(start))
     train = past.filter("Open = 1 and Sales > 0")

@@ -87,6 +87,20 @@ def bucketed(df: DataFrame, name: str, key: str = "Store", order: tuple[str, ...
     return out
 
 
+#: Rows that a task holds at most when rows are dealt by :func:`dealt`, but for keys with more.
+TASK_ROWS = 250_000
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """``df`` dealt by ``key`` into as many tasks as its ``rows`` ask for.
+
+    The planner would join the parts of an exchange until there is one per
+    core, so that what a task sorts grows with the table.
+    """
+    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(max(1, -(-rows // TASK_ROWS), min(most, rows * 10 // TASK_ROWS)), key)
+
+
 def is_stored(df: DataFrame) -> bool:
     """Whether this is, as it stands, a table made here: reading it twice costs little."""
     return getattr(df, "_stored_at", None) is not None
