@@ -13,7 +13,7 @@ from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
 from ..schema import CALENDAR, HOLIDAY_CAP, LONG_CLOSURE, REOPENING_CAP
-from ..sources.tables import bucketed, is_stored
+from ..sources.tables import dealt, is_stored, written
 
 
 def compact(df: DataFrame) -> DataFrame:
@@ -24,9 +24,12 @@ def distinct_days(calendar: DataFrame) -> DataFrame:
     """One row per store and day, dealt by store: of repeated ones, open if any is, with the largest holiday letter.
 
     The exchange by store serves the windows that follow as well; a table in
-    buckets by store needs none.
+    buckets by store needs none. A stored table is dealt by its number of rows.
     """
-    rows = calendar if getattr(calendar, "_table", None) else calendar.repartition("Store")
+    if getattr(calendar, "_table", None):
+        rows = calendar
+    else:
+        rows = dealt(calendar, "Store", calendar.count()) if is_stored(calendar) else calendar.repartition("Store")
     return rows.groupBy("Store", "Date").agg(F.max("Open").alias("Open"), F.max("StateHoliday").alias("StateHoliday"))
 
 
@@ -53,11 +56,13 @@ def closure(calendar: DataFrame) -> DataFrame:
 def around(calendar: DataFrame, with_reopening: bool = True, closed_days: int = LONG_CLOSURE, cap: int = REOPENING_CAP) -> DataFrame:
     """The columns of :func:`closure` and :func:`reopening` from one exchange and one sort.
 
-    Distinct days are stored by store first, unless ``calendar`` is a stored
-    table: the ends of the calendar are needed before the rows.
+    The days are stored first, unless ``calendar`` is a stored table: its ends
+    and its number of rows are needed before the rows.
     """
-    days = distinct_days(calendar) if is_stored(calendar) else bucketed(distinct_days(calendar), "days")
-    first, last = bounds(calendar if is_stored(calendar) else days)
+    if not is_stored(calendar):
+        calendar = written(calendar.select(*CALENDAR), "days")
+    days = distinct_days(calendar)
+    first, last = bounds(calendar)
     rows = days.select(*CALENDAR, F.unix_date("Date").alias("day"))
     newest = []
     if with_reopening:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import calendar_parts, days_to_easter, month_columns
 from ..functions.facts import competition, dummies, promo2
 from ..schema import FAMILIES, MIN_REOPENED_ROWS, feature_names
+from ..sources.tables import written
 from .calendar import around, own_calendar, reopening
 
 
@@ -36,9 +37,10 @@ def since_reopening(train: DataFrame, calendar: DataFrame, least: int = MIN_REOP
     """The training rows since a store's newest reopening, where these are enough; all rows of other stores."""
     end = train.agg(F.max("Date")).first()[0]
     newest = reopening(calendar).filter((F.col("days_since_reopening") == 0) & (F.col("Date") <= F.lit(end))).groupBy("Store").agg(F.max("Date").alias("back"))
-    rows = train.join(newest, "Store", "left")
-    enough = rows.filter("Date >= back").groupBy("Store").agg(F.count("*").alias("n")).filter(F.col("n") >= least).select("Store", F.lit(True).alias("enough"))
-    return rows.join(enough, "Store", "left").filter("enough is null or Date >= back").drop("back", "enough")
+    # Stored, a row a store: the calendar's windows are computed once.
+    after = train.select("Store", "Date").join(written(newest, "reopened"), "Store").filter("Date >= back")
+    enough = written(after.groupBy("Store").agg(F.count("*").alias("n"), F.max("back").alias("back")).filter(F.col("n") >= least).select("Store", "back"), "reopened-enough")
+    return train.join(enough, "Store", "left").filter("back is null or Date >= back").drop("back")
 
 
 @dataclass
