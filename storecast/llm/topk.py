@@ -181,14 +181,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     blocks = written(rows.mapInArrow(_blocks(k), "dims int, ids binary, cells binary, low binary, step binary, exact array<binary>").withColumn("block", F.monotonically_increasing_id()), "cells")
     q_blocks = written(asked.mapInArrow(_query_blocks, "q_dims int, q_ids binary, q_exact binary").withColumn("q_block", F.monotonically_increasing_id()), "query-blocks")
     # A query block goes once to each group of blocks, and the groups are many: a join on the group's number, not of rows with rows.
+    # The planner sees the size of files, in which whole numbers take little room, and not that rows are repeated: it would
+    # send such tables whole by way of the driver. So joins with vectors are merges, each side dealt by its key.
     groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sent = q_blocks.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    pairs = blocks.drop("exact").withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int")).join(sent, (F.col("group") == F.col("to")) & (F.col("dims") == F.col("q_dims")))
-    pairs = pairs.select("block", "q_block", "dims", "ids", "cells", "low", "step", "q_ids", "q_exact")
+    dealt = blocks.drop("exact").withColumn("group", F.pmod(F.xxhash64("block"), F.lit(groups)).cast("int"))
+
+    def pairs(asked_blocks: DataFrame) -> DataFrame:
+        sent = asked_blocks.withColumn("to", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+        return dealt.join(sent.hint("merge"), (F.col("group") == F.col("to")) & (F.col("dims") == F.col("q_dims"))).drop("group", "to", "q_dims")
+
     # First the floors, a number per query and task; then, from a second scan of the cells, the rows that reach them.
-    floors = pairs.mapInArrow(_floors(k), "asked long, q_slot int, least double").groupBy("asked", "q_slot").agg(F.max("least").alias("least"))
+    # The floors go to the query blocks before these are sent again, so that no pair of blocks is moved.
+    floors = pairs(q_blocks).mapInArrow(_floors(k), "asked long, q_slot int, least double").groupBy("asked", "q_slot").agg(F.max("least").alias("least"))
     floors = floors.groupBy("asked").agg(F.collect_list(F.struct("q_slot", "least")).alias("floors"))
-    left = pairs.join(floors, F.col("q_block") == F.col("asked")).drop("asked").mapInArrow(_reaching, "block long, slot int, query_id long, vec_id long, upper double")
+    reached = written(q_blocks.join(floors.hint("merge"), F.col("q_block") == F.col("asked")).drop("asked"), "floors")
+    left = pairs(reached).mapInArrow(_reaching, "block long, slot int, query_id long, vec_id long, upper double")
     by_bound = W.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id", "block", "slot")
     left = written(left.withColumn("turn", F.row_number().over(by_bound)), "left")
     # Exact vectors go to the rows that are left by block and slot, and queries by their ids.
@@ -196,12 +203,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     query = asked.select(F.col("vec_id").alias("asked_id"), packed("v").alias("query"))
 
     def scored(part: DataFrame) -> DataFrame:
-        both = part.join(vector, (F.col("block") == F.col("of")) & (F.col("slot") == F.col("at"))).join(query, F.col("query_id") == F.col("asked_id"))
+        both = part.join(vector.hint("merge"), (F.col("block") == F.col("of")) & (F.col("slot") == F.col("at"))).join(query.hint("merge"), F.col("query_id") == F.col("asked_id"))
         return both.select("query_id", "vec_id", "block", "slot", exact_scores("vector", "query").alias("score"))
 
     first = written(scored(left.filter(F.col("turn") <= 2 * k)), "first")
     order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id", "block", "slot")
     kth = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") == k).select(F.col("query_id").alias("of_query"), F.col("score").alias("floor"))
-    rest = left.filter(F.col("turn") > 2 * k).join(kth, F.col("query_id") == F.col("of_query"), "left").filter("floor is null or upper >= floor").select("block", "slot", "query_id", "vec_id", "upper", "turn")
+    rest = left.filter(F.col("turn") > 2 * k).join(kth.hint("merge"), F.col("query_id") == F.col("of_query"), "left").filter("floor is null or upper >= floor").select("block", "slot", "query_id", "vec_id", "upper", "turn")
     scores = first.unionByName(scored(rest))
     return scores.select("query_id", F.row_number().over(order).alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

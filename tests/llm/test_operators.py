@@ -308,3 +308,18 @@ def test_toxicity_examples_are_bounded_by_their_features(spark):
     assert len(whole.ids) > len(model.ids) and set(model.ids.tolist()) <= set(whole.ids.tolist())
     out = scored(docs, labels).toPandas()
     assert ((out.score >= 0.5) == (out.doc_id % 3 == 0)).mean() > 0.9
+
+
+def test_top_k_sends_no_table_by_way_of_the_driver(spark, monkeypatch):
+    from storecast.llm import topk
+
+    plans = []
+    monkeypatch.setattr(topk, "written", lambda df, name, own=topk.written: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or own(df, name))
+    df = spark.createDataFrame([(i, [float((i * j) % 7) for j in range(1, 5)]) for i in range(300)], "vec_id long, embedding array<float>")
+    out = top_k(df, df.filter("vec_id % 10 = 0"), 5)
+    plans.append(("result", out._jdf.queryExecution().executedPlan().toString()))
+    assert out.count() == 150
+    assert not [name for name, plan in plans if "Broadcast" in plan]
+    # No pair of a block and a query block is moved: their cells are scanned where they were joined.
+    left = next(plan for name, plan in plans if name == "left")
+    assert "Exchange" not in left[left.index("MapInArrow") : left.index("SortMergeJoin")]
