@@ -110,21 +110,23 @@ class Backtest:
         prediction, or a fold without rows, is an error, and its cell stays missing.
         """
         spark = calendar.sparkSession
-        open_days = calendar.filter("Open = 1 and Sales > 0")
-        folds = self.splitter.folds(open_days).orderBy("fold").collect()  # a row a fold
-        todo = self.missing(spark, len(folds))
+        n_folds = self.splitter.n_splits
+        todo = self.missing(spark, n_folds)
         if todo:
-            kept = [written(open_days, "open-days"), written(calendar, "calendar")]
-            learned = fold_statistics(kept[0], folds=folds)
-            learned.by_store = written(learned.by_store, "fold-statistics")
-            base = written(self.base(kept[0], kept[1], learned), "base")
+            # Stored before anything is asked of it: the calendar may cost much, and its open days are a filter of it.
+            kept = [written(calendar, "calendar")]
             try:
+                open_days = kept[0].filter("Open = 1 and Sales > 0")
+                learned = fold_statistics(open_days, folds=self.splitter.folds(open_days).orderBy("fold").collect())  # a row a fold
+                learned.by_store = written(learned.by_store, "fold-statistics")
+                kept.append(learned.by_store)
+                kept.append(written(self.base(open_days, kept[0], learned), "base"))
                 for fold in sorted({f for *_, f in todo}):
-                    self._fold(base, kept[1], learned, fold, [(a, s) for a, s, f in todo if f == fold])
+                    self._fold(kept[-1], kept[0], learned, fold, [(a, s) for a, s, f in todo if f == fold])
             finally:
-                for table in (*kept, learned.by_store, base):
+                for table in kept:
                     dropped(table)
-        return self.scored(spark, len(folds))
+        return self.scored(spark, n_folds)
 
     def _fold(self, base: DataFrame, calendar: DataFrame, learned: FoldStatistics, fold: int, cells: list[tuple[Arm, int]]) -> None:
         frame = self.frame(base, learned, fold)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.facts import from_log, log_target
 from ..schema import HORIZON
+from ..sources.tables import dealt
 
 DEFAULTS = {"stepSize": 0.05, "maxDepth": 8, "minInstancesPerNode": 5, "subsamplingRate": 0.9, "featureSubsetStrategy": "0.8", "maxIter": 2000}
 PATIENCE = 50
@@ -89,7 +90,11 @@ class SalesModel:
 
         ``watch`` (and no refit) keeps as ``watched`` the model of the older rows with that number of trees.
         """
-        rows = self.assembled(train).withColumn("label", log_target() if self.log else F.col("Sales").cast("double")).persist()
+        # What is kept in memory for all trees: the columns of the fit alone, in tasks whose rows do not grow with the table.
+        labelled = train.withColumn("label", log_target() if self.log else F.col("Sales").cast("double"))
+        own = dict.fromkeys(["Date", *([self.weight] if self.weight else []), "label"])
+        needed = labelled.select("Store", *(c for c in dict.fromkeys([*own, *self.features]) if c in labelled.columns and c != "Store"))
+        rows = self.assembled(dealt(needed, "Store", train.count())).select("features", *own).persist()
         try:
             old, new = (rows, rows) if self.fixed_rounds and self.refit and not watch else inner_split(rows, self.inner_days)
             self.rounds = self.fixed_rounds or self._counted(old, new)

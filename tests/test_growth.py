@@ -73,3 +73,24 @@ def test_rows_since_a_reopening(spark):
     got = {r.Store: (r.n, (r.first - DAY).days) for r in rows.groupBy("Store").agg(F.count("*").alias("n"), F.min("Date").alias("first")).collect()}
     # Store 0 never shut; store 1 has 30 days since; store 2 has five, which are too few.
     assert got == {0: (90, 0), 1: (30, 60), 2: (25, 0)} and rows.columns == days.columns
+
+
+def test_a_fit_keeps_its_own_columns_in_tasks_of_bounded_rows(spark, panel, monkeypatch):
+    from storecast.jobs.model import SalesModel
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    seen, own = [], SalesModel._regressor
+
+    class Watched:
+        def __init__(self, regressor):
+            self.regressor = regressor
+
+        def fit(self, rows):
+            seen.append((set(rows.columns), partitions(rows), rows.count()))
+            return self.regressor.fit(rows)
+
+    monkeypatch.setattr(SalesModel, "_regressor", lambda self, trees: Watched(own(self, trees)))
+    train = panel.filter("Sales > 0 and Promo is not null")
+    model = SalesModel(["DayOfWeek", "Store"], {"maxDepth": 2}, fixed_rounds=2).fit(train)
+    assert seen and all(columns == {"features", "label", "Date"} and parts >= n // 200 for columns, parts, n in seen)
+    assert model.predict(train).filter("prediction > 0").count() == train.count()
