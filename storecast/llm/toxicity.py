@@ -22,7 +22,7 @@ a fixed bound, however long the texts are. Scores depend on the text alone.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -127,6 +127,18 @@ def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
 
 
+def _unit_weights(term: np.ndarray, times: np.ndarray, idf: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The TF-IDF weights of vectors that lie one after another, each vector of length one."""
+    out = np.log(times)
+    out += 1
+    out *= idf[term]
+    ends = np.cumsum(sizes)
+    for start, end in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+        own = out[start:end]
+        own /= np.sqrt((own * own).sum())
+    return out
+
+
 class BlockMaxIndex:
     """Unit vectors by term, the postings in blocks of owners with their largest weight.
 
@@ -136,24 +148,40 @@ class BlockMaxIndex:
     """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        self.n, self.block, self.n_blocks = len(vectors), block, -(-len(vectors) // block)
-        owner = np.repeat(np.arange(self.n, dtype=np.int32), [len(t) for t, _ in vectors])
-        term = np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32)
-        weight = np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0)
+        sizes = np.array([len(t) for t, _ in vectors], np.int64)
+        self._build(sizes, np.concatenate([t for t, _ in vectors]).astype(np.int32) if vectors else np.zeros(0, np.int32), np.concatenate([w for _, w in vectors]) if vectors else np.zeros(0), n_terms, block)
+
+    @classmethod
+    def of(cls, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, block: int = BLOCK) -> BlockMaxIndex:
+        """Of vectors that lie one after another."""
+        out = cls.__new__(cls)
+        out._build(sizes, term, weight, n_terms, block)
+        return out
+
+    def _build(self, sizes: np.ndarray, term: np.ndarray, weight: np.ndarray, n_terms: int, block: int) -> None:
+        # On the driver, so what is held besides the index is kept small: the matrix is filled vector by vector, and all else is for the postings outside it.
+        self.n, self.block, self.n_blocks = len(sizes), block, -(-len(sizes) // block)
         dense = np.bincount(term, minlength=n_terms) * DENSE > self.n
-        self.column = np.where(dense, np.cumsum(dense) - 1, -1)
+        self.column = np.where(dense, np.cumsum(dense) - 1, -1).astype(np.int32)
         self.matrix = np.zeros((int(dense.sum()), self.n_blocks * block))
-        full = dense[term]
-        self.matrix[self.column[term[full]], owner[full]] = weight[full]
-        order = np.flatnonzero(~full)
-        order = order[np.argsort(term[order], kind="stable")]
-        self.owner, self.weight, term = owner[order], weight[order], term[order]
+        ends = np.cumsum(sizes)
+        for i, (start, end) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), strict=True)):
+            own = term[start:end]
+            full = dense[own]
+            self.matrix[self.column[own[full]], i] = weight[start:end][full]
+        light = ~dense[term]
+        self.owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)[light]
+        term, weight = term[light], weight[light]
+        del light
+        order = np.argsort(term, kind="stable")
+        self.owner, self.weight, term = self.owner[order], weight[order], term[order]
+        del order, weight
         # A cell is the postings of a term in a block.
         where = self.owner // block
         new = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (where[1:] != where[:-1])])) if len(term) else np.zeros(0, np.int64)
-        self.cell_block, self.cell_start, self.cell_end = where[new], new, np.append(new[1:], len(term))
+        self.cell_block, self.cell_start = where[new], np.append(new, len(term)).astype(np.int32)
         self.most = np.maximum.reduceat(self.weight, new) if len(new) else np.zeros(0)
-        self.cells = np.searchsorted(term[new], np.arange(n_terms + 1, dtype=np.int32))
+        self.cells = np.searchsorted(term[new], np.arange(n_terms + 1, dtype=np.int32)).astype(np.int32)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k largest positive cosines, ties to the smaller number."""
@@ -185,7 +213,7 @@ class BlockMaxIndex:
                 reach = score.reshape(-1, self.block).max(1) + np.bincount(block, self.most[cells] * weight, self.n_blocks)
                 alive = (reach >= np.partition(score[: self.n], self.n - k)[self.n - k] - 1e-9)[block]
                 cells, weight = cells[alive], weight[alive]
-            posts, n = _ranges(self.cell_start[cells], self.cell_end[cells])
+            posts, n = _ranges(self.cell_start[cells], self.cell_start[cells + 1])
             score += np.bincount(self.owner[posts], self.weight[posts] * np.repeat(weight, n), len(score))
         score = np.round(score[: self.n], 12)
         ids = np.flatnonzero(score > 0)
@@ -215,16 +243,12 @@ class Model:
     idf: np.ndarray
     ids: np.ndarray
     toxic: np.ndarray
-    index: BlockMaxIndex
+    index: BlockMaxIndex | None  # in tasks alone
     prior: float
     empty_score: float
     knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
     get: Callable[[], Model] | None = None  # the model in tasks, but for its knots
 
-    def vector(self, terms: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        w = (1 + np.log(times)) * self.idf[terms]
-        return terms, w / np.sqrt((w * w).sum())
-
     def vote(self, ids: np.ndarray, cosines: np.ndarray) -> float:
         return float(((cosines * self.toxic[ids]).sum() + SMOOTHING * self.prior) / (cosines.sum() + SMOOTHING))
 
@@ -318,9 +342,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     full = np.flatnonzero(size)
     none = toxic[size == 0].tolist()
     model = Model(terms, idf, ids[full], toxic[full], None, prior, (sum(none) + prior) / (len(none) + 1))
-    start = np.concatenate([[0], np.cumsum(size)])
-    model.index = BlockMaxIndex([model.vector(term[start[i] : start[i + 1]], times[start[i] : start[i + 1]]) for i in full.tolist()], max(1, len(hashes)))
-    model.get = sent(spark, model)
+    # Once it is sent the index is of no more use here.
+    index = BlockMaxIndex.of(size[full], term, _unit_weights(term, times, idf, size[full]), max(1, len(hashes)))
+    del term, times
+    model.get = sent(spark, replace(model, index=index))
+    del index
     if len(full):
         # One number for each of max_examples rows.
         votes = examples.select("doc_id", "text").mapInArrow(_own_votes(model.get), "number long, vote double").toArrow()

@@ -2,6 +2,7 @@
 
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -323,3 +324,26 @@ def test_top_k_sends_no_table_by_way_of_the_driver(spark, monkeypatch):
     # No pair of a block and a query block is moved: their cells are scanned where they were joined.
     left = next(plan for name, plan in plans if name == "left")
     assert "Exchange" not in left[left.index("MapInArrow") : left.index("SortMergeJoin")]
+
+
+def test_the_index_is_built_and_sent_with_little_besides_it(spark):
+    from storecast.llm.store import sent
+
+    rng = np.random.default_rng(5)
+    sizes, n_terms = np.full(2000, 400), 40_000
+    term = np.concatenate([np.sort(np.concatenate([np.flatnonzero(rng.random(300) < 0.6)[:150], 300 + rng.choice(n_terms - 300, 250, replace=False)])) for _ in range(len(sizes))]).astype(np.int32)
+    sizes = np.diff(np.append(np.flatnonzero(np.diff(term, prepend=n_terms) < 0), len(term)))
+    weight = rng.random(len(term))
+    tracemalloc.start()
+    index = BlockMaxIndex.of(sizes, term, weight, n_terms)
+    held, most = tracemalloc.get_traced_memory()
+    own = {k: v.nbytes for k, v in vars(index).items() if isinstance(v, np.ndarray)}
+    assert len(index.matrix) and len(index.owner) and most < 2.2 * sum(own.values())
+    tracemalloc.reset_peak()
+    get = sent(spark, index)
+    most = tracemalloc.get_traced_memory()[1] - held
+    tracemalloc.stop()
+    assert most < 1.1 * max(own.values()) + 1_000_000
+    start = np.cumsum(sizes) - sizes
+    near = lambda x: [a.tolist() for a in x.nearest(term[: start[1]], weight[: start[1]], 5)]
+    assert spark.sparkContext.parallelize([0], 1).map(lambda _: near(get())).first() == near(index)
