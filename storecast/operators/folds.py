@@ -13,7 +13,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.tables import dealt
@@ -101,37 +100,30 @@ def _weekday_and_promo() -> Column:
     return F.struct(F.col("DayOfWeek").cast("int").alias("DayOfWeek"), F.col("Promo").cast("int").alias("Promo"))
 
 
-def _middle_marks(n_folds: int, keys: list[str]) -> Column:
-    """Of rows with ``block`` the folds whose median within ``keys`` they make: bit 2f for the lower middle row of fold f + 1, bit 2f + 1 for the upper one."""
-    sorted_rows = W.partitionBy(*keys).orderBy("Sales")
-    within, upto = sorted_rows.rowsBetween(W.unboundedPreceding, W.unboundedFollowing), sorted_rows.rowsBetween(W.unboundedPreceding, 0)
-    marks = F.lit(0)
-    for f in range(n_folds):
-        trains = F.col("block") <= f
-        place, n = F.count_if(trains).over(upto), F.count_if(trains).over(within)
-        for bit, middle in enumerate((F.floor((n + 1) / 2), F.floor(n / 2) + 1)):
-            marks = marks + F.when(trains & (place == middle), 1 << (2 * f + bit)).otherwise(0)
-    return marks
+def _medians(rows: Column, n_folds: int) -> Column:
+    """The median of each fold from sorted rows of (Sales, block), as an array; null without any."""
+    upto = lambda f: F.filter(rows, lambda x: x["block"] <= f)
+    sales = F.array(*(F.transform(upto(f), lambda x: x["Sales"]) for f in range(n_folds)))
+    at = lambda x, place: F.get(x, F.floor(place).cast("int"))
+    return F.transform(sales, lambda x: 0.5 * at(x, (F.size(x) - 1) / 2) + 0.5 * at(x, F.size(x) / 2))
 
 
 def fold_medians(open_days: DataFrame, folds: list, rows: int) -> FoldStatistics:
     """The medians alone: what the median rule stands on. ``rows`` is the number of open days.
 
-    The rows are dealt by store once and sorted twice, by store and by store,
-    weekday and promotion; the one or two middle rows of each fold are marked,
-    and the median is their mean. No task holds more than its share of stores.
+    The rows are dealt by store once; those of a store, one a day, are an array
+    by weekday and promotion, sorted, and then one of the whole store. All folds
+    take their middle rows from it. No task holds more than its share of stores.
     """
     n, ends = len(folds), [f.train_end for f in folds]
     train = open_days.select(*KEYS, "Sales", block_of(ends).cast("int").alias("block")).filter((F.col("block") < n) & F.col("Sales").isNotNull())
-    marked = dealt(train, "Store", rows).withColumn("of_store", _middle_marks(n, ["Store"])).withColumn("of_key", _middle_marks(n, KEYS))
-    sales_at = lambda marks: [F.max(F.when(F.col(marks).bitwiseAND(1 << bit) != 0, F.col("Sales"))).alias(f"{marks}_{bit}") for bit in range(2 * n)]
-    mean = lambda c: F.array(*(0.5 * c(2 * f) + 0.5 * c(2 * f + 1) for f in range(n)))
-    keys = marked.groupBy(*KEYS).agg(*sales_at("of_store"), *sales_at("of_key"))
+    keys = dealt(train, "Store", rows).groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("Sales", "block"))).alias("rows"))
     known = F.col("DayOfWeek").isNotNull() & F.col("Promo").isNotNull()
-    entry = F.when(known, F.struct(_weekday_and_promo().alias("key"), mean(lambda bit: F.col(f"of_key_{bit}")).alias("x")))
-    by_store = keys.groupBy("Store").agg(mean(lambda bit: F.max(f"of_store_{bit}")).alias("medians"), F.map_from_entries(F.collect_list(entry)).alias("key_medians"))
+    entry = F.when(known, F.struct(_weekday_and_promo().alias("key"), _medians(F.col("rows"), n).alias("x")))
+    by_store = keys.groupBy("Store").agg(F.sort_array(F.flatten(F.collect_list("rows"))).alias("rows"), F.map_from_entries(F.collect_list(entry)).alias("key_medians"))
+    by_store = by_store.select("Store", _medians(F.col("rows"), n).alias("medians"), "key_medians")
     # Over all stores: a row per distinct number, summed before it is sent.
-    whole = train.groupBy("Sales").agg(F.array(*(F.count_if(F.col("block") <= f) for f in range(n))).alias("n"))
+    whole = by_fold(counted(open_days.filter(F.col("Sales").isNotNull()), ends), n)
     return FoldStatistics(folds, by_store, whole.agg(_per_fold(n, median_of).alias("medians")), None)
 
 

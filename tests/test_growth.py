@@ -94,3 +94,28 @@ def test_a_fit_keeps_its_own_columns_in_tasks_of_bounded_rows(spark, panel, monk
     model = SalesModel(["DayOfWeek", "Store"], {"maxDepth": 2}, fixed_rounds=2).fit(train)
     assert seen and all(columns == {"features", "label", "Date"} and parts >= n // 200 for columns, parts, n in seen)
     assert model.predict(train).filter("prediction > 0").count() == train.count()
+
+
+def test_fold_medians_sort_a_store_without_windows(spark):
+    import statistics
+    from types import SimpleNamespace
+
+    from storecast.operators.folds import fold_medians
+
+    first = DAY
+    rows = [(s, first + dt.timedelta(k), k % 7 + 1 if k % 31 else None, k % 2 if k % 29 else None, (s * 7919 + k * k * 31) % 997 if k % 23 else None) for s in range(9) for k in range(0, 200, s + 1)]
+    df = spark.createDataFrame(rows, "Store int, Date date, DayOfWeek int, Promo int, Sales long")
+    folds = [SimpleNamespace(train_end=first + dt.timedelta(k)) for k in (0, 90, 150)]
+    own = fold_medians(df, folds, len(rows))
+    assert "Window" not in own.by_store._jdf.queryExecution().executedPlan().toString()
+    middle = lambda x: statistics.median(x) if x else None
+    known = [r for r in rows if r[4] is not None]
+    got = {r.Store: r for r in own.by_store.collect()}
+    for f, fold in enumerate(folds):
+        train = [r for r in known if r[1] <= fold.train_end]
+        assert own.overall.first().medians[f] == middle([r[4] for r in train])
+        for s, r in got.items():
+            assert r.medians[f] == middle([x[4] for x in train if x[0] == s])
+            for key, x in r.key_medians.items():
+                assert x[f] == middle([x[4] for x in train if (x[0], x[2], x[3]) == (s, key.DayOfWeek, key.Promo)])
+    assert got.keys() == {r[0] for r in known if r[1] <= folds[-1].train_end}
