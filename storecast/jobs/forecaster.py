@@ -67,7 +67,8 @@ class Forecaster:
         self.options = {**model_options, **({"log": False, "weight": "weight"} if self.exact_weights else {})}
         self.features = Features.of(statistics(train, calendar if self.since_reopening else None), compact(calendar), self.families)
         self.segments = segmenter(train, self.n_segments, self.min_days, self.min_cell_stores)
-        frame = self.segments.transform(self.features.transform(train)).persist()
+        kept = dict.fromkeys(["Store", "Date", "Sales", "segment", *self.features.names])
+        frame = self.segments.transform(self.features.transform(train)).select(*kept).persist()
         numbers = range(1, self.n_segments + 1)
         found = in_pools(train.sparkSession, {f"segment-{s}": partial(self._fit_segment, frame, s) for s in numbers}, self.parallelism)
         fitted = {s: x for s, x in zip(numbers, found.values(), strict=True) if x}

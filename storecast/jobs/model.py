@@ -7,7 +7,7 @@ from datetime import timedelta
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.facts import from_log, log_target
@@ -39,6 +39,15 @@ def best_round(errors: list[float], patience: int = PATIENCE) -> int:
     return best + 1
 
 
+def first_trees(model: GBTRegressionModel, trees: int) -> GBTRegressionModel:
+    """The model that a fit of so many trees alone gives on the same rows."""
+    if trees == model.getNumTrees:
+        return model
+    java = model._java_obj
+    own = SparkSession.active()._jvm.org.apache.spark.ml.regression.GBTRegressionModel(java.uid(), java.trees()[:trees], java.treeWeights()[:trees])
+    return GBTRegressionModel(own).setFeaturesCol(model.getFeaturesCol()).setPredictionCol(model.getPredictionCol())
+
+
 def exact_metric_weight(rows: DataFrame, by: str | None = None, name: str = "weight") -> DataFrame:
     """The rows with sales and 1 / Sales squared at mean one (within ``by``): with it, squared error on raw sales is the squared relative error.
 
@@ -75,14 +84,19 @@ class SalesModel:
         return out.setWeightCol(self.weight) if self.weight else out
 
     def _counted(self, old: DataFrame, new: DataFrame) -> int:
-        """The number of trees that is best on the newer rows. Trees do not depend on how many follow, so growth stops
-        once the patience is used up: the limit doubles until then, or until ``maxIter``."""
+        """The number of trees that is best on the newer rows."""
+        return self._grown(old, new).getNumTrees
+
+    def _grown(self, old: DataFrame, new: DataFrame) -> GBTRegressionModel:
+        """The older rows' model of the number of trees that is best on the newer ones. Trees do not depend on how many follow, so growth stops
+        once the patience is used up: the limit doubles until then, or until ``maxIter``. What was grown beyond the best number is cut off."""
         most, trees = {**DEFAULTS, **self.params}["maxIter"], self.patience * 3 // 2
         while True:
             trees = max(1, min(trees, most))
-            best = best_round(list(self._regressor(trees).fit(old).evaluateEachIteration(new, "squared")), self.patience)
+            model = self._regressor(trees).fit(old)
+            best = best_round(list(model.evaluateEachIteration(new, "squared")), self.patience)
             if trees == most or best + self.patience <= trees:
-                return best
+                return first_trees(model, best)
             trees *= 2
 
     def fit(self, train: DataFrame, watch: bool = False) -> SalesModel:
@@ -94,11 +108,13 @@ class SalesModel:
         labelled = train.withColumn("label", log_target() if self.log else F.col("Sales").cast("double"))
         own = dict.fromkeys(["Date", *([self.weight] if self.weight else []), "label"])
         needed = labelled.select("Store", *(c for c in dict.fromkeys([*own, *self.features]) if c in labelled.columns and c != "Store"))
-        rows = self.assembled(dealt(needed, "Store", train.count())).select("features", *own).persist()
+        # Every tree is a job a level over these tasks, each with sums for all nodes: no more tasks than cores, unless the rows ask for them.
+        rows = self.assembled(dealt(needed, "Store", train.count(), train.sparkSession.sparkContext.defaultParallelism)).select("features", *own).persist()
         try:
             old, new = (rows, rows) if self.fixed_rounds and self.refit and not watch else inner_split(rows, self.inner_days)
-            self.rounds = self.fixed_rounds or self._counted(old, new)
-            self.watched = self._regressor(self.rounds).fit(old) if watch or not self.refit else None
+            grown = None if self.fixed_rounds else self._grown(old, new)
+            self.rounds = self.fixed_rounds or grown.getNumTrees
+            self.watched = (grown or self._regressor(self.rounds).fit(old)) if watch or not self.refit else None
             self.model = self._regressor(self.rounds).fit(rows) if self.refit else self.watched
         finally:
             rows.unpersist()
@@ -114,5 +130,6 @@ class SalesModel:
 
     def importance(self, spark) -> DataFrame:
         """Every feature with its share of the gain, unused ones with zero."""
-        pairs = sorted(zip(self.features, self.model.featureImportances.toArray().tolist(), strict=True), key=lambda x: (-x[1], x[0]))
+        gains = self.model.featureImportances.toArray().tolist()  # of a model cut short, up to the last feature used
+        pairs = sorted(zip(self.features, gains + [0.0] * (len(self.features) - len(gains)), strict=True), key=lambda x: (-x[1], x[0]))
         return spark.createDataFrame(pairs, "feature string, importance double")

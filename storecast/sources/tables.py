@@ -91,13 +91,14 @@ def bucketed(df: DataFrame, name: str, key: str = "Store", order: tuple[str, ...
 TASK_ROWS = 250_000
 
 
-def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+def dealt(df: DataFrame, key: str, rows: int, most: int | None = None) -> DataFrame:
     """``df`` dealt by ``key`` into as many tasks as its ``rows`` ask for.
 
     The planner would join the parts of an exchange until there is one per
-    core, so that what a task sorts grows with the table.
+    core, so that what a task sorts grows with the table. Tables of fewer rows
+    get smaller tasks, ``most`` of them (or the partitions of a shuffle).
     """
-    most = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    most = most or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return df.repartition(max(1, -(-rows // TASK_ROWS), min(most, rows * 10 // TASK_ROWS)), key)
 
 

@@ -119,3 +119,27 @@ def test_fold_medians_sort_a_store_without_windows(spark):
             for key, x in r.key_medians.items():
                 assert x[f] == middle([x[4] for x in train if (x[0], x[2], x[3]) == (s, key.DayOfWeek, key.Promo)])
     assert got.keys() == {r[0] for r in known if r[1] <= folds[-1].train_end}
+
+
+def test_a_counted_model_is_cut_and_not_grown_again(spark, panel, monkeypatch):
+    from storecast.jobs.model import SalesModel, inner_split
+    from storecast.sources.tables import TASK_ROWS, dealt
+
+    own, grown = SalesModel._regressor, []
+    monkeypatch.setattr(SalesModel, "_regressor", lambda self, trees: (grown.append(trees), own(self, trees))[1])
+    train = panel.filter("Sales > 0 and Promo is not null")
+    model = SalesModel(["DayOfWeek", "Promo", "Store"], {"maxDepth": 2, "maxIter": 9}, inner_days=30).fit(train, watch=True)
+    assert grown == [9, model.rounds] and 1 <= model.rounds < 9 and model.watched.getNumTrees == model.rounds
+    # The trees kept are those that a fit of that number gives on the same rows.
+    old, new = inner_split(model.assembled(train.withColumn("label", F.log1p("Sales"))).coalesce(1).persist(), 30)
+    counted, alone = model._grown(old, new), own(model, 1).fit(old)
+    again = own(model, counted.getNumTrees).fit(old)
+    text = lambda m: m.toDebugString.split("\n")[1:]
+    assert text(counted) == text(again) and text(counted.trees[0]) == text(alone.trees[0])
+    same = counted.transform(new).select("raw").collect()
+    assert same == again.transform(new).select("raw").collect() and len(same) == new.count()
+    model.model = counted
+    assert {r.feature for r in model.importance(spark).collect()} == {"DayOfWeek", "Promo", "Store"}
+    # A fit's tasks are no more than the cores until the rows ask for them.
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    assert (partitions(dealt(panel, "Store", 90, 2)), partitions(dealt(panel, "Store", 1000, 2)), TASK_ROWS) == (2, 10, 250_000)
