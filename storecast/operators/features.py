@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -65,14 +65,24 @@ class Statistics:
         rows = rows.withColumn("store_mean_sales", F.coalesce("store_mean_sales", F.lit(self.global_mean)))
         return rows.withColumns({"store_dow_mean_sales": F.coalesce("store_dow_mean_sales", "store_mean_sales"), "store_promo_uplift": F.coalesce("store_promo_uplift", F.lit(self.global_uplift))})
 
+    def rounded(self, digits: int) -> Statistics:
+        """What :meth:`join` gives rounded: a few numbers a store, in place of every row's."""
+        r = lambda c: F.round(c, digits)
+        scalar = ("global_mean", "global_uplift", "comp_dist_median")
+        one = self.whole.sparkSession.range(1).select(*(r(F.lit(getattr(self, n)).cast("double")).alias(n) for n in scalar)).first()
+        by_day = F.transform_values("weekday_means", lambda _, v: r(v))
+        whole = self.whole.select("Store", *(r(c).alias(c) for c in ("store_mean_sales", "store_promo_uplift")), by_day.alias("weekday_means"))
+        return replace(self, whole=whole, **{n: one[n] for n in scalar})
 
-def statistics(train: DataFrame, calendar: DataFrame | None = None) -> Statistics:
+
+def statistics(train: DataFrame, calendar: DataFrame | None = None, facts: DataFrame | None = None) -> Statistics:
     """Means and uplifts; with a calendar, from the rows since a reopening. The scalars always use all rows.
+    ``facts``: those of the stores, where the rows are without them.
 
     What is learnt of a store comes from one grouping of its weekdays and
     promotions, so a table in buckets by store is not moved.
     """
-    one = scalars(train).first()
+    one = scalars(train if facts is None else train.join(facts, "Store", "left")).first()
     own = since_reopening(train, calendar) if calendar is not None else train
     cells = own.groupBy("Store", "DayOfWeek", "Promo").agg(F.sum("Sales").alias("s"), F.count("Sales").alias("n"))
     total = lambda c, when=None: F.sum(F.col(c) if when is None else F.when(when, F.col(c)))
@@ -125,12 +135,14 @@ class Features:
             rows = rows.withColumn("days_to_easter", days_to_easter())
         return month_columns(rows) if self.month else rows
 
-    def of_panel(self, panel: DataFrame, first: int, last: int) -> DataFrame:
+    def of_panel(self, panel: DataFrame, first: int, last: int, facts: DataFrame | None = None) -> DataFrame:
         """The open days of a panel that is its own calendar, with the features: windows in place of the join.
 
         ``panel`` and the ends as :func:`~.calendar.own_calendar` has them; all rows are covered, so there is nothing to validate.
+        ``facts``: those of the stores, where the panel is without them; the windows then hold the days' columns alone.
         """
         rows = own_calendar(panel, first, last, bool(self.closure), self.with_reopening).filter("Open = 1")
+        rows = rows if facts is None else rows.join(facts, "Store", "left")
         rows = self.learned.join(dummies(promo2(competition(calendar_parts(rows), self.learned.comp_dist_median))))
         if self.easter:
             rows = rows.withColumn("days_to_easter", days_to_easter())

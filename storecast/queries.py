@@ -17,7 +17,7 @@ from .operators.validation import RollingOrigin
 from .schema import feature_names
 from .sources import files
 from .sources.panel import daily_rows, panel, store_facts
-from .sources.tables import bucketed, settled, shared_dir, written
+from .sources.tables import bucketed, settled, shared_dir, tasks, written
 
 SPLIT = RollingOrigin()
 
@@ -103,15 +103,17 @@ def q_dummies(spark, d):
 
 
 def q_features(spark, d):
-    """The panel in buckets by store: its windows and statistics need no exchange, and its dates are asked for once."""
-    days = bucketed(panel(spark, d).drop("Customers"), "panel")
+    """Days in buckets by store: windows and statistics need no exchange, and dates are asked for once. Facts of stores join open days after the windows; numbers of a store are rounded before they join."""
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").count()
+    days = bucketed(daily_rows(spark, d).drop("Customers"), "days", buckets=tasks(spark, lines))
+    facts = r6(store_facts(spark, d))
     ends = days.agg(*(f(c).alias(f"{n}_{k}") for k, c in (("day", F.col("Date")), ("open", F.when(F.col("Open") == 1, F.col("Date")))) for n, f in (("first", F.min), ("last", F.max)))).first()
     train_end = SPLIT.dates(ends.first_open, ends.last_open)[-1][1]
-    learned = features.statistics(open_days(days).filter(F.col("Date") <= F.lit(train_end)))
+    learned = features.statistics(open_days(days).filter(F.col("Date") <= F.lit(train_end)), facts=facts).rounded(6)
     built = features.Features(learned, days, with_reopening=True, month=True)
-    out = built.of_panel(days, *((x - datetime.date(1970, 1, 1)).days for x in (ends.first_day, ends.last_day)))
+    out = built.of_panel(days, *((x - datetime.date(1970, 1, 1)).days for x in (ends.first_day, ends.last_day)), facts)
     built.check(out)
-    return r6(out.select("Store", "Date", *feature_names(reopening=True, month=True)))
+    return out.select("Store", "Date", *feature_names(reopening=True, month=True))
 
 
 def q_error_columns(spark, d):

@@ -69,8 +69,8 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> Da
     return out
 
 
-def bucketed(df: DataFrame, name: str, key: str = "Store", order: tuple[str, ...] = ("Date",)) -> DataFrame:
-    """``df`` as a table in the shared folder, dealt into buckets by ``key`` and sorted in each.
+def bucketed(df: DataFrame, name: str, key: str = "Store", order: tuple[str, ...] = ("Date",), buckets: int | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder, dealt into buckets by ``key`` (as many as a shuffle has partitions, or ``buckets``) and sorted in each.
 
     Windows, groups and joins by ``key`` (with or without further columns in a
     window or group) then need no exchange: all tables that are dealt into the
@@ -79,7 +79,7 @@ def bucketed(df: DataFrame, name: str, key: str = "Store", order: tuple[str, ...
     """
     spark = df.sparkSession
     own = f"{name.replace('-', '_')}_{uuid.uuid4().hex}"
-    path, n = f"{shared_dir(spark)}/{own}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path, n = f"{shared_dir(spark)}/{own}", buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     df.repartition(n, key).write.format("parquet").bucketBy(n, key).sortBy(key, *order).option("path", path).option("compression", "zstd").saveAsTable(own)
     out = spark.table(own)
     out._stored_at, out._table = path, own
@@ -98,8 +98,13 @@ def dealt(df: DataFrame, key: str, rows: int, most: int | None = None) -> DataFr
     core, so that what a task sorts grows with the table. Tables of fewer rows
     get smaller tasks, ``most`` of them (or the partitions of a shuffle).
     """
-    most = most or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(max(1, -(-rows // TASK_ROWS), min(most, rows * 10 // TASK_ROWS)), key)
+    return df.repartition(tasks(df.sparkSession, rows, most), key)
+
+
+def tasks(spark: SparkSession, rows: int, most: int | None = None) -> int:
+    """How many tasks :func:`dealt` has for so many rows."""
+    most = most or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-rows // TASK_ROWS), min(most, rows * 10 // TASK_ROWS))
 
 
 def is_stored(df: DataFrame) -> bool:

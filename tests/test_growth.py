@@ -143,3 +143,22 @@ def test_a_counted_model_is_cut_and_not_grown_again(spark, panel, monkeypatch):
     # A fit's tasks are no more than the cores until the rows ask for them.
     monkeypatch.setattr(tables, "TASK_ROWS", 100)
     assert (partitions(dealt(panel, "Store", 90, 2)), partitions(dealt(panel, "Store", 1000, 2)), TASK_ROWS) == (2, 10, 250_000)
+
+
+def test_feature_days_are_stored_without_facts_in_buckets_by_rows(spark, sf_dir, monkeypatch):
+    from storecast.operators import features
+
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    seen = []
+    monkeypatch.setattr(queries, "bucketed", lambda df, name, **own: seen.append((df.columns, own)) or tables.bucketed(df, name, **own))
+    out = queries.q_features(spark, sf_dir)
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    ((columns, own),) = seen
+    assert not {"StoreType", "CompetitionDistance", "PromoInterval"} & set(columns) and own["buckets"] >= lines // 200
+    # The same rows as with facts in the panel and numbers rounded in every row.
+    days = tables.written(queries.panel(spark, sf_dir), "panel")
+    train_end, _ = queries.window_start(days)
+    learned = features.statistics(queries.open_days(days).filter(F.col("Date") <= F.lit(train_end)))
+    first, last = cal.bounds(days)
+    want = queries.r6(features.Features(learned, days, with_reopening=True, month=True).of_panel(days, first, last).select(*out.columns))
+    assert out.exceptAll(want).isEmpty() and out.count() == want.count() > 0 and out.dtypes == want.dtypes
