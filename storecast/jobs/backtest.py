@@ -17,14 +17,14 @@ from pyspark.sql import functions as F
 
 from ..operators.experiment import grid
 from ..operators.features import Features, Statistics, since_reopening, statistics
-from ..operators.folds import FoldStatistics, fold_statistics
+from ..operators.folds import FoldStatistics, fold_means
 from ..operators.metrics import rmspe
 from ..operators.segments import one_hot, segmenter
 from ..operators.validation import RollingOrigin
 from ..schema import LEARNED_FEATURES, feature_names
 from ..sources.tables import dropped, exists, written
-from .model import SalesModel, exact_metric_weight, inner_split
-from .pools import in_pools
+from .model import SalesModel, exact_metric_weight, hold, inner_split
+from .pools import in_pools, side_by_side
 
 CELL = "Store int, Date date, Sales long, prediction double, trees int, segment int"
 
@@ -117,9 +117,13 @@ class Backtest:
             kept = [written(calendar, "calendar")]
             try:
                 open_days = kept[0].filter("Open = 1 and Sales > 0")
-                learned = fold_statistics(open_days, folds=self.splitter.folds(open_days).orderBy("fold").collect())  # a row a fold
-                learned.by_store = written(learned.by_store, "fold-statistics")
-                kept.append(learned.by_store)
+                learned = fold_means(open_days, self.splitter.folds(open_days).orderBy("fold").collect())  # a row a fold
+                # Computed once, not for every fold: a row a store, and single rows.
+                learned.by_store, learned.overall = written(learned.by_store, "fold-statistics"), written(learned.overall, "fold-overall")
+                kept += [learned.by_store, learned.overall]
+                if learned.distance is not None:
+                    learned.distance = written(learned.distance, "fold-distance")
+                    kept.append(learned.distance)
                 kept.append(written(self.base(open_days, kept[0], learned), "base"))
                 for fold in sorted({f for *_, f in todo}):
                     self._fold(kept[-1], kept[0], learned, fold, [(a, s) for a, s, f in todo if f == fold])
@@ -134,37 +138,53 @@ class Backtest:
         if any(a.segmented or a.one_hot for a, _ in cells):
             segments = segmenter(frame.filter("role = 'train'"), self.n_segments, self.min_days, self.min_cell_stores)
             frame = one_hot(segments.transform(frame), self.n_segments)
-        frame = written(frame, f"fold-{fold}")
-        again = None
-        if any(a.since_reopening for a, _ in cells):
-            train = frame.filter("role = 'train'")
-            own = statistics(since_reopening(train, calendar))
-            whole = Statistics(own.by_store, own.by_weekday, own.uplift, *(learned.of_fold(fold).__getattribute__(n) for n in ("global_mean", "global_uplift", "comp_dist_median")))
-            again = written(whole.join(frame.drop(*LEARNED_FEATURES)), f"fold-{fold}-reopened")
+        used = ["Store", "Date", "Sales", "segment", "role", *(n for a, _ in cells for n in a.features(self.n_segments))]
+        usual = frame.select(*(c for c in dict.fromkeys(used) if c in frame.columns))
+        made: list[tuple[DataFrame, DataFrame]] = []
         try:
-            calls = {f"{a.name}-{s}-{fold}": partial(self._one, again if a.since_reopening else frame, a, s, fold) for a, s in cells}
-            in_pools(base.sparkSession, calls, self.parallelism)
+            # Rows that only some arms need are not made where none does.
+            sides = {}
+            if not all(a.since_reopening for a, _ in cells):
+                made.append(self._sides(usual, fold, "fold"))
+                sides[False] = made[-1]
+            if any(a.since_reopening for a, _ in cells):
+                own = statistics(since_reopening(frame.filter("role = 'train'"), calendar))
+                whole = Statistics(own.by_store, own.by_weekday, own.uplift, *(learned.of_fold(fold).__getattribute__(n) for n in ("global_mean", "global_uplift", "comp_dist_median")))
+                again = whole.join(frame.drop(*LEARNED_FEATURES))
+                made.append(self._sides(again.select(*usual.columns), fold, "reopened"))
+                sides[True] = made[-1]
+            calls = {f"{a.name}-{s}-{fold}": partial(self._one, sides[a.since_reopening], a, s, fold) for a, s in cells}
+            most = max(train.rdd.getNumPartitions() for train, _ in made)
+            in_pools(base.sparkSession, calls, side_by_side(base.sparkSession, self.parallelism, most))
         finally:
-            for table in (frame, again):
-                if table is not None:
-                    dropped(table)
+            for train, valid in made:
+                train.unpersist()
+                dropped(valid)
             if segments is not None:
                 segments.assignment.unpersist()
 
-    def _one(self, frame: DataFrame, arm: Arm, seed: int, fold: int) -> None:
-        """Fit, score and store one cell."""
+    def _sides(self, frame: DataFrame, fold: int, name: str) -> tuple[DataFrame, DataFrame]:
+        """A fold's training rows, in memory for the fits of all its cells, and its few validation rows as a table."""
+        valid = written(frame.filter("role = 'valid'").drop("role"), f"{name}-{fold}")
+        train = frame.filter("role = 'train'").drop("role")
+        train = hold(train, train.count())
+        train.count()
+        return train, valid
+
+    def _one(self, frame: tuple[DataFrame, DataFrame], arm: Arm, seed: int, fold: int) -> None:
+        """Fit, score and store one cell. ``frame``: training and validation rows, as :meth:`_sides` has them."""
         groups = range(1, self.n_segments + 1) if arm.segmented else [None]
         parts, cuts = [], []
         keep = lambda df, g, model: df.select("Store", "Date", "Sales", "prediction", F.lit(model.rounds).alias("trees"), F.lit(g).cast("int").alias("segment"))
         for g in groups:
-            rows = frame if g is None else frame.filter(F.col("segment") == g)
-            train, valid = rows.filter("role = 'train'"), rows.filter("role = 'valid'")
+            train, valid = frame if g is None else (side.filter(F.col("segment") == g) for side in frame)
             if train.isEmpty():
                 continue
             own = dict(self.options)
             if arm.exact_weights:
                 train, own = exact_metric_weight(train), {**own, "log": False, "weight": "weight"}
-            model = SalesModel(arm.features(self.n_segments), {**self.params, **arm.params}, seed, **own).fit(train, watch=self.inner)
+            # All rows as they are held; a part of them, or rows with a weight, are dealt anew.
+            model = SalesModel(arm.features(self.n_segments), {**self.params, **arm.params}, seed, **own).fit(train, watch=self.inner, held=g is None and not arm.exact_weights)
             parts.append(keep(model.predict(valid), g, model))
             if self.inner:
                 cuts.append(keep(model.predict(inner_split(train, model.inner_days)[1], model=model.watched), g, model))

@@ -59,6 +59,14 @@ def exact_metric_weight(rows: DataFrame, by: str | None = None, name: str = "wei
     return sold.join(means, level == F.col("_level")).withColumn(name, F.col(name) / F.col("_mean")).drop("_level", "_mean")
 
 
+def hold(rows: DataFrame, count: int) -> DataFrame:
+    """Rows kept in memory for fits, ``count`` of them, in tasks whose rows do not grow with the table.
+
+    Every tree is a job a level over these tasks, each with sums for all nodes: no more tasks than cores, unless the rows ask for them.
+    """
+    return dealt(rows, "Store", count, rows.sparkSession.sparkContext.defaultParallelism).persist()
+
+
 @dataclass
 class SalesModel:
     features: list[str]
@@ -99,17 +107,19 @@ class SalesModel:
                 return first_trees(model, best)
             trees *= 2
 
-    def fit(self, train: DataFrame, watch: bool = False) -> SalesModel:
+    def fit(self, train: DataFrame, watch: bool = False, held: bool = False) -> SalesModel:
         """Trees are counted on the last days, then all rows are fitted with that number, unless it is fixed or ``refit`` is off.
 
         ``watch`` (and no refit) keeps as ``watched`` the model of the older rows with that number of trees.
+        ``held``: the rows are in memory as :func:`hold` has them, for several fits, and are not dealt again.
         """
-        # What is kept in memory for all trees: the columns of the fit alone, in tasks whose rows do not grow with the table.
         labelled = train.withColumn("label", log_target() if self.log else F.col("Sales").cast("double"))
         own = dict.fromkeys(["Date", *([self.weight] if self.weight else []), "label"])
         needed = labelled.select("Store", *(c for c in dict.fromkeys([*own, *self.features]) if c in labelled.columns and c != "Store"))
-        # Every tree is a job a level over these tasks, each with sums for all nodes: no more tasks than cores, unless the rows ask for them.
-        rows = self.assembled(dealt(needed, "Store", train.count(), train.sparkSession.sparkContext.defaultParallelism)).select("features", *own).persist()
+        if not held:
+            needed = hold(needed, train.count())
+        # Columns are in memory, not vectors, which take several times as much: a fit puts its rows together three times before it has its own copy.
+        rows = self.assembled(needed).select("features", *own)
         try:
             old, new = (rows, rows) if self.fixed_rounds and self.refit and not watch else inner_split(rows, self.inner_days)
             grown = None if self.fixed_rounds else self._grown(old, new)
@@ -117,7 +127,8 @@ class SalesModel:
             self.watched = (grown or self._regressor(self.rounds).fit(old)) if watch or not self.refit else None
             self.model = self._regressor(self.rounds).fit(rows) if self.refit else self.watched
         finally:
-            rows.unpersist()
+            if not held:
+                needed.unpersist()
         return self
 
     def predict(self, df: DataFrame, name: str = "prediction", model: GBTRegressionModel | None = None) -> DataFrame:

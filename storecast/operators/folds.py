@@ -11,6 +11,7 @@ of a copy of the rows for every fold that trains on them.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -127,6 +128,30 @@ def fold_medians(open_days: DataFrame, folds: list, rows: int) -> FoldStatistics
     return FoldStatistics(folds, by_store, whole.agg(_per_fold(n, median_of).alias("medians")), None)
 
 
+def fold_means(open_days: DataFrame, folds: list) -> FoldStatistics:
+    """Means, uplifts and the distances' medians alone: what the model's features stand on. Without the medians of sales.
+
+    Sales are summed by store, weekday, promotion and block, a few dozen rows a store, in place of a row for every number sold.
+    """
+    n, ends = len(folds), [f.train_end for f in folds]
+    own = open_days.select(*KEYS, "Sales", block_of(ends).cast("int").alias("block")).filter(F.col("block") < n)
+    cells = own.groupBy(*KEYS, "block").agg(F.sum("Sales").alias("s"), F.count("Sales").alias("n"))
+
+    def mean(f: int, *when: Column) -> Column:
+        upto = reduce(Column.__and__, when, F.col("block") <= f)
+        return F.try_divide(F.sum(F.when(upto, F.col("s"))), F.sum(F.when(upto, F.col("n"))))
+
+    promo, base = F.col("Promo") == 1, F.col("Promo") == 0
+    means = F.array(*(mean(f) for f in range(n)))
+    levels = [means.alias("means"), F.array(*(F.try_divide(mean(f, promo), mean(f, base)) for f in range(n))).alias("uplifts")]
+    entry = F.when(F.col("DayOfWeek").isNotNull(), F.struct(F.col("DayOfWeek").cast("int").alias("key"), "x"))
+    days = cells.groupBy("Store", "DayOfWeek").agg(means.alias("x")).groupBy("Store").agg(F.map_from_entries(F.collect_list(entry)).alias("weekday_means"))
+    far = None
+    if (at := "CompetitionDistance") in open_days.columns:
+        far = by_fold(counted(open_days, ends, value=at), n, value=at).agg(_per_fold(n, lambda k: median_of(k, at)).alias("medians"))
+    return FoldStatistics(folds, cells.groupBy("Store").agg(*levels).join(days, "Store", "left"), cells.agg(*levels), far)
+
+
 def fold_statistics(open_days: DataFrame, splitter: RollingOrigin | None = None, folds: list | None = None) -> FoldStatistics:
     """From the open days of all folds; ``folds`` are the splitter's, if they are known already.
 

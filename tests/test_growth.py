@@ -162,3 +162,55 @@ def test_feature_days_are_stored_without_facts_in_buckets_by_rows(spark, sf_dir,
     first, last = cal.bounds(days)
     want = queries.r6(features.Features(learned, days, with_reopening=True, month=True).of_panel(days, first, last).select(*out.columns))
     assert out.exceptAll(want).isEmpty() and out.count() == want.count() > 0 and out.dtypes == want.dtypes
+
+
+def test_fold_means_are_those_of_counted_numbers(spark, panel):
+    from storecast.operators.folds import fold_means, fold_statistics
+
+    split = RollingOrigin(3, 10, min_train_days=20)
+    days = panel.withColumns({"CompetitionDistance": F.when(F.col("Store") % 3 > 0, 10.0 * F.col("Store")), "DayOfWeek": F.when(F.col("Store") != 7, F.col("DayOfWeek"))})
+    folds = split.folds(days).orderBy("fold").collect()
+    own, want = fold_means(days, folds), fold_statistics(days, folds=folds)
+    read = lambda s: ({r.Store: (r.means, r.uplifts, r.weekday_means) for r in s.by_store.collect()}, s.overall.select("means", "uplifts").first(), s.distance.first())
+    assert read(own) == read(want) and own.by_store.count() > 30
+    # No median of sales, and no row for every number sold.
+    plan = own.by_store._jdf.queryExecution().optimizedPlan().toString()
+    assert "percentile" not in plan and "Sales" not in own.by_store.columns and "medians" not in own.by_store.columns
+
+
+def test_the_fits_of_a_fold_share_their_rows_in_memory(spark, panel, tmp_path, monkeypatch):
+    from storecast.jobs import backtest
+    from storecast.jobs.model import SalesModel
+
+    facts = {"Assortment": F.lit("a"), "StoreType": F.lit("b"), "SchoolHoliday": F.lit(0), "CompetitionDistance": F.lit(5.0), "Promo2": F.lit(0)}
+    none = ("CompetitionOpenSinceMonth", "CompetitionOpenSinceYear", "Promo2SinceWeek", "Promo2SinceYear")
+    days = panel.filter("Promo is not null and Sales is not null").withColumns(facts | {n: F.lit(None).cast("int") for n in none} | {"PromoInterval": F.lit(None).cast("string")})
+    monkeypatch.setattr(tables, "TASK_ROWS", 200)
+    held, fits, own = [], [], SalesModel._regressor
+
+    class Watched:
+        def __init__(self, regressor):
+            self.regressor = regressor
+
+        def fit(self, rows):
+            fits.append((rows.count(), partitions(rows), rows._jdf.queryExecution().optimizedPlan().toString()))
+            return self.regressor.fit(rows)
+
+    monkeypatch.setattr(SalesModel, "_regressor", lambda self, trees: Watched(own(self, trees)))
+    plain, names = backtest.hold, ("DayOfWeek", "Promo")
+    monkeypatch.setattr(backtest, "hold", lambda rows, count: held.append(count) or plain(rows, count))
+    arms = [backtest.Arm("two", names=names, segmented=False), backtest.Arm("one", names=names[:1], segmented=False)]
+    out = backtest.Backtest(str(tmp_path / "b"), arms, splitter=RollingOrigin(2, 10, min_train_days=20), params={"maxDepth": 2}, options={"fixed_rounds": 2}).run(days)
+    assert len(held) == 2 and sorted(n for n, _, _ in fits) == sorted(2 * held)
+    # Columns are held and put together by each fit; nothing is moved again.
+    assert all(parts >= n // 200 and "features" not in plan.partition("InMemoryRelation")[2] and "InMemoryRelation" in plan for n, parts, plan in fits), fits[0]
+    sold = days.filter("Open = 1 and Sales > 0").filter(F.col("Date") > F.lit(DAY + dt.timedelta(99))).count()
+    assert out.groupBy("arm").count().collect()[0]["count"] == sold and not spark.sparkContext._jsc.getPersistentRDDs()
+
+
+def test_fits_that_fill_the_cores_are_run_one_at_a_time(spark):
+    from storecast.jobs.pools import side_by_side
+
+    cores = spark.sparkContext.defaultParallelism
+    assert [side_by_side(spark, 4, n) for n in (0, 1, cores, 2 * cores, 4 * cores, 100 * cores)] == [4, 4, 4, 2, 1, 1]
+    assert side_by_side(spark, 1, 1) == 1
