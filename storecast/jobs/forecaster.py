@@ -19,8 +19,9 @@ from ..operators.monitor import interval_quantiles, sales_ratios, with_interval
 from ..operators.segments import Segmenter, segmenter
 from ..schema import HOLIDAY_CAP, HORIZON, LONG_CLOSURE, REOPENING_CAP
 from ..sources import versions
+from ..sources.tables import tasks
 from .model import SalesModel, exact_metric_weight, inner_split
-from .pools import in_pools
+from .pools import in_pools, side_by_side
 
 
 @dataclass
@@ -69,8 +70,11 @@ class Forecaster:
         self.segments = segmenter(train, self.n_segments, self.min_days, self.min_cell_stores)
         kept = dict.fromkeys(["Store", "Date", "Sales", "segment", *self.features.names])
         frame = self.segments.transform(self.features.transform(train)).select(*kept).persist()
+        # Computed once, by all cores, before the segments ask for it side by side.
+        spark, rows = train.sparkSession, frame.count()
+        at_once = side_by_side(spark, self.parallelism, tasks(spark, rows // self.n_segments, spark.sparkContext.defaultParallelism))
         numbers = range(1, self.n_segments + 1)
-        found = in_pools(train.sparkSession, {f"segment-{s}": partial(self._fit_segment, frame, s) for s in numbers}, self.parallelism)
+        found = in_pools(spark, {f"segment-{s}": partial(self._fit_segment, frame, s) for s in numbers}, at_once)
         fitted = {s: x for s, x in zip(numbers, found.values(), strict=True) if x}
         self.models = {s: models for s, (models, _) in fitted.items()}
         self.ratios = sales_ratios(reduce(DataFrame.unionByName, [scored for _, scored in fitted.values()])).persist()

@@ -97,8 +97,8 @@ class SalesModel:
 
     def _grown(self, old: DataFrame, new: DataFrame) -> GBTRegressionModel:
         """The older rows' model of the number of trees that is best on the newer ones. Trees do not depend on how many follow, so growth stops
-        once the patience is used up: the limit doubles until then, or until ``maxIter``. What was grown beyond the best number is cut off."""
-        most, trees = {**DEFAULTS, **self.params}["maxIter"], self.patience * 3 // 2
+        once the patience is used up: the limit, little beyond it at first, doubles until then, or until ``maxIter``. What was grown beyond the best number is cut off."""
+        most, trees = {**DEFAULTS, **self.params}["maxIter"], self.patience + max(1, self.patience // 5)
         while True:
             trees = max(1, min(trees, most))
             model = self._regressor(trees).fit(old)
@@ -118,9 +118,9 @@ class SalesModel:
         needed = labelled.select("Store", *(c for c in dict.fromkeys([*own, *self.features]) if c in labelled.columns and c != "Store"))
         if not held:
             needed = hold(needed, train.count())
-        # Columns are in memory, not vectors, which take several times as much: a fit puts its rows together three times before it has its own copy.
-        rows = self.assembled(needed).select("features", *own)
         try:
+            # Columns are in memory, not vectors, which take several times as much: a fit puts its rows together three times before it has its own copy.
+            rows = self.assembled(needed).select("features", *own)
             old, new = (rows, rows) if self.fixed_rounds and self.refit and not watch else inner_split(rows, self.inner_days)
             grown = None if self.fixed_rounds else self._grown(old, new)
             self.rounds = self.fixed_rounds or grown.getNumTrees

@@ -41,10 +41,10 @@ def in_pools(spark: SparkSession, calls: dict[str, Callable[[], Any]], at_once:
 
 
 def side_by_side(spark: SparkSession, at_once: int, tasks: int) -> int:
-    """How many fits of so many tasks each are run at a time: ``at_once``, unless together they had more than four tasks a core.
+    """How many fits of so many tasks each are run at a time: ``at_once``, unless together they had more than eight tasks a core.
 
     Each fit holds its rows in memory, and their parts are read again for every
     level of a tree: beyond the memory they would come from disk each time.
-    Fits that keep the cores busy alone gain nothing from company.
+    Fits of fewer tasks leave cores idle between levels, which others use.
     """
-    return max(1, min(at_once, 4 * spark.sparkContext.defaultParallelism // max(1, tasks)))
+    return max(1, min(at_once, 8 * spark.sparkContext.defaultParallelism // max(1, tasks)))

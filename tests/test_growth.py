@@ -198,6 +198,8 @@ def test_the_fits_of_a_fold_share_their_rows_in_memory(spark, panel, tmp_path, m
 
     monkeypatch.setattr(SalesModel, "_regressor", lambda self, trees: Watched(own(self, trees)))
     plain, names = backtest.hold, ("DayOfWeek", "Promo")
+    kept = lambda: set(spark.sparkContext._jsc.getPersistentRDDs())
+    before = kept()
     monkeypatch.setattr(backtest, "hold", lambda rows, count: held.append(count) or plain(rows, count))
     arms = [backtest.Arm("two", names=names, segmented=False), backtest.Arm("one", names=names[:1], segmented=False)]
     out = backtest.Backtest(str(tmp_path / "b"), arms, splitter=RollingOrigin(2, 10, min_train_days=20), params={"maxDepth": 2}, options={"fixed_rounds": 2}).run(days)
@@ -205,12 +207,32 @@ def test_the_fits_of_a_fold_share_their_rows_in_memory(spark, panel, tmp_path, m
     # Columns are held and put together by each fit; nothing is moved again.
     assert all(parts >= n // 200 and "features" not in plan.partition("InMemoryRelation")[2] and "InMemoryRelation" in plan for n, parts, plan in fits), fits[0]
     sold = days.filter("Open = 1 and Sales > 0").filter(F.col("Date") > F.lit(DAY + dt.timedelta(99))).count()
-    assert out.groupBy("arm").count().collect()[0]["count"] == sold and not spark.sparkContext._jsc.getPersistentRDDs()
+    assert out.groupBy("arm").count().collect()[0]["count"] == sold and kept() <= before
 
 
 def test_fits_that_fill_the_cores_are_run_one_at_a_time(spark):
     from storecast.jobs.pools import side_by_side
 
     cores = spark.sparkContext.defaultParallelism
-    assert [side_by_side(spark, 4, n) for n in (0, 1, cores, 2 * cores, 4 * cores, 100 * cores)] == [4, 4, 4, 2, 1, 1]
+    assert [side_by_side(spark, 4, n) for n in (0, 1, 2 * cores, 4 * cores, 8 * cores, 100 * cores)] == [4, 4, 4, 2, 1, 1]
     assert side_by_side(spark, 1, 1) == 1
+
+
+@pytest.mark.parametrize("best, asked", [(1, [60]), (10, [60]), (11, [60, 120]), (71, [60, 120, 240])])
+def test_growth_begins_little_beyond_the_patience(monkeypatch, best, asked):
+    from storecast.jobs import model
+
+    class Grown:
+        def __init__(self, trees):
+            self.getNumTrees = trees
+
+        def fit(self, rows):
+            return self
+
+        def evaluateEachIteration(self, rows, loss):
+            return [abs(k + 1 - best) + 1.0 for k in range(self.getNumTrees)]
+
+    seen = []
+    monkeypatch.setattr(model.SalesModel, "_regressor", lambda self, trees: (seen.append(trees), Grown(trees))[1])
+    monkeypatch.setattr(model, "first_trees", lambda grown, trees: Grown(trees))
+    assert model.SalesModel([])._counted(None, None) == best and seen == asked
